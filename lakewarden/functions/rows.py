@@ -107,3 +107,19 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
         .withColumn("_pos", F.col("_before") + F.col("_local"))
         .drop("_range", "_local", "_before")
     )
+
+
+def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, alias: str) -> DataFrame:
+    """Interpolated quantile per key without holding a group's values in one buffer.
+
+    Rows are numbered over ranges, so a key with a third of the rows is spread over
+    many tasks; the two order statistics around (n - 1) * q are picked by position.
+    """
+    present = df.filter(F.col(value).isNotNull()).select(*keys, value)
+    placed = numbered(present, keys, [value])
+    sizes = present.groupBy(*keys).agg(((F.count(F.lit(1)) - 1) * F.lit(q)).alias("_at"))
+    low, high = F.floor("_at"), F.ceil("_at")
+    near = placed.join(sizes, list(keys)).filter((F.col("_pos") == low) | (F.col("_pos") == high))
+    return near.groupBy(*keys).agg(
+        (F.min(value) + (F.max(value) - F.min(value)) * (F.first("_at") - F.floor(F.first("_at")))).alias(alias)
+    )

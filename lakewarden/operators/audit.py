@@ -57,7 +57,7 @@ def pii_access_report(log: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """Personal-data reads of the last ``days`` days per user, complete (no row limit)."""
     recent = within_days(log.filter(F.col("event_type") == "PII_ACCESS"), as_of, days)
     return recent.groupBy("user_email").agg(
-        F.count(F.lit(1)).alias("access_count"), F.approx_count_distinct("resource_fqn").alias("approx_resources"),
+        F.count(F.lit(1)).alias("access_count"), F.count_distinct("resource_fqn").alias("distinct_resources"),
         F.min("timestamp").alias("first_access"), F.max("timestamp").alias("last_access"),
     )
 
