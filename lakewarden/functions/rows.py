@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 HOT_KEY_ROWS = 1_000_000
 CHUNK_ROWS = 250_000
 
@@ -66,43 +68,53 @@ def framed(
     """Window expressions that look back at most ``preceding`` rows, safe for hot keys.
 
     ``build(window_spec)`` returns ``{name: Column}``. ``order`` must be a total order
-    within a key. Ordinary keys take one plain window. Keys above ``hot_rows`` are
-    range-partitioned by (key, order), numbered, and cut into chunks that overlap
-    by ``preceding`` rows, so every task sees at most ``chunk_rows + preceding``.
+    within a key. A count per key (partial aggregate over the key columns only) finds
+    keys above ``hot_rows``. Ordinary keys take one plain window; hot keys are
+    numbered over ranges and cut into chunks that overlap by ``preceding`` rows, so
+    every task sees at most ``chunk_rows + preceding`` of them.
     """
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).drop("_n")
-    plain_spec = Window.partitionBy(*keys).orderBy(*order)
-    usual = df.join(hot, list(keys), "left_anti").withColumns(build(plain_spec))
-    busy = numbered(df.join(hot, list(keys), "left_semi"), keys, order)
-    position = F.col("_pos")
-    chunk = F.floor(position / chunk_rows)
-    spill_over = (position % chunk_rows) >= (chunk_rows - preceding)
     if preceding >= chunk_rows:
         raise ValueError("chunk_rows must exceed the frame")
-    spread = busy.withColumn("_home", chunk).withColumn(
-        "_chunk", F.explode(F.when(spill_over, F.array(chunk, chunk + 1)).otherwise(F.array(chunk)))
-    )
-    chunk_spec = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    chunked = (
-        spread.withColumns(build(chunk_spec)).filter(F.col("_chunk") == F.col("_home")).drop("_pos", "_home", "_chunk")
+    plain = Window.partitionBy(*keys).orderBy(*order)
+    hot = cut_lineage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).drop("_n"))
+    if hot.isEmpty():
+        return df.withColumns(build(plain))
+    usual = df.join(hot, list(keys), "left_anti").withColumns(build(plain))
+    busy = numbered(df.join(hot, list(keys), "left_semi"), keys, order)
+    home = F.floor(F.col("_pos") / chunk_rows)
+    tail = F.col("_pos") % chunk_rows >= chunk_rows - preceding
+    spread = busy.withColumn("_home", home).withColumn(
+        "_chunk", F.explode(F.when(tail, F.array(home, home + 1)).otherwise(F.array(home)))
     )
+    chunk_window = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    chunked = spread.withColumns(build(chunk_window)).filter(F.col("_chunk") == F.col("_home")).drop("_pos", "_home", "_chunk")
     return usual.unionByName(chunked)
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Adds ``_pos``, the 0-based row number within the key, without one task per key.
+def _ranged(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Range-partitioned rows with their range number, written once.
+
+    The range bounds come from a sample. Reading the checkpoint, instead of planning
+    the exchange twice, guarantees that every use sees the same ranges.
+    """
+    return cut_lineage(df.repartitionByRange(*[F.col(c) for c in columns]).withColumn("_range", F.spark_partition_id()))
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str | None = None) -> DataFrame:
+    """Adds ``_pos``: rows (or ``weight``) that precede the row within its key, without one task per key.
 
-    Range partitioning splits a hot key by its order columns. Numbers inside a
-    range are local; the offset of each (key, range) is a sum over one row per
-    range, which is at most one row per shuffle partition and key.
+    Range partitioning splits a hot key by its order columns. Numbers inside a range
+    are local; the offset of a (key, range) is a running sum over one row per range,
+    so at most one row per shuffle partition and key.
     """
-    ranged = df.repartitionByRange(*[F.col(c) for c in (*keys, *order)]).withColumn("_range", F.spark_partition_id())
-    sizes = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_size"))
+    ranged = _ranged(df, [*keys, *order])
+    amount = F.col(weight) if weight else F.lit(1)
+    sizes = ranged.groupBy(*keys, "_range").agg(F.sum(amount).alias("_size"))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
-    local = Window.partitionBy(*keys, "_range").orderBy(*order)
+    local = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        ranged.withColumn("_local", F.row_number().over(local) - 1)
+        ranged.withColumn("_local", F.coalesce(F.sum(amount).over(local), F.lit(0)))
         .join(offsets, [*keys, "_range"])
         .withColumn("_pos", F.col("_before") + F.col("_local"))
         .drop("_range", "_local", "_before")
@@ -112,14 +124,18 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
 def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, alias: str) -> DataFrame:
     """Interpolated quantile per key without holding a group's values in one buffer.
 
-    Rows are numbered over ranges, so a key with a third of the rows is spread over
-    many tasks; the two order statistics around (n - 1) * q are picked by position.
+    Equal values are counted first (map-side combine), the distinct values are placed
+    over ranges by running count, and the two order statistics around (n - 1) * q are
+    picked by position.
     """
-    present = df.filter(F.col(value).isNotNull()).select(*keys, value)
-    placed = numbered(present, keys, [value])
-    sizes = present.groupBy(*keys).agg(((F.count(F.lit(1)) - 1) * F.lit(q)).alias("_at"))
-    low, high = F.floor("_at"), F.ceil("_at")
-    near = placed.join(sizes, list(keys)).filter((F.col("_pos") == low) | (F.col("_pos") == high))
-    return near.groupBy(*keys).agg(
-        (F.min(value) + (F.max(value) - F.min(value)) * (F.first("_at") - F.floor(F.first("_at")))).alias(alias)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    placed = numbered(counts, keys, [value], "_n")
+    sizes = placed.groupBy(*keys).agg(((F.sum("_n") - 1) * F.lit(q)).alias("_at"))
+    low, high, first, last = F.floor("_at"), F.ceil("_at"), F.col("_pos"), F.col("_pos") + F.col("_n") - 1
+    near = placed.join(sizes, list(keys)).select(
+        *keys, "_at",
+        F.when((first <= low) & (low <= last), F.col(value)).alias("_lo"),
+        F.when((first <= high) & (high <= last), F.col(value)).alias("_hi"),
     )
+    lo, hi, at = F.max("_lo"), F.max("_hi"), F.max("_at")
+    return near.groupBy(*keys).agg((lo + (hi - lo) * (at - F.floor(at))).alias(alias))
