@@ -31,7 +31,7 @@ def is_comparable(type_name: str) -> bool:
 def _as_text(expr, type_name: str):
     """Text of a value: plain decimals for floats, seconds for times."""
     if type_name in _REALS:
-        return F.format_string("%.6f", expr.cast("double"))
+        return F.format_string("%.6f", expr.cast("double") + F.lit(0.0))  # minus zero prints as zero
     if type_name in ("timestamp", "timestamp_ntz"):
         return F.date_format(expr, "yyyy-MM-dd HH:mm:ss")
     return expr.cast("string")

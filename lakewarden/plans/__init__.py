@@ -1 +1,6 @@
-"""plans of the governance engine."""
+"""Registered queries: every operator over the lake's tables, with its SQL beside it."""
+
+from . import flagship, governance, profiles  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -191,13 +191,16 @@ def inclusion_dependencies(tables: dict[str, DataFrame], columns: list[tuple[str
         aggs.append(F.bit_and(F.when(has, F.col("mask"))).alias(f"m{bit}"))
         aggs.append(F.count_if(has).alias(f"n{bit}"))
     summary = per_value.agg(*aggs)
-    pairs = F.array(*[
+    per_column = F.array(*[
         F.struct(
-            F.lit(columns[a][0]).alias("table_name"), F.lit(columns[a][1]).alias("column_name"),
-            F.lit(columns[b][0]).alias("referenced_table"), F.lit(columns[b][1]).alias("referenced_column"),
-            F.col(f"n{a}").cast("bigint").alias("distinct_values"),
-            (F.coalesce(F.col(f"m{a}"), F.lit(0)).bitwiseAND(F.lit(1 << b)) != 0).alias("is_contained"),
+            F.lit(bit).alias("_bit"), F.lit(table).alias("table_name"), F.lit(column).alias("column_name"),
+            F.col(f"n{bit}").cast("bigint").alias("distinct_values"), F.coalesce(F.col(f"m{bit}"), F.lit(0)).alias("_common"),
         )
-        for a in range(len(columns)) for b in range(len(columns)) if a != b
+        for bit, (table, column) in enumerate(columns)
     ])
-    return summary.select(F.inline(pairs))
+    others = F.array(*[F.struct(F.lit(bit).alias("_other"), F.lit(t).alias("referenced_table"), F.lit(c).alias("referenced_column")) for bit, (t, c) in enumerate(columns)])
+    pairs = summary.select(F.inline(per_column)).select("*", F.inline(others)).filter(F.col("_bit") != F.col("_other"))
+    return pairs.select(
+        "table_name", "column_name", "referenced_table", "referenced_column", "distinct_values",
+        (F.getbit("_common", F.col("_other")) == 1).alias("is_contained"),
+    )

@@ -49,7 +49,7 @@ class CatalogIngest:
     """foreachBatch target: upserts assets and replaces their columns, one table version per batch.
 
     Version folders carry the batch id, so a replayed batch rewrites its own version
-    from the previous one. The version is staged, then the pointer moves.
+    from the one before, also after a restart with the same root.
     """
 
     MEASURED = ("row_count", "size_bytes", "column_count", "quality_score", "sensitivity_level", "updated_at")
@@ -67,8 +67,8 @@ class CatalogIngest:
         assets = asset_rows(columns)
         newest = columns.select("asset_fqn", "event_id", "emitted_at").groupBy("asset_fqn").agg(F.max_by("event_id", F.struct("emitted_at", "event_id")).alias("event_id"))
         columns = columns.join(newest, ["asset_fqn", "event_id"], "left_semi")
-        if batch_id > 0 and self.version is not None:
-            previous = batch_id - 1 if self.version >= batch_id else self.version
+        if batch_id > 0:
+            previous = batch_id - 1
             spark = batch.sparkSession
             assets = catalog.upsert_assets(spark.read.parquet(self.path("assets", previous)), assets, "fqn", self.MEASURED)
             columns = catalog.replace_columns(spark.read.parquet(self.path("columns", previous)).select(*columns.columns), columns)

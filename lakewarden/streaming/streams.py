@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.rows import latest_per_key
 from ..session import scratch_dir
 
 # Fixed value: events taken per trigger, the bound of the in-flight queue.
@@ -69,13 +70,7 @@ def drain_to_table(stream: DataFrame, purpose: str, mode: str = "append", key: s
     table = spark.read.option("basePath", f"{root}/table").schema(stream.schema.add("batch_id", T.LongType())).parquet(f"{root}/table")
     if key is None:
         return table.drop("batch_id")
-    return table.withColumn("_latest", F.max("batch_id").over(_by(key))).filter("batch_id = _latest").drop("batch_id", "_latest")
-
-
-def _by(key: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key)
+    return latest_per_key(table, [key], ["batch_id"]).drop("batch_id")
 
 
 def windowed_counts(events: DataFrame, window: str, delay: str, keys: tuple[str, ...] = (), slide: str | None = None, time_col: str = "event_time") -> DataFrame:
