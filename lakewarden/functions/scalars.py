@@ -19,8 +19,12 @@ def literal_array(values: Iterable) -> Column:
 
 
 def pick(values: Sequence, position: Column) -> Column:
-    """values[position], position counted from 0."""
-    return F.element_at(literal_array(values), position.cast("int") + 1)
+    """values[position], position counted from 0, NULL for a NULL position.
+
+    element_at over a literal array is typed non-nullable in ANSI mode and then misreads a
+    NULL index, so the try_ form is used.
+    """
+    return F.try_element_at(literal_array(values), position.cast("int") + 1)
 
 
 def highest(columns: Sequence[Column]) -> Column:
@@ -54,7 +58,7 @@ def grade_of(score: Column | str) -> Column:
 def luhn_ok(text: Column | str) -> Column:
     """Luhn checksum over the digits of ``text``; at least 13 digits are required."""
     digits = F.regexp_replace(col_of(text), "[^0-9]", "")
-    return (F.length(digits) >= 13) & F.luhn_check(digits)
+    return (F.length(digits) >= 13) & F.call_function("luhn_check", digits)
 
 
 def mask_email(email: Column | str) -> Column:
@@ -135,17 +139,17 @@ def human_bytes(size: Column | str) -> Column:
     units = ("B", "KB", "MB", "GB", "TB")
     expr = None
     for power, unit in enumerate(units):
-        text = F.concat(F.format_string("%.1f", size / float(1024**power)), F.lit(f" {unit}"))
+        text = F.concat(F.format_string("%.1f", F.bround(size / float(1024**power), 1)), F.lit(f" {unit}"))
         test = size < float(1024 ** (power + 1))
         expr = F.when(test, text) if expr is None else expr.when(test, text)
-    return expr.otherwise(F.concat(F.format_string("%.1f", size / float(1024**5)), F.lit(" PB")))
+    return expr.otherwise(F.concat(F.format_string("%.1f", F.bround(size / float(1024**5), 1)), F.lit(" PB")))
 
 
 def human_rows(rows: Column | str) -> Column:
     rows = col_of(rows)
     return (
-        F.when(rows >= 1_000_000, F.concat(F.format_string("%.2f", rows / 1_000_000.0), F.lit("M")))
-        .when(rows >= 1_000, F.concat(F.format_string("%.1f", rows / 1_000.0), F.lit("K")))
+        F.when(rows >= 1_000_000, F.concat(F.format_string("%.2f", F.bround(rows / 1_000_000.0, 2)), F.lit("M")))
+        .when(rows >= 1_000, F.concat(F.format_string("%.1f", F.bround(rows / 1_000.0, 1)), F.lit("K")))
         .otherwise(rows.cast("string"))
     )
 

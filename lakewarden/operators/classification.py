@@ -29,6 +29,10 @@ def _any_sample(samples: Column, test) -> Column:
     return F.exists(samples, lambda v: (v != "") & test(v))
 
 
+def _matches(pattern: str):
+    return lambda v: v.rlike(pattern)
+
+
 def classify(
     df: DataFrame,
     name_col: str = "column_name",
@@ -48,8 +52,7 @@ def classify(
     for rule in rules:
         hit = name.rlike(rule.name_re)
         if rule.value_re:
-            pattern = rule.value_re
-            hit = hit & (empty | _any_sample(samples, lambda v, p=pattern: v.rlike(p)))
+            hit = hit & (empty | _any_sample(samples, _matches(rule.value_re)))
         if rule.category == "CREDIT_CARD":
             hit = hit & (empty | _any_sample(samples, luhn_ok))
         hits.append(hit)
@@ -79,7 +82,7 @@ def classify_sim(df: DataFrame, name_col: str = "column_name", samples_col: str
     hits = []
     for rule in rules:
         name_hit = name.rlike(f"(?i){rule.name_re}")
-        value_hit = F.exists(samples, lambda v, p=f"(?i){rule.value_re}": v.rlike(p))
+        value_hit = F.exists(samples, _matches(f"(?i){rule.value_re}"))
         hits.append(name_hit & (empty | value_hit))
     with_rule = df.withColumn("_rule", _best_rule(rules, hits))
     found = F.col("_rule").isNotNull()

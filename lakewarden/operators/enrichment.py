@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.rows import split_parts, top_k
-from ..functions.scalars import asset_fqn, asset_id, col_of, readable
+from ..functions.scalars import asset_fqn, asset_id, col_of, pick, readable
 
 # Longest name assumed when a character position is packed into one number.
 _NAME_SPAN = 4096
@@ -22,7 +22,7 @@ def _winner(scores: dict[str, Column]) -> Column:
         F.when(score > 0, score.cast("int") * size + (size - 1 - i)) for i, score in enumerate(scores.values())
     ]
     best = F.lit(size - 1) - F.pmod(F.greatest(*packed), F.lit(size))
-    return F.element_at(F.array(*[F.lit(n) for n in scores]), best.cast("int") + 1)
+    return pick(tuple(scores), best)
 
 
 def infer_domains(columns: DataFrame, keys: Sequence[str], table_col: str, name_col: str, ordinal_col: str, patterns: dict = vocab.DOMAIN_PATTERNS) -> DataFrame:

@@ -364,9 +364,9 @@ def f7(spark, root):
 
 
 @query("f9_readable_sizes", d.with_ctes("""
-    SELECT fqn, CASE WHEN size_bytes < 1024 THEN format('{:.1f} B', size_bytes::DOUBLE) WHEN size_bytes < 1048576 THEN format('{:.1f} KB', size_bytes / 1024.0::DOUBLE)
-        WHEN size_bytes < 1073741824 THEN format('{:.1f} MB', size_bytes / 1048576.0::DOUBLE) ELSE format('{:.1f} GB', size_bytes / 1073741824.0::DOUBLE) END AS size,
-        CASE WHEN row_count >= 1000000 THEN format('{:.2f}M', row_count / 1000000.0::DOUBLE) WHEN row_count >= 1000 THEN format('{:.1f}K', row_count / 1000.0::DOUBLE) ELSE CAST(row_count AS VARCHAR) END AS rows FROM cat_assets""", "cat_assets"))
+    SELECT fqn, CASE WHEN size_bytes < 1024 THEN format('{:.1f} B', round_even(size_bytes::DOUBLE, 1)) WHEN size_bytes < 1048576 THEN format('{:.1f} KB', round_even(size_bytes / 1024.0::DOUBLE, 1))
+        WHEN size_bytes < 1073741824 THEN format('{:.1f} MB', round_even(size_bytes / 1048576.0::DOUBLE, 1)) ELSE format('{:.1f} GB', round_even(size_bytes / 1073741824.0::DOUBLE, 1)) END AS size,
+        CASE WHEN row_count >= 1000000 THEN format('{:.2f}M', round_even(row_count / 1000000.0::DOUBLE, 2)) WHEN row_count >= 1000 THEN format('{:.1f}K', round_even(row_count / 1000.0::DOUBLE, 1)) ELSE CAST(row_count AS VARCHAR) END AS rows FROM cat_assets""", "cat_assets"))
 def f9(spark, root):
     return d.assets(spark, root).select("fqn", S.human_bytes("size_bytes").alias("size"), S.human_rows("row_count").alias("rows"))
 
