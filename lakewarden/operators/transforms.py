@@ -112,7 +112,7 @@ def risk_dashboard(orders: DataFrame, customer: DataFrame, today: str) -> DataFr
         F.count_if((F.col("risk_tier") == "HIGH") & (F.col("o_orderdate") >= day) & (F.col("o_orderdate") < day + F.expr("INTERVAL 1 DAY"))).alias("high_risk_today"),
     )
     p99 = exact_quantile(scored, ["c_mktsegment"], "fraud_score", 0.99, "p99")
-    return counts.join(p99, "c_mktsegment").select(F.col("c_mktsegment").alias("segment"), "high_risk_count", "high_risk_today", F.round("p99", 6).alias("p99_score"))
+    return counts.join(p99, "c_mktsegment").select(F.col("c_mktsegment").alias("segment"), "high_risk_count", "high_risk_today", F.round("p99", 9).alias("p99_score"))
 
 
 def executive_summary(orders: DataFrame, as_of: str) -> DataFrame:

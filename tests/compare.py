@@ -73,7 +73,7 @@ def main():
 
     root = f"/root/testdata/sf{sys.argv[1]}"
     wanted = sys.argv[2:]
-    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "16g"})
+    spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "16g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(root)
     sqls, bad = entry.oracle_sql(), 0
