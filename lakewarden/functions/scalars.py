@@ -32,6 +32,22 @@ def highest(columns: Sequence[Column]) -> Column:
     return columns[0] if len(columns) == 1 else F.greatest(*columns)
 
 
+def nearest(value: Column | str, digits: int) -> Column:
+    """Decimal of ``digits`` places nearest to the stored binary number, ties to even.
+
+    Spark's round works on the printed decimal: 0.41395 is stored slightly below the tie
+    and still goes up. Scores follow the stored number. The value is split into a float and
+    a remainder, so that the distance to the tie is computed without rounding error; good
+    for magnitudes up to about 10^4.
+    """
+    x, scale = col_of(value), float(10**digits)
+    head = x.cast("float").cast("double")
+    whole = F.floor(x * scale).cast("double")
+    past_tie = (head * scale - whole - 0.5) + (x - head) * scale
+    step = F.when(past_tie > 0, 1.0).when(past_tie < 0, 0.0).otherwise(F.pmod(whole, F.lit(2.0)))
+    return (whole + step) / scale
+
+
 # ---- ordered scales -------------------------------------------------------
 def sensitivity_rank(level: Column | str) -> Column:
     return F.array_position(literal_array(vocab.SENSITIVITY), col_of(level)).cast("int") - 1

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.rows import top_k
-from ..functions.scalars import name_tokens, sim_tokens
+from ..functions.scalars import name_tokens, nearest, sim_tokens
 
 
 def glossary(spark: SparkSession, terms: Sequence[vocab.Term] = vocab.SEED_TERMS) -> DataFrame:
@@ -74,7 +74,7 @@ def suggest_for_names(names: DataFrame, terms: DataFrame, name_col: str = "colum
     )
     ranked = top_k(scored.filter(F.col("score") > floor), keys, [F.col("score").desc(), F.col("ordinal")], k)
     return ranked.join(terms.select("ordinal", F.col("name").alias("term")), "ordinal").select(
-        *keys, "rank", "term", F.round("score", 3).alias("confidence")
+        *keys, "rank", "term", nearest("score", 3).alias("confidence")
     )
 
 
@@ -118,7 +118,7 @@ def suggest_sim(columns: DataFrame, terms: DataFrame, name_col: str = "column_na
     )
     both = fuzzy.join(spelled, [name_col, "ordinal", "name"], "full_outer").select(
         name_col, "ordinal", F.col("name").alias("term"),
-        F.when(F.col("_kind") == 0, 1.0).when(F.col("_kind") == 1, 0.99).otherwise(F.round("_s", 4)).alias("score"),
+        F.when(F.col("_kind") == 0, 1.0).when(F.col("_kind") == 1, 0.99).otherwise(nearest("_s", 4)).alias("score"),
         F.when(F.col("_kind") == 0, "exact").when(F.col("_kind") == 1, "synonym").otherwise("fuzzy").alias("match_type"),
     )
     return top_k(both, [name_col], [F.col("score").desc(), F.col("ordinal")], k).drop("ordinal")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions.scalars import grade_of
+from ..functions.scalars import grade_of, nearest
 
 _W = vocab.QUALITY_WEIGHTS
 GRADE_NAMES = tuple(g for g, _ in vocab.GRADES)
@@ -62,8 +62,8 @@ def score_columns(df: DataFrame, profile: str = "service", rows: str = "row_coun
     overall = weighted(*parts)
     names = ("completeness", "uniqueness", "validity", "consistency")
     return df.withColumns({
-        **{name: F.round(part, 4) for name, part in zip(names, parts)},
-        "overall": F.round(overall, 4),
+        **{name: nearest(part, 4) for name, part in zip(names, parts)},
+        "overall": nearest(overall, 4),
         "grade": grade_of(overall),
     })
 
@@ -77,13 +77,13 @@ def score_tables(columns: DataFrame, keys: list[str], profile: str = "service")
     """Table score from scored columns: mean parts re-weighted (service) or mean of overalls (sim)."""
     if profile == "sim":
         out = columns.groupBy(*keys).agg(F.count(F.lit(1)).alias("column_count"), _mean4("overall").alias("_o"))
-        return out.select(*keys, "column_count", F.round("_o", 4).alias("overall"), grade_of("_o").alias("grade"))
+        return out.select(*keys, "column_count", nearest("_o", 4).alias("overall"), grade_of("_o").alias("grade"))
     names = ("completeness", "uniqueness", "validity", "consistency")
     means = columns.groupBy(*keys).agg(F.count(F.lit(1)).alias("column_count"), *[_mean4(n).alias(f"_{n}") for n in names])
     overall = weighted(*[F.col(f"_{n}") for n in names])
     return means.select(
-        *keys, "column_count", *[F.round(f"_{n}", 4).alias(n) for n in names],
-        F.round(overall, 4).alias("overall"), grade_of(overall).alias("grade"),
+        *keys, "column_count", *[nearest(f"_{n}", 4).alias(n) for n in names],
+        nearest(overall, 4).alias("overall"), grade_of(overall).alias("grade"),
     )
 
 

@@ -207,8 +207,6 @@ def rules_sql(rules) -> str:
     return "VALUES " + ", ".join(f"({i}, {q(r.name_re)}, {q(r.value_re)}, {q(r.category)}, {q(r.level)}, {vocab.SENSITIVITY.index(r.level)})" for i, r in enumerate(rules))
 
 
-_ROUND4 = "round({}, 4)"
-
 # name -> (names it needs, text)
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "cat_assets": ((), f"""
@@ -264,8 +262,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - null_count / greatest(row_count, 1))) AS c_,
                least(1.0::DOUBLE, distinct_count / greatest(row_count - null_count, 1)) AS u_ FROM cat_columns"""),
     "scored": (("parts",), f"""
-        SELECT *, round(c_, 4) AS completeness, round(u_, 4) AS uniqueness, 1.0::DOUBLE AS validity, 1.0::DOUBLE AS consistency,
-               round(o_, 4) AS overall, {grade_sql("o_")} AS grade
+        SELECT *, nearest(c_, 4) AS completeness, nearest(u_, 4) AS uniqueness, 1.0::DOUBLE AS validity, 1.0::DOUBLE AS consistency,
+               nearest(o_, 4) AS overall, {grade_sql("o_")} AS grade
         FROM (SELECT *, c_ * 0.35::DOUBLE + u_ * 0.25::DOUBLE + 0.25::DOUBLE + 0.15::DOUBLE AS o_ FROM parts)"""),
     "cat_audit": ((), f"""
         SELECT 'a-' || event_id AS audit_id, ts AS "timestamp", {sql_case("event_type", EVENT_TYPES)} AS event_type, 'u' || user_id AS user_id,

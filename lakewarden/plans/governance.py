@@ -212,21 +212,21 @@ def e3(spark, root):
     return per_token.join(bags, "token").groupBy("term").agg(F.sum("n").alias("token_hits"))
 
 
-@query("e4_term_scores", d.with_ctes(_suggest_sql("cat_columns", "column_name, table_name", f"list_distinct(list_concat({_tok('column_name')}, {_tok('table_name')}))") + " SELECT column_name, table_name, term, round(score, 3) AS confidence, rank FROM ranked WHERE rank <= 5", "cat_columns"))
+@query("e4_term_scores", d.with_ctes(_suggest_sql("cat_columns", "column_name, table_name", f"list_distinct(list_concat({_tok('column_name')}, {_tok('table_name')}))") + " SELECT column_name, table_name, term, nearest(score, 3) AS confidence, rank FROM ranked WHERE rank <= 5", "cat_columns"))
 def e4(spark, root):
     """Suggestions from column and table name together."""
     c = d.columns(spark, root)
     return glossary.suggest_for_names(c, glossary.glossary(spark), table_col="table_name").withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query("e5_exact_name_boosts", _suggest_sql("(SELECT DISTINCT name AS column_name FROM (SELECT ['Revenue', 'client', 'SKU', 'Top Line', 'order id', 'tax'][p_size % 6 + 1] AS name FROM part UNION ALL SELECT p_name FROM part))", "column_name", _tok("column_name")) + " SELECT column_name, term, round(score, 3) AS confidence, rank FROM ranked WHERE rank <= 5")
+@query("e5_exact_name_boosts", _suggest_sql("(SELECT DISTINCT name AS column_name FROM (SELECT ['Revenue', 'client', 'SKU', 'Top Line', 'order id', 'tax'][p_size % 6 + 1] AS name FROM part UNION ALL SELECT p_name FROM part))", "column_name", _tok("column_name")) + " SELECT column_name, term, nearest(score, 3) AS confidence, rank FROM ranked WHERE rank <= 5")
 def e5(spark, root):
     p = d.table(spark, root, "part")
     names = p.select(d.pick(("Revenue", "client", "SKU", "Top Line", "order id", "tax"), F.col("p_size") % 6).alias("column_name")).unionByName(p.select(F.col("p_name").alias("column_name")))
     return glossary.suggest_for_names(names, glossary.glossary(spark)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query("e6_suggested_terms", d.with_ctes(_suggest_sql("cat_columns", "column_name", _tok("column_name")) + " SELECT c.asset_key, c.ordinal, term, round(score, 3) AS confidence, rank FROM ranked r JOIN cat_columns c ON c.column_name = r.column_name WHERE rank <= 5", "cat_columns"))
+@query("e6_suggested_terms", d.with_ctes(_suggest_sql("cat_columns", "column_name", _tok("column_name")) + " SELECT c.asset_key, c.ordinal, term, nearest(score, 3) AS confidence, rank FROM ranked r JOIN cat_columns c ON c.column_name = r.column_name WHERE rank <= 5", "cat_columns"))
 def e6(spark, root):
     c = d.columns(spark, root).select(*_ID, "column_name")
     return glossary.suggest_terms(c, glossary.glossary(spark)).select(*_ID, "term", "confidence", F.col("rank").cast("bigint").alias("rank"))
@@ -237,7 +237,7 @@ _SIM_SUGGEST = f"""WITH st AS (SELECT * FROM ({_SIM_TERMS_SQL}) AS t(ord, name,
     labels AS (SELECT ord, name, i, labels[i] AS label, {_sim_tok("labels[i]")} AS lt FROM st, unnest(range(1, len(labels) + 1)) AS u(i)),
     fuzzy AS (SELECT column_name, ord, name, arg_min(s, i) AS s FROM (SELECT column_name, ord, name, i, CASE WHEN len(list_concat(tk, lt)) = 0 THEN 0 ELSE len(list_intersect(tk, lt)) / len(list_distinct(list_concat(tk, lt))) END AS s FROM toks CROSS JOIN labels) WHERE s >= 0.2 GROUP BY 1, 2, 3),
     kinds_ AS (SELECT column_name, ord, name, CASE WHEN lower(column_name) = replace(lower(name), ' ', '_') THEN 'exact' WHEN len([l for l in labels[2:] if lower(l) = lower(column_name)]) > 0 THEN 'synonym' END AS kind FROM names CROSS JOIN st),
-    all_ AS (SELECT k.column_name, k.ord, k.name AS term, CASE kind WHEN 'exact' THEN 1.0::DOUBLE WHEN 'synonym' THEN 0.99::DOUBLE ELSE round(f.s, 4) END AS score, coalesce(kind, 'fuzzy') AS match_type
+    all_ AS (SELECT k.column_name, k.ord, k.name AS term, CASE kind WHEN 'exact' THEN 1.0::DOUBLE WHEN 'synonym' THEN 0.99::DOUBLE ELSE nearest(f.s, 4) END AS score, coalesce(kind, 'fuzzy') AS match_type
         FROM kinds_ k LEFT JOIN fuzzy f ON f.column_name = k.column_name AND f.ord = k.ord WHERE kind IS NOT NULL OR f.s IS NOT NULL),
     sim_ranked AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY score DESC, ord) AS rank FROM all_)"""
 

@@ -341,7 +341,7 @@ def c1(spark, root):
     return quality.score_columns(d.columns(spark, root)).select("asset_key", "ordinal", "completeness")
 
 
-@query("c2_uniqueness", d.with_ctes(f"SELECT {_KEYS}, uniqueness, round(least(distinct_count / greatest(row_count, 1), 1.0::DOUBLE), 4) AS sim_uniqueness FROM scored", "scored"))
+@query("c2_uniqueness", d.with_ctes(f"SELECT {_KEYS}, uniqueness, nearest(least(distinct_count / greatest(row_count, 1), 1.0::DOUBLE), 4) AS sim_uniqueness FROM scored", "scored"))
 def c2(spark, root):
     c = quality.score_columns(d.columns(spark, root)).withColumnRenamed("uniqueness", "u")
     return quality.score_columns(c, "sim").select("asset_key", "ordinal", F.col("u").alias("uniqueness"), F.col("uniqueness").alias("sim_uniqueness"))
@@ -379,7 +379,7 @@ def c5(spark, root):
     return quality.score_columns(d.columns(spark, root)).select("asset_key", "ordinal", "overall")
 
 
-@query("c5_overall_score_sim", d.with_ctes(f"WITH {_SIM_PARTS} SELECT {_KEYS}, round(o_, 4) AS overall, {d.grade_sql('o_')} AS grade FROM sim_scored", "cat_columns"))
+@query("c5_overall_score_sim", d.with_ctes(f"WITH {_SIM_PARTS} SELECT {_KEYS}, nearest(o_, 4) AS overall, {d.grade_sql('o_')} AS grade FROM sim_scored", "cat_columns"))
 def c5_sim(spark, root):
     return quality.score_columns(d.columns(spark, root), "sim").select("asset_key", "ordinal", "overall", "grade")
 
@@ -396,13 +396,13 @@ def _avg4(x: str) -> str:
 @query("c7_table_scores", d.with_ctes(f"""
     , m AS (SELECT asset_fqn, count(*) AS column_count, {_avg4("completeness")} AS c, {_avg4("uniqueness")} AS u, {_avg4("validity")} AS v, {_avg4("consistency")} AS k FROM scored GROUP BY 1),
     o AS (SELECT *, c * 0.35::DOUBLE + u * 0.25::DOUBLE + v * 0.25::DOUBLE + k * 0.15::DOUBLE AS s FROM m)
-    SELECT asset_fqn, column_count, round(c, 4) AS completeness, round(u, 4) AS uniqueness, round(v, 4) AS validity, round(k, 4) AS consistency, round(s, 4) AS overall, {d.grade_sql("s")} AS grade FROM o""".replace("\n    , m AS", "WITH m AS", 1), "scored"))
+    SELECT asset_fqn, column_count, nearest(c, 4) AS completeness, nearest(u, 4) AS uniqueness, nearest(v, 4) AS validity, nearest(k, 4) AS consistency, nearest(s, 4) AS overall, {d.grade_sql("s")} AS grade FROM o""".replace("\n    , m AS", "WITH m AS", 1), "scored"))
 def c7(spark, root):
     return quality.score_tables(quality.score_columns(d.columns(spark, root)), ["asset_fqn"])
 
 
-@query("c8_table_scores_sim", d.with_ctes(f"""WITH {_SIM_PARTS}, m AS (SELECT asset_fqn, count(*) AS column_count, {_avg4("round(o_, 4)")} AS s FROM sim_scored GROUP BY 1)
-    SELECT asset_fqn, column_count, round(s, 4) AS overall, {d.grade_sql("s")} AS grade FROM m""", "cat_columns"))
+@query("c8_table_scores_sim", d.with_ctes(f"""WITH {_SIM_PARTS}, m AS (SELECT asset_fqn, count(*) AS column_count, {_avg4("nearest(o_, 4)")} AS s FROM sim_scored GROUP BY 1)
+    SELECT asset_fqn, column_count, nearest(s, 4) AS overall, {d.grade_sql("s")} AS grade FROM m""", "cat_columns"))
 def c8(spark, root):
     return quality.score_tables(quality.score_columns(d.columns(spark, root), "sim"), ["asset_fqn"], "sim")
 

@@ -74,7 +74,7 @@ def k1(spark, root):
         F.count(F.lit(1)).alias("columns"), F.count_if(F.col("classification") == "PII").alias("pii"), F.sum(F.col("overall").cast("decimal(28,4)")).cast("double").alias("score_sum"))
 
 
-@query("k2_catalog_ingest", d.with_ctes("""SELECT c.asset_fqn AS fqn, any_value(c.row_count) AS row_count, count(*) AS column_count, round(CAST(sum(CAST(c.overall AS DECIMAL(28, 4))) AS DOUBLE) / count(*), 4) AS quality_score,
+@query("k2_catalog_ingest", d.with_ctes("""SELECT c.asset_fqn AS fqn, any_value(c.row_count) AS row_count, count(*) AS column_count, nearest(CAST(sum(CAST(c.overall AS DECIMAL(28, 4))) AS DOUBLE) / count(*), 4) AS quality_score,
     ['PUBLIC', 'INTERNAL', 'CONFIDENTIAL', 'RESTRICTED'][max(CASE k.classification WHEN 'PII' THEN 3 WHEN 'SENSITIVE' THEN 2 ELSE 0 END) + 1] AS sensitivity_level
     FROM scored c JOIN kind_class k ON k.column_name = c.column_name AND k.sample_values = c.sample_values GROUP BY 1""", "scored", "kind_class"))
 def k2(spark, root):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import asset_fqn, asset_id
+from ..functions.scalars import asset_fqn, asset_id, nearest
 from ..operators import catalog
 from ..operators.classification import classify
 from ..operators.enrichment import column_description
@@ -39,7 +39,7 @@ def asset_rows(columns: DataFrame) -> DataFrame:
     rank = F.when(F.col("classification") == "PII", 3).when(F.col("classification") == "SENSITIVE", 2).otherwise(0)
     return current.groupBy("asset_fqn", "source_type", "schema_name", "table_name").agg(
         F.max("row_count").alias("row_count"), F.max("size_bytes").alias("size_bytes"), F.count(F.lit(1)).alias("column_count"),
-        F.round(F.sum(F.col("overall").cast("decimal(28,4)")).cast("double") / F.count(F.lit(1)), 4).alias("quality_score"),
+        nearest(F.sum(F.col("overall").cast("decimal(28,4)")).cast("double") / F.count(F.lit(1)), 4).alias("quality_score"),
         F.element_at(F.array(*[F.lit(x) for x in ("PUBLIC", "INTERNAL", "CONFIDENTIAL", "RESTRICTED")]), F.max(rank) + 1).alias("sensitivity_level"),
         F.max("emitted_at").alias("updated_at"),
     ).withColumn("asset_id", asset_id("asset_fqn")).withColumnRenamed("asset_fqn", "fqn")
