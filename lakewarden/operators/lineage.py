@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,12 +69,13 @@ def reach(edges: DataFrame, start: DataFrame, depth: int | None = None, directio
     Semi-naive: each round joins only the newest nodes with the edges, drops what is
     known, and stops on an empty round. Start nodes appear only if a cycle leads back
     to them. Frontiers are checkpointed reliably, so the plan stays one round deep and
-    a lost executor costs a re-read, not a re-computation. Only per-round counts reach
-    the driver. A hub's edges meet a frontier row once; its targets are
-    deduplicated map-side before the shuffle.
+    a lost executor costs a re-read, not a re-computation; the two edge columns are
+    cached for the loop, spread as they come rather than by key, so a hub fills no single
+    block. A hub's edges meet a frontier row once and its targets are deduplicated
+    map-side before the shuffle. The driver only learns whether a round was empty.
     """
     a, b = ("source_fqn", "target_fqn") if direction == "downstream" else ("target_fqn", "source_fqn")
-    hops = edges.select(F.col(a).alias("fqn"), F.col(b).alias("_next"))
+    hops = edges.select(F.col(a).alias("fqn"), F.col(b).alias("_next")).persist(StorageLevel.MEMORY_AND_DISK)
     frontier = start.select("fqn").distinct()
     found: DataFrame | None = None
     hop = 0
@@ -89,6 +91,7 @@ def reach(edges: DataFrame, start: DataFrame, depth: int | None = None, directio
         if hop % 16 == 0:  # long chains: fold the rounds so far into one table
             found = cut_lineage(found)
         frontier = fresh.select("fqn")
+    hops.unpersist()
     return found if found is not None else start.select("fqn").limit(0).withColumn("hop", F.lit(0))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from .. import vocab
 from ..functions.rows import top_k
 from ..sources.discovery import profiled_fields
+from ..sources.readers import spread
 
 # Values longer than this travel through the shuffle as their SHA-256 digest.
 INLINE_LENGTH = 64
@@ -183,7 +184,7 @@ def profile_table(df: DataFrame, table: str, mode: str = "exact") -> DataFrame:
     if mode == "approx":
         return basic_stats(df, table, approx_distinct=True)
     stats = basic_stats(df, table)
-    distinct = distinct_counts(value_counts(df, table)).drop("table_name")
+    distinct = distinct_counts(value_counts(spread(df), table)).drop("table_name")
     return stats.join(distinct, "column_name", "left").fillna(0, ["distinct_count"]).select(*stats.columns, "distinct_count")
 
 

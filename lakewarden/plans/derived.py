@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions.scalars import asset_fqn, asset_id, grade_of, pick
 from ..session import use_utc
-from ..sources.readers import lake_table
+from ..sources.readers import lake_table, spread
 from .sample_columns import COLUMNS
 
 # Fixed values of the derivation.
@@ -70,7 +70,7 @@ def sample_columns(spark: SparkSession) -> DataFrame:
 
 def columns(spark: SparkSession, root: str) -> DataFrame:
     """One column row per line item: name, type and samples by position, counts from its measures."""
-    li = table(spark, root, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_tax", "l_quantity")
+    li = spread(table(spark, root, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_tax", "l_quantity"))
     line = F.col("l_linenumber")
     picked = li.withColumn("idx", (F.col("l_orderkey") * 7 + line) % len(COLUMNS))
     # 68 rows of fixed size

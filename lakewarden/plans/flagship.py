@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import classification, enrichment, profiling, quality
-from ..session import use_utc
+from ..session import cut_lineage, use_utc
 from ..sources.readers import lake
 
 FLAGSHIP_TABLES = ("customer", "orders", "lineitem", "part")
@@ -15,6 +15,7 @@ FLAGSHIP_TABLES = ("customer", "orders", "lineitem", "part")
 def lake_report(spark: SparkSession, root: str, tables=FLAGSHIP_TABLES, mode: str = "exact") -> DataFrame:
     """One row per column: statistics, scores, class, and the domain and level of its table."""
     profile, _ = profiling.hydrate(lake(use_utc(spark), root, tables), mode)
+    profile = cut_lineage(profile)  # one row per column, written once and read three times below
     scored = classification.classify(quality.score_columns(profile.withColumn("sample_values", F.array().cast("array<string>"))))
     domains = enrichment.infer_domains(scored, ["table_name"], "table_name", "column_name", "ordinal")
     levels = classification.table_sensitivity(scored, ["table_name"], "service").withColumnRenamed("sensitivity_level", "table_level")

@@ -63,7 +63,7 @@ class CatalogIngest:
         return f"{self.root}/{table}/v={version}"
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        columns = enrich_columns(batch)
+        enriched = columns = enrich_columns(batch).persist()
         assets = asset_rows(columns)
         newest = columns.select("asset_fqn", "event_id", "emitted_at").groupBy("asset_fqn").agg(F.max_by("event_id", F.struct("emitted_at", "event_id")).alias("event_id"))
         columns = columns.join(newest, ["asset_fqn", "event_id"], "left_semi")
@@ -74,6 +74,7 @@ class CatalogIngest:
             columns = catalog.replace_columns(spark.read.parquet(self.path("columns", previous)).select(*columns.columns), columns)
         assets.write.mode("overwrite").parquet(self.path("assets", batch_id))
         columns.write.mode("overwrite").parquet(self.path("columns", batch_id))
+        enriched.unpersist()
         self.version = batch_id
 
     def run(self, events: DataFrame) -> CatalogIngest:
