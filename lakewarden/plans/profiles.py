@@ -64,6 +64,11 @@ def _stats(spark, root, tables=LAKE_TABLES) -> DataFrame:
     return reduce(DataFrame.unionByName, [profiling.basic_stats(df, name) for name, df in lake(use_utc(spark), root, tables).items()])
 
 
+def _settled(mean: str):
+    """Mean to six decimals after a nudge of 1e-12, so an exact tie does not hang on the order of summation."""
+    return F.round(F.col(mean) * F.lit(1 + 1e-12), 6)
+
+
 # ---- A: sources, discovery, sinks ------------------------------------------
 @query("a4_allow_lists", d.with_ctes("SELECT fqn, schema_name, table_name FROM cat_assets WHERE schema_name IN ('ECONOMY', 'PROMO') AND contains(table_name, 'customer')", "cat_assets"))
 def a4(spark, root):
@@ -233,9 +238,9 @@ def b4(spark, root):
     return _stats(spark, root).filter(F.col("min_value").isNotNull()).select("table_name", "column_name", "min_value", "max_value")
 
 
-@query("b5_averages", _each(lambda t, c, k: f'SELECT \'{t}\' AS table_name, \'{c}\' AS column_name, round(CAST(sum(CAST("{c}" AS DECIMAL(38, 4))) AS DOUBLE) / count("{c}"), 6) AS avg_value FROM {t}', kinds="nr"))
+@query("b5_averages", _each(lambda t, c, k: f'SELECT \'{t}\' AS table_name, \'{c}\' AS column_name, round(avg("{c}") * (1 + 1e-12::DOUBLE), 6) AS avg_value FROM {t}', kinds="nr"))
 def b5(spark, root):
-    return _stats(spark, root).filter(F.col("avg_value").isNotNull()).select("table_name", "column_name", F.round("avg_value", 6).alias("avg_value"))
+    return _stats(spark, root).filter(F.col("avg_value").isNotNull()).select("table_name", "column_name", _settled("avg_value").alias("avg_value"))
 
 
 _TOP_TABLES = tuple(t for t in LAKE_TABLES)
@@ -305,14 +310,14 @@ def b9(spark, root):
 _HYDRATE_SQL = _each(lambda t, c, k: f"""
     SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS row_count, count(*) - count("{c}") AS null_count, count(DISTINCT "{c}") AS distinct_count,
            {_text(k, f'min("{c}")') if k in "nrt" else "NULL"} AS min_value, {_text(k, f'max("{c}")') if k in "nrt" else "NULL"} AS max_value,
-           {f'round(CAST(sum(CAST("{c}" AS DECIMAL(38, 4))) AS DOUBLE) / count("{c}"), 6)' if k in "nr" else "NULL"} AS avg_value FROM {t}""")
+           {f'round(avg("{c}") * (1 + 1e-12::DOUBLE), 6)' if k in "nr" else "NULL"} AS avg_value FROM {t}""")
 
 
 @query("b10_full_profile", _HYDRATE_SQL)
 def b10(spark, root):
     """Every column of every table. Tables that cannot be analysed are skipped and reported by `hydrate`."""
     profile, _errors = profiling.hydrate(lake(use_utc(spark), root))
-    return profile.select("table_name", "column_name", "row_count", "null_count", "distinct_count", "min_value", "max_value", F.round("avg_value", 6).alias("avg_value"))
+    return profile.select("table_name", "column_name", "row_count", "null_count", "distinct_count", "min_value", "max_value", _settled("avg_value").alias("avg_value"))
 
 
 @query("b11_run_summary", f"""SELECT CAST(1 AS BIGINT) AS schemas_discovered, count(DISTINCT table_name) AS tables_discovered, count(*) AS columns_discovered,
