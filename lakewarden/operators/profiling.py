@@ -71,11 +71,10 @@ def basic_stats(df: DataFrame, table: str, approx_distinct: bool = False, rsd: f
     return one.selectExpr(f"{_text(table)} AS table_name", "_rows AS row_count", f"inline(array({', '.join(entries)}))")
 
 
-def value_counts(df: DataFrame, table: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """(table_name, column_name, value_key, n): how often each non-null value occurs, all columns in one shuffle.
+def long_values(df: DataFrame, table: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """(table_name, column_name, value_key) of every non-null value: a narrow unpivot.
 
-    Unpivot + group instead of many countDistinct: the map-side combine absorbs values
-    that repeat a lot. Long strings are keyed by digest, so texts do not cross the network.
+    Strings above INLINE_LENGTH are keyed by digest, so texts do not cross the network.
     """
     fields = [f for f in profiled_fields(df) if columns is None or f[0] in columns]
     keys = []
@@ -83,8 +82,21 @@ def value_counts(df: DataFrame, table: str, columns: Sequence[str] | None = None
         text = f"CAST({path} AS STRING)"
         keys.append(f"CASE WHEN length({text}) <= {INLINE_LENGTH} THEN {text} ELSE concat('sha256:', sha2({text}, 256)) END AS c{i}" if type_name == "string" else f"{text} AS c{i}")
     pairs = ", ".join(f"{_text(name)}, c{i}" for i, (name, _, _) in enumerate(fields))
-    long = df.selectExpr(*keys).selectExpr(f"stack({len(fields)}, {pairs}) AS (column_name, value_key)").filter("value_key IS NOT NULL")
-    return long.groupBy("column_name", "value_key").agg(F.count(F.lit(1)).alias("n")).select(F.lit(table).alias("table_name"), "column_name", "value_key", "n")
+    long = df.selectExpr(*keys).selectExpr(f"stack({len(fields)}, {pairs}) AS (column_name, value_key)")
+    return long.filter("value_key IS NOT NULL").selectExpr(f"{_text(table)} AS table_name", "column_name", "value_key")
+
+
+def count_values(long: DataFrame) -> DataFrame:
+    """How often each value occurs, for any number of tables and columns in ONE shuffle.
+
+    Unpivot + group instead of many countDistinct: the map-side combine absorbs values
+    that repeat a lot, and the group key spreads a table with a third of all values.
+    """
+    return long.groupBy("table_name", "column_name", "value_key").agg(F.count(F.lit(1)).alias("n"))
+
+
+def value_counts(df: DataFrame, table: str, columns: Sequence[str] | None = None) -> DataFrame:
+    return count_values(long_values(df, table, columns))
 
 
 def distinct_counts(counts: DataFrame) -> DataFrame:
@@ -108,9 +120,9 @@ def with_full_text(ranked: DataFrame, df: DataFrame) -> DataFrame:
     if not strings:
         return ranked.withColumn("value", F.col("value_key"))
     wanted = ranked.filter(F.col("value_key").startswith("sha256:")).select("column_name", "value_key")
-    entries = [F.struct(F.lit(name).alias("column_name"), F.col(path).alias("text")) for name, path in strings]
+    pairs = ", ".join(f"{_text(name)}, {path}" for name, path in strings)
     texts = (
-        df.select(F.inline(F.array(*entries)))
+        df.selectExpr(f"stack({len(strings)}, {pairs}) AS (column_name, text)")
         .filter(F.length("text") > INLINE_LENGTH)
         .withColumn("value_key", F.concat(F.lit("sha256:"), F.sha2("text", 256)))
         # at most k rows per column survive into `wanted`, so the hash side is tiny and of fixed size
@@ -183,21 +195,30 @@ def profile_table(df: DataFrame, table: str, mode: str = "exact") -> DataFrame:
 def hydrate(tables: dict[str, DataFrame], mode: str = "exact", check: bool = False) -> tuple[DataFrame, list[tuple[str, str]]]:
     """Profile of every table as one plan, plus (table, error) for tables that could not be analysed.
 
+    Statistics are one aggregate per table; the distinct values of all tables share one shuffle.
+
     A table whose plan cannot be built is skipped and reported; with ``check``
     each table is also executed on its own, so a corrupt file fails alone.
     """
-    parts, errors = [], []
+    stats, values, errors = [], [], []
     for name, df in tables.items():
         try:
-            one = profile_table(df, name, mode)
             if check:
-                one.write.format("noop").mode("overwrite").save()
-            parts.append(one)
+                profile_table(df, name, mode).write.format("noop").mode("overwrite").save()
+            one = basic_stats(df, name, approx_distinct=mode == "approx")
+            if mode != "approx":
+                values.append(long_values(spread(df), name))
+            stats.append(one)
         except Exception as exc:  # noqa: BLE001 - partial results beat none
             errors.append((name, str(exc).splitlines()[0]))
-    if not parts:
+    if not stats:
         raise ValueError("no table could be profiled")
-    return reduce(DataFrame.unionByName, parts), errors
+    profile = reduce(DataFrame.unionByName, stats)
+    if mode == "approx":
+        return profile, errors
+    distinct = distinct_counts(count_values(reduce(DataFrame.unionByName, values)))
+    joined = profile.join(distinct, ["table_name", "column_name"], "left").fillna(0, ["distinct_count"])
+    return joined.select(*profile.columns, "distinct_count"), errors
 
 
 def run_summary(profile: DataFrame, schema_col: str | None = None) -> DataFrame:

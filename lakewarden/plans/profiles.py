@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..operators import profiling, quality
-from ..session import scratch_dir, use_utc
+from ..session import cut_lineage, scratch_dir, use_utc
 from ..sources import discovery, sinks
-from ..sources.readers import LAKE_TABLES, lake
+from ..sources.readers import LAKE_TABLES, lake, spread
 from . import derived as d
 from .registry import query
 
@@ -57,7 +57,8 @@ def _value_key(kind: str, column: str) -> str:
 
 
 def _counts(spark, root, tables) -> DataFrame:
-    return reduce(DataFrame.unionByName, [profiling.value_counts(df, name) for name, df in lake(use_utc(spark), root, tables).items()])
+    longs = [profiling.long_values(spread(df), name) for name, df in lake(use_utc(spark), root, tables).items()]
+    return profiling.count_values(reduce(DataFrame.unionByName, longs))
 
 
 def _stats(spark, root, tables=LAKE_TABLES) -> DataFrame:
@@ -254,11 +255,14 @@ def _top_sql(order: str, with_n: bool) -> str:
 
 
 def _ranked(spark, root, rank) -> DataFrame:
-    out = []
-    for name, df in lake(use_utc(spark), root, _TOP_TABLES).items():
-        keep = [c for c, k in _cols(name) if k in "ns"]
-        out.append(profiling.with_full_text(rank(profiling.value_counts(df, name, keep)), df))
-    return reduce(DataFrame.unionByName, out)
+    """Ranks the values of all tables together, then puts whole texts back table by table."""
+    tables = lake(use_utc(spark), root, _TOP_TABLES)
+    longs = [profiling.long_values(spread(df), name, [c for c, k in _cols(name) if k in "ns"]) for name, df in tables.items()]
+    ranked = cut_lineage(rank(profiling.count_values(reduce(DataFrame.unionByName, longs))))
+    with_text = [n for n in _TOP_TABLES if any(f.dataType.simpleString() == "string" for f in tables[n].schema)]
+    out = [profiling.with_full_text(ranked.filter(F.col("table_name") == n), tables[n]) for n in with_text]
+    rest = ranked.filter(~F.col("table_name").isin(*with_text)).withColumn("value", F.col("value_key"))
+    return reduce(DataFrame.unionByName, [*out, rest])
 
 
 @query("b6_sample_values", _top_sql("key", False))
