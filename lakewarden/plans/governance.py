@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions import scalars as S
 
+from ..functions.rows import split_parts
 from ..operators import catalog, classification, enrichment, glossary, quality
 from ..session import scratch_dir
 from . import derived as d
@@ -363,6 +364,24 @@ def f7(spark, root):
     return doc.select("asset_fqn", "part", "column_count", F.array_join(F.transform("columns", item), ",").alias("columns"))
 
 
+@query("f8_flattened_events", d.with_ctes("""
+    SELECT c.asset_fqn AS fqn, 'asset-' || substr(md5(c.asset_fqn), 1, 12) AS asset_id, count(*) AS columns, count(*) FILTER (WHERE k.classification = 'PII') AS pii, count(DISTINCT c.asset_fqn || '.' || c.column_name) AS names
+    FROM cat_columns c JOIN kind_class k ON k.column_name = c.column_name AND k.sample_values = c.sample_values GROUP BY 1, 2""", "kind_class"))
+def f8(spark, root):
+    """Nested enriched events flattened to asset and column rows; wide tables come in several events."""
+    c = quality.score_columns(_classified(spark, root))
+    column = F.struct("ordinal", F.col("column_name").alias("name"), "data_type", "description", "classification", "category", "sensitivity_level", "overall", "grade", "null_count", "distinct_count")
+    parts = split_parts(c, ["asset_fqn"], "ordinal", 500).groupBy("asset_fqn", "part", "source_type", "schema_name", "table_name", "row_count").agg(F.sort_array(F.collect_list(column)).alias("columns"))
+    nothing = F.lit(None).cast("string")
+    table = F.struct("table_name", nothing.alias("description"), nothing.alias("domain"), nothing.alias("sensitivity_level"), "row_count", F.lit(None).cast("bigint").alias("size_bytes"), F.lit(None).cast("double").alias("overall"), nothing.alias("grade"), "columns")
+    events = parts.select(
+        F.concat_ws("#", "asset_fqn", "part").alias("event_id"), F.lit("lake").alias("source_id"), "source_type", F.lit("run-1").alias("run_id"), F.lit("lake").alias("database_name"), "schema_name",
+        F.lit(d.AS_OF).cast("timestamp_ntz").alias("enriched_at"), F.array(table).alias("tables"))
+    assets, columns = enrichment.flatten_events(events)
+    per = columns.groupBy("asset_id").agg(F.count(F.lit(1)).alias("columns"), F.count_if(F.col("classification") == "PII").alias("pii"), F.count_distinct("fqn").alias("names"))
+    return assets.select("fqn", "asset_id").distinct().join(per, "asset_id").select("fqn", "asset_id", "columns", "pii", "names")
+
+
 @query("f9_readable_sizes", d.with_ctes("""
     SELECT fqn, CASE WHEN size_bytes < 1024 THEN format('{:.1f} B', round_even(size_bytes::DOUBLE, 1)) WHEN size_bytes < 1048576 THEN format('{:.1f} KB', round_even(size_bytes / 1024.0::DOUBLE, 1))
         WHEN size_bytes < 1073741824 THEN format('{:.1f} MB', round_even(size_bytes / 1048576.0::DOUBLE, 1)) ELSE format('{:.1f} GB', round_even(size_bytes / 1073741824.0::DOUBLE, 1)) END AS size,

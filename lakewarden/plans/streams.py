@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.rows import split_parts
 from ..operators import profiling
 from ..session import scratch_dir
 from ..sources import sinks
@@ -49,14 +50,15 @@ def a15(spark, root):
 
 
 def _raw_events(spark, root) -> str:
-    """Raw metadata events as JSON lines, one per table."""
+    """Raw metadata events as JSON lines, one per table; wide tables take several bounded events of one run."""
     path = scratch_dir(spark, "raw-metadata-events")
     col = F.struct(
         "ordinal", F.col("column_name").alias("name"), "data_type", "is_nullable", "null_count", "distinct_count", "sample_values", "description",
     )
-    per_table = d.columns(spark, root).groupBy("asset_fqn", "source_type", "schema_name", "table_name", "row_count").agg(F.sort_array(F.collect_list(col)).alias("columns"))
+    split = split_parts(d.columns(spark, root), ["asset_fqn"], "ordinal", 500)
+    per_table = split.groupBy("asset_fqn", "part", "source_type", "schema_name", "table_name", "row_count").agg(F.sort_array(F.collect_list(col)).alias("columns"))
     event = per_table.select(
-        F.concat(F.lit("e-"), F.md5(F.col("asset_fqn").cast("binary"))).alias("event_id"), F.lit("lake").alias("source_id"), "source_type",
+        F.concat(F.lit("e-"), F.md5(F.concat_ws("#", "asset_fqn", "part").cast("binary"))).alias("event_id"), F.lit("lake").alias("source_id"), "source_type",
         F.lit("2024-01-31T00:00:00Z").alias("emitted_at"),
         F.struct(F.lit("lake").alias("database_name"), "schema_name", F.array(F.struct("schema_name", "table_name", F.lit("TABLE").alias("table_type"), "row_count", "columns")).alias("tables")).alias("schema_profile"),
         F.lit("1.0.0").alias("connector_version"), F.lit("run-1").alias("run_id"),

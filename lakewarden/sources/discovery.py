@@ -43,6 +43,12 @@ def session_tables(spark: SparkSession, database: str | None = None) -> DataFram
     return spark.createDataFrame(rows, "schema_name string, table_name string, table_type string")
 
 
+def partitioning(spark: SparkSession, table: str) -> DataFrame:
+    """Partition and bucket columns of a catalog table."""
+    rows = [(table, c.name, c.isPartition, c.isBucket) for c in spark.catalog.listColumns(table) if c.isPartition or c.isBucket]
+    return spark.createDataFrame(rows, "table_name string, column_name string, is_partition boolean, is_cluster boolean")
+
+
 def virtual_schema(raw_name: Column | str) -> Column:
     """Schema implied by the prefix of a flat table name."""
     raw = F.lower(col_of(raw_name))

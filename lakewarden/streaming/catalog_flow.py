@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import asset_fqn, asset_id, nearest
+from ..functions.scalars import asset_fqn, asset_id, nearest, sensitivity_name
 from ..operators import catalog
 from ..operators.classification import classify
 from ..operators.enrichment import column_description
@@ -32,15 +32,25 @@ def enrich_columns(events: DataFrame) -> DataFrame:
     ).drop("raw_description")
 
 
+_STAMP = ("emitted_at", "run_id")
+
+
+def newest_stamps(columns: DataFrame) -> DataFrame:
+    """The newest (time, run) per asset; every event of that run describes the asset, in as many parts as it took."""
+    return columns.groupBy("asset_fqn").agg(F.max(F.struct(*_STAMP)).alias("_newest"))
+
+
+def current_columns(columns: DataFrame) -> DataFrame:
+    return columns.join(newest_stamps(columns), "asset_fqn").filter(F.struct(*_STAMP) == F.col("_newest")).drop("_newest")
+
+
 def asset_rows(columns: DataFrame) -> DataFrame:
-    """Asset rows of enriched columns: latest event per name, mean quality, highest level."""
-    newest = columns.groupBy("asset_fqn").agg(F.max(F.struct("emitted_at", "event_id")).alias("_n"))
-    current = columns.join(newest, "asset_fqn").filter((F.col("event_id") == F.col("_n.event_id")))
+    """Asset rows of current columns: mean quality, highest level."""
     rank = F.when(F.col("classification") == "PII", 3).when(F.col("classification") == "SENSITIVE", 2).otherwise(0)
-    return current.groupBy("asset_fqn", "source_type", "schema_name", "table_name").agg(
+    return columns.groupBy("asset_fqn", "source_type", "schema_name", "table_name").agg(
         F.max("row_count").alias("row_count"), F.max("size_bytes").alias("size_bytes"), F.count(F.lit(1)).alias("column_count"),
         nearest(F.sum(F.col("overall").cast("decimal(28,4)")).cast("double") / F.count(F.lit(1)), 4).alias("quality_score"),
-        F.element_at(F.array(*[F.lit(x) for x in ("PUBLIC", "INTERNAL", "CONFIDENTIAL", "RESTRICTED")]), F.max(rank) + 1).alias("sensitivity_level"),
+        sensitivity_name(F.max(rank)).alias("sensitivity_level"),
         F.max("emitted_at").alias("updated_at"),
     ).withColumn("asset_id", asset_id("asset_fqn")).withColumnRenamed("asset_fqn", "fqn")
 
@@ -63,17 +73,23 @@ class CatalogIngest:
         return f"{self.root}/{table}/v={version}"
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        enriched = columns = enrich_columns(batch).persist()
-        assets = asset_rows(columns)
-        newest = columns.select("asset_fqn", "event_id", "emitted_at").groupBy("asset_fqn").agg(F.max_by("event_id", F.struct("emitted_at", "event_id")).alias("event_id"))
-        columns = columns.join(newest, ["asset_fqn", "event_id"], "left_semi")
+        enriched = enrich_columns(batch).persist()
+        columns, stored_assets = current_columns(enriched), None
+        touched = newest_stamps(enriched)
         if batch_id > 0:
-            previous = batch_id - 1
-            spark = batch.sparkSession
-            assets = catalog.upsert_assets(spark.read.parquet(self.path("assets", previous)), assets, "fqn", self.MEASURED)
-            columns = catalog.replace_columns(spark.read.parquet(self.path("columns", previous)).select(*columns.columns), columns)
-        assets.write.mode("overwrite").parquet(self.path("assets", batch_id))
+            spark, previous = batch.sparkSession, batch_id - 1
+            stored_assets = spark.read.parquet(self.path("assets", previous))
+            stored = spark.read.parquet(self.path("columns", previous)).select(*columns.columns)
+            # rows of untouched assets stay, and other parts of the same run; a replayed part replaces itself
+            kept = stored.join(touched, "asset_fqn", "left").filter(F.col("_newest").isNull() | (F.struct(*_STAMP) == F.col("_newest"))).drop("_newest")
+            kept = kept.join(columns.select("asset_fqn", "event_id").distinct(), ["asset_fqn", "event_id"], "left_anti")
+            columns = kept.select(*columns.columns).unionByName(columns)
         columns.write.mode("overwrite").parquet(self.path("columns", batch_id))
+        written = batch.sparkSession.read.parquet(self.path("columns", batch_id))
+        assets = asset_rows(written.join(touched.select("asset_fqn"), "asset_fqn", "left_semi"))
+        if stored_assets is not None:
+            assets = catalog.upsert_assets(stored_assets, assets.select(*stored_assets.columns), "fqn", self.MEASURED)
+        assets.write.mode("overwrite").parquet(self.path("assets", batch_id))
         enriched.unpersist()
         self.version = batch_id
 

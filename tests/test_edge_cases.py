@@ -320,6 +320,26 @@ def test_catalog_ingest_over_batches_and_replay(spark):
     assert sorted(map(str, again.assets().collect())) == before
 
 
+def test_parts_of_one_run_add_up_across_batches(spark):
+    import json
+
+    path = scratch_dir(spark, "parts")
+    write = lambda e: spark.createDataFrame([(json.dumps(e),)], "value string").coalesce(1).write.mode("append").text(path)
+    store = catalog_flow.CatalogIngest(spark)
+    for event_id, column in (("p1", "EMAIL"), ("p2", "AGE")):
+        write(raw_event(event_id, "WIDE", 10, "2024-01-01T00:00:00Z", column))
+        store.run(streams.decoded(streams.read_json_lines(spark, path), profiling.RAW_EVENT)[0])
+    row = store.assets().first()
+    assert (row.column_count, row.sensitivity_level) == (2, "RESTRICTED")
+    assert sorted(r.column_name for r in store.columns().collect()) == ["AGE", "EMAIL"]
+
+
+def test_session_catalog(spark):
+    spark.range(2).selectExpr("id", "id % 2 AS day").createOrReplaceTempView("seen_view")
+    assert "seen_view" in {r.table_name for r in discovery.session_tables(spark).collect()}
+    assert discovery.partitioning(spark, "seen_view").count() == 0
+
+
 def test_late_rows_are_dropped_by_the_watermark(spark):
     path = scratch_dir(spark, "late")
     schema = "id int, event_time timestamp"
