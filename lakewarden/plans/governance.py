@@ -392,8 +392,8 @@ def f9(spark, root):
 
 # ---- G: catalog ------------------------------------------------------------
 def _batch(spark, root):
-    """A later hydration: every third asset measured again, and as many new ones."""
-    a = d.assets(spark, root).filter(F.col("asset_key") % 3 == 0)
+    """A later hydration: the assets of two schemas measured again, and as many new ones."""
+    a = d.assets(spark, root).filter(F.col("schema_name").isin("ECONOMY", "SMALL"))
     again = a.withColumns({"row_count": F.col("row_count") + 5, "quality_score": F.col("quality_score") / 2, "quality_grade": S.grade_of(F.col("quality_score") / 2), "description": F.lit("from the batch"), "data_owner": F.lit("nobody"), "updated_at": F.col("updated_at") + F.expr("INTERVAL 400 DAYS")})
     new = again.withColumn("fqn", F.concat("fqn", F.lit("_new"))).withColumn("asset_id", S.asset_id("fqn"))
     return again.unionByName(new)
@@ -401,7 +401,7 @@ def _batch(spark, root):
 
 _G_COLS = "fqn, asset_id, description, domain, data_owner, row_count, quality_score, quality_grade, updated_at"
 _BATCH_SQL = f"""again AS (SELECT fqn, asset_id, 'from the batch' AS description, domain, 'nobody' AS data_owner, row_count + 5 AS row_count, quality_score / 2 AS quality_score,
-        {d.grade_sql("quality_score / 2")} AS quality_grade, updated_at + INTERVAL 400 DAY AS updated_at FROM cat_assets WHERE asset_key % 3 = 0),
+        {d.grade_sql("quality_score / 2")} AS quality_grade, updated_at + INTERVAL 400 DAY AS updated_at FROM cat_assets WHERE schema_name IN ('ECONOMY', 'SMALL')),
     batch AS (SELECT * FROM again UNION ALL SELECT fqn || '_new', 'asset-' || substr(md5(fqn || '_new'), 1, 12), description, domain, data_owner, row_count, quality_score, quality_grade, updated_at FROM again)"""
 
 
@@ -416,11 +416,11 @@ def g1(spark, root):
 
 @query("g2_column_replacement", d.with_ctes("""
     SELECT asset_fqn, count(*) AS columns, CAST(sum(null_count) AS BIGINT) AS nulls FROM (
-      SELECT asset_fqn, null_count FROM cat_columns WHERE asset_fqn NOT IN (SELECT DISTINCT asset_fqn FROM cat_columns WHERE asset_key % 2 = 0 AND line <= 3)
-      UNION ALL SELECT asset_fqn, null_count + 1 FROM cat_columns WHERE asset_key % 2 = 0 AND line <= 3) GROUP BY 1""", "cat_columns"))
+      SELECT asset_fqn, null_count FROM cat_columns WHERE asset_fqn NOT IN (SELECT DISTINCT asset_fqn FROM cat_columns WHERE source_type IN ('mssql', 'sqlite') AND line <= 3)
+      UNION ALL SELECT asset_fqn, null_count + 1 FROM cat_columns WHERE source_type IN ('mssql', 'sqlite') AND line <= 3) GROUP BY 1""", "cat_columns"))
 def g2(spark, root):
-    c = d.columns(spark, root).select("asset_fqn", "asset_key", "line", "column_name", "null_count")
-    batch = c.filter((F.col("asset_key") % 2 == 0) & (F.col("line") <= 3)).withColumn("null_count", F.col("null_count") + 1)
+    c = d.columns(spark, root).select("asset_fqn", "source_type", "line", "column_name", "null_count")
+    batch = c.filter(F.col("source_type").isin("mssql", "sqlite") & (F.col("line") <= 3)).withColumn("null_count", F.col("null_count") + 1)
     return catalog.replace_columns(c, batch).groupBy("asset_fqn").agg(F.count(F.lit(1)).alias("columns"), F.sum("null_count").alias("nulls"))
 
 
@@ -475,13 +475,13 @@ def g5(spark, root):
     return out.select("fqn", "description", "data_owner", "data_steward", "domain", "row_count", "updated_at")
 
 
-@query("g6_schema_migration", d.with_ctes("SELECT fqn, quality_score, CASE WHEN asset_key % 2 = 0 THEN 1.0::DOUBLE END AS quality_validity FROM cat_assets", "cat_assets"))
+@query("g6_schema_migration", d.with_ctes("SELECT fqn, quality_score, CASE WHEN is_active THEN 1.0::DOUBLE END AS quality_validity FROM cat_assets", "cat_assets"))
 def g6(spark, root):
     """Old files without a column and new files with it read as one table."""
     path = scratch_dir(spark, "migration")
-    a = d.assets(spark, root).select("asset_key", "fqn", "quality_score")
-    a.filter("asset_key % 2 = 1").write.parquet(f"{path}/v=1")
-    a.filter("asset_key % 2 = 0").withColumn("quality_validity", F.lit(1.0)).write.parquet(f"{path}/v=2")
+    a = d.assets(spark, root).select("is_active", "fqn", "quality_score")
+    a.filter("NOT is_active").write.parquet(f"{path}/v=1")
+    a.filter("is_active").withColumn("quality_validity", F.lit(1.0)).write.parquet(f"{path}/v=2")
     old, new = (spark.read.parquet(f"{path}/v={v}") for v in (1, 2))
     return catalog.migrate(old, new).select("fqn", "quality_score", "quality_validity")
 

@@ -189,7 +189,7 @@ def l2(spark, root):
     return alerts.counter_increase(e, ["user_id"], 86400)
 
 
-@query("l2_hourly_counts", f"SELECT event_type, {_bucket(86400)} AS bucket, count(*) AS n FROM events GROUP BY 1, 2")
+@query("l2_daily_counts", f"SELECT event_type, {_bucket(86400)} AS bucket, count(*) AS n FROM events GROUP BY 1, 2")
 def l2_counts(spark, root):
     return alerts.bucketed(d.events(spark, root), 86400, ["event_type"])
 
