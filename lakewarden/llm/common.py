@@ -30,6 +30,22 @@ def staged(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+HOT_SHARE = 1000
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join of ``rows`` with ``facts`` (one row per key) when a key may hold a third of all rows.
+
+    Keys of at least one in ``HOT_SHARE`` rows, so no more than ``HOT_SHARE`` of them, have their facts
+    broadcast and their rows stay where they are; all others meet in a shuffle. ``rows`` is read three times.
+    """
+    least = max(100, rows.count() // HOT_SHARE + 1)
+    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select(*keys, F.lit(True).alias("_hot"))
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    warm = marked.filter(F.col("_hot")).join(F.broadcast(facts.join(F.broadcast(hot.drop("_hot")), keys, "left_semi")), keys, "left")
+    return marked.filter(F.col("_hot").isNull()).join(facts, keys, "left").unionByName(warm).drop("_hot")
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """Just the named columns under fixed names, so that others of ``df`` cannot clash."""
     return df.select(*[F.col(source).alias(name) for name, source in columns.items()])

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, Words, combined, lowered, mix, only, raw, signed, slices, staged, whole
+from .common import BLANKS, Words, combined, join_facts, lowered, mix, only, raw, signed, slices, staged, whole
 
 K = 5
 THRESHOLD = Fraction(4, 5)
@@ -278,7 +278,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     classes = profiles.filter("n > 0 and doc_id is not null").groupBy(*name).agg(F.min("doc_id").alias("doc"))
     sets = staged(profiles.join(classes.withColumnRenamed("doc", "doc_id"), ["doc_id", *name]).select(F.col("doc_id").alias("doc"), *name, "sketch", "prefix", "small").dropDuplicates(["doc", *name]))
     boundary = _boundary(sets, threshold)
-    members = staged(profiles.select("doc_id", *name).join(classes, name, "left"))
+    members = staged(join_facts(profiles.select("doc_id", *name), classes, name))
     several = members.filter("doc is not null and doc_id is not null").groupBy("doc_id").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).filter("x <> y")
     parts = [members.join(several, "doc_id").select(F.col("doc").alias("a"), F.col("x").alias("b"))]  # one id, several texts
     if boundary > 1:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_ALNUM, Words, combined, lowered, only, raw, signed, slices, staged, text_of
+from .common import NOT_ALNUM, Words, combined, join_facts, lowered, only, raw, signed, slices, staged, text_of
 
 GRAM = 3
 MAX_SHIFT = 4
@@ -140,7 +140,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates=
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans of every row."""
     scanned = staged(scan_words(docs, doc_id, text, templates))
     found = notices(scanned, templates).groupBy("text_key").agg(F.max("similarity").alias("best"), F.sort_array(F.collect_set(F.struct("start", "stop", "label"))).alias("spans"))
-    met = scanned.drop("hits", "words", "words_at").join(found, "text_key", "left")
+    met = join_facts(scanned.drop("hits", "words", "words_at"), found, ["text_key"])
     every = F.array_sort(F.array_union("base", F.coalesce(F.col("spans.label"), F.array().cast("array<string>"))))
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.round("best", 6), F.lit(0.0)))
     return met.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), score.alias("score"), F.coalesce("spans", F.array().cast("array<struct<start:int,stop:int,label:string>>")).alias("spans"))

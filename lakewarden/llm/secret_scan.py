@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, slices, staged, text_of
+from .common import join_facts, only, slices, staged, text_of
 
 SCOPE = 400
 BASE = ("assign", "access", "hex")
@@ -114,7 +114,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: int
     rank = F.create_map(*[x for i, k in enumerate((*BASE, *LINKED_KINDS)) for x in (F.lit(k), F.lit(i))])
     order = lambda p: F.struct(p["start"].alias("start"), rank[p["kind"]].alias("rank"), p["kind"].alias("kind"), p["stop"].alias("stop"))
     both = F.concat(base, F.coalesce("links", F.array().cast("array<struct<kind:string,start:int,stop:int>>")))
-    return found.join(links, "text_key", "left").select("doc_id", "text_key", base.alias("base"), F.transform(F.array_sort(F.transform(both, order)), shape).alias("spans"))
+    return join_facts(found, links, ["text_key"]).select("doc_id", "text_key", base.alias("base"), F.transform(F.array_sort(F.transform(both, order)), shape).alias("spans"))
 
 
 def shown(spans: str) -> Column:
@@ -123,8 +123,9 @@ def shown(spans: str) -> Column:
 
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with every reported span replaced by ``mark``; texts without spans are untouched."""
-    spans = scan(docs, doc_id, text).filter(F.size("spans") > 0).select(F.col("text_key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_key"])
-    met = docs.withColumn("_md5", F.md5(text_of(text).cast("binary"))).join(spans, F.col("_md5") == F.col("_key"), "left")
+    spans = scan(docs, doc_id, text).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_key"])
+    keyed = docs.withColumn("_md5", F.md5(text_of(text).cast("binary")))
+    met = keyed.join(spans, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_md5") == F.col("_key")), "left")
     whole = F.col(text)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
