@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import only, staged, text_of
+from .common import join_facts, only, staged, text_of
 
 PREFIX_CHARS = 256
 BITMAP_BITS = 1 << 23
@@ -45,7 +45,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dig
     hashed = hashed.select("doc_id", "row", "digest", key)
     best = F.max(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "row")).alias("best")
     groups = hashed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), best).filter("n > 1")
-    return hashed.join(groups, "key", "left").select(
+    return join_facts(hashed, groups, ["key"]).select(
         "doc_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("best.doc_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("bigint").alias("group_size"),
         F.coalesce(F.col("best.row") == F.col("row"), F.lit(True)).alias("kept"), F.col("digest").alias("text_sha256"),
