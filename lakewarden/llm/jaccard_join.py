@@ -26,6 +26,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,7 @@ THRESHOLD = Fraction(4, 5)
 MOST_SMALL = 16
 FREQUENT_SHARE = 1000
 SKETCH_WORDS = 8
+SLACK = 4
 PAIRS_PER_ROW = 8
 MOST_TURNS = 8
 BROADCAST_IDS = 2_000_000
@@ -88,38 +90,61 @@ def _frequent(rows: DataFrame, n: int, k: int) -> np.ndarray:
     return found.astype(np.int64)
 
 
-def profile(docs: DataFrame, k: int = K, doc_id: str = "doc_id", text: str = "text", threshold: Fraction = THRESHOLD) -> DataFrame:
-    """doc_id, n, hi, lo (128 bits naming the set), sketch, prefix (rarest elements, rarest first), small
-    (all elements of sets of up to MOST_SMALL) of every row."""
-    rows = only(docs, doc_id=doc_id, text=text)
-    n_rows = rows.count()
-    frequent = rows.sparkSession.sparkContext.broadcast(_frequent(rows, n_rows, k))
+def _ordered(s: np.ndarray, often: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The elements of a set, rarest first: those not frequent by value, then the frequent ones by rank."""
+    e = signed(s)
+    if len(often) and len(e):
+        j = np.minimum(np.searchsorted(often, e), len(often) - 1)
+        e = e[np.lexsort((e, np.where(often[j] == e, rank[j], 0)))]
+    return e
+
 
+def profile(rows: DataFrame, frequent: Broadcast, k: int = K) -> DataFrame:
+    """doc_id, n, hi, lo (128 bits naming the set), sketch, small (the elements of sets of up to MOST_SMALL) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(frequent.value)
         often, rank = frequent.value[order], order + 1
         for part in slices(batches):
             data, offsets = raw(part.column(1))
             words = Words(lowered(data), offsets, BLANKS)
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(5)]
             for i in range(part.num_rows):
                 s = shingles(words, i, k)
                 n = len(s)
-                with np.errstate(over="ignore"):
-                    hi, lo = signed(np.array([np.add.reduce(mix(s ^ np.uint64(17))), np.add.reduce(mix(s + np.uint64(29)))], np.uint64)).tolist()
+                hi, lo = signed(np.array([np.add.reduce(mix(s ^ np.uint64(17))), np.add.reduce(mix(s + np.uint64(29)))], np.uint64)).tolist()
                 bits = np.bincount((s & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
-                e = signed(s)
-                if len(often) and n:
-                    j = np.minimum(np.searchsorted(often, e), len(often) - 1)
-                    e = e[np.lexsort((e, np.where(often[j] == e, rank[j], 0)))]
-                keep = n - math.ceil(threshold * n) + 1 if n else 0
-                for column, value in zip(out, (n, hi, lo, np.packbits(bits).view(">u8").astype(np.uint64).view(np.int64).tolist(), e[:keep].tolist(), e.tolist() if n <= MOST_SMALL else [])):
+                sketch = np.packbits(bits).view(np.int64).tolist()
+                for column, value in zip(out, (n, hi, lo, sketch, _ordered(s, often, rank).tolist() if n <= MOST_SMALL else [])):
                     column.append(value)
             longs, lists = pa.int64(), pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, t in zip(out, (longs, longs, longs, lists, lists, lists))]], ["doc_id", "n", "hi", "lo", "sketch", "prefix", "small"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, t in zip(out, (longs, longs, longs, lists, lists))]], ["doc_id", "n", "hi", "lo", "sketch", "small"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, n bigint, hi bigint, lo bigint, sketch array<bigint>, prefix array<bigint>, small array<bigint>")
+    return rows.mapInArrow(run, f"doc_id {kind}, n bigint, hi bigint, lo bigint, sketch array<bigint>, small array<bigint>")
+
+
+def _entries(rows: DataFrame, frequent: Broadcast, least: int, k: int, threshold: Fraction) -> DataFrame:
+    """token, doc, n, pos: the rarest elements of every set of ``least`` or more, as many as a partner must meet one of."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(frequent.value)
+        often, rank = frequent.value[order], order + 1
+        for part in slices(batches):
+            data, offsets = raw(part.column(1))
+            words = Words(lowered(data), offsets, BLANKS)
+            tokens, sizes, kept = [np.zeros(0, np.int64)], [], []
+            for i in range(part.num_rows):
+                s = shingles(words, i, k)
+                n = len(s)
+                keep = n - math.ceil(threshold * n) + 1 if n >= max(1, least) else 0
+                tokens.append(_ordered(s, often, rank)[:keep])
+                sizes.append(n)
+                kept.append(keep)
+            kept = np.array(kept)
+            row = np.repeat(np.arange(part.num_rows), kept)
+            pos = np.arange(len(row)) - np.repeat(np.cumsum(kept) - kept, kept)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), part.column(0).take(pa.array(row)), pa.array(np.array(sizes, np.int32)[row]), pa.array(pos.astype(np.int32))], ["token", "doc", "n", "pos"])
+
+    return rows.mapInArrow(run, f"token bigint, doc {rows.schema['doc_id'].dataType.simpleString()}, n int, pos int")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -186,7 +211,9 @@ def _small_links(sets: DataFrame, boundary: int, threshold: Fraction) -> DataFra
 
 def _boundary(sets: DataFrame, threshold: Fraction) -> int:
     """The size below which sets enumerate subsets: where subsets written and list entries read cost least."""
-    few = sets.filter((F.col("n") > 0) & (F.col("n") <= MOST_SMALL)).select("n", F.explode("prefix").alias("token"))
+    p, q = threshold.numerator, threshold.denominator
+    prefix = F.expr(f"slice(small, 1, cast(n - ({p} * n + {q - 1}) div {q} + 1 as int))")
+    few = sets.filter((F.col("n") > 0) & (F.col("n") <= MOST_SMALL)).select("n", F.explode(prefix).alias("token"))
     lists = few.groupBy("token").agg(F.count(F.lit(1)).alias("length"))
     read = {r["n"]: (r["entries"], r["read"]) for r in few.join(lists, "token").groupBy("n").agg(F.count(F.lit(1)).alias("entries"), F.sum("length").alias("read")).collect()}
     count = {r["n"]: r["count"] for r in sets.filter((F.col("n") > 0) & (F.col("n") <= MOST_SMALL)).groupBy("n").count().collect()}
@@ -212,15 +239,15 @@ def _meets(threshold: Fraction) -> str:
     return f"{c} <= least(n, n2) and pos <= n - {c} and pos2 <= n2 - {c}"
 
 
-def _verified(rows: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold: by size and sketch first, then on whole sets."""
-    side = sets.select("doc", "n", "sketch")
-    met = pairs.distinct().join(side.toDF("a", "n", "s"), "a").join(side.toDF("b", "n2", "s2"), "b")
-    differ = "aggregate(zip_with(s, s2, (x, y) -> bit_count(x ^ y)), 0, (acc, x) -> acc + x)"
-    c = _need("n", "n2", threshold)
-    likely = staged(met.filter(f"{c} <= least(n, n2) and {differ} <= n + n2 - 2 * {c}").select("a", "b").distinct())
-    ids = likely.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    ids = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+def _some(ids: DataFrame) -> DataFrame:
+    """Broadcast when the ids are few, joined by a shuffle otherwise."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
+def _elements(rows: DataFrame, asked: DataFrame, k: int, wide: bool) -> DataFrame:
+    """The columns of ``asked`` (doc, ...) and the set of each asked document: whole hashes, or 32 bits of each."""
+    names = [c for c in asked.columns if c != "doc"]
+    met = rows.join(_some(asked.withColumnRenamed("doc", "doc_id")), "doc_id").select("doc_id", "text", *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -228,19 +255,57 @@ def _verified(rows: DataFrame, sets: DataFrame, pairs: DataFrame, k: int, thresh
             words = Words(lowered(data), offsets, BLANKS)
             every = [signed(shingles(words, i, k)) for i in range(part.num_rows)]
             at = np.cumsum([0, *map(len, every)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int64), *every])))], ["doc", "elements"])
+            flat = np.concatenate([np.zeros(0, np.int64), *every])
+            values = flat if wide else (flat >> 32).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.ListArray.from_arrays(pa.array(at), pa.array(values))], ["doc", *names, "elements"])
 
-    asked = rows.join(ids, rows["doc_id"] == F.col("_id"), "left_semi").select("doc_id", "text")
-    whole_sets = asked.mapInArrow(run, f"doc {sets.schema['doc'].dataType.simpleString()}, elements array<bigint>")
-    both = likely.join(whole_sets.toDF("a", "x"), "a").join(whole_sets.toDF("b", "y"), "b")
-    p, q = threshold.numerator, threshold.denominator
-    return both.filter(f"{p + q} * size(array_intersect(x, y)) >= {p} * (size(x) + size(y))").select("a", "b").distinct()
+    fields = [f"{c} {asked.schema[c].dataType.simpleString()}" for c in ("doc", *names)]
+    return met.mapInArrow(run, ", ".join([*fields, f"elements array<{'bigint' if wide else 'int'}>"]))
+
+
+def _compared(rows: DataFrame, pairs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
+    """The pairs (a, b) that reach the threshold, on whole sets.
+
+    The set of a travels to that of b. Sets go as 32 bits of each hash, which tells all pairs but those
+    within ``SLACK`` of the least intersection (chance hits are about n * n / 2**32); these go once more with all 64 bits.
+    """
+    def met(wanted: DataFrame, wide: bool) -> DataFrame:
+        left = _elements(rows, wanted.select(F.col("a").alias("doc"), "b"), k, wide).toDF("a", "b", "x")
+        right = _elements(rows, wanted.select(F.col("b").alias("doc")).distinct(), k, wide).toDF("b", "y")
+        sizes = left.join(right, "b").select("a", "b", F.expr("size(array_intersect(x, y))").alias("common"), F.expr("size(x)").alias("n"), F.expr("size(y)").alias("n2"))
+        return sizes.withColumn("over", F.expr(f"common - {_need('n', 'n2', threshold)}"))
+
+    rough = staged(met(pairs, False).select("a", "b", "over"))
+    near = rough.filter(F.abs("over") <= SLACK).select("a", "b").distinct()
+    sure = rough.filter(F.col("over") > SLACK).select("a", "b")
+    if near.isEmpty():
+        return sure.distinct()
+    return sure.unionByName(met(near, True).filter("over >= 0").select("a", "b")).distinct()
+
+
+def _verified(rows: DataFrame, sketches: DataFrame, pairs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
+    """Links among the pairs (a, b), as many as join the same components as all of them.
+
+    Sizes and sketches (a lower bound of the difference) come first. Then each document is compared with one
+    partner, and the pairs whose ends are still in different components after that, one by one.
+    """
+    met = pairs.distinct().join(sketches.toDF("a", "n", "s"), "a").join(sketches.toDF("b", "n2", "s2"), "b")
+    differ = "aggregate(zip_with(s, s2, (x, y) -> bit_count(x ^ y)), 0, (acc, x) -> acc + x)"
+    c = _need("n", "n2", threshold)
+    likely = staged(met.filter(f"{c} <= least(n, n2) and {differ} <= n + n2 - 2 * {c}").select("a", "b").distinct())
+    first = staged(_compared(rows, likely.groupBy("a").agg(F.min("b").alias("b")), k, threshold))
+    known = components(first)
+    at = lambda end: known.select(F.col("node").alias(end), F.col("component").alias(f"in_{end}"))
+    rest = likely.join(at("a"), "a", "left").join(at("b"), "b", "left").filter("coalesce(in_a, a) <> coalesce(in_b, b)").select("a", "b")
+    rest = staged(rest.join(likely.groupBy("a").agg(F.min("b").alias("b")), ["a", "b"], "left_anti"))  # those were compared
+    return first if rest.isEmpty() else first.unionByName(_compared(rows, rest, k, threshold))
 
 
-def _large_links(rows: DataFrame, sets: DataFrame, boundary: int, k: int, threshold: Fraction) -> DataFrame | None:
+def _large_links(rows: DataFrame, sketches: DataFrame, frequent: Broadcast, boundary: int, k: int, threshold: Fraction) -> DataFrame | None:
     """Links with a set at or above the boundary, as many as join the same components as all of them."""
-    entries = sets.filter(F.col("n") >= math.ceil(threshold * boundary)).select("doc", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("token")
+    entries = _entries(rows, frequent, math.ceil(threshold * boundary), k, threshold).repartition("token")
+    # the count looks at every column, so that it and the join read one and the same shuffle
+    shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("doc").alias("d"), F.max("n").alias("x"), F.max("pos").alias("y")).filter("m > 1 and d is not null and x > 0 and y >= 0").select("token")
     open_ = staged(entries.join(shared, "token").withColumn("comp", F.col("doc")))
     links, turn = None, 0
     while True:
@@ -259,7 +324,7 @@ def _large_links(rows: DataFrame, sets: DataFrame, boundary: int, k: int, thresh
         order = "(n > n2 or (n = n2 and doc > doc2))" if last else "doc <> doc2"
         met = open_.join(other, "token").filter(f"comp <> comp2 and {order} and greatest(n, n2) >= {boundary} and {_meets(threshold)}")
         pairs = met.select(F.greatest("doc", "doc2").alias("a"), F.least("doc", "doc2").alias("b"))
-        found = _verified(rows, sets, pairs, k, threshold)
+        found = _verified(rows, sketches, pairs, k, threshold)
         links = staged(found if links is None else links.unionByName(found))
         if last:
             return links
@@ -273,17 +338,22 @@ def _large_links(rows: DataFrame, sets: DataFrame, boundary: int, k: int, thresh
 def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, threshold: Fraction = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     rows = only(docs, doc_id=doc_id, text=text)
-    profiles = staged(profile(docs, k, doc_id, text, threshold))
+    frequent = rows.sparkSession.sparkContext.broadcast(_frequent(rows, rows.count(), k))
     name = ["n", "hi", "lo"]
-    classes = profiles.filter("n > 0 and doc_id is not null").groupBy(*name).agg(F.min("doc_id").alias("doc"))
-    sets = staged(profiles.join(classes.withColumnRenamed("doc", "doc_id"), ["doc_id", *name]).select(F.col("doc_id").alias("doc"), *name, "sketch", "prefix", "small").dropDuplicates(["doc", *name]))
+    profiles = staged(profile(rows, frequent, k))
+    classes = staged(profiles.filter("n > 0 and doc_id is not null").groupBy(*name).agg(F.min("doc_id").alias("doc")))
+    sets = profiles.join(classes.withColumnRenamed("doc", "doc_id"), ["doc_id", *name]).select(F.col("doc_id").alias("doc"), *name, "small").dropDuplicates(["doc", *name])
+    sets = staged(sets.filter(F.col("n") <= MOST_SMALL))
     boundary = _boundary(sets, threshold)
     members = staged(join_facts(profiles.select("doc_id", *name), classes, name))
     several = members.filter("doc is not null and doc_id is not null").groupBy("doc_id").agg(F.min("doc").alias("x"), F.max("doc").alias("y")).filter("x <> y")
     parts = [members.join(several, "doc_id").select(F.col("doc").alias("a"), F.col("x").alias("b"))]  # one id, several texts
     if boundary > 1:
         parts.append(_small_links(sets, boundary, threshold))
-    if (large := _large_links(rows, sets, boundary, k, threshold)) is not None:
+    copies = members.filter("doc is null or doc_id is null or doc_id <> doc").select("doc_id").distinct().join(classes.select(F.col("doc").alias("doc_id")), "doc_id", "left_anti")
+    alone = rows.filter("doc_id is not null").join(_some(copies), "doc_id", "left_anti")
+    sketches = profiles.filter("n > 0 and doc_id is not null").select("doc_id", "n", "sketch")
+    if (large := _large_links(alone, sketches, frequent, boundary, k, threshold)) is not None:
         parts.append(large)
     links = parts[0]
     for part in parts[1:]:
