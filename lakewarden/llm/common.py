@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import scratch_dir
 
 SLICE_BYTES = 1 << 21
 TABLES = ("documents", "labels", "pages", "benchmark")
@@ -26,8 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Written once to the shared checkpoint folder, read by everything that follows."""
-    return cut_lineage(df)
+    """Written once to the shared checkpoint folder, read by everything that follows.
+
+    A table rather than a checkpoint: its plan carries nothing of the one that made it, so loops that
+    stage each round plan as fast in the last round as in the first.
+    """
+    folder = scratch_dir(df.sparkSession, "llm-stage")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 HOT_SHARE = 1000

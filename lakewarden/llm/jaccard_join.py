@@ -8,8 +8,8 @@ one list. Which sets count as small is decided by cost: subsets written against
 
 Equal sets are one class first. A list does not emit its pairs: it compares its members with one pivot
 of the list, links are verified on whole sets and contracted to components, and only lists that
-still hold several components go on, with another pivot, until a list's open pairs are no more than a few per
-member; those are then compared one by one. So a group of n near copies costs a few times n comparisons, while no
+still hold several components go on, with another pivot, until the open pairs are no more than a few per
+member or pivots join hardly any more; those pairs are then compared one by one. So a group of n near copies costs a few times n comparisons, while no
 pair of a list is left out unless both ends are in one component already.
 
 Sets hold 64-bit hashes of shingles. A text with fewer than ``k`` words is one shingle of all its words; a
@@ -36,10 +36,10 @@ K = 5
 THRESHOLD = Fraction(4, 5)
 MOST_SMALL = 16
 FREQUENT_SHARE = 1000
-SKETCH_WORDS = 8
+SKETCH_WORDS, SKETCH_BITS = 4, 4  # least words of a sketch, bits per element
 SLACK = 4
 PAIRS_PER_ROW = 8
-MOST_TURNS = 8
+MOST_TURNS = 4
 BROADCAST_IDS = 2_000_000
 
 
@@ -112,7 +112,8 @@ def profile(rows: DataFrame, frequent: Broadcast, k: int = K) -> DataFrame:
                 s = shingles(words, i, k)
                 n = len(s)
                 hi, lo = signed(np.array([np.add.reduce(mix(s ^ np.uint64(17))), np.add.reduce(mix(s + np.uint64(29)))], np.uint64)).tolist()
-                bits = np.bincount((s & np.uint64(64 * SKETCH_WORDS - 1)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+                width = 64 * SKETCH_WORDS << max(0, math.ceil(math.log2(max(1, n) * SKETCH_BITS / (64 * SKETCH_WORDS))))
+                bits = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
                 sketch = np.packbits(bits).view(np.int64).tolist()
                 for column, value in zip(out, (n, hi, lo, sketch, _ordered(s, often, rank).tolist() if n <= MOST_SMALL else [])):
                     column.append(value)
@@ -290,7 +291,10 @@ def _verified(rows: DataFrame, sketches: DataFrame, pairs: DataFrame, k: int, th
     partner, and the pairs whose ends are still in different components after that, one by one.
     """
     met = pairs.distinct().join(sketches.toDF("a", "n", "s"), "a").join(sketches.toDF("b", "n2", "s2"), "b")
-    differ = "aggregate(zip_with(s, s2, (x, y) -> bit_count(x ^ y)), 0, (acc, x) -> acc + x)"
+    # parities of hash buckets, a power of two in number: the longer sketch is folded to the shorter one
+    fold = lambda x, y: f"case when size({x}) > size({y}) then transform(sequence(1, size({y})), i -> aggregate(sequence(i, size({x}), size({y})), 0L, (acc, j) -> acc ^ {x}[j - 1])) else {x} end"
+    met = met.withColumn("f", F.expr(fold("s", "s2"))).withColumn("f2", F.expr(fold("s2", "s")))
+    differ = "aggregate(zip_with(f, f2, (x, y) -> bit_count(x ^ y)), 0, (acc, x) -> acc + x)"
     c = _need("n", "n2", threshold)
     likely = staged(met.filter(f"{c} <= least(n, n2) and {differ} <= n + n2 - 2 * {c}").select("a", "b").distinct())
     first = staged(_compared(rows, likely.groupBy("a").agg(F.min("b").alias("b")), k, threshold))
@@ -307,13 +311,14 @@ def _large_links(rows: DataFrame, sketches: DataFrame, frequent: Broadcast, boun
     # the count looks at every column, so that it and the join read one and the same shuffle
     shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("doc").alias("d"), F.max("n").alias("x"), F.max("pos").alias("y")).filter("m > 1 and d is not null and x > 0 and y >= 0").select("token")
     open_ = staged(entries.join(shared, "token").withColumn("comp", F.col("doc")))
-    links, turn = None, 0
+    links, turn, before = None, 0, math.inf
     while True:
         size = open_.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m").cast("decimal(38,0)") * F.col("m")).alias("mm"))
         total = size.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("rows"), F.coalesce(F.sum((F.col("m").cast("decimal(38,0)") * F.col("m") - F.col("mm")) / 2), F.lit(0)).alias("pairs")).first()
         if not total["rows"]:
             return links
-        last = total["pairs"] <= PAIRS_PER_ROW * total["rows"] or turn == MOST_TURNS
+        last = turn == MOST_TURNS or (turn > 0 and (total["pairs"] <= PAIRS_PER_ROW * total["rows"] or total["rows"] > 0.9 * before))
+        before = total["rows"]
         entry = ["doc", "n", "pos", "comp"]
         if last:
             other = open_.select("token", *[F.col(c).alias(f"{c}2") for c in entry])
