@@ -39,9 +39,10 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dig
     full = F.sha2(F.col("text").cast("binary"), 256)
     hashed = staged(suspected.select(
         "doc_id", F.monotonically_increasing_id().alias("row"), full.alias("digest") if digests else F.when(F.col("suspect"), full).alias("digest"),
-        F.when(F.col("suspect"), F.lit(0)).otherwise(F.col("prefix")).alias("alone"), F.col("suspect"),
+        F.when(~F.col("suspect"), F.concat_ws("-", F.hex("prefix"), F.col("size"))).alias("alone"), F.col("suspect"),
     ))
-    key = F.when(F.col("suspect"), F.col("digest")).otherwise(F.hex("alone")).alias("key")
+    # a row that is no suspect is the only one with its length and prefix hash
+    key = F.coalesce("alone", "digest").alias("key")
     hashed = hashed.select("doc_id", "row", "digest", key)
     best = F.max(F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "row")).alias("best")
     groups = hashed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), best).filter("n > 1")

@@ -13,6 +13,8 @@ changes no result and keeps long runs linear. A null text is empty; an empty tex
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,15 +42,19 @@ CONTEXT_CHARS, CONTEXT_SCORE, MIN_SCORE = 48, 0.2, 0.5
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 
 
-def _places(text: Column, pattern: str) -> Column:
-    """array<struct<value, start, end>> of all matches, leftmost first, none overlapping."""
+def _places(text: Column, pattern: str, valid: Callable[[Column], Column]) -> Column:
+    """array<struct<value, start, end>> of the valid ones among all matches, leftmost first, none overlapping.
+
+    Only valid spans are appended: a text full of numbers costs no more than its length.
+    """
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<value:string,start:bigint,end:bigint>>").alias("out"))
 
     def step(acc: Column, pair: Column) -> Column:
         start = acc["at"] + F.length(pair["gap"])
         end = start + F.length(pair["value"])
-        return F.struct(end.cast("bigint").alias("at"), F.concat(acc["out"], F.array(F.struct(pair["value"].alias("value"), start.cast("bigint").alias("start"), end.cast("bigint").alias("end")))).alias("out"))
+        more = F.concat(acc["out"], F.array(F.struct(pair["value"].alias("value"), start.cast("bigint").alias("start"), end.cast("bigint").alias("end"))))
+        return F.struct(end.cast("bigint").alias("at"), F.when(valid(pair["value"]), more).otherwise(acc["out"]).alias("out"))
 
     pairs = F.filter(F.arrays_zip(found.alias("value"), between.alias("gap")), lambda p: p["value"].isNotNull())
     return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
@@ -104,7 +110,7 @@ def _spans(text: Column, kind: str) -> Column:
         bonus = F.when(near.rlike(rf"(?i)\b(?:{CONTEXT[kind]})\b"), CONTEXT_SCORE).otherwise(0.0)
         return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.round(F.lit(CONFIDENCE[kind]) + bonus, 2).alias("score"))
 
-    valid = F.transform(F.filter(_places(text, pattern), lambda s: _valid(kind, s["value"])), scored)
+    valid = F.transform(_places(text, pattern, lambda value: _valid(kind, value)), scored)
     if kind not in BASE:
         valid = F.filter(valid, lambda s: s["score"] >= MIN_SCORE)
     return F.when(may, valid).otherwise(none)
