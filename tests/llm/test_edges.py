@@ -109,7 +109,10 @@ def test_rules(spark, docs, none, rows):
 
 def test_secrets(docs, none, rows):
     found = secret_scan.scan(docs)
-    count = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).alias(k) for k in secret_scan.BASE]
+    def counted(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).alias(kind)
+
+    count = [counted(k) for k in secret_scan.BASE]
     same(got(found, "doc_id", *count, F.sha2(secret_scan.shown("base"), 256)), brute.op10(rows))
     spans = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in found.collect()}
     assert "opaque" in spans[14] and "endpoint" in spans[14] and spans[15] == []  # alone, a weak candidate is not reported
