@@ -42,7 +42,8 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def _shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's checkpoint folder.
 
-    Only where the cluster names none (tests on one machine) a local folder is made.
+    Only on one machine (tests) a local folder is made where none is named; on a cluster that is an error,
+    as executors would write to their own disks.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -50,6 +51,9 @@ def _shared_root(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return os.path.dirname(current.rstrip("/"))
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return tempfile.mkdtemp(prefix="lakewarden-")
 
 
