@@ -326,16 +326,16 @@ RBAC_MATRIX = {
     "audit": {"read": "admin"},
     "lineage": {"read": "data_analyst", "write": "data_steward"},
 }
-# What the central policy adds to the local matrix.
-OPA_ADDITIONS = {
-    "column": {"delete": "data_steward"},
-    "source": {"hydrate": "admin"},
-    "user": {"delete": "admin"},
-    "classification": {"read": "data_analyst", "override": "data_steward"},
-}
+# Matrix of the central policy.
 OPA_MATRIX = {
-    resource: {**RBAC_MATRIX.get(resource, {}), **OPA_ADDITIONS.get(resource, {})}
-    for resource in [*RBAC_MATRIX, *(r for r in OPA_ADDITIONS if r not in RBAC_MATRIX)]
+    "asset": {"read": "viewer", "read_sensitive": "data_analyst", "read_pii": "data_steward", "write": "data_steward", "delete": "admin"},
+    "column": {"read": "viewer", "read_pii_value": "admin", "write": "data_steward", "delete": "data_steward"},
+    "term": {"read": "viewer", "write": "data_steward", "delete": "data_steward"},
+    "source": {"read": "data_steward", "write": "admin", "delete": "admin", "hydrate": "admin"},
+    "user": {"read": "admin", "write": "admin", "delete": "admin"},
+    "audit": {"read": "admin"},
+    "lineage": {"read": "data_analyst", "write": "data_steward"},
+    "classification": {"read": "data_analyst", "override": "data_steward"},
 }
 
 # --------------------------------------------------------------------------
