@@ -36,7 +36,7 @@ K = 5
 THRESHOLD = Fraction(4, 5)
 MOST_SMALL = 16
 FREQUENT_SHARE = 1000
-SKETCH_WORDS, SKETCH_BITS = 4, 4  # least words of a sketch, bits per element
+SKETCH_WORDS, SKETCH_BITS = 4, 1  # least words of a sketch, bits per element
 SLACK = 4
 PAIRS_PER_ROW = 8
 MOST_TURNS = 4
