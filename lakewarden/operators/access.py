@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions.scalars import role_rank, sensitivity_rank
+from ..functions.scalars import role_rank
 
 MATRICES = {"rbac": vocab.RBAC_MATRIX, "opa": vocab.OPA_MATRIX}
 
@@ -75,10 +75,12 @@ def permission_matrix(spark: SparkSession, matrix: str = "rbac") -> DataFrame:
 
 
 def visible_assets(assets: DataFrame, role: str) -> DataFrame:
-    """What a role may see: viewers stop below CONFIDENTIAL."""
+    """What a role may see: viewers all but the levels the policy denies by name, unknown roles nothing."""
+    if role not in vocab.ROLES:
+        return assets.filter(F.lit(False))
     if vocab.ROLES.index(role) >= vocab.ROLES.index("data_analyst"):
         return assets
-    return assets.filter(sensitivity_rank("sensitivity_level") < vocab.SENSITIVITY.index("CONFIDENTIAL"))
+    return assets.filter(~F.coalesce(F.col("sensitivity_level").isin("CONFIDENTIAL", "RESTRICTED"), F.lit(False)))
 
 
 def user_search(users: DataFrame, q: str | None = None, role: str | None = None, is_active: bool | None = None) -> DataFrame:

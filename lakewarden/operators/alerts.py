@@ -76,20 +76,18 @@ def histogram_quantile(events: DataFrame, value: str, q: float, seconds: int, ke
 
 
 def sliding_ratio(events: DataFrame, is_error: Column, window_seconds: int, step_seconds: int, keys: Sequence[str] = (), time_col: str = "ts") -> DataFrame:
-    """Error ratio over sliding windows, evaluated at every step.
+    """Error ratio over sliding windows, at every step whose window holds an event.
 
-    A RANGE frame over the step buckets: events are counted once, not once per
-    overlapping window. ``at`` is the end of the evaluated window.
+    Each step's counts go to the evaluations that look back on it, at most window / step of them, and are
+    summed there with map-side combine: idle steps are evaluated as well, and no series runs through one task.
+    ``at`` is the end of the evaluated window.
     """
     if window_seconds % step_seconds:
         raise ValueError("the window must be a multiple of the step")
     per_step = bucketed(events, step_seconds, keys, time_col, {"errors": F.count_if(is_error)})
-    series = list(keys) or [F.lit(0)]
-    frame = Window.partitionBy(*series).orderBy("bucket").rangeBetween(step_seconds - window_seconds, 0)
-    return per_step.select(
-        *keys, (F.col("bucket") + step_seconds).alias("at"),
-        F.sum("errors").over(frame).alias("errors"), F.sum("n").over(frame).alias("total"),
-    ).withColumn("ratio", F.col("errors") / F.col("total"))
+    at = F.explode(F.sequence(F.col("bucket") + step_seconds, F.col("bucket") + window_seconds, F.lit(step_seconds).cast("bigint")))
+    seen = per_step.select(*keys, at.alias("at"), "errors", "n").groupBy(*keys, "at").agg(F.sum("errors").alias("errors"), F.sum("n").alias("total"))
+    return seen.withColumn("ratio", F.col("errors") / F.col("total"))
 
 
 def firing(grid: DataFrame, keys: Sequence[str], at: str, condition: Column, step_seconds: int, hold_seconds: int) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.scalars import col_of, highest, literal_array, luhn_ok, pick, role_rank, sensitivity_name, sensitivity_rank
-from ..sources.readers import spread
 
 
 def _best_rule(rules: Sequence[vocab.Rule], hits: Sequence[Column]) -> Column:
@@ -227,7 +226,7 @@ def value_scan(df: DataFrame, table: str, columns: Sequence[str], patterns: Sequ
                 valid.alias("checksum_valid"),
             ))
     return (
-        spread(df.select(*columns)).select(*found).agg(*aggs)
+        df.select(*found).agg(*aggs)
         .select(F.lit(table).alias("table_name"), "_rows", F.inline(F.array(*entries)))
         .withColumn("match_rate", F.when(F.col("_rows") > 0, F.round(F.col("rows_with_hit") / F.col("_rows"), 6)))
         .drop("_rows")

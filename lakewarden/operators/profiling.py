@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 from .. import vocab
 from ..functions.rows import top_k
 from ..sources.discovery import profiled_fields
-from ..sources.readers import spread
 
 # Values longer than this travel through the shuffle as their SHA-256 digest.
 INLINE_LENGTH = 64
@@ -59,7 +58,9 @@ def basic_stats(df: DataFrame, table: str, approx_distinct: bool = False, rsd: f
             aggs += [f"{_as_text(f'min({value})', type_name)} AS lo{i}", f"{_as_text(f'max({value})', type_name)} AS hi{i}"]
             low, high = f"lo{i}", f"hi{i}"
         if is_numeric(type_name):
-            aggs.append(f"avg(CAST({value} AS DOUBLE)) AS avg{i}")
+            # whole numbers are summed exactly; a double sum would lose digits of large keys
+            exact = f"CAST(sum(CAST({value} AS DECIMAL(38, 0))) AS DOUBLE) / count({value})"
+            aggs.append(f"{exact if type_name in _INTEGERS else f'avg(CAST({value} AS DOUBLE))'} AS avg{i}")
             mean = f"avg{i}"
         if approx_distinct:
             aggs.append(f"approx_count_distinct({path}, {rsd}D) AS d{i}")
@@ -79,7 +80,7 @@ def long_values(df: DataFrame, table: str, columns: Sequence[str] | None = None)
     fields = [f for f in profiled_fields(df) if columns is None or f[0] in columns]
     keys = []
     for i, (_, type_name, path) in enumerate(fields):
-        text = f"CAST({path} AS STRING)"
+        text = f"CAST({path} + 0D AS STRING)" if type_name in _REALS else f"CAST({path} AS STRING)"  # minus zero is zero
         keys.append(f"CASE WHEN length({text}) <= {INLINE_LENGTH} THEN {text} ELSE concat('sha256:', sha2({text}, 256)) END AS c{i}" if type_name == "string" else f"{text} AS c{i}")
     pairs = ", ".join(f"{_text(name)}, c{i}" for i, (name, _, _) in enumerate(fields))
     long = df.selectExpr(*keys).selectExpr(f"stack({len(fields)}, {pairs}) AS (column_name, value_key)")
@@ -188,7 +189,7 @@ def profile_table(df: DataFrame, table: str, mode: str = "exact") -> DataFrame:
     if mode == "approx":
         return basic_stats(df, table, approx_distinct=True)
     stats = basic_stats(df, table)
-    distinct = distinct_counts(value_counts(spread(df), table)).drop("table_name")
+    distinct = distinct_counts(value_counts(df, table)).drop("table_name")
     return stats.join(distinct, "column_name", "left").fillna(0, ["distinct_count"]).select(*stats.columns, "distinct_count")
 
 
@@ -207,7 +208,7 @@ def hydrate(tables: dict[str, DataFrame], mode: str = "exact", check: bool = Fal
                 profile_table(df, name, mode).write.format("noop").mode("overwrite").save()
             one = basic_stats(df, name, approx_distinct=mode == "approx")
             if mode != "approx":
-                values.append(long_values(spread(df), name))
+                values.append(long_values(df, name))
             stats.append(one)
         except Exception as exc:  # noqa: BLE001 - partial results beat none
             errors.append((name, str(exc).splitlines()[0]))

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import scalars as S
-
 from ..functions.rows import split_parts
 from ..operators import catalog, classification, enrichment, glossary, quality
 from ..session import scratch_dir
+from ..sources.readers import lake
 from . import derived as d
+from .profiles import LAKE_COLUMNS
 from .registry import query
 
 _ID = ("asset_key", "ordinal")
@@ -134,7 +135,7 @@ def d15(spark, root):
     return c.groupBy("category", classification.default_level("category").alias("default_level"), "sensitivity_level").agg(F.count(F.lit(1)).alias("columns"))
 
 
-_SCAN_TABLES = {"documents": ["text"], "pages": ["html"], "conversations": ["text"]}
+_SCAN_TABLES = {t: [c.split(":")[0] for c in cs.split() if c.endswith(":s")] for t, cs in LAKE_COLUMNS.items() if ":s" in cs}
 
 
 def _scan_sql(t, c, category, pattern):
@@ -145,10 +146,12 @@ def _scan_sql(t, c, category, pattern):
 
 @query("d16_value_scan", " UNION ALL ".join(_scan_sql(t, c, cat, p) for t, cs in _SCAN_TABLES.items() for c in cs for cat, p in vocab.VALUE_SCAN))
 def d16(spark, root):
+    """Every string column of the lake, as the tables' schemas name them."""
     out = None
-    for t, cols in _SCAN_TABLES.items():
-        one = classification.value_scan(d.table(spark, root, t).select(*cols), t, cols)
-        out = one if out is None else out.unionByName(one)
+    for t, df in lake(spark, root).items():
+        if cols := [f.name for f in df.schema if f.dataType.simpleString() == "string"]:
+            one = classification.value_scan(df, t, cols)
+            out = one if out is None else out.unionByName(one)
     return out
 
 

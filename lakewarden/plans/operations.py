@@ -244,14 +244,16 @@ def l6(spark, root):
 
 @query("l7_budget_burn", f"""
     WITH per AS (SELECT {_bucket(300)} AS bucket, count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS e FROM events GROUP BY 1),
-    w AS (SELECT bucket + 300 AS "at", sum(e) OVER h AS e1, sum(n) OVER h AS n1, sum(e) OVER s AS e6, sum(n) OVER s AS n6 FROM per WINDOW h AS (ORDER BY bucket RANGE BETWEEN 3300 PRECEDING AND CURRENT ROW), s AS (ORDER BY bucket RANGE BETWEEN 21300 PRECEDING AND CURRENT ROW))
+    grid AS (SELECT unnest(range((SELECT min(bucket) FROM per) + 300, (SELECT max(bucket) FROM per) + 21601, 300)) AS "at"),
+    w AS (SELECT "at", sum(e) FILTER (WHERE bucket >= "at" - 3600) AS e1, sum(n) FILTER (WHERE bucket >= "at" - 3600) AS n1, sum(e) AS e6, sum(n) AS n6
+          FROM grid JOIN per ON bucket >= "at" - 21600 AND bucket < "at" GROUP BY 1)
     SELECT "at", round(e1 / n1, 6) AS ratio_1h, round(e6 / n6, 6) AS ratio_6h, e1 / n1 > 14.4 * 0.0001 AS fast_burn, e6 / n6 > 6 * 0.0001 AS slow_burn FROM w""")
 def l7(spark, root):
-    """Error-budget burn over one and six hours, evaluated every five minutes."""
+    """Error-budget burn over one and six hours, evaluated every five minutes, idle ones too."""
     e = d.events(spark, root)
     fast = alerts.sliding_ratio(e, _error(), 3600, 300).select("at", F.round("ratio", 6).alias("ratio_1h"), (F.col("ratio") > 14.4 * 0.0001).alias("fast_burn"))
     slow = alerts.sliding_ratio(e, _error(), 21600, 300).select("at", F.round("ratio", 6).alias("ratio_6h"), (F.col("ratio") > 6 * 0.0001).alias("slow_burn"))
-    return fast.join(slow, "at").select("at", "ratio_1h", "ratio_6h", "fast_burn", "slow_burn")
+    return slow.join(fast, "at", "left").select("at", "ratio_1h", "ratio_6h", "fast_burn", "slow_burn")
 
 
 @query("l8_availability", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS total, count(*) FILTER (WHERE event_type = 'error') AS errors, round(100.0::DOUBLE * (1 - count(*) FILTER (WHERE event_type = 'error') / count(*)), 6) AS availability_pct FROM events GROUP BY 1 UNION ALL SELECT 'all', count(*), count(*) FILTER (WHERE event_type = 'error'), round(100.0::DOUBLE * (1 - count(*) FILTER (WHERE event_type = 'error') / count(*)), 6) FROM events")

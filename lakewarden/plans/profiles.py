@@ -11,7 +11,7 @@ from .. import vocab
 from ..operators import profiling, quality
 from ..session import cut_lineage, scratch_dir, use_utc
 from ..sources import discovery, sinks
-from ..sources.readers import LAKE_TABLES, lake, spread
+from ..sources.readers import LAKE_TABLES, lake
 from . import derived as d
 from .registry import query
 
@@ -57,7 +57,7 @@ def _value_key(kind: str, column: str) -> str:
 
 
 def _counts(spark, root, tables) -> DataFrame:
-    longs = [profiling.long_values(spread(df), name) for name, df in lake(use_utc(spark), root, tables).items()]
+    longs = [profiling.long_values(df, name) for name, df in lake(use_utc(spark), root, tables).items()]
     return profiling.count_values(reduce(DataFrame.unionByName, longs))
 
 
@@ -65,9 +65,9 @@ def _stats(spark, root, tables=LAKE_TABLES) -> DataFrame:
     return reduce(DataFrame.unionByName, [profiling.basic_stats(df, name) for name, df in lake(use_utc(spark), root, tables).items()])
 
 
-def _settled(mean: str):
-    """Mean to six decimals after a nudge of 1e-12, so an exact tie does not hang on the order of summation."""
-    return F.round(F.col(mean) * F.lit(1 + 1e-12), 6)
+def _mean():
+    """Mean to six decimals, after ten: so a printed half does not hang on the order in which doubles were added."""
+    return F.round(F.round("avg_value", 10), 6)
 
 
 # ---- A: sources, discovery, sinks ------------------------------------------
@@ -239,9 +239,9 @@ def b4(spark, root):
     return _stats(spark, root).filter(F.col("min_value").isNotNull()).select("table_name", "column_name", "min_value", "max_value")
 
 
-@query("b5_averages", _each(lambda t, c, k: f'SELECT \'{t}\' AS table_name, \'{c}\' AS column_name, round(avg("{c}") * (1 + 1e-12::DOUBLE), 6) AS avg_value FROM {t}', kinds="nr"))
+@query("b5_averages", _each(lambda t, c, k: f'SELECT \'{t}\' AS table_name, \'{c}\' AS column_name, round(round(avg("{c}"), 10), 6) AS avg_value FROM {t}', kinds="nr"))
 def b5(spark, root):
-    return _stats(spark, root).filter(F.col("avg_value").isNotNull()).select("table_name", "column_name", _settled("avg_value").alias("avg_value"))
+    return _stats(spark, root).filter(F.col("avg_value").isNotNull()).select("table_name", "column_name", _mean().alias("avg_value"))
 
 
 _TOP_TABLES = tuple(t for t in LAKE_TABLES)
@@ -257,7 +257,7 @@ def _top_sql(order: str, with_n: bool) -> str:
 def _ranked(spark, root, rank) -> DataFrame:
     """Ranks the values of all tables together, then puts whole texts back table by table."""
     tables = lake(use_utc(spark), root, _TOP_TABLES)
-    longs = [profiling.long_values(spread(df), name, [c for c, k in _cols(name) if k in "ns"]) for name, df in tables.items()]
+    longs = [profiling.long_values(df, name, [c for c, k in _cols(name) if k in "ns"]) for name, df in tables.items()]
     ranked = cut_lineage(rank(profiling.count_values(reduce(DataFrame.unionByName, longs))))
     with_text = [n for n in _TOP_TABLES if any(f.dataType.simpleString() == "string" for f in tables[n].schema)]
     out = [profiling.with_full_text(ranked.filter(F.col("table_name") == n), tables[n]) for n in with_text]
@@ -314,14 +314,14 @@ def b9(spark, root):
 _HYDRATE_SQL = _each(lambda t, c, k: f"""
     SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS row_count, count(*) - count("{c}") AS null_count, count(DISTINCT "{c}") AS distinct_count,
            {_text(k, f'min("{c}")') if k in "nrt" else "NULL"} AS min_value, {_text(k, f'max("{c}")') if k in "nrt" else "NULL"} AS max_value,
-           {f'round(avg("{c}") * (1 + 1e-12::DOUBLE), 6)' if k in "nr" else "NULL"} AS avg_value FROM {t}""")
+           {f'round(round(avg("{c}"), 10), 6)' if k in "nr" else "NULL"} AS avg_value FROM {t}""")
 
 
 @query("b10_full_profile", _HYDRATE_SQL)
 def b10(spark, root):
     """Every column of every table. Tables that cannot be analysed are skipped and reported by `hydrate`."""
     profile, _errors = profiling.hydrate(lake(use_utc(spark), root))
-    return profile.select("table_name", "column_name", "row_count", "null_count", "distinct_count", "min_value", "max_value", _settled("avg_value").alias("avg_value"))
+    return profile.select("table_name", "column_name", "row_count", "null_count", "distinct_count", "min_value", "max_value", _mean().alias("avg_value"))
 
 
 @query("b11_run_summary", f"""SELECT CAST(1 AS BIGINT) AS schemas_discovered, count(DISTINCT table_name) AS tables_discovered, count(*) AS columns_discovered,

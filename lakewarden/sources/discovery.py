@@ -140,11 +140,18 @@ def column_scan(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
 
 def profiled_fields(df: DataFrame) -> list[tuple[str, str, str]]:
     """(dotted name, type, expression) of the leaves statistics are computed for: no arrays, maps or structs."""
-    return [
-        (r[2], r[3], ".".join(f"`{part}`" for part in r[2].split(".")))
-        for r in schema_rows("", df.schema)
-        if r[9]
-    ]
+    out: list[tuple[str, str, str]] = []
+
+    def walk(fields, path: tuple[str, ...]) -> None:
+        for f in fields:
+            here = (*path, f.name)
+            if isinstance(f.dataType, T.StructType):
+                walk(f.dataType.fields, here)
+            elif not isinstance(f.dataType, (T.ArrayType, T.MapType)):
+                out.append((".".join(here), f.dataType.simpleString(), ".".join(f"`{part.replace('`', '``')}`" for part in here)))
+
+    walk(df.schema.fields, ())
+    return out
 
 
 # ---- keys -----------------------------------------------------------------
@@ -182,25 +189,24 @@ def inclusion_dependencies(tables: dict[str, DataFrame], columns: list[tuple[str
     Every value carries a bit mask of the columns it occurs in; A is contained in
     B when the AND of the masks of A's values has bit B. One shuffle keyed by
     value with map-side OR, then a handful of bytes per task, for any number of
-    pairs. At most 63 columns per call.
+    pairs. Masks are as many words of 63 bits as the columns need.
     """
-    if len(columns) > 63:
-        raise ValueError("at most 63 columns per call")
+    words = range((len(columns) + 62) // 63)
     stacked = None
     for bit, (table, column) in enumerate(columns):
-        one = tables[table].select(F.col(column).cast("string").alias("value"), F.lit(1 << bit).cast("bigint").alias("mask"))
+        one = tables[table].select(F.col(column).cast("string").alias("value"), *[F.lit(1 << bit % 63 if w == bit // 63 else 0).cast("bigint").alias(f"mask{w}") for w in words])
         stacked = one if stacked is None else stacked.unionByName(one)
-    per_value = stacked.filter(F.col("value").isNotNull()).groupBy("value").agg(F.bit_or("mask").alias("mask"))
+    per_value = stacked.filter(F.col("value").isNotNull()).groupBy("value").agg(*[F.bit_or(f"mask{w}").alias(f"mask{w}") for w in words])
     aggs = []
     for bit in range(len(columns)):
-        has = F.col("mask").bitwiseAND(F.lit(1 << bit)) != 0
-        aggs.append(F.bit_and(F.when(has, F.col("mask"))).alias(f"m{bit}"))
+        has = F.getbit(f"mask{bit // 63}", F.lit(bit % 63)) == 1
+        aggs += [F.bit_and(F.when(has, F.col(f"mask{w}"))).alias(f"m{bit}_{w}") for w in words]
         aggs.append(F.count_if(has).alias(f"n{bit}"))
     summary = per_value.agg(*aggs)
     per_column = F.array(*[
         F.struct(
             F.lit(bit).alias("_bit"), F.lit(table).alias("table_name"), F.lit(column).alias("column_name"),
-            F.col(f"n{bit}").cast("bigint").alias("distinct_values"), F.coalesce(F.col(f"m{bit}"), F.lit(0)).alias("_common"),
+            F.col(f"n{bit}").cast("bigint").alias("distinct_values"), F.array(*[F.coalesce(F.col(f"m{bit}_{w}"), F.lit(0).cast("bigint")) for w in words]).alias("_common"),
         )
         for bit, (table, column) in enumerate(columns)
     ])
@@ -208,5 +214,5 @@ def inclusion_dependencies(tables: dict[str, DataFrame], columns: list[tuple[str
     pairs = summary.select(F.inline(per_column)).select("*", F.inline(others)).filter(F.col("_bit") != F.col("_other"))
     return pairs.select(
         "table_name", "column_name", "referenced_table", "referenced_column", "distinct_values",
-        (F.getbit("_common", F.col("_other")) == 1).alias("is_contained"),
+        (F.getbit(F.get("_common", F.floor(F.col("_other") / 63).cast("int")), F.col("_other") % 63) == 1).alias("is_contained"),
     )

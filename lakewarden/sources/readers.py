@@ -107,15 +107,3 @@ def lake_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def lake(spark: SparkSession, root: str, names=LAKE_TABLES) -> dict[str, DataFrame]:
     return {name: lake_table(spark, root, name) for name in names}
-
-
-def spread(df: DataFrame, most: int = 64) -> DataFrame:
-    """Deals the rows of a short table out over the cores before CPU-heavy work.
-
-    A table in a handful of splits (often one row group) keeps most cores idle. Tables
-    of one split are too small to gain; tables of ``most`` splits or as many as there are
-    cores are parallel already, and for them no shuffle is planned.
-    """
-    cores = min(df.sparkSession.sparkContext.defaultParallelism, most)
-    splits = df.rdd.getNumPartitions()
-    return df.repartition(cores) if 1 < splits < cores else df

@@ -128,14 +128,14 @@ CATEGORIES = (
 
 # The value patterns above without anchors, for scanning whole texts.
 VALUE_SCAN = (
-    ("SSN", r"\d{3}-\d{2}-\d{4}"),
+    ("SSN", r"\d{3}-?\d{2}-?\d{4}"),
+    ("TAX_ID", r"\d{2}-?\d{7}"),
     ("CREDIT_CARD", r"\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}"),
     ("EMAIL", r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"),
+    ("PHONE", r"[\+\d\s\(\)\-]{7,20}"),
     ("DATE_OF_BIRTH", r"\d{4}[-/]\d{2}[-/]\d{2}"),
-    ("IP_ADDRESS", r"(?:\d{1,3}\.){3}\d{1,3}"),
-    ("TAX_ID", r"\b\d{2}-\d{7}\b"),
-    ("ZIP_CODE", r"\b\d{5}-\d{4}\b"),
-    ("PASSPORT", r"\b[A-Z]{1,2}\d{6,9}\b"),
+    ("ZIP_CODE", r"\d{5}(-\d{4})?"),
+    ("IP_ADDRESS", r"(\d{1,3}\.){3}\d{1,3}"),
 )
 
 # --------------------------------------------------------------------------

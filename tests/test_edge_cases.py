@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lakewarden import vocab
 from lakewarden.functions import rows as R
-from lakewarden.operators import alerts, audit, catalog, classification, enrichment, lineage, profiling, quality, transforms
+from lakewarden.operators import access, alerts, audit, catalog, classification, enrichment, lineage, profiling, quality, transforms
 from lakewarden.plans import derived as d
 from lakewarden.session import scratch_dir
 from lakewarden.sources import discovery, readers, sinks
@@ -148,6 +148,33 @@ def test_inclusion_dependencies(spark):
     assert got[("x", "y")] and not got[("y", "x")]
 
 
+def test_any_number_of_key_columns(spark):
+    df = spark.range(3).select(*[(F.col("id") + int(i == 69)).alias(f"k{i}") for i in range(70)])
+    got = {(r.column_name, r.referenced_column): r.is_contained for r in discovery.inclusion_dependencies({"t": df}, [("t", c) for c in df.columns]).collect()}
+    assert len(got) == 70 * 69 and got[("k0", "k68")] and got[("k68", "k0")]
+    assert not got[("k0", "k69")] and not got[("k69", "k68")]
+
+
+def test_large_keys_minus_zero_and_dotted_names(spark):
+    df = spark.range(300000000000, 300000000010).select(F.col("id").alias("a.b"), F.when(F.col("id") % 2 == 0, -0.0).otherwise(0.0).alias("z"))
+    got = {r.column_name: r for r in profiling.profile_table(df, "t").collect()}
+    assert got["a.b"].avg_value == 300000000004.5 and got["a.b"].distinct_count == 10
+    assert got["z"].distinct_count == 1
+
+
+def test_visibility_by_role_and_level(spark):
+    a = spark.createDataFrame([("PUBLIC",), ("CONFIDENTIAL",), ("RESTRICTED",), ("ODD",), (None,)], "sensitivity_level string")
+    assert {r[0] for r in access.visible_assets(a, "viewer").collect()} == {"PUBLIC", "ODD", None}
+    assert access.visible_assets(a, "data_analyst").count() == 5
+    assert access.visible_assets(a, "nobody").count() == 0
+
+
+def test_idle_steps_are_evaluated(spark):
+    e = spark.sql("SELECT timestamp_seconds(x) AS ts, x = 0 AS bad FROM VALUES (0L), (1500L) AS t(x)")
+    got = {r["at"]: (r.errors, r.total) for r in alerts.sliding_ratio(e, F.col("bad"), 900, 300).collect()}
+    assert got == {300: (1, 1), 600: (1, 1), 900: (1, 1), 1800: (0, 1), 2100: (0, 1), 2400: (0, 1)}
+
+
 def test_nested_and_repeated_fields(spark):
     df = spark.createDataFrame([], "a int, r struct<b:int,s:struct<c:string>>, l array<struct<q:int>>, m map<string,int>")
     names = [(r[2], r[9]) for r in discovery.schema_rows("t", df.schema)]
