@@ -152,21 +152,21 @@ def components(links: DataFrame) -> DataFrame:
     """node, component (the least node reachable) of the nodes of ``links`` (a, b), but for the least nodes themselves.
 
     Each round points larger neighbours of a node at its least neighbour, then all smaller ones, so chains
-    shrink by half or more; every round is written to the shared folder.
+    shrink by half or more; every round is written to the shared folder. It ends when all edges are stars: no node
+    has two parents, or is parent and child. Edges that are stars from the start take no round.
     """
     edges = staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    before = None
     while True:
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("child")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("child")))
+        loose = ends.groupBy("node").agg(F.sum("child").alias("parents"), F.count(F.lit(1)).alias("n")).agg(F.max((F.col("parents") > 1) | ((F.col("parents") == 1) & (F.col("n") > 1)))).first()[0]
+        if not loose:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         beside = large.join(lowest, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = staged(beside.unionByName(lowest.select("a", F.col("m").alias("b"))).distinct())
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        before = state
 
 
 def _subsets(sets: DataFrame, boundary: int, threshold: Fraction) -> DataFrame:
@@ -248,7 +248,7 @@ def _some(ids: DataFrame) -> DataFrame:
 def _elements(rows: DataFrame, asked: DataFrame, k: int, wide: bool) -> DataFrame:
     """The columns of ``asked`` (doc, ...) and the set of each asked document: whole hashes, or 32 bits of each."""
     names = [c for c in asked.columns if c != "doc"]
-    met = rows.join(_some(asked.withColumnRenamed("doc", "doc_id")), "doc_id").select("doc_id", "text", *names)
+    met = rows.join(asked.withColumnRenamed("doc", "doc_id"), "doc_id").select("doc_id", "text", *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -269,10 +269,13 @@ def _compared(rows: DataFrame, pairs: DataFrame, k: int, threshold: Fraction) ->
 
     The set of a travels to that of b. Sets go as 32 bits of each hash, which tells all pairs but those
     within ``SLACK`` of the least intersection (chance hits are about n * n / 2**32); these go once more with all 64 bits.
+    Up to ``BROADCAST_IDS`` pairs, ids go to the texts; more meet them in a shuffle.
     """
     def met(wanted: DataFrame, wide: bool) -> DataFrame:
-        left = _elements(rows, wanted.select(F.col("a").alias("doc"), "b"), k, wide).toDF("a", "b", "x")
-        right = _elements(rows, wanted.select(F.col("b").alias("doc")).distinct(), k, wide).toDF("b", "y")
+        few = wanted.count() <= BROADCAST_IDS
+        sent = F.broadcast if few else (lambda ids: ids)
+        left = _elements(rows, sent(wanted.select(F.col("a").alias("doc"), "b")), k, wide).toDF("a", "b", "x")
+        right = _elements(rows, sent(wanted.select(F.col("b").alias("doc")).distinct()), k, wide).toDF("b", "y")
         sizes = left.join(right, "b").select("a", "b", F.expr("size(array_intersect(x, y))").alias("common"), F.expr("size(x)").alias("n"), F.expr("size(y)").alias("n2"))
         return sizes.withColumn("over", F.expr(f"common - {_need('n', 'n2', threshold)}"))
 
@@ -284,24 +287,31 @@ def _compared(rows: DataFrame, pairs: DataFrame, k: int, threshold: Fraction) ->
     return sure.unionByName(met(near, True).filter("over >= 0").select("a", "b")).distinct()
 
 
-def _verified(rows: DataFrame, sketches: DataFrame, pairs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
-    """Links among the pairs (a, b), as many as join the same components as all of them.
-
-    Sizes and sketches (a lower bound of the difference) come first. Then each document is compared with one
-    partner, and the pairs whose ends are still in different components after that, one by one.
-    """
+def _likely(sketches: DataFrame, pairs: DataFrame, threshold: Fraction) -> DataFrame:
+    """The distinct pairs (a, b) that sizes and sketches (a lower bound of the difference) do not rule out."""
     met = pairs.distinct().join(sketches.toDF("a", "n", "s"), "a").join(sketches.toDF("b", "n2", "s2"), "b")
     # parities of hash buckets, a power of two in number: the longer sketch is folded to the shorter one
     fold = lambda x, y: f"case when size({x}) > size({y}) then transform(sequence(1, size({y})), i -> aggregate(sequence(i, size({x}), size({y})), 0L, (acc, j) -> acc ^ {x}[j - 1])) else {x} end"
     met = met.withColumn("f", F.expr(fold("s", "s2"))).withColumn("f2", F.expr(fold("s2", "s")))
     differ = "aggregate(zip_with(f, f2, (x, y) -> bit_count(x ^ y)), 0, (acc, x) -> acc + x)"
     c = _need("n", "n2", threshold)
-    likely = staged(met.filter(f"{c} <= least(n, n2) and {differ} <= n + n2 - 2 * {c}").select("a", "b").distinct())
-    first = staged(_compared(rows, likely.groupBy("a").agg(F.min("b").alias("b")), k, threshold))
+    return staged(met.filter(f"{c} <= least(n, n2) and {differ} <= n + n2 - 2 * {c}").select("a", "b").distinct())
+
+
+def _verified(rows: DataFrame, likely: DataFrame, k: int, threshold: Fraction, every: bool) -> DataFrame:
+    """Links among the staged pairs (a, b): of each document with one partner or, with ``every``, as many as join
+    the same components as all of them.
+
+    Then the pairs whose ends are still in different components after the first comparison follow, one by one.
+    """
+    one = staged(likely.groupBy("a").agg(F.min("b").alias("b")))
+    first = staged(_compared(rows, one, k, threshold))
+    if not every:
+        return first
     known = components(first)
     at = lambda end: known.select(F.col("node").alias(end), F.col("component").alias(f"in_{end}"))
     rest = likely.join(at("a"), "a", "left").join(at("b"), "b", "left").filter("coalesce(in_a, a) <> coalesce(in_b, b)").select("a", "b")
-    rest = staged(rest.join(likely.groupBy("a").agg(F.min("b").alias("b")), ["a", "b"], "left_anti"))  # those were compared
+    rest = staged(rest.join(one, ["a", "b"], "left_anti"))  # those were compared
     return first if rest.isEmpty() else first.unionByName(_compared(rows, rest, k, threshold))
 
 
@@ -329,12 +339,13 @@ def _large_links(rows: DataFrame, sketches: DataFrame, frequent: Broadcast, boun
         order = "(n > n2 or (n = n2 and doc > doc2))" if last else "doc <> doc2"
         met = open_.join(other, "token").filter(f"comp <> comp2 and {order} and greatest(n, n2) >= {boundary} and {_meets(threshold)}")
         pairs = met.select(F.greatest("doc", "doc2").alias("a"), F.least("doc", "doc2").alias("b"))
-        found = _verified(rows, sketches, pairs, k, threshold)
-        links = staged(found if links is None else links.unionByName(found))
+        found = _verified(rows, _likely(sketches, pairs, threshold), k, threshold, last)
+        links = found if links is None else links.unionByName(found)
         if last:
             return links
         turn += 1
         known = components(links)
+        links = known.toDF("a", "b")  # stars join what the links joined
         marked = open_.drop("comp").join(known, F.col("doc") == F.col("node"), "left").select("token", "doc", "n", "pos", F.coalesce("component", "doc").alias("comp"))
         mixed = marked.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
         open_ = staged(marked.join(mixed, "token"))
