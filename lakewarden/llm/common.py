@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_dir
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 TABLES = ("documents", "labels", "pages", "benchmark")
 
 

@@ -70,9 +70,13 @@ def _frequent(rows: DataFrame, n: int, k: int) -> np.ndarray:
         held, texts = [], 0
 
         def report() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= max(4, texts / (2 * FREQUENT_SHARE))
-            return pa.RecordBatch.from_arrays([pa.array(signed(values[often])), pa.array(counts[often])], ["shingle", "n"])
+            values = np.concatenate(held)
+            held.clear()
+            values.sort()
+            least = math.ceil(max(4, texts / (2 * FREQUENT_SHARE)))
+            often = np.unique(values[: max(0, len(values) - least + 1)][values[least - 1:] == values[: max(0, len(values) - least + 1)]])
+            counts = np.searchsorted(values, often, "right") - np.searchsorted(values, often, "left")
+            return pa.RecordBatch.from_arrays([pa.array(signed(often)), pa.array(counts)], ["shingle", "n"])
 
         for part in slices(batches):
             data, offsets = raw(part.column(0))
@@ -81,7 +85,7 @@ def _frequent(rows: DataFrame, n: int, k: int) -> np.ndarray:
             texts += part.num_rows
             if sum(map(len, held)) > 4_000_000:
                 yield report()
-                held, texts = [], 0
+                texts = 0
         if held:
             yield report()
 
