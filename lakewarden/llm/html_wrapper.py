@@ -8,7 +8,8 @@ distinct ones only, in salted groups and at last per host, so no task sees all p
 
 The wrapper tells where a host keeps its article: the ``article`` or ``main`` element it has, else the block
 whose own repeated text slots hold most text outside links. Menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and comments are dropped below it. Pages that lack the
+notices, adverts, forms, scripts, styles and comments are dropped below it: elements by their names, others by whole words
+of class, id or role that links or little text confirm; never ``html``, ``body``, articles, what holds one, headings or paragraphs. Pages that lack the
 place their host's wrapper names use the wrapper of the page itself.
 
 A null or empty page has an empty text; pages without a host form one group. Repeated rows get equal results.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import only, slices, staged, text_of
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9-]*)([^<>]*)>", re.S | re.I)
-MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+MARK = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
@@ -40,6 +41,11 @@ DROPPED_WORDS = {
     "ad", "ads", "advert", "advertisement", "banner", "sponsored", "promo", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "cookie", "cookies",
     "consent", "notice", "popup", "modal", "newsletter", "subscribe", "share", "social", "related", "comment", "comments", "disqus", "footer", "complementary", "contentinfo", "search",
 }
+#: Words that in an article are proof enough; the others need links beside them.
+ADVERTS = {"ad", "ads", "advert", "advertisement", "sponsored", "disqus", "navbar", "breadcrumb", "breadcrumbs", "complementary", "contentinfo"}
+ARTICLES = {"article", "main"}
+#: Elements to which the words never apply.
+PROTECTED = {"html", "body", "p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6"} | ARTICLES
 #: An element that ends when one of these begins beside it.
 CLOSED_BY = {"p": BLOCKS - {"option", "legend"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "table", "dl", "article", "main", "section", "div", "body", "select"}
@@ -49,12 +55,12 @@ BROADCAST_HOSTS = 200_000
 
 
 class Node:
-    """A block of a page: its label, texts and blocks in page order."""
+    """A block of a page: its label, the words that speak against it, texts and blocks in page order."""
 
-    __slots__ = ("label", "tag", "dropped", "items", "inside")
+    __slots__ = ("label", "tag", "dropped", "words", "items", "chars", "linked")
 
-    def __init__(self, label: str, tag: str, dropped: bool):
-        self.label, self.tag, self.dropped, self.items, self.inside = label, tag, dropped, [], []
+    def __init__(self, label: str, tag: str, dropped: bool, words: set[str] = frozenset()):
+        self.label, self.tag, self.dropped, self.words, self.items, self.chars, self.linked = label, tag, dropped, words, [], 0, 0
 
 
 def tree(page: str) -> Node:
@@ -102,15 +108,49 @@ def tree(page: str) -> Node:
                 break
             if stack[i].tag in SCOPES:
                 break
-        marks = " ".join(a or b or c for a, b, c in MARK.findall(m[4])).lower()
+        found = [(name.lower(), (a or b or c).lower()) for name, a, b, c in MARK.findall(m[4])]
+        marks = " ".join(value for _, value in found)
         label = f"{tag}.{marks}" if marks else tag
-        node = Node(label, tag, tag in DROPPED_TAGS or bool(DROPPED_WORDS & set(re.split(r"[^a-z0-9]+", marks))))
+        if tag in ARTICLES:
+            for holder in stack:
+                holder.words = frozenset()
+                holder.dropped = holder.dropped and holder.tag != "form"
+        node = Node(label, tag, tag in DROPPED_TAGS, frozenset() if tag in PROTECTED else DROPPED_WORDS.intersection(marks.split()))
         stack[-1].items.append(node)
         stack.append(node)
     text(page[at:])
+    settle(root)
     return root
 
 
+def settle(root: Node) -> None:
+    """Blocks whose class, id or role has a word of the list are dropped if something confirms it.
+
+    Links that are most of a block's text confirm it anywhere. Elsewhere than in an article or a section so does less than
+    half of the page's text; in these only with a word that means nothing else.
+    """
+    def measure(node: Node) -> None:
+        for item in node.items:
+            if isinstance(item, tuple):
+                n = len(" ".join(item[0].split()))
+                node.chars, node.linked = node.chars + n, node.linked + n * item[1]
+            elif not item.dropped:
+                measure(item)
+                node.chars, node.linked = node.chars + item.chars, node.linked + item.linked
+
+    def walk(node: Node, inside: bool) -> None:
+        for item in node.items:
+            if isinstance(item, Node) and not item.dropped:
+                within = inside or item.tag in ARTICLES or item.tag == "section"
+                if item.words:
+                    item.dropped = 2 * item.linked > item.chars or (2 * item.chars < root.chars and (not within or bool(item.words & ADVERTS)))
+                if not item.dropped:
+                    walk(item, within)
+
+    measure(root)
+    walk(root, False)
+
+
 # A wrapper is [label, tag, dropped, optional, repeated, text, chars, linked chars, [children]]
 LABEL, TAG, DROPPED, OPTIONAL, REPEATED, TEXT, CHARS, LINKED, CHILDREN = range(9)
 

@@ -92,6 +92,21 @@ def test_html(spark):
     assert got(html_wrapper.extract(df.limit(0))) == []
 
 
+def test_html_words_need_proof(spark):
+    body = "<p>a long first paragraph of the article</p><p>and a second one</p>"
+    pages = [
+        f'<body class="home no-sidebar search"><div class="content has-comments">{body}</div></body>',
+        f'<body><div class="menu"><article class="post has-comments related">{body}<h2 id="search">Search</h2><section id="notice"><p>Kept notice</p></section></article></div></body>',
+        f'<body><article>{body}<h2 id="related-work">Related</h2><div class="ad">buy</div><div class="related"><a href="/x">other page</a></div><div class="share">no link here</div></article></body>',
+        f'<body><form id="all"><main>{body}</main></form><div class="sidebar">aside</div></body>',
+    ]
+    start = "a long first paragraph of the article\nand a second one"
+    df = spark.createDataFrame([(i, f"http://h{i}/", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    assert got(html_wrapper.extract(df), "page_id", "text") == [
+        (0, start), (1, f"{start}\nSearch\nKept notice"), (2, f"{start}\nRelated\nno link here"), (3, start),
+    ]
+
+
 def test_packing(docs, none, rows):
     path = bpe.vocabulary_path()
     found = packing.pack(docs, path)
