@@ -4,7 +4,9 @@ A page's tokens become a tree of blocks. Within a page, neighbouring blocks of o
 group; across the pages of a host, token streams align child by child (longest common subsequence of
 labels): what one side lacks becomes optional, what either repeats stays repeated, texts that differ become slots. The
 outcome per host is one wrapper, a regular expression without unions. Wrappers merge first inside each task, then,
-distinct ones only, in salted groups and at last per host, so no task sees all pages of a host.
+distinct ones only, in salted groups and at last per host, so no task sees all pages of a host. Labels are made of the
+marks (class, id, role) that pages of a host share, counted in Spark, and wide blocks fold by label: a wrapper is as
+large as its template, not as its host.
 
 The wrapper tells where a host keeps its article: the ``article`` or ``main`` element it has, else the block
 whose own repeated text slots hold most text outside links. Menus, headers, footers, sidebars,
@@ -17,6 +19,8 @@ A null or empty page has an empty text; pages without a host form one group. Rep
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import html
 import json
 import re
@@ -44,13 +48,20 @@ DROPPED_WORDS = {
 #: Words that in an article are proof enough; the others need links beside them.
 ADVERTS = {"ad", "ads", "advert", "advertisement", "sponsored", "disqus", "navbar", "breadcrumb", "breadcrumbs", "complementary", "contentinfo"}
 ARTICLES = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements to which the words never apply.
-PROTECTED = {"html", "body", "p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6"} | ARTICLES
+PROTECTED = {"html", "body", "p", "pre", "blockquote"} | ARTICLES | HEADINGS
 #: An element that ends when one of these begins beside it.
 CLOSED_BY = {"p": BLOCKS - {"option", "legend"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 SCOPES = {"ul", "ol", "table", "dl", "article", "main", "section", "div", "body", "select"}
 SLOT = "#"
 SALTS = 16
+#: Blocks side by side in a wrapper before those of one label become one repeated group.
+MOST_CHILDREN = 64
+#: What is counted over the pages of a host: pages, marks.
+PAGE, MARKED = range(2)
+#: A mark belongs to the template from one page in so many on.
+MARK_SHARE = 10
 BROADCAST_HOSTS = 200_000
 
 
@@ -63,8 +74,18 @@ class Node:
         self.label, self.tag, self.dropped, self.words, self.items, self.chars, self.linked = label, tag, dropped, words, [], 0, 0
 
 
-def tree(page: str) -> Node:
-    """The blocks of a page; missing and stray end tags are put up with."""
+@functools.lru_cache(1 << 16)
+def number(text: str) -> int:
+    """64 bits that stand for a mark or a line."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def tree(page: str, known: frozenset[int] | None = None, seen: set[str] | None = None) -> Node:
+    """The blocks of a page; missing and stray end tags are put up with.
+
+    ``known`` has the numbers of the marks that belong to the host's template (none given: all); marks with a digit are
+    never part of a label. ``seen`` takes the marks of the page.
+    """
     root = Node("#page", "#page", False)
     stack: list[Node] = [root]
     inline: list[str] = []  # open inline elements, to find links
@@ -110,7 +131,10 @@ def tree(page: str) -> Node:
                 break
         found = [(name.lower(), (a or b or c).lower()) for name, a, b, c in MARK.findall(m[4])]
         marks = " ".join(value for _, value in found)
-        label = f"{tag}.{marks}" if marks else tag
+        own = sorted({("#" if name == "id" else ".") + word for name, value in found for word in value.split() if not re.search("[0-9]", word)})
+        if seen is not None:
+            seen.update(own)
+        label = tag + "".join(mark for mark in own if known is None or number(mark) in known)
         if tag in ARTICLES:
             for holder in stack:
                 holder.words = frozenset()
@@ -167,6 +191,7 @@ def infer(node: Node) -> list:
             folded[-1][REPEATED] = True
         else:
             folded.append(made)
+    folded = bounded(folded)
     return [node.label, node.tag, node.dropped, False, False, own if len(own) <= 40 else SLOT, len(own), sum(len(t) for t, link in texts if link), folded]
 
 
@@ -202,10 +227,21 @@ def align(a: list, b: list) -> list:
             folded[-1][REPEATED] = True
         else:
             folded.append(child)
-    out[CHILDREN] = folded
+    out[CHILDREN] = bounded(folded)
     return out
 
 
+def bounded(children: list[list]) -> list[list]:
+    """More than ``MOST_CHILDREN`` neighbours become a sequence of optional repeated ones, one of each label."""
+    if len(children) <= MOST_CHILDREN:
+        return children
+    groups: dict[str, list] = {}
+    for child in children:
+        groups[child[LABEL]] = align(groups[child[LABEL]], child) if child[LABEL] in groups else _optional(child)
+        groups[child[LABEL]][REPEATED] = True
+    return list(groups.values())
+
+
 def _optional(wrapper: list) -> list:
     out = wrapper[:]
     out[OPTIONAL] = True
@@ -252,48 +288,81 @@ def _at(node: Node, path: list[str]) -> list[Node]:
     return [hit for item in node.items if isinstance(item, Node) for hit in _at(item, path[1:])]
 
 
-def main_text(page: str, path: list[str]) -> str:
+def main_text(page: str, path: list[str], known: frozenset[int] | None = None) -> str:
     """The blocks of the article, one to a line."""
-    root = tree(page)
+    root = tree(page, known)
     nodes = _at(root, path) or _at(root, place(infer(root)))
-    blocks: list[str] = []
-
-    def walk(node: Node) -> None:
-        held: list[str] = []
+    return "\n".join(line for node in nodes for line, _ in lines(node))
 
-        def flush() -> None:
-            if line := " ".join(html.unescape("".join(held)).split()):
-                blocks.append(line)
-            held.clear()
 
-        for item in node.items:
-            if isinstance(item, tuple):
-                held.append(item[0])
-            else:
-                flush()
-                if not item.dropped:
-                    walk(item)
-        flush()
-
-    for node in nodes:
-        walk(node)
-    return "\n".join(blocks)
+def lines(node: Node) -> Iterator[tuple[str, bool]]:
+    """The lines of a block, without what is dropped, and whether they are headings."""
+    heading = node.tag in HEADINGS
+    held: list[str] = []
+    for item in [*node.items, None]:
+        if isinstance(item, tuple):
+            held.append(item[0])
+            continue
+        if line := " ".join(html.unescape("".join(held)).split()):
+            yield line, heading
+        held.clear()
+        if item is not None and not item.dropped:
+            yield from lines(item)
 
 
 def _host(url: str) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
-def wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """host, wrapper (JSON), path (JSON): one wrapper per host, aligned over all its pages."""
+def template(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
+    """host, known: the numbers of the marks that pages of a host share; hosts of a single page are left out.
+
+    Equal pages count as one. A mark is known on a tenth of the host's
+    pages, two at least: so there are at most ten times as many as a page has on average, however many pages there are.
+    """
     rows = pages.select(_host(url).alias("host"), text_of(page).alias("html"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "html"):
+            out: list[tuple] = []
+            for host, source in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                marks: set[str] = set()
+                tree(source, None, marks)
+                copy = number.__wrapped__(source)
+                out.append((host, PAGE, 0, copy))
+                out += [(host, MARKED, number(mark), copy) for mark in marks]
+            columns = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["host", "kind", "value", "copy"])
+
+    counted = rows.mapInArrow(run, "host string, kind int, value long, copy long").groupBy("host", "kind", "value").agg(F.count_distinct("copy").alias("n"))
+    counted = staged(counted.filter(F.col("n") > 1))
+    sizes = counted.filter(F.col("kind") == PAGE).select(F.col("host").alias("_host"), F.col("n").alias("_n"))
+    few = F.broadcast(sizes) if sizes.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS else sizes
+    shared = (F.col("kind") == MARKED) & (F.col("n") * MARK_SHARE >= F.col("_n"))
+    facts = counted.join(few, F.col("host") == F.col("_host")).filter((F.col("kind") == PAGE) | shared)
+    return facts.groupBy("host").agg(F.collect_list(F.when(F.col("kind") != PAGE, F.col("value"))).alias("known"))
+
+
+def _with(pages: DataFrame, facts: DataFrame) -> DataFrame:
+    """``pages`` with the facts of their hosts."""
+    few = F.broadcast(facts) if facts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS else facts
+    return pages.join(few, "host", "left")
+
+
+def _known(numbers: pa.Array) -> list[frozenset[int] | None]:
+    return [None if x is None else frozenset(x) for x in numbers.to_pylist()]
+
+
+def wrappers(pages: DataFrame, facts: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
+    """host, wrapper (JSON): one wrapper per host, aligned over all its pages."""
+    rows = _with(pages.select(_host(url).alias("host"), text_of(page).alias("html")), facts).select("host", "html", "known")
     spec = "host string, wrapper string"
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merged: dict[str, list] = {}
         for part in slices(batches, "html"):
-            for host, source in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                made = infer(tree(source))
+            for host, source, known in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _known(part.column(2))):
+                made = infer(tree(source, known))
                 merged[host] = align(merged[host], made) if host in merged else made
             if len(merged) > 2000:  # many hosts in a task: hand on what there is, it is merged below
                 yield pack(merged)
@@ -323,16 +392,17 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             found = [json.dumps(place(json.loads(w))) for w in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.string())], ["_host", "path"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.string())], ["host", "path"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "html"):
-            texts = [main_text(h, json.loads(p)) for h, p in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+            texts = [main_text(h, json.loads(p), k) for h, p, k in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), _known(part.column(4)))]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    known = staged(wrappers(pages, url, page).mapInArrow(paths, "_host string, path string"))
+    facts = staged(template(pages, url, page))
+    found = wrappers(pages, facts, url, page).mapInArrow(paths, "host string, path string")
+    both = staged(found.join(facts, "host", "left"))
     rows = only(pages, page_id=page_id, url=url, html=page).withColumn("html", text_of("html"))
-    known = F.broadcast(known) if known.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS else known
-    met = rows.withColumn("_host", _host("url")).join(known, "_host", "left").select("page_id", "url", "html", F.coalesce("path", F.lit("[]")).alias("path"))
+    met = _with(rows.withColumn("host", _host("url")), both).select("page_id", "url", "html", F.coalesce("path", F.lit("[]")).alias("path"), "known")
     kinds = rows.schema
     return met.mapInArrow(run, f"page_id {kinds['page_id'].dataType.simpleString()}, url {kinds['url'].dataType.simpleString()}, text string, n_chars bigint")

@@ -107,6 +107,19 @@ def test_html_words_need_proof(spark):
     ]
 
 
+def test_html_marks_of_single_pages(spark):
+    names = [f"{chr(97 + i // 676 % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}" for i in range(3000)]
+    pages = [
+        (i, "http://h/", f'<body><div class="top">menu of the site</div><article id="post-{i}" class="post {n}"><h2 id="on-{n}">About {n}</h2><p>Text of {n}</p><div class="x-{n}">end {i}</div></article></body>')
+        for i, n in enumerate(names)
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    facts = html_wrapper.template(df)
+    found = html_wrapper.wrappers(df, facts).collect()
+    assert len(found) == 1 and len(found[0]["wrapper"]) < 1000 and "article.post" in found[0]["wrapper"]
+    assert got(html_wrapper.extract(df), "page_id", "text") == sorted(((i, f"About {n}\nText of {n}\nend {i}") for i, n in enumerate(names)), key=repr)
+
+
 def test_packing(docs, none, rows):
     path = bpe.vocabulary_path()
     found = packing.pack(docs, path)
