@@ -8,8 +8,10 @@ distinct ones only, in salted groups and at last per host, so no task sees all p
 marks (class, id, role) that pages of a host share, counted in Spark, and wide blocks fold by label: a wrapper is as
 large as its template, not as its host.
 
-The wrapper tells where a host keeps its article: the ``article`` or ``main`` element it has, else the block
-whose own repeated text slots hold most text outside links. Menus, headers, footers, sidebars,
+The wrapper tells where a host keeps its articles: every ``article`` or ``main`` element with more text of the pages' own
+than links, else the whole page without blocks of links. Lines that are the same on half of the host's pages, three at least,
+are template text, counted in Spark: they have no weight in the wrapper and are not part of the article, unless
+less than a quarter of what a page keeps there is its own. Menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and comments are dropped below it: elements by their names, others by whole words
 of class, id or role that links or little text confirm; never ``html``, ``body``, articles, what holds one, headings or paragraphs. Pages that lack the
 place their host's wrapper names use the wrapper of the page itself.
@@ -58,10 +60,12 @@ SLOT = "#"
 SALTS = 16
 #: Blocks side by side in a wrapper before those of one label become one repeated group.
 MOST_CHILDREN = 64
-#: What is counted over the pages of a host: pages, marks.
-PAGE, MARKED = range(2)
+#: What is counted over the pages of a host: pages, marks, lines.
+PAGE, MARKED, LINE = range(3)
 #: A mark belongs to the template from one page in so many on.
 MARK_SHARE = 10
+#: A line is template text from one page in so many on, and from so many pages.
+LINE_SHARE, LINE_PAGES = 2, 3
 BROADCAST_HOSTS = 200_000
 
 
@@ -143,14 +147,14 @@ def tree(page: str, known: frozenset[int] | None = None, seen: set[str] | None =
         stack[-1].items.append(node)
         stack.append(node)
     text(page[at:])
-    settle(root)
+    settle(root, known or frozenset())
     return root
 
 
-def settle(root: Node) -> None:
+def settle(root: Node, known: frozenset[int]) -> None:
     """Blocks whose class, id or role has a word of the list are dropped if something confirms it.
 
-    Links that are most of a block's text confirm it anywhere. Elsewhere than in an article or a section so does less than
+    Links that are most of a block's text, or template text alone, confirm it anywhere. Elsewhere than in an article or a section so does less than
     half of the page's text; in these only with a word that means nothing else.
     """
     def measure(node: Node) -> None:
@@ -167,7 +171,7 @@ def settle(root: Node) -> None:
             if isinstance(item, Node) and not item.dropped:
                 within = inside or item.tag in ARTICLES or item.tag == "section"
                 if item.words:
-                    item.dropped = 2 * item.linked > item.chars or (2 * item.chars < root.chars and (not within or bool(item.words & ADVERTS)))
+                    item.dropped = 2 * item.linked > item.chars or all(_line(line) in known for line, _ in lines(item)) or (2 * item.chars < root.chars and (not within or bool(item.words & ADVERTS)))
                 if not item.dropped:
                     walk(item, within)
 
@@ -179,26 +183,27 @@ def settle(root: Node) -> None:
 LABEL, TAG, DROPPED, OPTIONAL, REPEATED, TEXT, CHARS, LINKED, CHILDREN = range(9)
 
 
-def infer(node: Node) -> list:
-    """The wrapper of one page: neighbouring blocks of one label fold into a repeated group."""
-    texts = [(" ".join(t.split()), link) for t, link in (i for i in node.items if isinstance(i, tuple))]
-    own = " ".join(t for t, _ in texts if t)
+def infer(node: Node, known: frozenset[int] = frozenset()) -> list:
+    """The wrapper of one page: neighbouring blocks of one label fold into a repeated group; template text has no weight."""
+    own = [(line, link) for line, link in _runs(node) if _line(line) not in known]
+    text = " ".join(line for line, _ in _runs(node))
     folded: list[list] = []
     for child in (i for i in node.items if isinstance(i, Node)):
-        made = infer(child)
+        made = infer(child, known)
         if folded and folded[-1][LABEL] == made[LABEL]:
             folded[-1] = align(folded[-1], made)
             folded[-1][REPEATED] = True
         else:
             folded.append(made)
     folded = bounded(folded)
-    return [node.label, node.tag, node.dropped, False, False, own if len(own) <= 40 else SLOT, len(own), sum(len(t) for t, link in texts if link), folded]
+    return [node.label, node.tag, node.dropped, False, False, SLOT if own and len(text) > 40 else text, sum(len(line) for line, _ in own), sum(link for _, link in own), folded]
 
 
 def align(a: list, b: list) -> list:
     """The wrapper that matches whatever either of two wrappers of one label matches."""
     out = a[:]
     out[OPTIONAL], out[REPEATED] = a[OPTIONAL] or b[OPTIONAL], a[REPEATED] or b[REPEATED]
+    out[DROPPED] = a[DROPPED] and b[DROPPED]
     out[TEXT] = a[TEXT] if a[TEXT] == b[TEXT] else SLOT
     out[CHARS], out[LINKED] = a[CHARS] + b[CHARS], a[LINKED] + b[LINKED]
     x, y = a[CHILDREN], b[CHILDREN]
@@ -254,10 +259,9 @@ def expression(wrapper: list) -> str:
     return f"(<{wrapper[LABEL]}>{inner}</>)" + ("*" if wrapper[OPTIONAL] and wrapper[REPEATED] else "?" if wrapper[OPTIONAL] else "+" if wrapper[REPEATED] else "")
 
 
-def place(wrapper: list) -> list[str]:
-    """Labels from the page to the block that holds the article."""
+def place(wrapper: list) -> list[list[str]]:
+    """Labels from the page to each ``article`` or ``main`` with text of its pages' own; none where a host has no such element."""
     named: list[tuple[int, list[str]]] = []
-    heavy: list[tuple[int, int, list[str]]] = []
 
     def mass(w: list) -> int:
         return 0 if w[DROPPED] else w[CHARS] - 2 * w[LINKED] + sum(mass(c) for c in w[CHILDREN])
@@ -266,33 +270,88 @@ def place(wrapper: list) -> list[str]:
         if w[DROPPED]:
             return
         path = [*path, w[LABEL]]
-        if w[TAG] in ("article", "main"):
+        if w[TAG] in ARTICLES:
             named.append((mass(w), path))
             return
-        own = w[CHARS] - 2 * w[LINKED] + sum(c[CHARS] - 2 * c[LINKED] for c in w[CHILDREN] if c[TAG] in ("p", "pre", "blockquote", "li", "h1", "h2", "h3") and not c[DROPPED])
-        heavy.append((own, -len(path), path))
         for c in w[CHILDREN]:
             walk(c, path)
 
     walk(wrapper, [])
-    if named:
-        return max(named, key=lambda x: (x[0], x[1]))[1]
-    return max(heavy, key=lambda x: (x[0], x[1], x[2]))[2] if heavy else []
+    own = [path for n, path in named if n > 0]
+    return sorted(own) or ([max(named)[1]] if named else [])
 
 
-def _at(node: Node, path: list[str]) -> list[Node]:
-    if not path or node.label != path[0]:
-        return []
-    if len(path) == 1:
-        return [node]
-    return [hit for item in node.items if isinstance(item, Node) for hit in _at(item, path[1:])]
+def _at(node: Node, paths: set[tuple[str, ...]], above: tuple[str, ...] = ()) -> Iterator[Node]:
+    """The blocks at the places, in page order."""
+    here = (*above, node.label)
+    if here in paths:
+        yield node
+    else:
+        for item in node.items:
+            if isinstance(item, Node):
+                yield from _at(item, paths, here)
+
+
+def _without_links(node: Node) -> None:
+    """Drops blocks that are mostly links, except beside running text."""
+    if any(isinstance(i, Node) and i.tag in ("p", "pre", "blockquote") and 2 * i.linked < i.chars for i in node.items):
+        return
+    for item in node.items:
+        if isinstance(item, Node) and not item.dropped:
+            item.dropped = item.tag not in PROTECTED and 2 * item.linked > item.chars
+            if not item.dropped:
+                _without_links(item)
 
 
-def main_text(page: str, path: list[str], known: frozenset[int] | None = None) -> str:
+def main_text(page: str, paths: list[list[str]], known: frozenset[int] | None = None) -> str:
     """The blocks of the article, one to a line."""
     root = tree(page, known)
-    nodes = _at(root, path) or _at(root, place(infer(root)))
-    return "\n".join(line for node in nodes for line, _ in lines(node))
+    found = [x for node in _at(root, {tuple(p) for p in paths}) for x in lines(node)]
+    if not found:
+        paths = place(infer(root, known or frozenset()))
+        if not paths:
+            _without_links(root)
+        found = [x for node in (_at(root, {tuple(p) for p in paths}) if paths else [root]) for x in lines(node)]
+    return "\n".join(_own(found, known or frozenset()))
+
+
+def _own(found: list[tuple[str, bool]], known: frozenset[int]) -> list[str]:
+    """The lines without template text. A heading of the template stays where a line of the page's own follows it.
+
+    Where less than a quarter is the page's own, nothing tells a copied article from a template: all lines stay.
+    """
+    constant = [_line(line) in known for line, _ in found]
+    if 4 * sum(len(line) for (line, _), c in zip(found, constant) if not c) < sum(len(line) for line, _ in found):
+        return [line for line, _ in found]
+    out: list[str] = []
+    held: list[str] = []
+    for (line, heading), c in zip(found, constant):
+        if c and heading:
+            held.append(line)
+        elif c:
+            held.clear()
+        else:
+            if not heading:
+                out += held
+            held.clear()
+            out.append(line)
+    return out
+
+
+def _line(line: str) -> int:
+    return number.__wrapped__(f" {line}")
+
+
+def _runs(node: Node) -> Iterator[tuple[str, int]]:
+    """The lines of a block itself and how many of their characters are links."""
+    held: list[tuple[str, bool]] = []
+    for item in [*node.items, None]:
+        if isinstance(item, tuple):
+            held.append(item)
+            continue
+        if line := " ".join(html.unescape("".join(t for t, _ in held)).split()):
+            yield line, min(len(line), sum(len(" ".join(html.unescape(t).split())) for t, link in held if link))
+        held.clear()
 
 
 def lines(node: Node) -> Iterator[tuple[str, bool]]:
@@ -315,10 +374,11 @@ def _host(url: str) -> F.Column:
 
 
 def template(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """host, known: the numbers of the marks that pages of a host share; hosts of a single page are left out.
+    """host, known: the numbers of the marks and lines that pages of a host share; hosts of a single page are left out.
 
     Equal pages count as one. A mark is known on a tenth of the host's
-    pages, two at least: so there are at most ten times as many as a page has on average, however many pages there are.
+    pages, two at least: so there are at most ten times as many as a page has on average, however many pages there are. A line is known on half
+    of them, three at least.
     """
     rows = pages.select(_host(url).alias("host"), text_of(page).alias("html"))
 
@@ -327,10 +387,11 @@ def template(pages: DataFrame, url: str = "url", page: str = "html") -> DataFram
             out: list[tuple] = []
             for host, source in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 marks: set[str] = set()
-                tree(source, None, marks)
+                found = {line for line, _ in lines(tree(source, None, marks))}
                 copy = number.__wrapped__(source)
                 out.append((host, PAGE, 0, copy))
                 out += [(host, MARKED, number(mark), copy) for mark in marks]
+                out += [(host, LINE, _line(line), copy) for line in found]
             columns = zip(*out)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], ["host", "kind", "value", "copy"])
 
@@ -339,6 +400,7 @@ def template(pages: DataFrame, url: str = "url", page: str = "html") -> DataFram
     sizes = counted.filter(F.col("kind") == PAGE).select(F.col("host").alias("_host"), F.col("n").alias("_n"))
     few = F.broadcast(sizes) if sizes.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS else sizes
     shared = (F.col("kind") == MARKED) & (F.col("n") * MARK_SHARE >= F.col("_n"))
+    shared = shared | (F.col("kind") == LINE) & (F.col("n") * LINE_SHARE >= F.col("_n")) & (F.col("n") >= LINE_PAGES)
     facts = counted.join(few, F.col("host") == F.col("_host")).filter((F.col("kind") == PAGE) | shared)
     return facts.groupBy("host").agg(F.collect_list(F.when(F.col("kind") != PAGE, F.col("value"))).alias("known"))
 
@@ -362,7 +424,7 @@ def wrappers(pages: DataFrame, facts: DataFrame, url: str = "url", page: str = "
         merged: dict[str, list] = {}
         for part in slices(batches, "html"):
             for host, source, known in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), _known(part.column(2))):
-                made = infer(tree(source, known))
+                made = infer(tree(source, known), known or frozenset())
                 merged[host] = align(merged[host], made) if host in merged else made
             if len(merged) > 2000:  # many hosts in a task: hand on what there is, it is merged below
                 yield pack(merged)

@@ -1,5 +1,8 @@
 """Nulls, empty and long texts, repeated rows, clashing columns and empty tables for every operator."""
 
+import html
+import re
+
 import brute
 import pytest
 from pyspark.sql import functions as F
@@ -120,6 +123,31 @@ def test_html_marks_of_single_pages(spark):
     assert got(html_wrapper.extract(df), "page_id", "text") == sorted(((i, f"About {n}\nText of {n}\nend {i}") for i, n in enumerate(names)), key=repr)
 
 
+def test_html_slots_and_template_text(spark):
+    words = ["one", "two", "three", "four", "five"]
+    advert = "<div class='box'>Sign up and win a prize today</div>"
+    pages = [(f"http://a/{w}", f"<article><h1>Page {w}</h1><h2>Summary</h2><p>Own text of page {w}.</p>{advert}<h2>More</h2><p>Write to us.</p></article>") for w in words]
+    pages += [(f"http://b/{w}", f"<body><div class='top'>The paper of the town</div><div class='links'><a href='/{w}'>next {w}</a></div><div class='intro'>Intro {w}</div><div class='body'><p>A longer body of {w}</p><ul><li><a href='/s'>source {w}</a></ul></div>{advert}</body>") for w in words]
+    pages += [(f"http://c/{w}", f"<body><article><p>The same text everywhere.</p><p>And {w}.</p><p>Another equal line of text.</p></article></body>") for w in words]
+    df = spark.createDataFrame(pages, "page_id string, html string").selectExpr("page_id", "page_id as url", "html").repartition(3)
+    wanted = [(f"http://a/{w}", f"Page {w}\nSummary\nOwn text of page {w}.") for w in words]
+    wanted += [(f"http://b/{w}", f"Intro {w}\nA longer body of {w}\nsource {w}") for w in words]
+    wanted += [(f"http://c/{w}", f"The same text everywhere.\nAnd {w}.\nAnother equal line of text.") for w in words]
+    same(got(html_wrapper.extract(df), "page_id", "text"), wanted)
+
+
+def test_html_fixture_texts(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    wanted = {}
+    for r in pages.collect():
+        if len(found := re.findall(r"<article>(.*?)</article>", r["html"] or "", re.S)) == 1 and "<div" not in found[0] and "<aside" not in found[0]:
+            lines = re.split(r"</?(?:p|h[1-6]|li|ul|ol|pre|blockquote|table|tr|td|th)\b[^>]*>", re.sub(r"<(script|style)\b.*?</\1>|<!--.*?-->", "", found[0], flags=re.S))
+            kept = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<(br|hr)[^>]*>", " ", x))).split()) for x in lines]
+            wanted[r["page_id"]] = "\n".join(x for x in kept if x)
+    made = {r["page_id"]: r["text"] for r in html_wrapper.extract(pages).collect()}
+    assert len(wanted) >= 50 and {k: made[k] for k in wanted} == wanted
+
+
 def test_packing(docs, none, rows):
     path = bpe.vocabulary_path()
     found = packing.pack(docs, path)
