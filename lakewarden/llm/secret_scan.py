@@ -1,9 +1,10 @@
 """Secrets in texts: token patterns, and links between the parts of multipart credentials.
 
 Strong patterns stand alone (assignments, access identifiers, long hex). Weak candidates (random-looking tokens,
-user names, endpoints) say nothing by themselves: they become parts of a table of intervals, and an
+user names, key identifiers, endpoints) say nothing by themselves: they become parts of a table of intervals, and an
 interval join within scopes of ``SCOPE`` characters of one text keeps those near a complementary part:
-a secret near an access identifier or an endpoint, an endpoint near a secret. Intervals meet on
+a secret near an access identifier, a user name or an endpoint, each of these near a secret. A token has any length from
+20 characters on, and what names it (``user=``, ``client_id=``) is no part beside it. Intervals meet on
 (text, block of SCOPE characters) and the blocks beside it, so a block holds at most SCOPE characters' worth of
 parts however long a text is, and only existence is asked for: no pair is emitted.
 
@@ -34,9 +35,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: weak candidates, and the roles that must lie near them
 ENDPOINT = re.compile(r"(?:https?|s3|postgres(?:ql)?|mysql|redis|mongodb|amqp|ftp)://[^\s\"'<>]+")
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,128}(?![A-Za-z0-9+/_=-])")
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+")
+KEY_ID = re.compile(r"""(?<![A-Za-z0-9])(?:(?:ASIA|AIDA|AROA|ABIA|ACCA|AGPA|ANPA)[A-Z0-9]{16,}|(?ai:(?:client|app|tenant|account|access_?key|key)_?id["']?\x20*[:=]\x20*["']?)[A-Za-z0-9._-]{4,})""")
+USER = re.compile(r"""(?<![A-Za-z0-9])(?ai:(?:user_?name|user_?id|user|login)["']?\x20*[:=]\x20*["']?)[A-Za-z0-9._@+-]{2,}""")
 MIN_ENTROPY = 3.5
-LINKED_KINDS = ("opaque", "endpoint")
+NAMED = ("key_id", "user")
+LINKED_KINDS = ("opaque", "endpoint", *NAMED)
 PARTS = "array<struct<kind:string,role:string,start:int,stop:int>>"
 
 
@@ -69,6 +73,9 @@ def parts_of(text: str) -> list[dict]:
         before = bisect.bisect_left(taken, (m.end(),))
         if opaque(m[0]) and not (before and covers[before - 1] > m.start()):
             found.append(("opaque", "secret", m.start(), m.end()))
+    found += [("key_id", "access", m.start(), m.end()) for m in KEY_ID.finditer(text)]
+    if low and ("user" in low or "login" in low):
+        found += [("user", "user", m.start(), m.end()) for m in USER.finditer(text)]
     return [dict(zip(("kind", "role", "start", "stop"), p)) for p in found]
 
 
@@ -94,13 +101,15 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     weak = found.filter(F.exists("parts", lambda p: p["kind"].isin(*LINKED_KINDS))).select("text_key", "parts").dropDuplicates(["text_key"])
     parts = weak.select("text_key", F.explode("parts").alias("p")).select("text_key", "p.*")
     asks = parts.filter(F.col("kind").isin(*LINKED_KINDS))
-    needs = F.when(F.col("role") == "endpoint", F.array(F.lit("secret"))).otherwise(F.array(F.lit("access"), F.lit("endpoint")))
+    needs = F.when(F.col("role") != "secret", F.array(F.lit("secret"))).otherwise(F.array(F.lit("access"), F.lit("endpoint"), F.lit("user")))
     block = F.floor(F.col("start") / scope)
     reach = F.sequence(F.floor((F.col("start") - scope) / scope), F.floor((F.col("stop") + scope) / scope))
     asks = asks.withColumn("need", F.explode(needs)).withColumn("block", F.explode(reach))
     # an offer lies in every block it covers, so long parts are found from their ends too
-    offers = parts.withColumn("_block", F.explode(F.sequence(block, F.floor(F.col("stop") / scope)))).select(F.col("text_key").alias("_key"), F.col("role").alias("_role"), F.col("start").alias("_start"), F.col("stop").alias("_stop"), "_block")
+    offers = parts.withColumn("_block", F.explode(F.sequence(block, F.floor(F.col("stop") / scope)))).select(F.col("text_key").alias("_key"), F.col("kind").alias("_kind"), F.col("role").alias("_role"), F.col("start").alias("_start"), F.col("stop").alias("_stop"), "_block")
     near = (F.col("_start") - F.col("stop") <= scope) & (F.col("start") - F.col("_stop") <= scope)
+    named = F.col("kind").isin(*NAMED) | F.col("_kind").isin(*NAMED)
+    near = near & (~named | (F.col("_start") >= F.col("stop")) | (F.col("start") >= F.col("_stop")))
     met = asks.join(offers, (F.col("text_key") == F.col("_key")) & (F.col("need") == F.col("_role")) & (F.col("block") == F.col("_block")) & near, "left_semi")
     return met.select("text_key", "kind", "start", "stop").distinct()
 
