@@ -23,13 +23,26 @@ from .common import only, text_of
 LOCAL = "A-Za-z0-9._%+-"
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
+#: length -> countries whose IBANs have it
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: Where an IBAN may begin, and all of it: as long as its country says, others as far as they go.
+IBAN_START = r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2} ?[A-Z0-9])"
+IBAN = "^(?:" + "|".join(
+    [rf"(?:{'|'.join(c.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()]
+    + [rf"(?!{'|'.join(' '.join(IBAN_LENGTHS.values()).split())})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}"]
+) + ")(?![A-Za-z0-9])"
+IBAN_CHARS = 70
 #: kind -> (pattern, characters without which no match is possible)
 PATTERNS = {
     "email": (rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@"),
     "ip": (r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "."),
     "card": (r"[0-9](?:[ -]?+[0-9])++", ""),
     "phone": (r"\+[0-9][ ().0-9-]+[0-9]", "+"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", ""),
+    "iban": (IBAN_START, ""),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-"),
 }
 #: kind -> score of a valid span, before context
@@ -60,6 +73,28 @@ def _places(text: Column, pattern: str, valid: Callable[[Column], Column]) -> Co
     return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
 
 
+def _ibans(text: Column, valid: Callable[[Column], Column]) -> Column:
+    """The valid IBANs like ``_places``: every place where one may begin is tried, so a span that fails hides none after it.
+
+    The text is cut at these places and read from its end, with as many characters of what follows as an IBAN has.
+    """
+    kind = "array<struct<value:string,start:bigint,end:bigint>>"
+    begin = F.struct(F.length(text).cast("bigint").alias("at"), F.lit("").alias("tail"), F.array().cast(kind).alias("out"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        at, tail = acc["at"] - F.length(piece), F.substring(F.concat(piece, acc["tail"]), 1, IBAN_CHARS)
+        value = F.regexp_extract(tail, IBAN, 0)
+        more = F.concat(F.array(F.struct(value.alias("value"), at.alias("start"), (at + F.length(value)).alias("end"))), acc["out"])
+        return F.struct(at.alias("at"), tail.alias("tail"), F.when(valid(value), more).otherwise(acc["out"]).alias("out"))
+
+    found = F.aggregate(F.reverse(F.split(text, IBAN_START, -1)), begin, step, lambda acc: acc["out"])
+
+    def apart(acc: Column, s: Column) -> Column:  # the leftmost of those that overlap
+        return F.when(F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) <= s["start"], F.concat(acc, F.array(s))).otherwise(acc)
+
+    return F.aggregate(found, F.array().cast(kind), apart)
+
+
 def luhn(digits: Column) -> Column:
     """The Luhn check over a string of digits."""
     def add(acc: Column, i: Column) -> Column:
@@ -110,7 +145,8 @@ def _spans(text: Column, kind: str) -> Column:
         bonus = F.when(near.rlike(rf"(?i)\b(?:{CONTEXT[kind]})\b"), CONTEXT_SCORE).otherwise(0.0)
         return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.round(F.lit(CONFIDENCE[kind]) + bonus, 2).alias("score"))
 
-    valid = F.transform(_places(text, pattern, lambda value: _valid(kind, value)), scored)
+    places = _ibans(text, lambda value: _valid(kind, value)) if kind == "iban" else _places(text, pattern, lambda value: _valid(kind, value))
+    valid = F.transform(places, scored)
     if kind not in BASE:
         valid = F.filter(valid, lambda s: s["score"] >= MIN_SCORE)
     return F.when(may, valid).otherwise(none)
