@@ -7,9 +7,10 @@ gives each event one effect.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +48,9 @@ def decoded(texts: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFram
     return parsed.filter(~bad).select("_e.*").drop("_corrupt"), parsed.filter(bad).select("value")
 
 
+METRICS = "batch_id bigint, input_rows bigint, rows_per_second double"
+
+
 def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"):
     """Processes what is there and stops; the checkpoint is the commit log."""
     query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -93,13 +97,18 @@ def job_states(run_events: DataFrame, key: str = "job_id") -> DataFrame:
     ).withColumn("duration_seconds", F.col("changed_at") - F.col("started_at"))
 
 
-def progress_rows(query) -> list[tuple]:
-    """Throughput of the last triggers: (batch, input rows, rows per second)."""
-    rows = []
-    for p in query.recentProgress:
-        rows.append((int(p["batchId"]), int(p["numInputRows"]), float(p.get("processedRowsPerSecond") or 0.0)))
-    return rows
+def metered(write: Callable[[DataFrame, int], None], folder: str) -> Callable[[DataFrame, int], None]:
+    """``write``, which also leaves one row of metrics per batch in ``folder``; a repeated batch replaces its row."""
+    def run(batch: DataFrame, batch_id: int) -> None:
+        seen, start = Observation(), time.perf_counter()
+        write(batch.observe(seen, F.count(F.lit(1)).alias("n")), batch_id)
+        n = int(seen.get["n"])
+        row = [(int(batch_id), n, n / max(time.perf_counter() - start, 1e-9))]
+        batch.sparkSession.createDataFrame(row, METRICS).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{batch_id}")
+
+    return run
 
 
-def metrics_table(spark: SparkSession, query) -> DataFrame:
-    return spark.createDataFrame(progress_rows(query), "batch_id bigint, input_rows bigint, rows_per_second double")
+def metrics_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Throughput of every batch so far: (batch, input rows, rows per second)."""
+    return spark.read.schema(METRICS).option("recursiveFileLookup", "true").parquet(folder)
