@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, html_wrapper, jaccard_join, license_scan, packing, pii, quality_classifier, quality_rules, secret_scan
+from . import alignment, bpe, centroids, exact_dedup, html_wrapper, jaccard_join, license_scan, packing, pii, quality_classifier, quality_rules, secret_scan
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,11 +57,31 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in secret_scan.BASE], F.sha2(secret_scan.shown("base"), 256).alias("base_sha256"), secret_scan.shown("spans").alias("spans"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+def _rounds_sql(rounds: int) -> str:
+    distance = "list_sum(list_transform(range(1, 65), i -> (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))"
+    parts = []
+    for r in range(rounds + 1):
+        parts.append(f"a{r} AS (SELECT v.vec_id, min(struct_pack(d := {distance}, c := c.c)) AS best FROM v, c{r} AS c GROUP BY v.vec_id)")
+        if r < rounds:
+            parts.append(f"""s{r} AS (SELECT best.c AS c, i, sum(x[i])::HUGEINT AS s, count(*) AS n FROM a{r} JOIN v USING (vec_id), range(1, 65) AS t(i) GROUP BY ALL),
+                m{r} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS x FROM s{r} GROUP BY c),
+                c{r + 1} AS (SELECT c{r}.c, coalesce(m{r}.x, c{r}.x) AS x FROM c{r} LEFT JOIN m{r} USING (c))""")
+    return ",\n".join(parts)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_license_scan, op3_bpe_round_trip, op4_quality_classifier, op5_exact_dedup, op6_pii, op7_html_extraction,
-        op8_best_fit_packing, op9_quality_rules, op10_secret_scan,
+        op8_best_fit_packing, op9_quality_rules, op10_secret_scan, op11_centroid_clustering, op12_token_alignment,
     )
 }
 
@@ -71,4 +91,15 @@ ORACLES: dict[str, str] = {
              g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY body)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM d JOIN g USING (body)
     """,
+    "op11_centroid_clustering": f"""
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = 64
+        ),
+        c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, x FROM v ORDER BY c LIMIT 16),
+        {_rounds_sql(centroids.ROUNDS)}
+        SELECT a.vec_id, best.c::INT AS cluster, best.d::BIGINT AS distance, sum(best.d) OVER (PARTITION BY best.c)::BIGINT AS cluster_inertia,
+               sum(best.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+        FROM a{centroids.ROUNDS} AS a JOIN c{centroids.ROUNDS} AS c ON c.c = best.c
+    """,
 }
