@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from .bpe import Encoder, vocabulary_path
 from .common import Hashed, only, raw, slices, staged
 
-CACHE_SEGMENTS = 400_000
+CACHE_SEGMENTS = CACHE_WORDS = 150_000
+SLICE = 1 << 18
 COUNTED = 2_000_000
 SPACE = 0x20
 
@@ -170,6 +171,8 @@ def align_slice(texts: pa.Array, a_model: Encoder, b_model: Pieces) -> Aligned:
             made.append(ids)
         b, b_at = np.concatenate([np.zeros(0, np.int32), *made]), np.concatenate([[0], np.cumsum([len(m) for m in made])])
         data, offsets = data[np.repeat(good, np.diff(offsets))], np.concatenate([[0], np.cumsum(np.where(good, np.diff(offsets), 0))])
+    if len(a_model.slot) > CACHE_WORDS:
+        a_model._forget()
     a, a_at = a_model.encode(data, offsets)  # byte-level: its bytes are the text's
     a_end, b_end = np.cumsum(a_model.length_of[a]), np.cumsum(b_model.length_of[b])
     a_start, b_start = a_end - a_model.length_of[a], b_end - b_model.length_of[b]
@@ -227,7 +230,7 @@ def _codes(x: Aligned) -> np.ndarray:
 def overlaps(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per pair of tokens that overlap: doc_id, a_pos, b_pos (their numbers in the text), a_id, b_id, end_together."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, size=SLICE):
             x = align_slice(part.column(1), plain_encoder(a_path), pieces(b_path))
             row = _rows(x.a_at)[x.left]
             yield pa.RecordBatch.from_arrays(
@@ -242,7 +245,7 @@ def overlaps(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id",
 def groups(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, links (array of a_id << 32 | b_id in order), groups_sha256 of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, size=SLICE):
             x = align_slice(part.column(1), plain_encoder(a_path), pieces(b_path))
             shown, at = shown_groups(x)
             view = memoryview(shown.tobytes())

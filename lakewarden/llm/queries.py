@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, centroids, exact_dedup, html_wrapper, jaccard_join, license_scan, packing, pii, quality_classifier, quality_rules, secret_scan
+from . import alignment, bpe, centroids, exact_dedup, html_wrapper, jaccard_join, license_scan, packing, pii, quality_classifier, quality_rules, secret_scan, suffix_dedup
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,8 +65,12 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def _rounds_sql(rounds: int) -> str:
-    distance = "list_sum(list_transform(range(1, 65), i -> (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))"
+    distance = "list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))"
     parts = []
     for r in range(rounds + 1):
         parts.append(f"a{r} AS (SELECT v.vec_id, min(struct_pack(d := {distance}, c := c.c)) AS best FROM v, c{r} AS c GROUP BY v.vec_id)")
@@ -82,6 +86,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_ngram_jaccard_join, op2_license_scan, op3_bpe_round_trip, op4_quality_classifier, op5_exact_dedup, op6_pii, op7_html_extraction,
         op8_best_fit_packing, op9_quality_rules, op10_secret_scan, op11_centroid_clustering, op12_token_alignment,
+        op13_suffix_dedup,
     )
 }
 
@@ -93,8 +98,8 @@ ORACLES: dict[str, str] = {
     """,
     "op11_centroid_clustering": f"""
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
-            WHERE len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = 64
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
         ),
         c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c, x FROM v ORDER BY c LIMIT 16),
         {_rounds_sql(centroids.ROUNDS)}
@@ -102,4 +107,22 @@ ORACLES: dict[str, str] = {
                sum(best.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
         FROM a{centroids.ROUNDS} AS a JOIN c{centroids.ROUNDS} AS c ON c.c = best.c
     """,
+    "op13_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+             w AS (SELECT doc_id, unnest(range(0, length(h) // 2 - 49)) AS p, h FROM d WHERE length(h) >= 100),
+             k AS (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 100)) AS s FROM w),
+             low AS (SELECT s, min(doc_id) AS least FROM k GROUP BY s),
+             hit AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM k JOIN low USING (s) WHERE least < doc_id),
+             runs AS (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM hit),
+             gone AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS b FROM runs GROUP BY doc_id, run),
+             stay AS (
+                SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS x, a AS y FROM gone
+                UNION ALL
+                SELECT doc_id, coalesce(max(b), 0), any_value(length(h)) // 2 FROM d LEFT JOIN gone USING (doc_id) GROUP BY doc_id
+             ),
+             kept AS (SELECT doc_id, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS rest FROM stay JOIN d USING (doc_id) GROUP BY doc_id),
+             n AS (SELECT doc_id, count(*) AS spans, sum(b - a) AS removed FROM gone GROUP BY doc_id)
+        SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(rest)) AS kept_sha256
+        FROM d JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+    """,
 }
