@@ -109,8 +109,9 @@ ORACLES: dict[str, str] = {
     """,
     "op13_suffix_dedup": """
         WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-             w AS (SELECT doc_id, unnest(range(0, length(h) // 2 - 49)) AS p, h FROM d WHERE length(h) >= 100),
-             k AS (SELECT doc_id, p, md5_number(substr(h, 2 * p + 1, 100)) AS s FROM w),
+             c AS (SELECT doc_id, o, substr(h, 2 * o + 1, 698) AS part FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49, 300)) AS o FROM d WHERE length(h) >= 100)),
+             w AS (SELECT doc_id, o, part, unnest(range(0, length(part) // 2 - 49)) AS q FROM c),
+             k AS (SELECT doc_id, o + q AS p, md5_number(substr(part, 2 * q + 1, 100)) AS s FROM w),
              low AS (SELECT s, min(doc_id) AS least FROM k GROUP BY s),
              hit AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM k JOIN low USING (s) WHERE least < doc_id),
              runs AS (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM hit),

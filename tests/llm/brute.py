@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import public_tokenizers
+import sentencepiece
 from tokenizers import Tokenizer
 
 TOKENIZER = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
@@ -135,3 +138,88 @@ def op10(docs):
         n = Counter(s[1] for s in spans)
         out.append((d, n[0], n[1], n[2], sha(",".join(s for _, _, s in sorted(spans)))))
     return out
+
+
+def op11(rows, k=16, rounds=3):
+    kept = [(i, [math.floor(Fraction(x) * 64) for x in e]) for i, e in rows if e is not None and len(e) == 64 and all(x is not None and math.isfinite(x) for x in e)]
+    points = [x for _, x in sorted(kept, key=lambda r: (sha(f"1:{'' if r[0] is None else r[0]}"), r[1]))[:k]]
+
+    def nearest(x):
+        return min((sum((a - b) ** 2 for a, b in zip(x, p)), i) for i, p in enumerate(points))
+
+    for _ in range(rounds):
+        members = {}
+        for _, x in kept:
+            members.setdefault(nearest(x)[1], []).append(x)
+        for i, xs in members.items():
+            points[i] = [sum(t) // len(xs) for t in zip(*xs)]
+    found = [(i, *nearest(x)) for i, x in kept]
+    total = Counter()
+    for _, d, c in found:
+        total[c] += d
+
+    def fits(n):
+        return n if n < 2**63 else None
+
+    return [(i, c, fits(d), fits(total[c]), fits(sum(total.values())), sha(",".join(map(str, points[c])))) for i, d, c in found]
+
+
+LITERAL = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+LITERAL.encode_special_tokens = True
+PIECES = sentencepiece.SentencePieceProcessor(model_file=str(public_tokenizers.path("piece_bpe_32k.model")))
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_OF = {chr(b): b for b in _PRINTED} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
+def two_sided(text):
+    """(id, bytes) of both sides' tokens."""
+    if not text:
+        return [], []
+    a = [(i, bytes(BYTE_OF[c] for c in LITERAL.id_to_token(i))) for i in LITERAL.encode(" " + text, add_special_tokens=False).ids]
+    b = [(i, bytes([int(PIECES.id_to_piece(i)[3:5], 16)]) if PIECES.is_byte(i) else PIECES.id_to_piece(i).replace("▁", " ").encode()) for i in PIECES.encode(text)]
+    wanted = (" " + text).encode()
+    return (a, b) if b"".join(x for _, x in a) == wanted == b"".join(x for _, x in b) else ([], [])
+
+
+def op12(docs):
+    counts, made = Counter(), []
+    for d, t in docs:
+        a, b = two_sided(t)
+        ends = []
+        for side in (a, b):
+            at, found = 0, {}
+            for n, (_, token) in enumerate(side):
+                at += len(token)
+                found[at] = n
+            ends.append(found)
+        cuts = sorted(set(ends[0]) & set(ends[1]))
+        links = [(a[ends[0][c]][0], b[ends[1][c]][0]) for c in cuts]
+        counts.update(links)
+        i = j = 0
+        shown = []
+        for c in cuts:
+            shown.append(",".join(str(x) for x, _ in a[i: ends[0][c] + 1]) + "|" + ",".join(str(x) for x, _ in b[j: ends[1][c] + 1]))
+            i, j = ends[0][c] + 1, ends[1][c] + 1
+        made.append((d, len(a), len(b), len(cuts), links, sha(";".join(shown)) if a else ""))
+    best = Counter()
+    for (_, y), n in counts.items():
+        best[y] = max(best[y], n)
+    return [(d, na, nb, n, len(links), sum(counts[x] == best[x[1]] for x in links), sum(counts[x] for x in links), h) for d, na, nb, n, links, h in made]
+
+
+def op13(docs, k=50):
+    least = {}
+    for d, t in docs:
+        b = (t or "").encode()
+        for i in range(len(b) - k + 1 if d is not None else 0):
+            least[b[i: i + k]] = min(d, least.get(b[i: i + k], d))
+    out = []
+    for d, t in docs:
+        b = (t or "").encode()
+        gone = [False] * len(b)
+        for i in range(len(b) - k + 1 if d is not None else 0):
+            if least[b[i: i + k]] < d:
+                gone[i: i + k] = [True] * k
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        out.append((d, len(b), sum(gone), sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()))
+    return out
