@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import vocab
 from ..functions.rows import top_k
+from ..session import cut_lineage
 from ..sources.discovery import profiled_fields
 
-# Values longer than this travel through the shuffle as their SHA-256 digest.
+# Values longer than this travel through the shuffle as their first characters and their SHA-256 digest.
 INLINE_LENGTH = 64
 _INTEGERS = ("tinyint", "smallint", "int", "bigint")
 _REALS = ("float", "double")
@@ -72,66 +73,120 @@ def basic_stats(df: DataFrame, table: str, approx_distinct: bool = False, rsd: f
     return one.selectExpr(f"{_text(table)} AS table_name", "_rows AS row_count", f"inline(array({', '.join(entries)}))")
 
 
-def long_values(df: DataFrame, table: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """(table_name, column_name, value_key) of every non-null value: a narrow unpivot.
+def listed_columns(tables: dict[str, DataFrame]) -> list[tuple[str, str]]:
+    """(table, column) of everything profiled; the position in this list is the column's number in ``count_values``."""
+    return [(name, column) for name, df in tables.items() for column, _, _ in profiled_fields(df)]
 
-    Strings above INLINE_LENGTH are keyed by digest, so texts do not cross the network.
+
+def _key_of(path: str, type_name: str, exact: bool) -> tuple[str, str]:
+    """(head, rest) of a value. Heads sort as the values' texts do; with the rest they tell all values apart.
+
+    Texts above INLINE_LENGTH have their first characters as head and a digest as rest, so they do not cross the network.
+    Where the printed form of a number or time is rounded, ``exact`` keeps what it hides as rest.
     """
-    fields = [f for f in profiled_fields(df) if columns is None or f[0] in columns]
-    keys = []
-    for i, (_, type_name, path) in enumerate(fields):
-        text = f"CAST({path} + 0D AS STRING)" if type_name in _REALS else f"CAST({path} AS STRING)"  # minus zero is zero
-        keys.append(f"CASE WHEN length({text}) <= {INLINE_LENGTH} THEN {text} ELSE concat('sha256:', sha2({text}, 256)) END AS c{i}" if type_name == "string" else f"{text} AS c{i}")
-    pairs = ", ".join(f"{_text(name)}, c{i}" for i, (name, _, _) in enumerate(fields))
-    long = df.selectExpr(*keys).selectExpr(f"stack({len(fields)}, {pairs}) AS (column_name, value_key)")
-    return long.filter("value_key IS NOT NULL").selectExpr(f"{_text(table)} AS table_name", "column_name", "value_key")
+    nothing = "CAST(NULL AS STRING)"
+    if type_name == "string":
+        return f"left({path}, {INLINE_LENGTH})", f"CASE WHEN length({path}) > {INLINE_LENGTH} THEN sha2({path}, 256) ELSE {nothing} END"
+    if type_name in _REALS:
+        value = f"(CAST({path} AS DOUBLE) + 0D)"  # minus zero is zero
+        head = f"coalesce(CAST(try_cast({value} AS DECIMAL(38, 6)) AS STRING), {_as_text(path, type_name)})"
+        return head, f"CASE WHEN try_cast({value} AS DECIMAL(38, 6)) = {value} THEN {nothing} ELSE CAST({path} + 0 AS STRING) END" if exact else nothing
+    if type_name in ("timestamp", "timestamp_ntz"):
+        return _as_text(path, type_name), f"CASE WHEN date_trunc('second', {path}) = {path} THEN {nothing} ELSE CAST({path} AS STRING) END" if exact else nothing
+    return f"CAST({path} AS STRING)", nothing
 
 
-def count_values(long: DataFrame) -> DataFrame:
-    """How often each value occurs, for any number of tables and columns in ONE shuffle.
+def long_values(df: DataFrame, first: int, exact: bool = True) -> DataFrame:
+    """(column_id, head, rest) of every non-null value: a narrow unpivot. ``first`` is the number of the first column."""
+    keys, entries = [], []
+    for i, (_, type_name, path) in enumerate(profiled_fields(df)):
+        head, rest = _key_of(path, type_name, exact)
+        keys += [f"{head} AS h{i}", f"{rest} AS r{i}"]
+        entries.append(f"{first + i}, h{i}, r{i}")
+    return df.selectExpr(*keys).selectExpr(f"stack({len(entries)}, {', '.join(entries)}) AS (column_id, head, rest)").filter("head IS NOT NULL")
+
+
+def count_values(tables: dict[str, DataFrame], exact: bool = True) -> DataFrame:
+    """(column_id, head, rest, n): how often each value of any table and column occurs, in ONE shuffle.
 
     Unpivot + group instead of many countDistinct: the map-side combine absorbs values
     that repeat a lot, and the group key spreads a table with a third of all values.
     """
-    return long.groupBy("table_name", "column_name", "value_key").agg(F.count(F.lit(1)).alias("n"))
+    longs, first = [], 0
+    for df in tables.values():
+        if fields := profiled_fields(df):
+            longs.append(long_values(df, first, exact))
+        first += len(fields)
+    return reduce(DataFrame.unionByName, longs).groupBy("column_id", "head", "rest").agg(F.count(F.lit(1)).alias("n"))
 
 
-def value_counts(df: DataFrame, table: str, columns: Sequence[str] | None = None) -> DataFrame:
-    return count_values(long_values(df, table, columns))
+def named(df: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """``column_id`` replaced by table_name and column_name."""
+    columns = listed_columns(tables)
+    name = lambda part: F.element_at(F.array(*[F.lit(c[part]) for c in columns]), F.col("column_id") + 1)
+    return df.select(name(0).alias("table_name"), name(1).alias("column_name"), *[c for c in df.columns if c != "column_id"])
 
 
 def distinct_counts(counts: DataFrame) -> DataFrame:
-    """Exact distinct count per column; the second level is a partial aggregate as well."""
-    return counts.groupBy("table_name", "column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
+    """Exact distinct count per column number; the second level is a partial aggregate as well."""
+    return counts.groupBy("column_id").agg(F.count(F.lit(1)).alias("distinct_count"))
 
 
-def frequent_values(counts: DataFrame, k: int = 5) -> DataFrame:
-    """The ``k`` most frequent values per column; ties by value."""
-    return top_k(counts, ["table_name", "column_name"], [F.col("n").desc(), F.col("value_key")], k)
+def _long_texts(tables: dict[str, DataFrame], wanted: DataFrame) -> DataFrame:
+    """(column_id, head, rest, value) of the texts above INLINE_LENGTH whose heads are among the few of ``wanted``."""
+    out, first = [], 0
+    for df in tables.values():
+        fields = profiled_fields(df)
+        strings = [(first + i, path) for i, (_, type_name, path) in enumerate(fields) if type_name == "string"]
+        first += len(fields)
+        if strings:
+            pairs = ", ".join(f"{i}, {path}" for i, path in strings)
+            texts = df.selectExpr(f"stack({len(strings)}, {pairs}) AS (column_id, value)").filter(F.length("value") > INLINE_LENGTH)
+            out.append(texts.withColumn("head", F.left("value", F.lit(INLINE_LENGTH))).join(wanted, ["column_id", "head"], "left_semi"))
+    return reduce(DataFrame.unionByName, out).select("column_id", "head", F.sha2("value", 256).alias("rest"), "value") if out else None
 
 
-def smallest_values(counts: DataFrame, k: int = 5) -> DataFrame:
-    """``k`` sample values per column in a repeatable form: the smallest as text."""
-    return top_k(counts, ["table_name", "column_name"], [F.col("value_key")], k)
+def frequent_values(tables: dict[str, DataFrame], k: int = 5) -> DataFrame:
+    """table_name, column_name, value, n, rank: the ``k`` most frequent values of every column; ties by the text itself.
 
+    Values are counted by head and digest. All that can reach the first ``k`` places by count and head
+    are kept, ties included; only for those texts are read, and ranked whole.
+    """
+    counts = count_values(tables, exact=False)
+    near = counts.withColumn("_r", F.rank().over(Window.partitionBy("column_id").orderBy(F.col("n").desc(), "head"))).filter(F.col("_r") <= k).drop("_r")
+    near = cut_lineage(near)
+    found = near.filter("rest IS NULL").withColumn("value", F.col("head"))
+    long = near.filter("rest IS NOT NULL")
+    # heads of at most k places per column: a bounded broadcast
+    texts = _long_texts(tables, F.broadcast(long.select("column_id", "head").distinct()))
+    if texts is not None:
+        whole = texts.join(long.select("column_id", "head", "rest", "n"), ["column_id", "head", "rest"])
+        found = found.unionByName(whole.groupBy("column_id", "head", "rest", "n").agg(F.min("value").alias("value")))
+    return named(top_k(found, ["column_id"], [F.col("n").desc(), F.col("value")], k).select("column_id", "value", "n", "rank"), tables)
+
+
+def smallest_values(counts: DataFrame, tables: dict[str, DataFrame], k: int = 5) -> DataFrame:
+    """column_id, value, rank: ``k`` sample values per column in a repeatable form, the smallest by the text itself.
+
+    The ``k`` smallest heads of a column hold its ``k`` smallest values; whole texts are read for those alone,
+    and each task keeps no more than ``k`` of them.
+    """
+    by_head = Window.partitionBy("column_id").orderBy("head")
+    few = cut_lineage(counts.withColumn("_r", F.dense_rank().over(by_head)).filter(F.col("_r") <= k).select("column_id", "head", F.col("rest").isNotNull().alias("more")).distinct())
+    texts = _long_texts(tables, F.broadcast(few.filter("more").select("column_id", "head")))
+    strings = {i for i, (_, type_name) in enumerate((c, t) for df in tables.values() for c, t, _ in profiled_fields(df)) if type_name == "string"}
+    # numbers and times are their heads; of texts only those without a rest
+    short = few.filter(~F.col("more") | ~F.col("column_id").isin(*strings)).select("column_id", F.col("head").alias("value")).distinct()
+    if texts is not None:
+        pruned = texts.withColumn("_r", F.dense_rank().over(Window.partitionBy("column_id").orderBy("value"))).filter(F.col("_r") <= k)
+        short = short.unionByName(pruned.select("column_id", "value").distinct())
+    return top_k(short, ["column_id"], [F.col("value")], k)
 
-def with_full_text(ranked: DataFrame, df: DataFrame) -> DataFrame:
-    """Puts whole texts back for the few digests among the ranked values."""
-    strings = [(name, path) for name, type_name, path in profiled_fields(df) if type_name == "string"]
-    if not strings:
-        return ranked.withColumn("value", F.col("value_key"))
-    wanted = ranked.filter(F.col("value_key").startswith("sha256:")).select("column_name", "value_key")
-    pairs = ", ".join(f"{_text(name)}, {path}" for name, path in strings)
-    texts = (
-        df.selectExpr(f"stack({len(strings)}, {pairs}) AS (column_name, text)")
-        .filter(F.length("text") > INLINE_LENGTH)
-        .withColumn("value_key", F.concat(F.lit("sha256:"), F.sha2("text", 256)))
-        # at most k rows per column survive into `wanted`, so the hash side is tiny and of fixed size
-        .join(F.broadcast(wanted), ["column_name", "value_key"], "left_semi")
-        .groupBy("column_name", "value_key")
-        .agg(F.min("text").alias("text"))
-    )
-    return ranked.join(texts, ["column_name", "value_key"], "left").withColumn("value", F.coalesce("text", "value_key")).drop("text")
+
+def sample_arrays(counts: DataFrame, tables: dict[str, DataFrame], k: int = 5) -> DataFrame:
+    """column_id, sample_values: the ``smallest_values`` of a column as an array."""
+    listed = smallest_values(counts, tables, k).groupBy("column_id").agg(F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("ranked"))
+    return listed.select("column_id", F.col("ranked.value").alias("sample_values"))
 
 
 def null_percent(null_count, rows):
@@ -188,38 +243,43 @@ def profile_table(df: DataFrame, table: str, mode: str = "exact") -> DataFrame:
     """Full column profile of one table; ``mode`` = exact | approx distinct counts."""
     if mode == "approx":
         return basic_stats(df, table, approx_distinct=True)
-    stats = basic_stats(df, table)
-    distinct = distinct_counts(value_counts(df, table)).drop("table_name")
-    return stats.join(distinct, "column_name", "left").fillna(0, ["distinct_count"]).select(*stats.columns, "distinct_count")
+    return with_distinct(basic_stats(df, table), {table: df}, count_values({table: df}))
 
 
-def hydrate(tables: dict[str, DataFrame], mode: str = "exact", check: bool = False) -> tuple[DataFrame, list[tuple[str, str]]]:
+def with_distinct(stats: DataFrame, tables: dict[str, DataFrame], counts: DataFrame) -> DataFrame:
+    distinct = named(distinct_counts(counts), tables)
+    joined = stats.join(distinct, ["table_name", "column_name"], "left").fillna(0, ["distinct_count"])
+    return joined.select(*stats.columns, "distinct_count")
+
+
+def hydrate(tables: dict[str, DataFrame], mode: str = "exact", check: bool = False, samples: bool = False) -> tuple[DataFrame, list[tuple[str, str]]]:
     """Profile of every table as one plan, plus (table, error) for tables that could not be analysed.
 
-    Statistics are one aggregate per table; the distinct values of all tables share one shuffle.
+    Statistics are one aggregate per table; the distinct values of all tables share one shuffle, from which
+    distinct counts and, with ``samples``, sample_values are taken.
 
     A table whose plan cannot be built is skipped and reported; with ``check``
     each table is also executed on its own, so a corrupt file fails alone.
     """
-    stats, values, errors = [], [], []
+    stats, read, errors = [], {}, []
     for name, df in tables.items():
         try:
             if check:
                 profile_table(df, name, mode).write.format("noop").mode("overwrite").save()
-            one = basic_stats(df, name, approx_distinct=mode == "approx")
-            if mode != "approx":
-                values.append(long_values(df, name))
-            stats.append(one)
+            stats.append(basic_stats(df, name, approx_distinct=mode == "approx"))
+            read[name] = df
         except Exception as exc:  # noqa: BLE001 - partial results beat none
             errors.append((name, str(exc).splitlines()[0]))
     if not stats:
         raise ValueError("no table could be profiled")
     profile = reduce(DataFrame.unionByName, stats)
-    if mode == "approx":
-        return profile, errors
-    distinct = distinct_counts(count_values(reduce(DataFrame.unionByName, values)))
-    joined = profile.join(distinct, ["table_name", "column_name"], "left").fillna(0, ["distinct_count"])
-    return joined.select(*profile.columns, "distinct_count"), errors
+    counts = count_values(read) if mode != "approx" or samples else None
+    if mode != "approx":
+        profile = with_distinct(profile, read, counts)
+    if samples:
+        listed = named(sample_arrays(counts, read), read)
+        profile = profile.join(listed, ["table_name", "column_name"], "left").withColumn("sample_values", F.coalesce("sample_values", F.array().cast("array<string>")))
+    return profile, errors
 
 
 def run_summary(profile: DataFrame, schema_col: str | None = None) -> DataFrame:

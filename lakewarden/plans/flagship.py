@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,21 +13,15 @@ FLAGSHIP_TABLES = LAKE_TABLES
 
 
 def sample_values(tables: dict[str, DataFrame]) -> DataFrame:
-    """table_name, column_name, sample_values: five values of every column, the smallest as text (long ones by digest)."""
-    counts = profiling.count_values(reduce(DataFrame.unionByName, [profiling.long_values(df, name) for name, df in tables.items()]))
-    ranked = cut_lineage(profiling.smallest_values(counts))
-    whole = [profiling.with_full_text(ranked.filter(F.col("table_name") == name), df).select("table_name", "column_name", "rank", "value") for name, df in tables.items()]
-    listed = reduce(DataFrame.unionByName, whole).groupBy("table_name", "column_name").agg(F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("ranked"))
-    return listed.select("table_name", "column_name", F.col("ranked.value").alias("sample_values"))
+    """table_name, column_name, sample_values: five values of every column, the smallest by their text."""
+    return profiling.named(profiling.sample_arrays(profiling.count_values(tables), tables), tables)
 
 
 def lake_report(spark: SparkSession, root: str, tables=FLAGSHIP_TABLES, mode: str = "exact") -> DataFrame:
     """One row per column: statistics, scores, class, and the domain and level of its table."""
     found = lake(use_utc(spark), root, tables)
-    profile, _ = profiling.hydrate(found, mode)
-    profile = cut_lineage(profile)  # one row per column, written once and read three times below
-    sampled = profile.join(sample_values(found), ["table_name", "column_name"], "left").withColumn("sample_values", F.coalesce("sample_values", F.array().cast("array<string>")))
-    scored = classification.classify(quality.score_columns(cut_lineage(sampled)))
+    profile, _ = profiling.hydrate(found, mode, samples=True)
+    scored = classification.classify(quality.score_columns(cut_lineage(profile)))  # one row per column, written once and read three times below
     domains = enrichment.infer_domains(scored, ["table_name"], "table_name", "column_name", "ordinal")
     levels = classification.table_sensitivity(scored, ["table_name"], "service").withColumnRenamed("sensitivity_level", "table_level")
     return scored.join(domains, "table_name", "left").join(levels, "table_name", "left").select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..operators import profiling, quality
-from ..session import cut_lineage, scratch_dir, use_utc
+from ..session import scratch_dir, use_utc
 from ..sources import discovery, sinks
 from ..sources.readers import LAKE_TABLES, lake
 from . import derived as d
@@ -51,14 +51,14 @@ def _text(kind: str, expr: str) -> str:
     return f"CAST({expr} AS VARCHAR)"
 
 
-def _value_key(kind: str, column: str) -> str:
-    text = f'CAST("{column}" AS VARCHAR)'
-    return f"CASE WHEN length({text}) <= 64 THEN {text} ELSE 'sha256:' || sha256({text}) END" if kind == "s" else text
+def _shown(kind: str, column: str) -> str:
+    """A value as text, as min and max print it."""
+    return _text(kind, f'"{column}"')
 
 
-def _counts(spark, root, tables) -> DataFrame:
-    longs = [profiling.long_values(df, name) for name, df in lake(use_utc(spark), root, tables).items()]
-    return profiling.count_values(reduce(DataFrame.unionByName, longs))
+def _counts(spark, root) -> tuple[DataFrame, dict[str, DataFrame]]:
+    tables = lake(use_utc(spark), root)
+    return profiling.count_values(tables), tables
 
 
 def _stats(spark, root, tables=LAKE_TABLES) -> DataFrame:
@@ -224,7 +224,8 @@ def b1(spark, root):
 
 @query("b2_distinct_counts", _each(lambda t, c, k: f'SELECT \'{t}\' AS table_name, \'{c}\' AS column_name, count(DISTINCT "{c}") AS distinct_count FROM {t}'))
 def b2(spark, root):
-    return profiling.distinct_counts(_counts(spark, root, LAKE_TABLES))
+    counts, tables = _counts(spark, root)
+    return profiling.named(profiling.distinct_counts(counts), tables)
 
 
 @query("b3_approx_distinct")
@@ -244,35 +245,24 @@ def b5(spark, root):
     return _stats(spark, root).filter(F.col("avg_value").isNotNull()).select("table_name", "column_name", _mean().alias("avg_value"))
 
 
-_TOP_TABLES = tuple(t for t in LAKE_TABLES)
-
-
 def _top_sql(order: str, with_n: bool) -> str:
     n = ", n" if with_n else ""
     return _each(lambda t, c, k: f"""
-        SELECT table_name, column_name, value{n}, CAST(rank AS INT) AS rank FROM (SELECT '{t}' AS table_name, '{c}' AS column_name, {_value_key(k, c)} AS key, min(CAST("{c}" AS VARCHAR)) AS value, count(*) AS n,
-               row_number() OVER (ORDER BY {order}) AS rank FROM {t} WHERE "{c}" IS NOT NULL GROUP BY 3) WHERE rank <= 5""", tables=_TOP_TABLES, kinds="ns")
-
-
-def _ranked(spark, root, rank) -> DataFrame:
-    """Ranks the values of all tables together, then puts whole texts back table by table."""
-    tables = lake(use_utc(spark), root, _TOP_TABLES)
-    longs = [profiling.long_values(df, name, [c for c, k in _cols(name) if k in "ns"]) for name, df in tables.items()]
-    ranked = cut_lineage(rank(profiling.count_values(reduce(DataFrame.unionByName, longs))))
-    with_text = [n for n in _TOP_TABLES if any(f.dataType.simpleString() == "string" for f in tables[n].schema)]
-    out = [profiling.with_full_text(ranked.filter(F.col("table_name") == n), tables[n]) for n in with_text]
-    rest = ranked.filter(~F.col("table_name").isin(*with_text)).withColumn("value", F.col("value_key"))
-    return reduce(DataFrame.unionByName, [*out, rest])
+        SELECT table_name, column_name, shown AS value{n}, CAST(rank AS INT) AS rank FROM (SELECT '{t}' AS table_name, '{c}' AS column_name, {_shown(k, c)} AS shown, count(*) AS n,
+               row_number() OVER (ORDER BY {order}) AS rank FROM {t} WHERE "{c}" IS NOT NULL GROUP BY 3) WHERE rank <= 5""")
 
 
-@query("b6_sample_values", _top_sql("key", False))
+@query("b6_sample_values", _top_sql("shown", False))
 def b6(spark, root):
-    return _ranked(spark, root, profiling.smallest_values).select("table_name", "column_name", "value", "rank")
+    """Five values of every column of every table, the smallest by their text."""
+    counts, tables = _counts(spark, root)
+    return profiling.named(profiling.smallest_values(counts, tables), tables).select("table_name", "column_name", "value", "rank")
 
 
-@query("b7_frequent_values", _top_sql("n DESC, key", True))
+@query("b7_frequent_values", _top_sql("n DESC, shown", True))
 def b7(spark, root):
-    return _ranked(spark, root, profiling.frequent_values).select("table_name", "column_name", "value", "n", "rank")
+    """The five most frequent values of every column of every table, ties by their text."""
+    return profiling.frequent_values(lake(use_utc(spark), root))
 
 
 @query("b8_sampling_policy", d.with_ctes(f"""

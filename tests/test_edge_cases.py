@@ -105,11 +105,31 @@ def test_approx_profile_is_close(spark):
 def test_long_texts_are_counted_by_digest_and_returned_whole(spark):
     long = "x" * 200
     df = spark.createDataFrame([(long,), (long,), (long + "y",), ("short",), (None,)], "s string")
-    counts = profiling.value_counts(df, "t")
+    counts = profiling.count_values({"t": df})
     assert profiling.distinct_counts(counts).first().distinct_count == 3
-    top = profiling.with_full_text(profiling.frequent_values(counts), df).orderBy("rank").collect()
-    assert (top[0].value, top[0].n) == (long, 2)
-    assert {r.value for r in top} == {long, long + "y", "short"}
+    top = profiling.frequent_values({"t": df}).orderBy("rank").collect()
+    assert [(r.value, r.n) for r in top] == [(long, 2), ("short", 1), (long + "y", 1)]
+
+
+def test_ranks_follow_the_text_itself(spark):
+    head = "h" * 64
+    rows = [(head + t, x) for t, x in zip("gfedcba", (0.1 + 0.2, 0.3, -0.0, 0.0, 1e-9, float("nan"), 1e30))] + [(head, None), ("zz", 0.3)]
+    tables = {"t": spark.createDataFrame(rows, "s string, x double")}
+    small = profiling.named(profiling.smallest_values(profiling.count_values(tables), tables), tables).orderBy("column_name", "rank").collect()
+    assert [r.value for r in small if r.column_name == "s"] == [head, head + "a", head + "b", head + "c", head + "d"]
+    assert [r.value for r in small if r.column_name == "x"] == ["0.000000", "0.300000", "1000000000000000019884624838656.000000", "NaN"]
+    top = profiling.frequent_values(tables).orderBy("column_name", "rank").collect()
+    assert [(r.value, r.n) for r in top if r.column_name == "s"] == [(head, 1), *[(head + c, 1) for c in "abcd"]]
+    assert [(r.value, r.n) for r in top if r.column_name == "x"][:2] == [("0.000000", 3), ("0.300000", 3)]
+    distinct = {r.column_name: r.distinct_count for r in profiling.profile_table(tables["t"], "t").collect()}
+    assert distinct == {"s": 9, "x": 6}
+
+
+def test_profile_of_tables_without_rows_or_columns(spark):
+    tables = {"none": spark.createDataFrame([], "s string, x int"), "vector": spark.createDataFrame([([1.0],)], "v array<double>"), "one": spark.createDataFrame([("a", 1)], "s string, x int")}
+    profile, errors = profiling.hydrate(tables, samples=True)
+    got = {(r.table_name, r.column_name): (r.row_count, r.distinct_count, r.sample_values) for r in profile.collect()}
+    assert got == {("none", "s"): (0, 0, []), ("none", "x"): (0, 0, []), ("one", "s"): (1, 1, ["a"]), ("one", "x"): (1, 1, ["1"])} and not errors
 
 
 def test_one_bad_table_does_not_stop_the_run(spark, tmp_path):
