@@ -3,22 +3,24 @@
 A byte goes when a string of ``length`` bytes that covers it also starts in a document with a smaller id. Strings are
 judged on the input, whole texts, as UTF-8 bytes; nothing crosses documents.
 
-1. Texts are dealt to blocks of about ``BLOCK_BYTES`` by a hash of their id. Every window of ``length`` bytes has a key, the
+1. Texts are cut at places that their content names, about every 256 bytes. A chunk is the windows of ``length`` bytes that start between two
+   cuts, with all their bytes. Equal chunks are one: those of larger documents go at once, as the least document's starts there too, and take no further part.
+2. Texts are dealt to blocks of about ``BLOCK_BYTES`` by a hash of their id. Every other window has a key, the
    least hash of the ``GRAM``-byte strings in it, so equal windows have equal keys; neighbours mostly share theirs and form a run. Each
    block sends its different keys, one row each. A key stays when two documents have it.
-2. Each block cuts the runs of such keys into pieces: a run's windows with all their bytes, at most ``2 * length - GRAM``. Of
+3. Each block cuts the runs of such keys into pieces: a run's windows with all their bytes, at most ``2 * length - GRAM``. Of
    equal pieces in a block the one of the least document is sent; the others go at once. Pieces of one key meet in
    one task; a key with more than ``MOST_RUNS`` runs is dealt by whole windows instead, of which a block sends each once.
-3. Pieces, equal ones once, are a collection whose suffix order is built column by column: every round puts one more symbol (two
-   bytes, in both alignments) before each piece's suffixes and brings the collection's Burrows-Wheeler order and its common
-   prefixes up to date in one pass over them. Symbols that follow one another keep their order, so a round is a
-   stable deal by symbol; a common prefix is one longer than the least one between two neighbours of a
-   symbol. After at most ``length`` rounds windows that agree stand side by side with a common prefix of ``length`` bytes; the least document of each such
-   stretch decides for all in it. Collections end where a key ends once they hold ``COLLECTION_BYTES``, and arrive sorted from
+4. Pieces, equal ones once, are a collection whose windows are its documents. Their suffix order is built column by column, from the last to the
+   first: every round puts one more symbol (two bytes) before each document's suffix. The symbols before the suffixes, in suffix order, are the
+   collection's Burrows-Wheeler transform; dealing them stably by symbol gives the next order, and two neighbours share all symbols when they did and the new one is
+   the same. A suffix that shares all with no other belongs to a window that occurs once; it leaves. After ``length / 2`` rounds windows that
+   agree stand side by side; the least document of each such stretch decides for all in it. Every round is one sequential pass
+   over the columns of a collection. Collections end where a key ends once they hold ``COLLECTION_BYTES``, and arrive sorted from
    Spark's shuffle files: those are the sequential external files, arrays in memory are bounded by a collection.
-4. Spans found go back to their blocks, where runs are joined and the bytes cut out.
+5. Spans found go back to their blocks, where runs are joined and the bytes cut out.
 
-One plan: the texts are shuffled once, and that exchange is read by steps 1, 2 and 4.
+Steps 2 to 5 are one plan: the texts are shuffled once, and that exchange is read three times. Only keys, chunks and pieces cross the network besides.
 
 Null text is empty. Texts shorter than ``length`` lose nothing. Rows of one id are one document: they take nothing from each
 other, each has a row in the result. A row with a null id has no order: it loses nothing and takes nothing. Very long texts are handled whole, in one
@@ -35,19 +37,25 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Hashed, mix, only, raw, signed
+from .common import Hashed, mix, only, raw, signed, slices, staged
 
 LENGTH, GRAM, SYMBOL = 50, 16, 2
 BLOCK_BYTES = 4 << 20
 SLICE = 1 << 20
-COLLECTION_BYTES = 2 << 20
+COLLECTION_BYTES = 1 << 20
+CHUNK_BITS = 8  # a cut at one in 256 places
 MOST_RUNS = 10_000
+INFO_BITS = 21  # of them one says whether several documents of the block have the key, the others count its runs
+MOST_INFO = (1 << (INFO_BITS - 1)) - 1
 
 
 class Runs:
-    """Runs of windows with one key in texts that lie one after the other: text, start, number of windows, key."""
+    """Runs of windows with one key in texts that lie one after the other: text, start, number of windows, key.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, hashed: Hashed, length: int, gram: int):
+    Windows that start at a place of ``gone`` take no part. Keys keep the bits of ``mask``.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, hashed: Hashed, length: int, gram: int, gone: np.ndarray | None = None, mask: int = -1):
         windows = np.maximum(np.diff(offsets) - length + 1, 0)
         ends = np.cumsum(windows)
         total = int(ends[-1]) if len(ends) else 0
@@ -63,16 +71,19 @@ class Runs:
         if reach < width:
             least = np.minimum(least[: len(least) - (width - reach)], least[width - reach:])
         start = np.repeat(offsets[:-1] - (ends - windows), windows) + np.arange(total)
+        if gone is not None and gone.any():
+            start = start[~gone[start]]
+            total = len(start)
         key = least[start]
-        new = np.append(True, key[1:] != key[:-1])
-        new[(ends - windows)[windows > 0]] = True
+        new = np.ones(total, bool)
+        new[1:] = (key[1:] != key[:-1]) | (np.diff(start) > 1)  # between texts lie at least length - 1 bytes without windows
         first = np.flatnonzero(new)
         count = np.diff(np.append(first, total))
         cuts = (count + width - 1) // width  # of bounded length, also in texts that repeat one character
         run = np.repeat(np.arange(len(first)), cuts)
         nth = np.arange(len(run)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
         first, count = first[run] + nth * width, np.minimum(width, count[run] - nth * width)
-        self.start, self.count, self.key = start[first], count, signed(key[first])
+        self.start, self.count, self.key = start[first], count, signed(mix(key[first]) & np.uint64(mask & 0xFFFFFFFFFFFFFFFF))
         self.text = np.searchsorted(offsets, self.start, "right") - 1
 
 
@@ -104,13 +115,62 @@ def _numbered(block: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return pc.if_else(known, block.column("text").combine_chunks(), ""), pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), known.to_numpy(zero_copy_only=False)
 
 
-def _keys_of(length: int, gram: int):
-    def run(block: pa.Table) -> pa.Table:
+def _chunks_of(length: int, gram: int):
+    """c, check (what names a chunk), doc, uid, block, at, windows of every chunk."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            data, offsets = raw(part.column(3))
+            windows = np.maximum(np.diff(offsets) - length + 1, 0)
+            if not windows.any():
+                continue
+            hashed = Hashed(data)
+            place = np.zeros(len(data) + 1, bool)  # where a chunk starts
+            at = np.arange(len(data) - gram + 1)
+            place[at[(hashed(at, at + gram) >> np.uint64(64 - CHUNK_BITS)) == 0]] = True
+            place[_spread(offsets[:-1] + windows, np.diff(offsets) - windows)] = False  # too late for a window
+            place[offsets[:-1][windows > 0]] = True
+            start = np.flatnonzero(place)
+            text = np.searchsorted(offsets, start, "right") - 1
+            stop = np.minimum(np.append(start[1:], len(data)), offsets[text] + windows[text])
+            end = stop + length - 1
+            edge = np.lib.stride_tricks.sliding_window_view(data, 8)
+            check = edge[start].copy().view(np.int64).ravel() ^ (edge[end - 8].copy().view(np.int64).ravel() * 31 + (end - start))
+            rows = pa.array(text)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(hashed(start, end))), pa.array(check), part.column(1).take(rows), part.column(2).take(rows), part.column(0).take(rows), pa.array(start - offsets[text]), pa.array(stop - start)],
+                ["c", "check", "doc", "uid", "block", "at", "windows"],
+            )
+
+    return run
+
+
+def _gone(block: pa.Table, offsets: np.ndarray, met: pa.Table) -> np.ndarray:
+    """Which window starts of a block (in order) go already, by the chunks of ``met`` (uid, at, windows)."""
+    out = np.zeros(int(offsets[-1]) + 1, np.int32)
+    met = met.filter(pc.is_valid(met.column("uid")))
+    uid, at, windows = (met.column(c).to_numpy() for c in ("uid", "at", "windows"))
+    mine = block.column("uid").to_numpy()
+    order = np.argsort(uid, kind="stable")
+    low, high = np.searchsorted(uid[order], mine, "left"), np.searchsorted(uid[order], mine, "right")
+    row = np.repeat(np.arange(len(mine)), high - low)
+    which = order[_spread(low, high - low)]
+    np.add.at(out, offsets[row] + at[which], 1)
+    np.add.at(out, offsets[row] + at[which] + windows[which], -1)
+    return np.cumsum(out) > 0
+
+
+def _keys_of(length: int, gram: int, mask: int):
+    def run(block: pa.Table, met: pa.Table) -> pa.Table:
+        if not block.num_rows:
+            return pa.table({"key": pa.array([], pa.int64()), "info": pa.array([], pa.int64())})
         number = block.column("block")[0].as_py()
-        texts, ids, _ = _numbered(_in_order(block))
+        block = _in_order(block)
+        texts, ids, _ = _numbered(block)
+        offsets = raw(texts)[1]
+        gone = _gone(block, offsets, met)
         keys, docs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for first, data, offsets in _parts(texts):
-            r = Runs(data, offsets, Hashed(data), length, gram)
+        for first, data, at in _parts(texts):
+            r = Runs(data, at, Hashed(data), length, gram, gone[offsets[first]:], mask)
             keys.append(r.key)
             docs.append(ids[first + r.text])
         key, doc = np.concatenate(keys), np.concatenate(docs)
@@ -118,26 +178,31 @@ def _keys_of(length: int, gram: int):
         key, doc = key[order], doc[order]
         new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         last = np.append(new[1:], len(key)) - 1 if len(new) else new
-        return pa.table({"block": pa.array(np.full(len(new), number)), "key": pa.array(key[new]), "runs": pa.array(last - new + 1), "several": pa.array(doc[new] != doc[last])})
+        runs = np.minimum(last - new + 1, MOST_INFO)
+        return pa.table({"key": pa.array(key[new]), "info": pa.array((number << INFO_BITS) | (runs << 1) | (doc[new] != doc[last]))})
 
     return run
 
 
-def _pieces_of(length: int, gram: int):
+def _pieces_of(length: int, gram: int, mask: int):
     kinds = [("key", pa.int64()), ("block", pa.int64()), ("row", pa.int64()), ("doc", pa.int64()), ("at", pa.int64()), ("windows", pa.int64()), ("bytes", pa.binary())]
 
     def run(block: pa.Table, shared: pa.Table) -> pa.Table:
+        met, shared = shared, shared.filter(pc.is_valid(shared.column("key")))
         if not block.num_rows or not shared.num_rows:
             return pa.table({n: pa.array([], t) for n, t in kinds})
         number = block.column("block")[0].as_py()
-        texts, ids, _ = _numbered(_in_order(block))
+        block = _in_order(block)
+        texts, ids, _ = _numbered(block)
+        starts = raw(texts)[1]
+        over = _gone(block, starts, met)
         known, wide = shared.column("key").to_numpy(), shared.column("wide").to_numpy()
         order = np.argsort(known)
         known, wide = known[order], wide[order]
         found: list[tuple] = []
         for first, data, offsets in _parts(texts):
             hashed = Hashed(data)
-            r = Runs(data, offsets, hashed, length, gram)
+            r = Runs(data, offsets, hashed, length, gram, over[starts[first]:], mask)
             i = np.minimum(np.searchsorted(known, r.key), len(known) - 1)
             hit = known[i] == r.key
             text, start, count, key, split = r.text[hit], r.start[hit], r.count[hit], r.key[hit], wide[i[hit]]
@@ -174,65 +239,40 @@ def _pieces_of(length: int, gram: int):
     return run
 
 
-def _least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Least value in each of the ranges low < i <= high."""
-    span = high - low
-    level = np.frexp(span.astype(np.float64))[1] - 1
-    table = [values]
-    for k in range(int(level.max(initial=0))):
-        half = 1 << k
-        step = table[-1]
-        table.append(np.minimum(step[: len(step) - half], step[half:]))
-    out = np.empty(len(low), values.dtype)
-    for k, made in enumerate(table):
-        mine = np.flatnonzero(level == k)
-        out[mine] = np.minimum(made[low[mine] + 1], made[high[mine] - (1 << k) + 1])
-    return out
-
-
-def suffix_order(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order of all suffixes of the pieces data[begin:end] by symbols of two bytes, in both alignments.
+def suffix_order(data: np.ndarray, end: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the strings of ``symbols`` two-byte symbols before each of the places ``end``, of those that occur more than once.
 
-    Returns where each suffix begins, where its alignment ends, and how many symbols it shares with the one before it. Round by
-    round one symbol is put before every piece: the suffixes known so far, each with the symbol before it (the collection's
-    Burrows-Wheeler transform), are dealt by that symbol in one sequential pass, and common prefixes follow.
+    Returns where each begins, in the order of their symbols, and whether it differs from the one before it. Each round puts one
+    symbol before every suffix: the column of symbols before the suffixes is dealt stably, neighbours agree when they did in the round before.
     """
     symbol = (data[:-1].astype(np.uint16) << np.uint16(8)) | data[1:] if len(data) > 1 else np.zeros(0, np.uint16)
-    room = np.minimum(255, np.arange(len(data) + 1) - np.repeat(np.append(begin, len(data)), np.append(end - begin, 1))).astype(np.uint8) if len(data) else np.zeros(1, np.uint8)
-    empty = np.concatenate([end, end[end > begin] - 1]).astype(np.int32)  # the two alignments of each piece
-    left = np.concatenate([end - begin, (end - begin)[end > begin] - 1]).astype(np.uint8)
-    at, limit, left_of, prefix = empty, empty, left, np.zeros(len(empty), np.uint8)
-    while True:
-        open_ = np.flatnonzero(left_of >= SYMBOL)
-        before = symbol[at[open_] - SYMBOL]
-        order = np.argsort(before, kind="stable")
-        place, sorted_ = open_[order], before[order]
-        common = np.zeros(len(place), np.uint8)
-        same = np.flatnonzero(sorted_[1:] == sorted_[:-1]) + 1
-        common[same] = 1 + _least(prefix, place[same - 1], place[same])
-        grown = len(empty) + len(place)
-        done = grown == len(at)
-        at = np.concatenate([empty, at[place] - SYMBOL])
-        limit = np.concatenate([empty, limit[place]])
-        left_of = np.concatenate([left, left_of[place] - SYMBOL])
-        prefix = np.concatenate([np.zeros(len(empty), np.uint8), common])
-        if done:
-            del room
-            return at, limit, prefix
+    at, group = end.astype(np.int32), np.zeros(len(end), np.int32)
+    new = np.zeros(len(end), bool)
+    for _ in range(symbols):
+        if not len(at):
+            break
+        column = symbol[at - SYMBOL]
+        order = np.argsort(column, kind="stable")
+        column, at, group = column[order], at[order] - SYMBOL, group[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (column[1:] != column[:-1]) | (group[1:] != group[:-1])
+        stay = ~(new & np.append(new[1:], True))
+        at, new = at[stay], new[stay]
+        group = np.cumsum(new, dtype=np.int32)
+    return at, new
 
 
 def least_documents(data: np.ndarray, begin: np.ndarray, end: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
     """For each window start in the pieces: the least document whose piece holds the window."""
-    at, limit, prefix = suffix_order(data, begin, end)
-    owner = np.repeat(np.arange(len(begin)), end - begin)
-    whole = np.flatnonzero(limit - at >= length)
+    windows = np.maximum(end - begin - length + 1, 0)
+    start = _spread(begin, windows)
+    owner = np.repeat(doc, windows)
     out = np.full(len(data) + 1, np.iinfo(np.int64).max)
-    if not len(whole):
-        return out
-    # suffixes between two that share a window share it too, so no shorter one lies between them
-    new = np.append(True, (prefix[whole[1:]] < length // SYMBOL) | (np.diff(whole) > 1))
-    least = np.minimum.reduceat(doc[owner[at[whole]]], np.flatnonzero(new))
-    out[at[whole]] = least[np.cumsum(new) - 1]
+    out[start] = owner
+    at, new = suffix_order(data, start + length, length // SYMBOL)
+    if len(at):
+        least = np.minimum.reduceat(out[at], np.flatnonzero(new))
+        out[at] = least[np.cumsum(new) - 1]
     return out
 
 
@@ -310,12 +350,16 @@ def _decided(length: int):
     return run
 
 
-def _cut_of():
+def _cut_of(length: int):
     def run(block: pa.Table, spans: pa.Table) -> pa.Table:
         block = _in_order(block)
         data, offsets = raw(block.column("text"))
-        row = spans.column("row").to_numpy()
+        over = np.diff(_gone(block, offsets, spans).astype(np.int32), prepend=0)
         change = np.zeros(len(data) + 1, np.int32)
+        change[np.flatnonzero(over > 0)] = 1
+        np.add.at(change, np.flatnonzero(over < 0) + length - 1, -1)
+        spans = spans.filter(pc.is_valid(spans.column("row")))
+        row = spans.column("row").to_numpy()
         np.add.at(change, offsets[row] + spans.column("start").to_numpy(), 1)
         np.add.at(change, offsets[row] + spans.column("end").to_numpy(), -1)
         gone = np.cumsum(change[:-1]) > 0
@@ -346,15 +390,23 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = only(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = total // BLOCK_BYTES + 1
+    mask = (1 << min(63, total.bit_length() + 8)) - 1  # keys by chance equal: fewer than one in 256
     block = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(blocks))
-    dealt = rows.select(block.alias("block"), "doc_id", "text").repartition("block")
-    keys = dealt.groupBy("block").applyInArrow(_keys_of(length, gram), "block bigint, key bigint, runs bigint, several boolean")
+    rows = rows.select(block.alias("block"), "doc_id", F.xxhash64("doc_id", "text").alias("uid"), "text")
+    chunks = rows.filter("doc_id IS NOT NULL").mapInArrow(_chunks_of(length, gram), "c bigint, check bigint, doc bigint, uid bigint, block bigint, at bigint, windows bigint")
+    several = chunks.groupBy("c", "check").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").drop("most")
+    met = staged(chunks.join(several, ["c", "check"]).filter("least < doc").select("block", "uid", "at", "windows").distinct())
+    dealt = rows.repartition("block").groupBy("block")
+    keys = dealt.cogroup(met.groupBy("block")).applyInArrow(_keys_of(length, gram, mask), "key bigint, info bigint")
     same = Window.partitionBy("key")
-    met = keys.withColumns({"n": F.count(F.lit(1)).over(same), "all": F.sum("runs").over(same), "any": F.max("several").over(same)}).filter("n > 1 or any")
-    shared = met.select("block", "key", (F.col("all") > MOST_RUNS).alias("wide"))
-    pieces = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_pieces_of(length, gram), "key bigint, block bigint, row bigint, doc bigint, at bigint, windows bigint, bytes binary")
+    runs, block_of = F.shiftright("info", 1).bitwiseAND(F.lit(MOST_INFO)), F.shiftright("info", INFO_BITS)
+    seen = keys.withColumns({"n": F.count(F.lit(1)).over(same), "all": F.sum(runs).over(same), "any": F.max(F.col("info").bitwiseAND(F.lit(1))).over(same)}).filter("n > 1 or any = 1")
+    shared = seen.select(block_of.alias("block"), "key", (F.col("all") > MOST_RUNS).alias("wide"))
+    facts = shared.unionByName(met, allowMissingColumns=True)
+    pieces = dealt.cogroup(facts.groupBy("block")).applyInArrow(_pieces_of(length, gram, mask), "key bigint, block bigint, row bigint, doc bigint, at bigint, windows bigint, bytes binary")
     spans = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_decided(length), "block bigint, row bigint, start bigint, end bigint")
-    return dealt.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_cut_of(), "doc_id bigint, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary")
+    found = spans.unionByName(met, allowMissingColumns=True)
+    return dealt.cogroup(found.groupBy("block")).applyInArrow(_cut_of(length), "doc_id bigint, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary")
 
 
 def digest(found: DataFrame) -> DataFrame:
