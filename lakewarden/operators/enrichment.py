@@ -15,7 +15,7 @@ from ..functions.scalars import asset_fqn, asset_id, col_of, pick, readable
 _NAME_SPAN = 4096
 
 
-def _winner(scores: dict[str, Column]) -> Column:
+def winner(scores: dict[str, Column]) -> Column:
     """Name with the highest positive score, ties to the earlier one, NULL when all are zero."""
     size = len(scores)
     packed = [
@@ -67,7 +67,7 @@ def infer_domains(columns: DataFrame, keys: Sequence[str], table_col: str, name_
             score = score + hit.cast("int")
         scores[domain] = score
     grouped = columns.groupBy(*keys).agg(*aggs)
-    return grouped.select(*keys, _winner(scores).alias("domain"))
+    return grouped.select(*keys, winner(scores).alias("domain"))
 
 
 def sim_domain(schema: Column | str, table: Column | str, words: dict = vocab.SIM_DOMAIN_WORDS) -> Column:
@@ -79,7 +79,7 @@ def sim_domain(schema: Column | str, table: Column | str, words: dict = vocab.SI
         for word in keywords:
             score = score + text.contains(word).cast("int")
         scores[domain] = score
-    return F.coalesce(_winner(scores), F.lit("general"))
+    return F.coalesce(winner(scores), F.lit("general"))
 
 
 def column_description(description: Column | str, name: Column | str, data_type: Column | str) -> Column:
@@ -113,23 +113,3 @@ def column_documents(columns: DataFrame, keys: Sequence[str], order: str, fields
 def identify(df: DataFrame, source: str = "source_type", schema: str = "schema_name", table: str = "table_name") -> DataFrame:
     """Adds the canonical name and the id derived from it."""
     return df.withColumn("fqn", asset_fqn(source, schema, table)).withColumn("asset_id", asset_id("fqn"))
-
-
-def flatten_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Enriched events -> (asset rows, column rows)."""
-    tables = events.select(
-        "event_id", "source_id", "source_type", "run_id", "database_name", "schema_name", "enriched_at", F.explode("tables").alias("t")
-    )
-    fqn = asset_fqn("source_type", "schema_name", "t.table_name")
-    assets = tables.select(
-        asset_id(fqn).alias("asset_id"), fqn.alias("fqn"), "source_id", "source_type", "database_name", "schema_name",
-        F.col("t.table_name").alias("table_name"), F.col("t.description").alias("description"), F.col("t.domain").alias("domain"),
-        F.col("t.sensitivity_level").alias("sensitivity_level"), F.col("t.row_count").alias("row_count"), F.col("t.size_bytes").alias("size_bytes"),
-        F.col("t.overall").alias("quality_score"), F.col("t.grade").alias("quality_grade"), "run_id", F.col("enriched_at").alias("updated_at"),
-    )
-    columns = tables.select(fqn.alias("asset_fqn"), F.explode("t.columns").alias("c")).select(
-        asset_id("asset_fqn").alias("asset_id"), "asset_fqn", F.concat_ws(".", "asset_fqn", "c.name").alias("fqn"),
-        F.col("c.name").alias("column_name"), "c.data_type", "c.description", "c.classification", "c.category", "c.sensitivity_level",
-        F.col("c.overall").alias("quality_score"), F.col("c.grade").alias("quality_grade"), "c.null_count", "c.distinct_count",
-    )
-    return assets, columns

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.rows import top_k
-from ..functions.scalars import name_tokens, nearest, sim_tokens
+from ..functions.scalars import col_of, name_tokens, nearest, sim_tokens
 
 
 def glossary(spark: SparkSession, terms: Sequence[vocab.Term] = vocab.SEED_TERMS) -> DataFrame:
@@ -175,6 +175,23 @@ def table_terms(table_name: Column, k: int = 5) -> Column:
     return F.slice(F.array_distinct(F.concat(*hits)), 1, k)
 
 
+def column_terms(name_col: Column | str, terms: Sequence[vocab.Term] = vocab.SEED_TERMS, k: int = 5, floor: float = 0.1) -> Column:
+    """Names of the best ``k`` terms of a column name, best first: one projection over a glossary of fixed size, so it also runs in a stream."""
+    name = col_of(name_col)
+    tokens, lower = name_tokens(name), F.lower(name)
+    scored = []
+    for i, term in enumerate(terms):
+        bag = F.array_union(F.array_union(name_tokens(F.lit(term.name)), F.flatten(F.array(F.array().cast("array<string>"), *[name_tokens(F.lit(x)) for x in term.synonyms]))), F.array(*[F.lit(a.lower()) for a in term.abbreviations]).cast("array<string>"))
+        both = F.size(F.array_union(tokens, bag))
+        score = F.when(both > 0, F.size(F.array_intersect(tokens, bag)) / both).otherwise(0.0)
+        boosted = F.when(lower == term.name.lower(), 1.0)
+        if term.synonyms:
+            boosted = boosted.when(lower.isin(*[x.lower() for x in term.synonyms]), F.least(score + 0.3, F.lit(1.0)))
+        scored.append(F.struct((-boosted.otherwise(score)).alias("score"), F.lit(i).alias("ordinal"), F.lit(term.name).alias("term")))
+    best = F.slice(F.array_sort(F.filter(F.array(*scored), lambda x: -x["score"] > floor)), 1, k)
+    return F.when(name.isNull(), F.array().cast("array<string>")).otherwise(F.transform(best, lambda x: x["term"]))
+
+
 def asset_terms(ranked_columns: DataFrame, keys: Sequence[str], term_col: str = "term") -> DataFrame:
     """Sorted distinct top terms per asset; the set is bounded by the glossary, not by the data."""
     top = ranked_columns.filter(F.col("rank") == 1)

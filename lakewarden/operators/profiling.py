@@ -307,7 +307,12 @@ PROFILE_STRUCT = T.StructType([
 TABLE_STRUCT = T.StructType([
     T.StructField("schema_name", T.StringType()), T.StructField("table_name", T.StringType()),
     T.StructField("table_type", T.StringType()), T.StructField("row_count", T.LongType()),
-    T.StructField("size_bytes", T.LongType()), T.StructField("columns", T.ArrayType(PROFILE_STRUCT)),
+    T.StructField("size_bytes", T.LongType()), T.StructField("last_modified", T.TimestampType()),
+    T.StructField("column_offset", T.LongType()), T.StructField("columns", T.ArrayType(PROFILE_STRUCT)),
+    T.StructField("primary_keys", T.ArrayType(T.StringType())),
+    T.StructField("foreign_keys", T.ArrayType(T.StructType([T.StructField(f, T.StringType()) for f in ("column", "referenced_schema", "referenced_table", "referenced_column")]))),
+    T.StructField("indexes", T.ArrayType(T.MapType(T.StringType(), T.StringType()))),
+    T.StructField("partitioning", T.StructType([T.StructField("type", T.StringType()), T.StructField("field", T.StringType()), T.StructField("expiration_ms", T.LongType())])),
     T.StructField("tags", T.MapType(T.StringType(), T.StringType())),
 ])
 RAW_EVENT = T.StructType([

@@ -1,6 +1,6 @@
 """Registered queries: every operator over the lake's tables, with its SQL beside it."""
 
-from . import flagship, governance, graphs, operations, profiles, streams  # noqa: F401
+from . import flow, flagship, governance, graphs, operations, profiles, streams  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

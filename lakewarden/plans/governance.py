@@ -230,7 +230,10 @@ def e5(spark, root):
     return glossary.suggest_for_names(names, glossary.glossary(spark)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query("e6_suggested_terms", d.with_ctes(_suggest_sql("cat_columns", "column_name", _tok("column_name")) + " SELECT c.asset_key, c.ordinal, term, nearest(score, 3) AS confidence, rank FROM ranked r JOIN cat_columns c ON c.column_name = r.column_name WHERE rank <= 5", "cat_columns"))
+TERM_RANKS_SQL = _suggest_sql("cat_columns", "column_name", _tok("column_name"))
+
+
+@query("e6_suggested_terms", d.with_ctes(TERM_RANKS_SQL + " SELECT c.asset_key, c.ordinal, term, nearest(score, 3) AS confidence, rank FROM ranked r JOIN cat_columns c ON c.column_name = r.column_name WHERE rank <= 5", "cat_columns"))
 def e6(spark, root):
     c = d.columns(spark, root).select(*_ID, "column_name")
     return glossary.suggest_terms(c, glossary.glossary(spark)).select(*_ID, "term", "confidence", F.col("rank").cast("bigint").alias("rank"))
@@ -276,10 +279,10 @@ def e10(spark, root):
     return glossary.fold_updates(d.events(spark, root), "user_id", "event_type", "value", ["ts", "event_id"], _FIELDS)
 
 
-_TT = "list_distinct(flatten([" + ", ".join(f"CASE WHEN list_contains(string_split(lower(table_name), '_'), {d.q(w)}) THEN {d.sql_list(ts)} ELSE CAST([] AS VARCHAR[]) END" for w, ts in vocab.TABLE_TERMS.items()) + "])[1:5])"
+TABLE_TERMS_SQL = "list_distinct(flatten([" + ", ".join(f"CASE WHEN list_contains(string_split(lower(table_name), '_'), {d.q(w)}) THEN {d.sql_list(ts)} ELSE CAST([] AS VARCHAR[]) END" for w, ts in vocab.TABLE_TERMS.items()) + "])[1:5])"
 
 
-@query("e11_table_terms", d.with_ctes(f"SELECT fqn, array_to_string(list_sort({_TT}), ', ') AS terms FROM cat_assets", "cat_assets"))
+@query("e11_table_terms", d.with_ctes(f"SELECT fqn, array_to_string(list_sort({TABLE_TERMS_SQL}), ', ') AS terms FROM cat_assets", "cat_assets"))
 def e11(spark, root):
     return d.assets(spark, root).select("fqn", F.array_join(F.sort_array(glossary.table_terms(F.col("table_name"))), ", ").alias("terms"))
 
@@ -291,7 +294,7 @@ def e12(spark, root):
     return glossary.asset_terms(ranked, ["asset_fqn"]).withColumn("business_terms", F.array_join("business_terms", ", "))
 
 
-@query("e13_term_usage", d.with_ctes(f"SELECT term, count(*) AS asset_count FROM (SELECT unnest({_TT}) AS term FROM cat_assets) GROUP BY 1", "cat_assets"))
+@query("e13_term_usage", d.with_ctes(f"SELECT term, count(*) AS asset_count FROM (SELECT unnest({TABLE_TERMS_SQL}) AS term FROM cat_assets) GROUP BY 1", "cat_assets"))
 def e13(spark, root):
     return glossary.term_usage(d.assets(spark, root).select(glossary.table_terms(F.col("table_name")).alias("suggested_terms")))
 
@@ -307,13 +310,13 @@ def f1(spark, root):
         S.database_fqn("source_type", "database_name", "schema_name", "table_name").alias("database_fqn"), S.fqn_label("fqn").alias("label"), S.fqn_schema("fqn").alias("parent"))
 
 
-_F2_SCORES = ", ".join(
+DOMAIN_SCORES_SQL = ", ".join(
     f"({i}, {d.q(dom)}, " + " + ".join(f"CAST(regexp_matches(txt, {d.q(p)}) AS INT)" for p in pats) + ")" for i, (dom, pats) in enumerate(vocab.DOMAIN_PATTERNS.items()))
 
 
 @query("f2_domains", d.with_ctes(f"""
     , texts AS (SELECT asset_fqn, lower(any_value(table_name)) || ' ' || string_agg(lower(column_name), ' ' ORDER BY ordinal) AS txt FROM cat_columns GROUP BY 1),
-    scores AS (SELECT asset_fqn, v.* FROM texts, LATERAL (VALUES {_F2_SCORES}) AS v(ord, domain, score))
+    scores AS (SELECT asset_fqn, v.* FROM texts, LATERAL (VALUES {DOMAIN_SCORES_SQL}) AS v(ord, domain, score))
     SELECT t.asset_fqn, s.domain FROM texts t LEFT JOIN (SELECT asset_fqn, domain FROM (SELECT *, row_number() OVER (PARTITION BY asset_fqn ORDER BY score DESC, ord) AS rn FROM scores WHERE score > 0) WHERE rn = 1) s ON s.asset_fqn = t.asset_fqn""".replace("\n    , texts", "WITH texts", 1), "cat_columns"))
 def f2(spark, root):
     return enrichment.infer_domains(d.columns(spark, root), ["asset_fqn"], "table_name", "column_name", "ordinal")
@@ -329,21 +332,21 @@ def f3(spark, root):
     return d.assets(spark, root).select("fqn", enrichment.sim_domain("schema_name", "table_name").alias("domain"))
 
 
-def _title(x: str) -> str:
+def title_sql(x: str) -> str:
     return f"array_to_string([upper(w[1]) || lower(w[2:]) for w in regexp_extract_all(regexp_replace({x}, '[_\\-]', ' ', 'g'), '[A-Za-z]+|[^A-Za-z]+')], '')"
 
 
 _BLANK = f"(description IS NULL OR trim(lower(description)) IN ({', '.join(d.q(b) for b in vocab.BLANK_DESCRIPTIONS)}))"
 
 
-@query("f4_column_descriptions", d.with_ctes(f"SELECT asset_key, ordinal, CASE WHEN {_BLANK} THEN 'The ' || {_title('column_name')} || ' field (' || data_type || '). Auto-generated — please review.' ELSE description END AS description FROM cat_columns", "cat_columns"))
+@query("f4_column_descriptions", d.with_ctes(f"SELECT asset_key, ordinal, CASE WHEN {_BLANK} THEN 'The ' || {title_sql('column_name')} || ' field (' || data_type || '). Auto-generated — please review.' ELSE description END AS description FROM cat_columns", "cat_columns"))
 def f4(spark, root):
     return d.columns(spark, root).select(*_ID, enrichment.column_description("description", "column_name", "data_type").alias("description"))
 
 
 @query("f5_table_descriptions", d.with_ctes(f"""
     , firsts AS (SELECT *, row_number() OVER (PARTITION BY asset_fqn ORDER BY ordinal, column_name) AS rn FROM cat_columns)
-    SELECT asset_fqn, {_title("any_value(table_name)")} || ' contains records from the ' || any_value(schema_name) || ' schema. Key columns include: ' || string_agg(column_name, ', ' ORDER BY rn)
+    SELECT asset_fqn, {title_sql("any_value(table_name)")} || ' contains records from the ' || any_value(schema_name) || ' schema. Key columns include: ' || string_agg(column_name, ', ' ORDER BY rn)
         || '. Auto-generated — please enrich via the Data Catalog UI.' AS description FROM firsts WHERE rn <= 5 GROUP BY 1""".replace("\n    , firsts", "WITH firsts", 1), "cat_columns"))
 def f5(spark, root):
     return enrichment.table_descriptions(d.columns(spark, root), ["asset_fqn"], "schema_name", "table_name", "column_name", ["ordinal", "column_name"])
@@ -367,24 +370,6 @@ def f7(spark, root):
     return doc.select("asset_fqn", "part", "column_count", F.array_join(F.transform("columns", item), ",").alias("columns"))
 
 
-@query("f8_flattened_events", d.with_ctes("""
-    SELECT c.asset_fqn AS fqn, 'asset-' || substr(md5(c.asset_fqn), 1, 12) AS asset_id, count(*) AS columns, count(*) FILTER (WHERE k.classification = 'PII') AS pii, count(DISTINCT c.asset_fqn || '.' || c.column_name) AS names
-    FROM cat_columns c JOIN kind_class k ON k.column_name = c.column_name AND k.sample_values = c.sample_values GROUP BY 1, 2""", "kind_class"))
-def f8(spark, root):
-    """Nested enriched events flattened to asset and column rows; wide tables come in several events."""
-    c = quality.score_columns(_classified(spark, root))
-    column = F.struct("ordinal", F.col("column_name").alias("name"), "data_type", "description", "classification", "category", "sensitivity_level", "overall", "grade", "null_count", "distinct_count")
-    parts = split_parts(c, ["asset_fqn"], "ordinal", 500).groupBy("asset_fqn", "part", "source_type", "schema_name", "table_name", "row_count").agg(F.sort_array(F.collect_list(column)).alias("columns"))
-    nothing = F.lit(None).cast("string")
-    table = F.struct("table_name", nothing.alias("description"), nothing.alias("domain"), nothing.alias("sensitivity_level"), "row_count", F.lit(None).cast("bigint").alias("size_bytes"), F.lit(None).cast("double").alias("overall"), nothing.alias("grade"), "columns")
-    events = parts.select(
-        F.concat_ws("#", "asset_fqn", "part").alias("event_id"), F.lit("lake").alias("source_id"), "source_type", F.lit("run-1").alias("run_id"), F.lit("lake").alias("database_name"), "schema_name",
-        F.lit(d.AS_OF).cast("timestamp_ntz").alias("enriched_at"), F.array(table).alias("tables"))
-    assets, columns = enrichment.flatten_events(events)
-    per = columns.groupBy("asset_id").agg(F.count(F.lit(1)).alias("columns"), F.count_if(F.col("classification") == "PII").alias("pii"), F.count_distinct("fqn").alias("names"))
-    return assets.select("fqn", "asset_id").distinct().join(per, "asset_id").select("fqn", "asset_id", "columns", "pii", "names")
-
-
 @query("f9_readable_sizes", d.with_ctes("""
     SELECT fqn, CASE WHEN size_bytes < 1024 THEN format('{:.1f} B', round_even(size_bytes::DOUBLE, 1)) WHEN size_bytes < 1048576 THEN format('{:.1f} KB', round_even(size_bytes / 1024.0::DOUBLE, 1))
         WHEN size_bytes < 1073741824 THEN format('{:.1f} MB', round_even(size_bytes / 1048576.0::DOUBLE, 1)) ELSE format('{:.1f} GB', round_even(size_bytes / 1073741824.0::DOUBLE, 1)) END AS size,

@@ -38,6 +38,11 @@ def _cols(table: str):
     return [c.split(":") for c in LAKE_COLUMNS[table].split()]
 
 
+def profiled(table: str):
+    """(column, kind) of what is profiled, in order."""
+    return [(c, k) for c, k in _cols(table) if k in "nrts"]
+
+
 def _each(expr, tables=LAKE_TABLES, kinds="nrts") -> str:
     """UNION ALL over (table, column) of the SELECT that ``expr(table, column, kind)`` returns."""
     return " UNION ALL ".join(expr(t, c, k) for t in tables for c, k in _cols(t) if k in kinds)
@@ -92,12 +97,12 @@ def a5(spark, root):
 
 
 _TYPES = {"n": None, "r": "double", "t": "timestamp_ntz", "s": "string"}
-_INTS = {"r_regionkey", "n_nationkey", "n_regionkey", "c_nationkey", "s_nationkey", "p_size", "l_linenumber", "quality", "toxic", "label"}
+INT_COLUMNS = {"r_regionkey", "n_nationkey", "n_regionkey", "c_nationkey", "s_nationkey", "p_size", "l_linenumber", "quality", "toxic", "label"}
 
 
 @query("a6_column_scan", _each(lambda t, c, k: f"""
     SELECT '{t}' AS table_name, '{c}' AS column_name, {[x for x, _ in _cols(t)].index(c) + 1 + (1 if t == "embeddings" and c == "label" else 0)} AS ordinal,
-           '{_TYPES[k] or ("int" if c in _INTS else "bigint")}' AS data_type, {f'max(length("{c}")) AS max_length FROM {t}' if k == "s" else "NULL AS max_length"}"""))
+           '{_TYPES[k] or ("int" if c in INT_COLUMNS else "bigint")}' AS data_type, {f'max(length("{c}")) AS max_length FROM {t}' if k == "s" else "NULL AS max_length"}"""))
 def a6(spark, root):
     """Column metadata with observed text lengths: the schema is walked once, lengths come from one aggregate per table."""
     tables = lake(use_utc(spark), root)
@@ -164,6 +169,26 @@ def a9(spark, root):
     return discovery.candidate_keys(lake(use_utc(spark), root, tuple(_KEY_SETS)), _KEY_SETS)
 
 
+def _combinations_sql() -> str:
+    """Single columns that identify rows, and pairs of columns that do while neither alone does: counted one by one, nothing pruned."""
+    parts = []
+    for t in LAKE_TABLES:
+        names = [c for c, _ in profiled(t)]
+        one = " UNION ALL ".join(f"SELECT '{c}' AS c, count(*) = count(\"{c}\") AND count(*) = count(DISTINCT \"{c}\") AND count(*) > 0 AS ok, count(*) AS n FROM {t}" for c in names)
+        parts.append(f"SELECT '{t}' AS table_name, c AS key_columns, CAST(1 AS INT) AS key_width, n AS row_count FROM ({one}) WHERE ok")
+        pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
+        if pairs:
+            two = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) = count(\"{a}\") AND count(*) = count(\"{b}\") AND count(*) = count(DISTINCT (\"{a}\", \"{b}\")) AND count(*) > 0 AS ok, count(*) AS n FROM {t}" for a, b in pairs)
+            parts.append(f"SELECT '{t}', a || '+' || b, 2, n FROM ({two}) WHERE ok AND a NOT IN (SELECT c FROM ({one}) WHERE ok) AND b NOT IN (SELECT c FROM ({one}) WHERE ok)")
+    return " UNION ALL ".join(parts)
+
+
+@query("a9_unique_combinations", _combinations_sql())
+def a9_combinations(spark, root):
+    """All minimal keys of one or two columns in all tables, found from the schemas."""
+    return discovery.unique_combinations(lake(use_utc(spark), root))
+
+
 _KEY_COLUMNS = [("region", "r_regionkey"), ("nation", "n_nationkey"), ("nation", "n_regionkey"), ("customer", "c_custkey"), ("customer", "c_nationkey"), ("supplier", "s_suppkey"), ("supplier", "s_nationkey"), ("part", "p_partkey"), ("orders", "o_orderkey"), ("orders", "o_custkey"), ("lineitem", "l_orderkey"), ("lineitem", "l_partkey"), ("lineitem", "l_suppkey"), ("documents", "doc_id"), ("labels", "doc_id")]
 
 
@@ -176,6 +201,18 @@ def a10(spark, root):
     return discovery.inclusion_dependencies(lake(use_utc(spark), root, names), _KEY_COLUMNS)
 
 
+_INCLUSION_VALUES = _each(lambda t, c, k: f"""SELECT DISTINCT '{k}' AS kind, '{t}' AS t, '{c}' AS c, {f'(CAST("{c}" AS DOUBLE) + 0)' if k == "r" else f'"{c}"'}::VARCHAR AS v FROM {t} WHERE "{c}" IS NOT NULL""")
+
+
+@query("a10_contained_columns", f"""WITH vals AS ({_INCLUSION_VALUES}), sizes AS (SELECT t, c, count(*) AS n FROM vals GROUP BY 1, 2), counts AS ({" UNION ALL ".join(f"SELECT '{t}' AS t, count(*) AS n FROM {t}" for t in LAKE_TABLES)}),
+    met AS (SELECT a.t, a.c, b.t AS rt, b.c AS rc, count(*) AS n FROM vals a JOIN vals b ON a.kind = b.kind AND a.v = b.v AND (a.t, a.c) <> (b.t, b.c) GROUP BY ALL)
+    SELECT m.t AS table_name, m.c AS column_name, rt AS referenced_table, rc AS referenced_column, m.n AS distinct_values, r.n = k.n AS references_key
+    FROM met m JOIN sizes s ON s.t = m.t AND s.c = m.c AND s.n = m.n JOIN sizes r ON r.t = rt AND r.c = rc JOIN counts k ON k.t = rt""")
+def a10_contained(spark, root):
+    """Every column of every table whose values all occur in another one, found from the schemas."""
+    return discovery.contained_columns(lake(use_utc(spark), root))
+
+
 @query("a11_table_stats", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in LAKE_TABLES))
 def a11(spark, root):
     return profiling.table_stats(spark, lake(use_utc(spark), root))
@@ -252,7 +289,10 @@ def _top_sql(order: str, with_n: bool) -> str:
                row_number() OVER (ORDER BY {order}) AS rank FROM {t} WHERE "{c}" IS NOT NULL GROUP BY 3) WHERE rank <= 5""")
 
 
-@query("b6_sample_values", _top_sql("shown", False))
+SAMPLES_SQL = _top_sql("shown", False)
+
+
+@query("b6_sample_values", SAMPLES_SQL)
 def b6(spark, root):
     """Five values of every column of every table, the smallest by their text."""
     counts, tables = _counts(spark, root)
@@ -301,13 +341,13 @@ def b9(spark, root):
     return profiling.decoded_estimates(rows).select("l_orderkey", "l_linenumber", "l_partkey", "distinct_count", "null_count")
 
 
-_HYDRATE_SQL = _each(lambda t, c, k: f"""
+HYDRATE_SQL = _each(lambda t, c, k: f"""
     SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS row_count, count(*) - count("{c}") AS null_count, count(DISTINCT "{c}") AS distinct_count,
            {_text(k, f'min("{c}")') if k in "nrt" else "NULL"} AS min_value, {_text(k, f'max("{c}")') if k in "nrt" else "NULL"} AS max_value,
            {f'round(round(avg("{c}"), 10), 6)' if k in "nr" else "NULL"} AS avg_value FROM {t}""")
 
 
-@query("b10_full_profile", _HYDRATE_SQL)
+@query("b10_full_profile", HYDRATE_SQL)
 def b10(spark, root):
     """Every column of every table. Tables that cannot be analysed are skipped and reported by `hydrate`."""
     profile, _errors = profiling.hydrate(lake(use_utc(spark), root))

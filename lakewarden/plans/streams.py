@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.rows import split_parts
-from ..operators import profiling
 from ..session import scratch_dir
 from ..sources import sinks
-from ..streaming import catalog_flow, streams
+from ..streaming import streams
 from . import derived as d
 from .registry import query
 
@@ -49,43 +47,6 @@ def a15(spark, root):
     return back.agg(F.count(F.from_json("value", "audit_id string")).alias("messages"), F.count_distinct("key").alias("keys"))
 
 
-def _raw_events(spark, root) -> str:
-    """Raw metadata events as JSON lines, one per table; wide tables take several bounded events of one run."""
-    path = scratch_dir(spark, "raw-metadata-events")
-    col = F.struct(
-        "ordinal", F.col("column_name").alias("name"), "data_type", "is_nullable", "null_count", "distinct_count", "sample_values", "description",
-    )
-    split = split_parts(d.columns(spark, root), ["asset_fqn"], "ordinal", 500)
-    per_table = split.groupBy("asset_fqn", "part", "source_type", "schema_name", "table_name", "row_count").agg(F.sort_array(F.collect_list(col)).alias("columns"))
-    event = per_table.select(
-        F.concat(F.lit("e-"), F.md5(F.concat_ws("#", "asset_fqn", "part").cast("binary"))).alias("event_id"), F.lit("lake").alias("source_id"), "source_type",
-        F.lit("2024-01-31T00:00:00Z").alias("emitted_at"),
-        F.struct(F.lit("lake").alias("database_name"), "schema_name", F.array(F.struct("schema_name", "table_name", F.lit("TABLE").alias("table_type"), "row_count", "columns")).alias("tables")).alias("schema_profile"),
-        F.lit("1.0.0").alias("connector_version"), F.lit("run-1").alias("run_id"),
-    )
-    event.select(F.to_json(F.struct("*")).alias("value")).write.text(path)
-    return path
-
-
-@query("k1_enrichment_stream", d.with_ctes("SELECT c.asset_fqn, count(*) AS columns, count(*) FILTER (WHERE k.classification = 'PII') AS pii, CAST(sum(CAST(c.overall AS DECIMAL(28, 4))) AS DOUBLE) AS score_sum FROM scored c JOIN kind_class k ON k.column_name = c.column_name AND k.sample_values = c.sample_values GROUP BY 1", "scored", "kind_class"))
-def k1(spark, root):
-    events, _ = streams.decoded(streams.read_json_lines(spark, _raw_events(spark, root)), profiling.RAW_EVENT)
-    enriched = catalog_flow.enrich_columns(events).select("asset_fqn", "column_name", "classification", "overall")
-    done = streams.drain_to_table(enriched, "k1")
-    return done.groupBy("asset_fqn").agg(
-        F.count(F.lit(1)).alias("columns"), F.count_if(F.col("classification") == "PII").alias("pii"), F.sum(F.col("overall").cast("decimal(28,4)")).cast("double").alias("score_sum"))
-
-
-@query("k2_catalog_ingest", d.with_ctes("""SELECT c.asset_fqn AS fqn, any_value(c.row_count) AS row_count, count(*) AS column_count, nearest(CAST(sum(CAST(c.overall AS DECIMAL(28, 4))) AS DOUBLE) / count(*), 4) AS quality_score,
-    ['PUBLIC', 'INTERNAL', 'CONFIDENTIAL', 'RESTRICTED'][max(CASE k.classification WHEN 'PII' THEN 3 WHEN 'SENSITIVE' THEN 2 ELSE 0 END) + 1] AS sensitivity_level
-    FROM scored c JOIN kind_class k ON k.column_name = c.column_name AND k.sample_values = c.sample_values GROUP BY 1""", "scored", "kind_class"))
-def k2(spark, root):
-    """Raw events streamed into the catalog tables by foreachBatch upserts."""
-    events, _ = streams.decoded(streams.read_json_lines(spark, _raw_events(spark, root), max_files=4), profiling.RAW_EVENT)
-    store = catalog_flow.CatalogIngest(spark).run(events)
-    return store.assets().select("fqn", "row_count", "column_count", "quality_score", "sensitivity_level")
-
-
 @query("k3_audit_dedupe", d.with_ctes("SELECT event_type, count(*) AS events FROM cat_audit GROUP BY 1", "cat_audit"))
 def k3(spark, root):
     """Every event arrives twice, each is kept once."""

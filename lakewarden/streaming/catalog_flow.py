@@ -5,100 +5,60 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import asset_fqn, asset_id, nearest, sensitivity_name
-from ..operators import catalog
-from ..operators.classification import classify
-from ..operators.enrichment import column_description
-from ..operators.quality import score_columns
+from ..operators import assembly, catalog
+from ..operators.store import FoldedTable
 from ..session import scratch_dir
+from ..sources import sinks
 from .streams import run_available
 
 
-def enrich_columns(events: DataFrame) -> DataFrame:
-    """One row per column of every raw event with quality, class and description; the same code serves stream and batch."""
-    tables = events.select("event_id", "source_id", "source_type", "run_id", "emitted_at", F.explode("schema_profile.tables").alias("t"))
-    columns = tables.select(
-        "event_id", "source_id", "source_type", "run_id", "emitted_at",
-        F.col("t.schema_name").alias("schema_name"), F.col("t.table_name").alias("table_name"), F.col("t.row_count").alias("row_count"),
-        F.col("t.size_bytes").alias("size_bytes"), F.posexplode("t.columns").alias("ordinal", "c"),
-    ).select(
-        "*", F.col("c.name").alias("column_name"), F.col("c.data_type").alias("data_type"), F.col("c.null_count").alias("null_count"),
-        F.col("c.distinct_count").alias("distinct_count"), F.coalesce("c.sample_values", F.array().cast("array<string>")).alias("sample_values"),
-        F.col("c.description").alias("raw_description"),
-    ).drop("c")
-    scored = classify(score_columns(columns))
-    return scored.withColumn("description", column_description("raw_description", "column_name", "data_type")).withColumn(
-        "asset_fqn", asset_fqn("source_type", "schema_name", "table_name")
-    ).drop("raw_description")
+def enrich_to_topic(events: DataFrame, folder: str, delay: str = "10 minutes") -> str:
+    """Enriches a stream of raw events; one JSON message per event goes to ``folder``, a sub-folder per batch."""
+    out = assembly.enriched_events(events, delay)
 
+    def write(batch: DataFrame, batch_id: int) -> None:
+        messages = sinks.as_messages(batch, F.col("event_id"), "enriched-metadata-events")
+        messages.select("value").write.mode("overwrite").text(f"{folder}/topic/{batch_id}")
 
-_STAMP = ("emitted_at", "run_id")
-
-
-def newest_stamps(columns: DataFrame) -> DataFrame:
-    """The newest (time, run) per asset; every event of that run describes the asset, in as many parts as it took."""
-    return columns.groupBy("asset_fqn").agg(F.max(F.struct(*_STAMP)).alias("_newest"))
-
-
-def current_columns(columns: DataFrame) -> DataFrame:
-    return columns.join(newest_stamps(columns), "asset_fqn").filter(F.struct(*_STAMP) == F.col("_newest")).drop("_newest")
-
-
-def asset_rows(columns: DataFrame) -> DataFrame:
-    """Asset rows of current columns: mean quality, highest level."""
-    rank = F.when(F.col("classification") == "PII", 3).when(F.col("classification") == "SENSITIVE", 2).otherwise(0)
-    return columns.groupBy("asset_fqn", "source_type", "schema_name", "table_name").agg(
-        F.max("row_count").alias("row_count"), F.max("size_bytes").alias("size_bytes"), F.count(F.lit(1)).alias("column_count"),
-        nearest(F.sum(F.col("overall").cast("decimal(28,4)")).cast("double") / F.count(F.lit(1)), 4).alias("quality_score"),
-        sensitivity_name(F.max(rank)).alias("sensitivity_level"),
-        F.max("emitted_at").alias("updated_at"),
-    ).withColumn("asset_id", asset_id("asset_fqn")).withColumnRenamed("asset_fqn", "fqn")
+    run_available(out, write, f"{folder}/checkpoint")
+    return f"{folder}/topic"
 
 
 class CatalogIngest:
-    """foreachBatch target: upserts assets and replaces their columns, one table version per batch.
+    """foreachBatch target: folds the assets and columns of enriched events into the catalog's tables, a version per batch.
 
-    Version folders carry the batch id, so a replayed batch rewrites its own version
-    from the one before, also after a restart with the same root.
+    A repeated batch replaces its own version, also after a restart with the same root.
     """
 
-    MEASURED = ("row_count", "size_bytes", "column_count", "quality_score", "sensitivity_level", "updated_at")
-
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
         self.root = root or scratch_dir(spark, "catalog")
-        self.version: int | None = None
-
-    def path(self, table: str, version: int) -> str:
-        return f"{self.root}/{table}/v={version}"
+        nothing = spark.createDataFrame([], assembly.ENRICHED_EVENT)
+        self.asset_table = FoldedTable(spark, self.root, "assets", "fqn", assembly.STAMP, assembly.ASSET_FIXED, assembly.ASSET_MEASURED, assembly.asset_rows(nothing).schema)
+        self.column_table = FoldedTable(spark, self.root, "columns", "fqn", assembly.STAMP, ("asset_fqn",), [c for c in assembly.COLUMN_FIELDS if c != "asset_fqn"], assembly.column_rows(nothing).schema)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        enriched = enrich_columns(batch).persist()
-        columns, stored_assets = current_columns(enriched), None
-        touched = newest_stamps(enriched)
-        if batch_id > 0:
-            spark, previous = batch.sparkSession, batch_id - 1
-            stored_assets = spark.read.parquet(self.path("assets", previous))
-            stored = spark.read.parquet(self.path("columns", previous)).select(*columns.columns)
-            # rows of untouched assets stay, and other parts of the same run; a replayed part replaces itself
-            kept = stored.join(touched, "asset_fqn", "left").filter(F.col("_newest").isNull() | (F.struct(*_STAMP) == F.col("_newest"))).drop("_newest")
-            kept = kept.join(columns.select("asset_fqn", "event_id").distinct(), ["asset_fqn", "event_id"], "left_anti")
-            columns = kept.select(*columns.columns).unionByName(columns)
-        columns.write.mode("overwrite").parquet(self.path("columns", batch_id))
-        written = batch.sparkSession.read.parquet(self.path("columns", batch_id))
-        assets = asset_rows(written.join(touched.select("asset_fqn"), "asset_fqn", "left_semi"))
-        if stored_assets is not None:
-            assets = catalog.upsert_assets(stored_assets, assets.select(*stored_assets.columns), "fqn", self.MEASURED)
-        assets.write.mode("overwrite").parquet(self.path("assets", batch_id))
-        enriched.unpersist()
-        self.version = batch_id
+        events = batch.persist()
+        self.asset_table.write(assembly.asset_rows(events), batch_id)
+        self.column_table.write(assembly.column_rows(events), batch_id)
+        events.unpersist()
 
     def run(self, events: DataFrame) -> CatalogIngest:
         run_available(events, self, f"{self.root}/checkpoint")
         return self
 
-    def assets(self) -> DataFrame:
-        return self.spark.read.parquet(self.path("assets", self.version))
+    @property
+    def version(self) -> int:
+        """The newest version that both tables have."""
+        return min(self.asset_table.last_version(), self.column_table.last_version())
+
+    def assets(self, patches: DataFrame | None = None) -> DataFrame:
+        """One row per asset; ``patches`` (fqn, field, value, ts, seq) are the stewards' edits, which no hydration undoes."""
+        rows = self.asset_table.read(self.version)
+        return rows if patches is None else catalog.apply_patches(rows, patches)
 
     def columns(self) -> DataFrame:
-        return self.spark.read.parquet(self.path("columns", self.version))
+        """The columns of every asset as its newest event lists them; those of earlier events are gone."""
+        stamp = F.struct(*assembly.STAMP)
+        newest = self.asset_table.read(self.version).select(F.col("fqn").alias("asset_fqn"), stamp.alias("_newest"))
+        return self.column_table.read(self.version).join(newest, "asset_fqn").filter(stamp == F.col("_newest")).drop("_newest")
