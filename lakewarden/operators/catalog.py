@@ -89,9 +89,11 @@ def asset_with_columns(assets: DataFrame, columns: DataFrame, fqn: str) -> DataF
 
 
 def apply_patches(assets: DataFrame, patches: DataFrame, fields: Sequence[str] = PATCHABLE_FIELDS) -> DataFrame:
-    """Steward edits: allowed fields only, the last writer of each field wins. ``patches``: fqn, field, value, ts, seq."""
+    """Steward edits: allowed fields only, the last writer of each field wins. ``patches``: fqn, field, value, ts, seq; values of fields that are no texts are JSON."""
     folded = fold_updates(patches.filter(F.col("field").isin(*fields)), "fqn", "field", "value", ["ts", "seq"], fields)
-    ours = folded.select("fqn", *[F.col(f).alias(f"_p_{f}") for f in fields], F.col("updated_at").alias("_p_at"))
+    kind = {f.name: f.dataType.simpleString() for f in assets.schema.fields}
+    typed = lambda f: F.col(f) if kind.get(f, "string") == "string" else F.from_json(f, kind[f])
+    ours = folded.select("fqn", *[typed(f).alias(f"_p_{f}") for f in fields], F.col("updated_at").alias("_p_at"))
     joined = assets.join(ours, "fqn", "left")
     return joined.withColumns({
         **{f: F.coalesce(F.col(f"_p_{f}"), F.col(f)) for f in fields if f in assets.columns},

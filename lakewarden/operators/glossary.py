@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -175,21 +176,33 @@ def table_terms(table_name: Column, k: int = 5) -> Column:
     return F.slice(F.array_distinct(F.concat(*hits)), 1, k)
 
 
+def _words(text: str) -> list[str]:
+    """``name_tokens`` of a constant."""
+    return list(dict.fromkeys(w.lower() for w in re.split(r"[_\-\s]+", re.sub(r"([A-Z][a-z])", r" \1", text)) if len(w) > 2))
+
+
+def _strings(values: Sequence[str]) -> str:
+    return "cast(array(" + ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values) + ") as array<string>)"
+
+
 def column_terms(name_col: Column | str, terms: Sequence[vocab.Term] = vocab.SEED_TERMS, k: int = 5, floor: float = 0.1) -> Column:
     """Names of the best ``k`` terms of a column name, best first: one projection over a glossary of fixed size, so it also runs in a stream."""
     name = col_of(name_col)
+    entries = []
+    for i, t in enumerate(terms):
+        bag = list(dict.fromkeys([*_words(t.name), *[w for x in t.synonyms for w in _words(x)], *[x.lower() for x in t.abbreviations]]))
+        entries.append(f"named_struct('ordinal', {i}, 'term', {_strings([t.name])}[0], 'bag', {_strings(bag)}, 'spelled', {_strings([x.lower() for x in t.synonyms])})")
     tokens, lower = name_tokens(name), F.lower(name)
-    scored = []
-    for i, term in enumerate(terms):
-        bag = F.array_union(F.array_union(name_tokens(F.lit(term.name)), F.flatten(F.array(F.array().cast("array<string>"), *[name_tokens(F.lit(x)) for x in term.synonyms]))), F.array(*[F.lit(a.lower()) for a in term.abbreviations]).cast("array<string>"))
-        both = F.size(F.array_union(tokens, bag))
-        score = F.when(both > 0, F.size(F.array_intersect(tokens, bag)) / both).otherwise(0.0)
-        boosted = F.when(lower == term.name.lower(), 1.0)
-        if term.synonyms:
-            boosted = boosted.when(lower.isin(*[x.lower() for x in term.synonyms]), F.least(score + 0.3, F.lit(1.0)))
-        scored.append(F.struct((-boosted.otherwise(score)).alias("score"), F.lit(i).alias("ordinal"), F.lit(term.name).alias("term")))
-    best = F.slice(F.array_sort(F.filter(F.array(*scored), lambda x: -x["score"] > floor)), 1, k)
-    return F.when(name.isNull(), F.array().cast("array<string>")).otherwise(F.transform(best, lambda x: x["term"]))
+
+    def scored(t: Column) -> Column:
+        both = F.size(F.array_union(tokens, t["bag"]))
+        score = F.when(both > 0, F.size(F.array_intersect(tokens, t["bag"])) / both).otherwise(0.0)
+        boosted = F.when(lower == F.lower(t["term"]), 1.0).when(F.array_contains(t["spelled"], lower), F.least(score + 0.3, F.lit(1.0))).otherwise(score)
+        return F.struct((-boosted).alias("score"), t["ordinal"].alias("ordinal"), t["term"].alias("term"))
+
+    found = F.filter(F.transform(F.expr(f"array({', '.join(entries)})"), scored), lambda x: -x["score"] > floor)
+    best = F.transform(F.slice(F.array_sort(found), 1, k), lambda x: x["term"])
+    return F.when(name.isNull(), F.array().cast("array<string>")).otherwise(best)
 
 
 def asset_terms(ranked_columns: DataFrame, keys: Sequence[str], term_col: str = "term") -> DataFrame:

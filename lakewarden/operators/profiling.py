@@ -89,7 +89,7 @@ def _key_of(path: str, type_name: str, exact: bool) -> tuple[str, str]:
         return f"left({path}, {INLINE_LENGTH})", f"CASE WHEN length({path}) > {INLINE_LENGTH} THEN sha2({path}, 256) ELSE {nothing} END"
     if type_name in _REALS:
         value = f"(CAST({path} AS DOUBLE) + 0D)"  # minus zero is zero
-        head = f"coalesce(CAST(try_cast({value} AS DECIMAL(38, 6)) AS STRING), {_as_text(path, type_name)})"
+        head = f"CASE WHEN {path} IS NOT NULL THEN coalesce(CAST(try_cast({value} AS DECIMAL(38, 6)) AS STRING), {_as_text(path, type_name)}) END"
         return head, f"CASE WHEN try_cast({value} AS DECIMAL(38, 6)) = {value} THEN {nothing} ELSE CAST({path} + 0 AS STRING) END" if exact else nothing
     if type_name in ("timestamp", "timestamp_ntz"):
         return _as_text(path, type_name), f"CASE WHEN date_trunc('second', {path}) = {path} THEN {nothing} ELSE CAST({path} AS STRING) END" if exact else nothing
