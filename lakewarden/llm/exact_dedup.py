@@ -19,6 +19,7 @@ from .common import join_facts, only, staged, text_of
 
 PREFIX_CHARS = 256
 BITMAP_BITS = 1 << 23
+BROADCAST_ROWS = 500_000
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", digests: bool = False, bitmap_bits: int = BITMAP_BITS) -> DataFrame:
@@ -54,13 +55,20 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dig
 
 
 def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The kept rows of ``docs`` with all their columns."""
+    """The kept rows of ``docs`` with all their columns, of any type.
+
+    Up to ``BROADCAST_ROWS`` rows that go are told to the tasks that hold the texts, which stay where they are; more meet them in
+    a shuffle. Of rows with one id and one text the one whose other columns have the smallest hash stays.
+    """
     decided = exact_dedup(docs, doc_id, text).filter("group_size > 1")
-    kept = decided.groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows"))
-    # hashing again beats moving digests of all rows; a row without an entry is alone in its group
-    hashed = docs.withColumn("_text_sha", F.sha2(text_of(text).cast("binary"), 256))
-    met = hashed.join(kept, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_text_sha") == F.col("_sha")), "left").filter(F.coalesce("_kept", F.lit(True)))
-    again = Window.partitionBy(doc_id, "_text_sha").orderBy(*[c for c in docs.columns if c not in (doc_id, text)])
-    once = met.filter(F.coalesce("_rows", F.lit(1)) == 1)
-    repeats = met.filter(F.col("_rows") > 1).withColumn("_n", F.row_number().over(again)).filter("_n = 1")
-    return once.unionByName(repeats.drop("_n")).select(*docs.columns)
+    groups = staged(decided.groupBy(F.col("doc_id").alias("_dedup_id"), F.col("text_sha256").alias("_dedup_sha")).agg(F.max("kept").alias("_dedup_kept"), F.count(F.lit(1)).alias("_dedup_rows")))
+    hashed = docs.withColumn("_dedup_text_sha", F.sha2(text_of(text).cast("binary"), 256))
+    same = F.col(doc_id).eqNullSafe(F.col("_dedup_id")) & (F.col("_dedup_text_sha") == F.col("_dedup_sha"))
+    bounded = lambda ids: F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+    out = hashed.join(bounded(groups.filter("not _dedup_kept or _dedup_rows > 1").select("_dedup_id", "_dedup_sha")), same, "left_anti").select(*docs.columns)
+    several = groups.filter("_dedup_kept and _dedup_rows > 1").select("_dedup_id", "_dedup_sha")
+    if several.isEmpty():
+        return out
+    rest = F.xxhash64(F.to_json(F.struct(*[c for c in docs.columns if c != text])))
+    repeats = hashed.join(bounded(several), same).withColumn("_dedup_n", F.row_number().over(Window.partitionBy(doc_id, "_dedup_text_sha").orderBy(rest)))
+    return out.unionByName(repeats.filter("_dedup_n = 1").select(*docs.columns))

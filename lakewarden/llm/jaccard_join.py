@@ -38,6 +38,7 @@ MOST_SMALL = 16
 FREQUENT_SHARE = 1000
 SKETCH_WORDS, SKETCH_BITS = 4, 1  # least words of a sketch, bits per element
 SLACK = 4
+LARGE = 10_000  # sets above this have chance hits among 32 bits too many to tell anything
 PAIRS_PER_ROW = 8
 MOST_TURNS = 4
 BROADCAST_IDS = 2_000_000
@@ -271,11 +272,13 @@ def _elements(rows: DataFrame, asked: DataFrame, k: int, wide: bool) -> DataFram
 def _compared(rows: DataFrame, pairs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
     """The pairs (a, b) that reach the threshold, on whole sets.
 
-    The set of a travels to that of b. Sets go as 32 bits of each hash, which tells all pairs but those
-    within ``SLACK`` of the least intersection (chance hits are about n * n / 2**32); these go once more with all 64 bits.
+    The set of a travels to that of b. Sets of up to ``LARGE`` elements go as 32 bits of each hash, which tells all pairs but those
+    within ``SLACK`` of the least intersection (chance hits and elements that coincide are about n * n / 2**32); these, and pairs with a
+    larger set, go with all 64 bits.
     Up to ``BROADCAST_IDS`` pairs, ids go to the texts; more meet them in a shuffle.
     """
     def met(wanted: DataFrame, wide: bool) -> DataFrame:
+        wanted = wanted.select("a", "b")
         few = wanted.count() <= BROADCAST_IDS
         sent = F.broadcast if few else (lambda ids: ids)
         left = _elements(rows, sent(wanted.select(F.col("a").alias("doc"), "b")), k, wide).toDF("a", "b", "x")
@@ -283,8 +286,8 @@ def _compared(rows: DataFrame, pairs: DataFrame, k: int, threshold: Fraction) ->
         sizes = left.join(right, "b").select("a", "b", F.expr("size(array_intersect(x, y))").alias("common"), F.expr("size(x)").alias("n"), F.expr("size(y)").alias("n2"))
         return sizes.withColumn("over", F.expr(f"common - {_need('n', 'n2', threshold)}"))
 
-    rough = staged(met(pairs, False).select("a", "b", "over"))
-    near = rough.filter(F.abs("over") <= SLACK).select("a", "b").distinct()
+    rough = staged(met(pairs.filter("not large"), False).select("a", "b", "over"))
+    near = rough.filter(F.abs("over") <= SLACK).select("a", "b").unionByName(pairs.filter("large").select("a", "b")).distinct()
     sure = rough.filter(F.col("over") > SLACK).select("a", "b")
     if near.isEmpty():
         return sure.distinct()
@@ -292,14 +295,14 @@ def _compared(rows: DataFrame, pairs: DataFrame, k: int, threshold: Fraction) ->
 
 
 def _likely(sketches: DataFrame, pairs: DataFrame, threshold: Fraction) -> DataFrame:
-    """The distinct pairs (a, b) that sizes and sketches (a lower bound of the difference) do not rule out."""
+    """The distinct pairs (a, b) that sizes and sketches (a lower bound of the difference) do not rule out, and whether a set of them is large."""
     met = pairs.distinct().join(sketches.toDF("a", "n", "s"), "a").join(sketches.toDF("b", "n2", "s2"), "b")
     # parities of hash buckets, a power of two in number: the longer sketch is folded to the shorter one
     fold = lambda x, y: f"case when size({x}) > size({y}) then transform(sequence(1, size({y})), i -> aggregate(sequence(i, size({x}), size({y})), 0L, (acc, j) -> acc ^ {x}[j - 1])) else {x} end"
     met = met.withColumn("f", F.expr(fold("s", "s2"))).withColumn("f2", F.expr(fold("s2", "s")))
     differ = "aggregate(zip_with(f, f2, (x, y) -> bit_count(x ^ y)), 0, (acc, x) -> acc + x)"
     c = _need("n", "n2", threshold)
-    return staged(met.filter(f"{c} <= least(n, n2) and {differ} <= n + n2 - 2 * {c}").select("a", "b").distinct())
+    return staged(met.filter(f"{c} <= least(n, n2) and {differ} <= n + n2 - 2 * {c}").selectExpr("a", "b", f"greatest(n, n2) > {LARGE} as large").distinct())
 
 
 def _verified(rows: DataFrame, likely: DataFrame, k: int, threshold: Fraction, every: bool) -> DataFrame:
@@ -308,13 +311,13 @@ def _verified(rows: DataFrame, likely: DataFrame, k: int, threshold: Fraction, e
 
     Then the pairs whose ends are still in different components after the first comparison follow, one by one.
     """
-    one = staged(likely.groupBy("a").agg(F.min("b").alias("b")))
+    one = staged(likely.groupBy("a").agg(F.min(F.struct("b", "large")).alias("_b")).select("a", "_b.*"))
     first = staged(_compared(rows, one, k, threshold))
     if not every:
         return first
     known = components(first)
     at = lambda end: known.select(F.col("node").alias(end), F.col("component").alias(f"in_{end}"))
-    rest = likely.join(at("a"), "a", "left").join(at("b"), "b", "left").filter("coalesce(in_a, a) <> coalesce(in_b, b)").select("a", "b")
+    rest = likely.join(at("a"), "a", "left").join(at("b"), "b", "left").filter("coalesce(in_a, a) <> coalesce(in_b, b)").select("a", "b", "large")
     rest = staged(rest.join(one, ["a", "b"], "left_anti"))  # those were compared
     return first if rest.isEmpty() else first.unionByName(_compared(rows, rest, k, threshold))
 

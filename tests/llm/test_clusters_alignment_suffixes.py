@@ -122,3 +122,32 @@ def test_op13_suffix_order_against_sorting():
     found = [data[a: a + 12] for a in at.tolist()]
     assert sorted(found) == found == sorted(s for s in strings if strings.count(s) > 1)
     assert new.tolist() == [i == 0 or found[i] != found[i - 1] for i in range(len(found))]
+
+
+def test_large_sets_link_on_both_sides_of_the_threshold(spark):
+    from lakewarden.llm import jaccard_join
+
+    n = 300_000  # elements; c of them differ in the second text
+    base = [f"a{i}" for i in range(n + 4)]
+
+    def changed(c):
+        return base[: n - c] + [f"z{i}" for i in range(c + 4)]
+
+    # n - c of n + c shingles are shared, and four more around the seam differ: least c at which the pair no longer reaches the threshold
+    limit = next(c for c in range(n // 9 - 10, n) if 100 * (n - c - 4) < 80 * (n + c + 4))
+    rows = [(1, " ".join(base)), (2, " ".join(changed(limit - 1))), (3, " ".join(["q", *base[5:], *[f"y{i}" for i in range(limit + 60)]]))]
+    sets = {d: brute.shingle_set(t) for d, t in rows}
+    linked = {(i, j): 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) for i, j in ((1, 2), (1, 3), (2, 3))}
+    assert linked[1, 2]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert (got[1] == got[2]) and (got[3] == 1) == (linked[1, 3] or linked[2, 3])
+
+
+def test_drop_duplicates_of_any_columns(spark):
+    from lakewarden.llm import exact_dedup
+
+    bare = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (3, None), (None, ""), (None, "b"), (None, "b")], "doc_id long, text string")
+    assert sorted(map(repr, map(tuple, exact_dedup.drop_duplicates(bare).collect()))) == sorted(map(repr, [(2, "a"), (3, None), (None, "b")]))
+    odd = spark.createDataFrame([(7, "x", {"k": 1}, [1.0]), (7, "x", {"k": 2}, None), (6, "x", None, None), (8, "y", None, None)], "doc_id long, text string, m map<string,int>, _n array<double>")
+    kept = exact_dedup.drop_duplicates(odd).collect()
+    assert sorted(r["doc_id"] for r in kept) == [7, 8] and kept[0].asDict().keys() == {"doc_id", "text", "m", "_n"}
