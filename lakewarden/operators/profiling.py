@@ -266,8 +266,9 @@ def hydrate(tables: dict[str, DataFrame], mode: str = "exact", check: bool = Fal
         try:
             if check:
                 profile_table(df, name, mode).write.format("noop").mode("overwrite").save()
-            stats.append(basic_stats(df, name, approx_distinct=mode == "approx"))
-            read[name] = df
+            if profiled_fields(df):
+                stats.append(basic_stats(df, name, approx_distinct=mode == "approx"))
+                read[name] = df
         except Exception as exc:  # noqa: BLE001 - partial results beat none
             errors.append((name, str(exc).splitlines()[0]))
     if not stats:
