@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import time
 from collections.abc import Sequence
 from functools import reduce
 
@@ -11,7 +13,7 @@ from pyspark.sql import types as T
 
 from .. import vocab
 from ..functions.rows import top_k
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_dir
 from ..sources.discovery import profiled_fields
 
 # Values longer than this travel through the shuffle as their first characters and their SHA-256 digest.
@@ -283,6 +285,69 @@ def hydrate(tables: dict[str, DataFrame], mode: str = "exact", check: bool = Fal
     return profile, errors
 
 
+def hydrate_each(tables: dict[str, DataFrame], mode: str = "exact") -> tuple[DataFrame, DataFrame]:
+    """(profile, runs): every table profiled by a job of its own, its rows staged; a table that fails costs only itself.
+
+    runs: table_name, status (completed or failed), columns_discovered, duration_secs, error. The driver holds one row per table.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    root, runs, done = scratch_dir(spark, "hydration"), [], []
+    for i, (name, df) in enumerate(tables.items()):
+        start, path = time.perf_counter(), f"{root}/{i}"
+        fields, error = 0, None
+        try:
+            fields = len(profiled_fields(df))
+            if fields:
+                profile_table(df, name, mode).write.parquet(path)
+                done.append(path)
+        except Exception as exc:  # noqa: BLE001 - partial results beat none
+            error = str(exc).splitlines()[0]
+        runs.append((name, "completed" if error is None else "failed", fields if error is None else 0, time.perf_counter() - start, error))
+    if not done:
+        raise ValueError("no table could be profiled")
+    return spark.read.parquet(*done), spark.createDataFrame(runs, "table_name string, status string, columns_discovered bigint, duration_secs double, error string")
+
+
+# ---- sketches that outlive a scan -------------------------------------------
+SKETCH_LOG = 14
+
+
+def distinct_sketches(df: DataFrame, table: str, parts: Sequence[str] = (), log_size: int = SKETCH_LOG) -> DataFrame:
+    """table_name, column_name, the ``parts`` (SQL expressions AS name, such as file or day), rows, sketch: from one scan, one row per part and column."""
+    fields = profiled_fields(df)
+    aggs = ["count(1) AS rows"]
+    for i, (_, type_name, path) in enumerate(fields):
+        value = f"xxhash64({path} + 0D)" if type_name in _REALS else f"xxhash64({path})"
+        aggs.append(f"hll_sketch_agg(CASE WHEN {path} IS NOT NULL THEN {value} END, {log_size}) AS s{i}")
+    names = [p.rsplit(" AS ", 1)[1] for p in parts]
+    keyed = df.selectExpr("*", *parts)
+    one = keyed.groupBy(*names).agg(*[F.expr(a) for a in aggs])
+    entries = ", ".join(f"struct({_text(name)} AS column_name, s{i} AS sketch)" for i, (name, _, _) in enumerate(fields))
+    return one.selectExpr(f"{_text(table)} AS table_name", *names, "rows", f"inline(array({entries}))")
+
+
+def merged_distinct(sketches: DataFrame) -> DataFrame:
+    """table_name, column_name, rows, distinct_count of all parts together, without a look at the tables."""
+    return sketches.groupBy("table_name", "column_name").agg(F.sum("rows").alias("rows"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_count"))
+
+
+def added_sketches(tables: dict[str, DataFrame], stored: DataFrame | None, log_size: int = SKETCH_LOG) -> DataFrame:
+    """Sketches of the files that ``stored`` has none of yet; files known already are not read.
+
+    File names are metadata of the scan: they are listed per table, and those known are left out of what is read again.
+    """
+    out = []
+    for name, df in tables.items():
+        if not profiled_fields(df):
+            continue
+        plain = lambda f: re.sub(r"^(\w+):/+", r"\1:/", f)  # noqa: E731  the two listings write roots differently
+        known = set() if stored is None else {plain(r["file"]) for r in stored.filter(F.col("table_name") == name).select("file").distinct().collect()}
+        new = [f for f in df.inputFiles() if plain(f) not in known]
+        if new:
+            out.append(distinct_sketches(df.sparkSession.read.schema(df.schema).parquet(*new), name, ["_metadata.file_path AS file"], log_size))
+    return reduce(DataFrame.unionByName, out) if out else stored.limit(0)
+
+
 def run_summary(profile: DataFrame, schema_col: str | None = None) -> DataFrame:
     """Schemas, tables and columns discovered by a run."""
     schemas = F.count_distinct(F.col(schema_col)) if schema_col else F.lit(1)

@@ -272,6 +272,20 @@ def b3(spark, root):
     return reduce(DataFrame.unionByName, parts).select("table_name", "column_name", "distinct_count")
 
 
+@query("b3_merged_sketches", _each(lambda t, c, k: f'SELECT \'{t}\' AS table_name, \'{c}\' AS column_name, count(*) AS row_count, count(DISTINCT "{c}") AS distinct_count, true AS is_near, true AS nothing_new FROM {t}'))
+def b3_merged(spark, root):
+    """Stored sketches per file, merged: as near the exact counts as their error allows, and a second look at the same files adds none."""
+    tables = lake(use_utc(spark), root)
+    path = scratch_dir(spark, "sketches")
+    profiling.added_sketches(tables, None).write.parquet(path)
+    stored = spark.read.parquet(path)
+    nothing_new = profiling.added_sketches(tables, stored).isEmpty()
+    exact = profiling.named(profiling.distinct_counts(profiling.count_values(tables)), tables)
+    near = F.abs(F.col("estimate") - F.col("distinct_count")) <= 1 + F.col("distinct_count") * 0.05
+    merged = profiling.merged_distinct(stored).withColumnRenamed("distinct_count", "estimate")
+    return merged.join(exact, ["table_name", "column_name"]).select("table_name", "column_name", F.col("rows").alias("row_count"), "distinct_count", near.alias("is_near"), F.lit(nothing_new).alias("nothing_new"))
+
+
 @query("b4_min_max", _each(lambda t, c, k: f'SELECT \'{t}\' AS table_name, \'{c}\' AS column_name, {_text(k, f"min({chr(34)}{c}{chr(34)})")} AS min_value, {_text(k, f"max({chr(34)}{c}{chr(34)})")} AS max_value FROM {t}', kinds="nrt"))
 def b4(spark, root):
     return _stats(spark, root).filter(F.col("min_value").isNotNull()).select("table_name", "column_name", "min_value", "max_value")
@@ -354,6 +368,17 @@ def b10(spark, root):
     return profile.select("table_name", "column_name", "row_count", "null_count", "distinct_count", "min_value", "max_value", _mean().alias("avg_value"))
 
 
+@query("b10_hydration_runs", " UNION ALL ".join(f"SELECT '{t}' AS table_name, 'completed' AS status, CAST({len(profiled(t))} AS BIGINT) AS columns_discovered, true AS has_duration, false AS has_error, count(*) AS row_count FROM {t}" for t in LAKE_TABLES) + " UNION ALL SELECT 'unreadable', 'failed', 0, true, true, NULL")
+def b10_runs(spark, root):
+    """The lake and one unreadable table, each profiled by a job of its own: 14 profiles and one failure."""
+    path = scratch_dir(spark, "unreadable")
+    d.table(spark, root, "region").selectExpr("r_name AS value").coalesce(1).write.text(path)
+    tables = lake(use_utc(spark), root) | {"unreadable": spark.read.schema("a int").option("pathGlobFilter", "*.txt").parquet(path)}
+    profile, runs = profiling.hydrate_each(tables)
+    rows = profile.groupBy("table_name").agg(F.max("row_count").alias("row_count"))
+    return runs.join(rows, "table_name", "left").select("table_name", "status", "columns_discovered", (F.col("duration_secs") > 0).alias("has_duration"), F.col("error").isNotNull().alias("has_error"), "row_count")
+
+
 @query("b11_run_summary", f"""SELECT CAST(1 AS BIGINT) AS schemas_discovered, count(DISTINCT table_name) AS tables_discovered, count(*) AS columns_discovered,
     CAST((SELECT sum(n) FROM ({" UNION ALL ".join(f"SELECT count(*) AS n FROM {t}" for t in LAKE_TABLES)})) AS BIGINT) AS rows_profiled FROM ({_each(lambda t, c, k: f"SELECT '{t}' AS table_name, '{c}' AS column_name")})""")
 def b11(spark, root):

@@ -79,14 +79,33 @@ def k6(spark, root):
     return streams.drain_to_table(streams.job_states(runs), "k6", mode="update", key="job_id")
 
 
+def _watched(spark, root):
+    """The events as a stream of several small files, watched by a listener: (metrics, checkpoint, files)."""
+    path, folder, checkpoint = scratch_dir(spark, "k7-topic"), scratch_dir(spark, "k7-metrics"), scratch_dir(spark, "k7")
+    schema = d.events(spark, root).schema
+    d.events(spark, root).repartition(6).write.parquet(path)
+    e = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(path).withColumn("event_time", F.col("ts").cast("timestamp")).withWatermark("event_time", "10 minutes")
+    with streams.Metrics(spark, folder) as heard:
+        done = streams.run_available(e, lambda batch, _id: batch.write.format("noop").mode("overwrite").save(), checkpoint)
+        heard.write(str(done.runId))
+    return streams.metrics_table(spark, folder), checkpoint, spark.read.parquet(path).select("_metadata.file_path").distinct().toDF("path")
+
+
 @query("k7_stream_metrics")
 def k7(spark, root):
-    """Throughput of every batch of a stream (run-time measurements, hence rows only)."""
-    schema = d.events(spark, root).schema
-    e = streams.read_table_stream(spark, root, "events", schema)
-    folder = scratch_dir(spark, "k7-metrics")
-    streams.run_available(e, streams.metered(lambda batch, _id: batch.write.format("noop").mode("overwrite").save(), folder), scratch_dir(spark, "k7"))
-    return streams.metrics_table(spark, folder)
+    """Throughput and lag of every batch of a stream (run-time measurements, hence rows only)."""
+    return _watched(spark, root)[0]
+
+
+@query("k7_stream_totals", "SELECT count(*) AS input_rows, CAST(3 AS BIGINT) AS batches, CAST(6 AS BIGINT) AS files, CAST(0 AS BIGINT) AS files_left, CAST(floor(epoch(max(ts))) AS BIGINT) AS newest_event, true AS delay_known, true AS rates_known FROM events")
+def k7_totals(spark, root):
+    """What the batches' metrics add up to: all rows and files, nothing left, and the newest event with its delay."""
+    metrics, checkpoint, files = _watched(spark, root)
+    sums = metrics.filter("input_rows > 0").agg(
+        F.sum("input_rows").alias("input_rows"), F.count_distinct("batch_id").alias("batches"), F.unix_seconds(F.max("max_event_time")).alias("newest_event"),
+        F.bool_and(F.col("event_delay_seconds") > 0).alias("delay_known"), F.bool_and(F.col("rows_per_second") > 0).alias("rates_known"))
+    left = streams.file_backlog(spark, checkpoint, files).agg(F.sum("files").alias("files"), F.min("files_left").alias("files_left"))
+    return sums.withColumns({c: left.select(c).scalar() for c in left.columns})
 
 
 def _closed(window: int, delay: int) -> str:

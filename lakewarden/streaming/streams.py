@@ -7,12 +7,16 @@ gives each event one effect.
 
 from __future__ import annotations
 
-import time
+import json
+import math
+import threading
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..functions.rows import latest_per_key
 from ..session import scratch_dir
@@ -48,9 +52,6 @@ def decoded(texts: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFram
     return parsed.filter(~bad).select("_e.*").drop("_corrupt"), parsed.filter(bad).select("value")
 
 
-METRICS = "batch_id bigint, input_rows bigint, rows_per_second double"
-
-
 def run_available(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"):
     """Processes what is there and stops; the checkpoint is the commit log."""
     query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -97,18 +98,108 @@ def job_states(run_events: DataFrame, key: str = "job_id") -> DataFrame:
     ).withColumn("duration_seconds", F.col("changed_at") - F.col("started_at"))
 
 
-def metered(write: Callable[[DataFrame, int], None], folder: str) -> Callable[[DataFrame, int], None]:
-    """``write``, which also leaves one row of metrics per batch in ``folder``; a repeated batch replaces its row."""
-    def run(batch: DataFrame, batch_id: int) -> None:
-        seen, start = Observation(), time.perf_counter()
-        write(batch.observe(seen, F.count(F.lit(1)).alias("n")), batch_id)
-        n = int(seen.get["n"])
-        row = [(int(batch_id), n, n / max(time.perf_counter() - start, 1e-9))]
-        batch.sparkSession.createDataFrame(row, METRICS).coalesce(1).write.mode("overwrite").parquet(f"{folder}/{batch_id}")
+METRICS = (
+    "query string, run string, batch_id bigint, ended_at timestamp, input_rows bigint, input_rows_per_second double, rows_per_second double, batch_seconds double, source string, "
+    "start_offset string, end_offset string, latest_offset string, offset_lag bigint, max_event_time timestamp, watermark timestamp, event_delay_seconds double, state_rows bigint"
+)
+
+
+def offset_lag(end: str | None, latest: str | None) -> int | None:
+    """Records between two offsets of a source as JSON: numbers, or numbers nested by topic and partition; None where a source tells none."""
+    if not end or not latest:
+        return None
+
+    def behind(a, b) -> int:
+        if isinstance(b, dict):
+            return sum(behind(a.get(k, 0) if isinstance(a, dict) else 0, v) for k, v in b.items())
+        return max(0, int(b) - int(a or 0))
+
+    try:
+        return behind(json.loads(end), json.loads(latest))
+    except (TypeError, ValueError):
+        return None
+
+
+def metric_rows(progress) -> list[tuple]:
+    """One row per source of a batch, in the order of ``METRICS``."""
+    when = lambda text: None if not text else datetime.fromisoformat(text.replace("Z", "+00:00"))
+    times = progress.eventTime or {}
+    ended, newest = when(progress.timestamp), when(times.get("max"))
+    seconds = (progress.durationMs or {}).get("triggerExecution", 0) / 1000
+    finite = lambda x: None if x is None or not math.isfinite(x) else float(x)
+    return [
+        (progress.name or str(progress.id), str(progress.runId), progress.batchId, ended, s.numInputRows, finite(s.inputRowsPerSecond), finite(s.processedRowsPerSecond), seconds, s.description, s.startOffset, s.endOffset, s.latestOffset,
+         offset_lag(s.endOffset, s.latestOffset), newest, when(times.get("watermark")), (ended - newest).total_seconds() if newest else None, sum(o.numRowsTotal for o in progress.stateOperators))
+        for s in progress.sources
+    ]
+
+
+class Metrics(StreamingQueryListener):
+    """Keeps one row per source and batch of every stream of the session, written to ``folder`` when asked.
+
+    Progress arrives after a batch, on a thread of its own, for any kind of writer; what a repeated batch reports replaces its row.
+    """
 
-    return run
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        self._rows: list[tuple] = []
+        self._ended: set[str] = set()
+        self._change = threading.Condition()
+
+    def __enter__(self) -> Metrics:
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.spark.streams.removeListener(self)
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        with self._change:
+            self._rows += metric_rows(event.progress)
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        with self._change:
+            self._ended.add(str(event.runId))
+            self._change.notify_all()
+
+    def write(self, run: str, seconds: float = 30) -> str:
+        """Waits for the end of a run to be told, then writes what was heard since the last time as one file; returns the folder."""
+        with self._change:
+            self._change.wait_for(lambda: run in self._ended, seconds)
+            rows, self._rows = self._rows, []
+        if rows:
+            self.spark.createDataFrame(rows, METRICS).coalesce(1).write.mode("append").parquet(self.folder)
+        return self.folder
 
 
 def metrics_table(spark: SparkSession, folder: str) -> DataFrame:
-    """Throughput of every batch so far: (batch, input rows, rows per second)."""
-    return spark.read.schema(METRICS).option("recursiveFileLookup", "true").parquet(folder)
+    """Throughput and lag of every batch so far, the last word on each."""
+    return latest_per_key(spark.read.schema(METRICS).parquet(folder), ["query", "batch_id", "source"], ["ended_at"])
+
+
+def file_backlog(spark: SparkSession, checkpoint: str, files: DataFrame) -> DataFrame:
+    """batch_id, files, files_left: what a file stream took in each batch and how much of ``files`` (path) it had still to read.
+
+    Read from the log of the source in the stream's checkpoint: a line per file with the batch that took it.
+    """
+    plain = lambda c: F.regexp_replace(F.url_decode(F.regexp_replace(c, r"\+", "%2B")), r"^(\w+):/+", "$1:/")
+    lines = spark.read.text(f"{checkpoint}/sources/0").filter(F.col("value").startswith("{"))
+    taken = lines.select(F.from_json("value", "path string, batchId bigint").alias("e")).select(plain(F.col("e.path")).alias("path"), F.col("e.batchId").alias("batch_id")).distinct()
+    there = files.select(plain(F.col("path")).alias("path")).distinct()
+    total = there.agg(F.count(F.lit(1)).alias("n"))
+    per_batch = taken.join(there, "path", "left_semi").groupBy("batch_id").agg(F.count(F.lit(1)).alias("files"))
+    before = F.sum("files").over(Window.orderBy("batch_id"))  # one row per batch
+    return per_batch.withColumn("files_left", total.scalar() - before)
+
+
+def lag_gauges(metrics: DataFrame) -> DataFrame:
+    """The newest figures of every stream as gauges (metric, series, ts, value), for threshold and absence alerts."""
+    newest = latest_per_key(metrics, ["query", "source"], ["batch_id"])
+    entries = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in ("offset_lag", "event_delay_seconds", "rows_per_second", "state_rows")])
+    return newest.select(F.col("query").alias("series"), F.col("ended_at").alias("ts"), F.inline(entries)).filter("value IS NOT NULL")
