@@ -101,6 +101,13 @@ def classify(
     )
 
 
+def classify_distinct(df: DataFrame, name_col: str = "column_name", samples_col: str = "sample_values", rules: Sequence[vocab.Rule] = vocab.SERVICE_RULES) -> DataFrame:
+    """``classify`` with its rules run once per different (name, samples), which map-side combine finds; rows meet the result by an equi-join."""
+    pairs = df.select(F.col(name_col).alias("_name"), F.col(samples_col).alias("_samples")).distinct()
+    found = classify(pairs, "_name", "_samples", rules)
+    return df.join(found, F.col(name_col).eqNullSafe(F.col("_name")) & F.col(samples_col).eqNullSafe(F.col("_samples"))).drop("_name", "_samples")
+
+
 def classify_sim(df: DataFrame, name_col: str = "column_name", samples_col: str = "sample_values", rules: Sequence[vocab.Rule] = vocab.SIM_RULES) -> DataFrame:
     """Offline profile: name and any value found case-insensitively; no samples count as a match.
 
@@ -200,17 +207,29 @@ def default_level(category: Column | str) -> Column:
     return F.try_element_at(F.create_map(*pairs), col_of(category))
 
 
+def _may_match(value: Column, category: str) -> Column | None:
+    """What every match of a category's pattern holds: a cheap look that spares most values the pattern itself."""
+    if category == "EMAIL":
+        return value.contains("@")
+    if category == "IP_ADDRESS":
+        return value.contains(".") & value.rlike("[0-9]")
+    return None if category == "PHONE" else value.rlike("[0-9]{2}")
+
+
 def value_scan(df: DataFrame, table: str, columns: Sequence[str], patterns: Sequence[tuple[str, str]] = vocab.VALUE_SCAN) -> DataFrame:
     """Every value of the given text columns against every pattern, whole texts, one pass.
 
     Per row and column the matches of one pattern are counted inside the
-    projection; only sums per (column, category) are shuffled.
+    projection, after a cheap look for what they must hold; only sums per (column, category) are shuffled.
     """
+    known = {category for category, _ in vocab.VALUE_SCAN} if patterns is vocab.VALUE_SCAN else set()
     found, aggs, entries = [], [F.count(F.lit(1)).alias("_rows")], []
     for c in columns:
         for i, (category, pattern) in enumerate(patterns):
             key = f"{c}_{i}"
-            found.append(F.regexp_extract_all(F.col(c), F.lit(f"({pattern})"), 1).alias(key))
+            matched = F.regexp_extract_all(F.col(c), F.lit(f"({pattern})"), 1)
+            gate = _may_match(F.col(c), category) if category in known else None
+            found.append((matched if gate is None else F.when(gate, matched).when(F.col(c).isNotNull(), F.array().cast("array<string>"))).alias(key))
             matches = F.col(key)
             aggs += [
                 F.coalesce(F.sum(F.size(matches)), F.lit(0)).alias(f"hits_{key}"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,8 +12,8 @@ from .. import vocab
 from ..functions.rows import split_parts, top_k
 from ..functions.scalars import asset_fqn, asset_id, col_of, pick, readable
 
-# Longest name assumed when a character position is packed into one number.
-_NAME_SPAN = 4096
+# Characters a name may have before positions of two columns would overlap in one number.
+_NAME_SPAN = 1 << 24
 
 
 def winner(scores: dict[str, Column]) -> Column:
@@ -28,45 +29,52 @@ def winner(scores: dict[str, Column]) -> Column:
 def infer_domains(columns: DataFrame, keys: Sequence[str], table_col: str, name_col: str, ordinal_col: str, patterns: dict = vocab.DOMAIN_PATTERNS) -> DataFrame:
     """Domain per table from table name and column names.
 
-    The reference semantics search one text: the table name followed by all column names.
-    That text is never built. A plain pattern is found in it when some name holds it
-    (a boolean aggregate). A gap pattern 'a.*b' is found when the first 'a' ends before
-    the last 'b' starts, i.e. a min and a max of packed positions. Partial aggregates
+    The semantics are those of one text: the table name followed by all column names.
+    That text is never built. A plain pattern is found in it when some name holds it; a
+    gap pattern 'a.*b' is found when the first 'a' ends before the last 'b' starts. Both are worked out once per
+    different name (a bit per pattern, two positions per gap) and joined to the columns; per table remain
+    an OR of bits and minima and maxima of packed positions: partial aggregates
     only, so a table with a third of all columns costs no more memory than any other.
     """
-    name = F.lower(F.col(name_col))
-    table = F.lower(F.col(table_col))
-    at = F.col(ordinal_col) * _NAME_SPAN
-    aggs, scores = [], {}
-
-    def first_end(text: Column, word: str) -> Column:
-        where = F.instr(text, word)
-        return F.when(where > 0, where + len(word))
-
-    def last_start(text: Column, word: str) -> Column:
-        where = F.instr(F.reverse(text), word[::-1])
-        return F.when(where > 0, F.length(text) - where - len(word) + 2)
-
+    plain, gaps = [], []
+    for regexes in patterns.values():
+        for regex in regexes:
+            parts = regex.split(".*")
+            if len(parts) > 2 or any(re.search(r"[^\w ]", part) for part in parts):
+                raise ValueError(f"not a word, nor two with a gap: {regex}")
+            (gaps if len(parts) == 2 else plain).append(regex)
+
+    def facts(text: Column) -> list[Column]:
+        bits = F.lit(0).cast("bigint")
+        for i, word in enumerate(plain):
+            bits = bits + F.when(text.contains(word), F.lit(1 << i)).otherwise(F.lit(0))
+        out = [bits.alias("bits")]
+        for i, regex in enumerate(gaps):
+            head, tail = regex.split(".*")
+            first, last = F.instr(text, head), F.instr(F.reverse(text), tail[::-1])
+            out += [F.when(first > 0, first + len(head)).alias(f"a{i}"), F.when(last > 0, F.length(text) - last - len(tail) + 2).alias(f"b{i}")]
+        return out
+
+    names = columns.select(F.col(name_col).alias("_name")).distinct().select("_name", F.struct(*facts(F.lower("_name"))).alias("_f"))
+    rows = columns.select(*keys, F.col(table_col).alias("_table"), F.col(name_col).alias("_own"), (F.col(ordinal_col) * _NAME_SPAN).alias("_at"))
+    met = rows.join(names, F.col("_own").eqNullSafe(F.col("_name")))
+    aggs = [F.bit_or("_f.bits").alias("_bits"), F.min("_table").alias("_table")]
+    for i in range(len(gaps)):
+        aggs += [F.min(F.col(f"_f.a{i}") + F.col("_at")).alias(f"_a{i}"), F.max(F.col(f"_f.b{i}") + F.col("_at")).alias(f"_b{i}")]
+    grouped = met.groupBy(*keys).agg(*aggs).withColumn("_t", F.struct(*facts(F.lower("_table"))))
+    bits = F.coalesce("_bits", F.lit(0)).bitwiseOR(F.coalesce("_t.bits", F.lit(0)))
+    scores = {}
     for domain, regexes in patterns.items():
         score = F.lit(0)
-        for i, regex in enumerate(regexes):
-            label = f"_{domain}_{i}"
-            if ".*" in regex:
-                head, tail = regex.split(".*")
-                # the table name stands before every column: positions below zero
-                aggs.append(F.min(F.least(
-                    first_end(name, head) + at, first_end(table, head).cast("bigint") - F.lit(2**62)
-                )).alias(f"{label}_a"))
-                aggs.append(F.max(F.greatest(
-                    last_start(name, tail) + at, last_start(table, tail).cast("bigint") - F.lit(2**62)
-                )).alias(f"{label}_b"))
-                hit = F.coalesce(F.col(f"{label}_a") <= F.col(f"{label}_b"), F.lit(False))
+        for regex in regexes:
+            if regex in plain:
+                hit = F.getbit(bits, F.lit(plain.index(regex))) == 1
             else:
-                aggs.append(F.bool_or(name.contains(regex) | table.contains(regex)).alias(label))
-                hit = F.coalesce(F.col(label), F.lit(False))
-            score = score + hit.cast("int")
+                i = gaps.index(regex)
+                # the table name stands before every column
+                hit = (F.col(f"_t.a{i}") <= F.col(f"_t.b{i}")) | (F.col(f"_t.a{i}").isNotNull() & F.col(f"_b{i}").isNotNull()) | (F.col(f"_a{i}") <= F.col(f"_b{i}"))
+            score = score + F.coalesce(hit, F.lit(False)).cast("int")
         scores[domain] = score
-    grouped = columns.groupBy(*keys).agg(*aggs)
     return grouped.select(*keys, winner(scores).alias("domain"))
 
 

@@ -18,7 +18,7 @@ _ID = ("asset_key", "ordinal")
 
 
 def _classified(spark, root):
-    return classification.classify(d.columns(spark, root))
+    return classification.classify_distinct(d.columns(spark, root))
 
 
 # ---- D: classification -----------------------------------------------------
