@@ -40,6 +40,7 @@ SKETCH_WORDS, SKETCH_BITS = 4, 1  # least words of a sketch, bits per element
 SLACK = 4
 LARGE = 10_000  # sets above this have chance hits among 32 bits too many to tell anything
 PAIRS_PER_ROW = 8
+BLOCK_SHINGLES = 1_000_000  # held at once by a task that looks for frequent ones
 MOST_TURNS = 4
 BROADCAST_IDS = 2_000_000
 
@@ -84,7 +85,7 @@ def _frequent(rows: DataFrame, n: int, k: int) -> np.ndarray:
             words = Words(lowered(data), offsets, BLANKS)
             held += [shingles(words, i, k) for i in range(part.num_rows)]
             texts += part.num_rows
-            if sum(map(len, held)) > 4_000_000:
+            if sum(map(len, held)) > BLOCK_SHINGLES:
                 yield report()
                 texts = 0
         if held:
