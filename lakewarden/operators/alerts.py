@@ -90,18 +90,29 @@ def sliding_ratio(events: DataFrame, is_error: Column, window_seconds: int, step
     return seen.withColumn("ratio", F.col("errors") / F.col("total"))
 
 
-def firing(grid: DataFrame, keys: Sequence[str], at: str, condition: Column, step_seconds: int, hold_seconds: int) -> DataFrame:
+BLOCK_STEPS = 4096
+
+
+def firing(grid: DataFrame, keys: Sequence[str], at: str, condition: Column, step_seconds: int, hold_seconds: int, block_steps: int = BLOCK_STEPS) -> DataFrame:
     """Alert episodes: maximal runs of consecutive evaluations where ``condition`` holds, kept when they last ``hold_seconds``.
 
     ``grid`` has at most one row per series and step; a missing step ends a run.
-    Gaps and islands: consecutive points share (time - rank · step).
+    Runs are found inside blocks of ``block_steps`` steps, where consecutive points share (time - rank * step), so a long series
+    is dealt over as many tasks as it has blocks. Runs that reach the border of a block, at most two per block, are then
+    joined with their neighbours.
     """
-    series = list(keys) or [F.lit(0)]
-    rank = F.row_number().over(Window.partitionBy(*series).orderBy(at))
-    true_points = grid.filter(F.coalesce(condition, F.lit(False))).withColumn("_run", F.col(at) - rank * F.lit(step_seconds))
-    runs = true_points.groupBy(*keys, "_run").agg(F.min(at).alias("started_at"), F.max(at).alias("ended_at"), F.count(F.lit(1)).alias("points"))
+    series, step, span = list(keys) or ["_series"], F.lit(step_seconds), F.lit(step_seconds * block_steps)
+    points = grid.withColumn("_series", F.lit(0)).filter(F.coalesce(condition, F.lit(False))).withColumn("_block", F.floor(F.col(at) / span))
+    rank = F.row_number().over(Window.partitionBy(*series, "_block").orderBy(at))
+    inside = points.withColumn("_run", F.col(at) - rank * step).groupBy(*series, "_block", "_run").agg(F.min(at).alias("started_at"), F.max(at).alias("ended_at"), F.count(F.lit(1)).alias("points"))
+    border = (F.col("started_at") - step < F.col("_block") * span) | (F.col("ended_at") + step >= (F.col("_block") + 1) * span)
+    whole = inside.filter(~border).select(*series, "started_at", "ended_at", "points")
+    order = Window.partitionBy(*series).orderBy("started_at")
+    first = F.coalesce(F.lag("ended_at").over(order) + step != F.col("started_at"), F.lit(True))
+    joined = inside.filter(border).withColumn("_first", first.cast("int")).withColumn("_run", F.sum("_first").over(order))
+    long = joined.groupBy(*series, "_run").agg(F.min("started_at").alias("started_at"), F.max("ended_at").alias("ended_at"), F.sum("points").alias("points")).drop("_run")
     lasting = F.col("ended_at") - F.col("started_at") >= hold_seconds
-    return runs.filter(lasting).withColumn("fires_at", F.col("started_at") + hold_seconds).drop("_run")
+    return whole.unionByName(long).filter(lasting).withColumn("fires_at", F.col("started_at") + hold_seconds).select(*keys, "started_at", "ended_at", "points", "fires_at")
 
 
 def time_grid(spark, start: int, stop: int, step: int) -> DataFrame:

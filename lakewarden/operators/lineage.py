@@ -79,19 +79,21 @@ def reach(edges: DataFrame, start: DataFrame, depth: int | None = None, directio
     frontier = start.select("fqn").distinct()
     found: DataFrame | None = None
     hop = 0
-    while depth is None or hop < depth:
-        hop += 1
-        fresh = hops.join(frontier, "fqn", "left_semi").select(F.col("_next").alias("fqn")).distinct()
-        if found is not None:
-            fresh = fresh.join(found.select("fqn"), "fqn", "left_anti")
-        fresh = cut_lineage(fresh.withColumn("hop", F.lit(hop)))
-        if fresh.isEmpty():
-            break
-        found = fresh if found is None else found.unionByName(fresh)
-        if hop % 16 == 0:  # long chains: fold the rounds so far into one table
-            found = cut_lineage(found)
-        frontier = fresh.select("fqn")
-    hops.unpersist()
+    try:
+        while depth is None or hop < depth:
+            hop += 1
+            fresh = hops.join(frontier, "fqn", "left_semi").select(F.col("_next").alias("fqn")).distinct()
+            if found is not None:
+                fresh = fresh.join(found.select("fqn"), "fqn", "left_anti")
+            fresh = cut_lineage(fresh.withColumn("hop", F.lit(hop)))
+            if fresh.isEmpty():
+                break
+            found = fresh if found is None else found.unionByName(fresh)
+            if hop % 16 == 0:  # long chains: fold the rounds so far into one table
+                found = cut_lineage(found)
+            frontier = fresh.select("fqn")
+    finally:
+        hops.unpersist()
     return found if found is not None else start.select("fqn").limit(0).withColumn("hop", F.lit(0))
 
 
@@ -112,26 +114,32 @@ def impact_report(edges: DataFrame, start: DataFrame, attributes: DataFrame) ->
 def layers_of(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(fqn, level) with level = longest path from any root, and the nodes no level exists for.
 
-    Peeling: level k is what has no incoming edge once levels below k are gone, which
-    for a DAG equals the longest path. Every round works on the remaining edges only,
-    so it shrinks; nodes on or behind a cycle are returned instead of looping forever.
+    Peeling by in-degree: a node's level comes when its last incoming edge goes. A round joins only the newest level with the
+    edges, takes the counts from the nodes that are left and writes those once; the next level and what is left after it are
+    both filters of that table. So a node is rewritten no oftener than it waits, and a chain costs one table per level. Levels
+    are folded into one table every 16 rounds. Nodes on or behind a cycle never reach zero and are returned instead of looping forever.
     """
-    rest = cut_lineage(edges.select("source_fqn", "target_fqn").distinct())
-    todo = cut_lineage(rest.select(F.explode(F.array("source_fqn", "target_fqn")).alias("fqn")).distinct())
-    done: DataFrame | None = None
-    level = 0
-    while True:
-        free = cut_lineage(todo.join(rest.select(F.col("target_fqn").alias("fqn")).distinct(), "fqn", "left_anti"))
-        if free.isEmpty():
-            break
-        ranked = free.withColumn("level", F.lit(level))
-        done = ranked if done is None else done.unionByName(ranked)
-        todo = cut_lineage(todo.join(free, "fqn", "left_anti"))
-        rest = cut_lineage(rest.join(free.withColumnRenamed("fqn", "source_fqn"), "source_fqn", "left_anti"))
-        level += 1
-    if done is None:
-        done = todo.limit(0).withColumn("level", F.lit(0))
-    return done, todo
+    hops = edges.select("source_fqn", "target_fqn").distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        ends = hops.select(F.col("source_fqn").alias("fqn"), F.lit(0).alias("n")).unionByName(hops.select("target_fqn", F.lit(1)).toDF("fqn", "n"))
+        table = cut_lineage(ends.groupBy("fqn").agg(F.sum("n").alias("open")))
+        done: DataFrame | None = None
+        level = 0
+        while True:
+            free, rest = table.filter("open = 0").select("fqn"), table.filter("open > 0")
+            if free.isEmpty():
+                break
+            ranked = free.withColumn("level", F.lit(level))
+            done = ranked if done is None else done.unionByName(ranked)
+            if level % 16 == 15:
+                done = cut_lineage(done)
+            gone = hops.join(free.withColumnRenamed("fqn", "source_fqn"), "source_fqn").groupBy(F.col("target_fqn").alias("fqn")).agg(F.count(F.lit(1)).alias("n"))
+            table = cut_lineage(rest.join(gone, "fqn", "left").select("fqn", (F.col("open") - F.coalesce("n", F.lit(0))).alias("open")))
+            level += 1
+    finally:
+        hops.unpersist()
+    left = table.select("fqn")
+    return (left.limit(0).withColumn("level", F.lit(0)) if done is None else done), left
 
 
 # ---- summaries ------------------------------------------------------------

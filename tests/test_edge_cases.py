@@ -326,6 +326,40 @@ def test_long_chain(spark):
     assert out.count() == 20 and out.agg(F.max("hop")).first()[0] == 20
 
 
+def test_runs_across_blocks_of_time(spark):
+    import itertools
+    import random
+
+    random.seed(4)
+    rows = [(k, t, random.random() < p) for k, p in (("a", 0.9), ("b", 0.5), ("c", 1.0)) for t in range(0, 6000, 60) if random.random() < 0.97 or k == "c"]
+    wanted = set()
+    for k, points in itertools.groupby(sorted(r for r in rows if r[2]), key=lambda r: r[0]):
+        run = []
+        for t in [*[p[1] for p in points], None]:
+            if run and (t is None or t != run[-1] + 60):
+                if run[-1] - run[0] >= 180:
+                    wanted.add((k, run[0], run[-1], len(run), run[0] + 180))
+                run = []
+            run.append(t)
+    grid = spark.createDataFrame(rows, "k string, t bigint, x boolean")
+    for block in (1, 2, 7, 4096):
+        got = alerts.firing(grid, ["k"], "t", F.col("x"), 60, 180, block)
+        assert {tuple(r) for r in got.collect()} == wanted
+    assert {tuple(r) for r in alerts.firing(grid.filter("k = 'c'").drop("k"), [], "t", F.col("x"), 60, 180, 5).collect()} == {(0, 5940, 100, 180)}
+
+
+def test_peeling_of_chains_diamonds_and_cycles(spark):
+    chain = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(40)]
+    odd = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("x", "y"), ("y", "x"), ("y", "z"), ("a", "b"), ("a", "x")]
+    edges = spark.createDataFrame(chain + odd, "source_fqn string, target_fqn string")
+    levels, left = lineage.layers_of(edges)
+    got = {r.fqn: r.level for r in levels.collect()}
+    assert got == {f"n{i:03d}": i for i in range(41)} | {"a": 0, "b": 1, "c": 2, "d": 3}
+    assert sorted(r.fqn for r in left.collect()) == ["x", "y", "z"]
+    none, empty = lineage.layers_of(edges.limit(0))
+    assert none.collect() == [] and empty.collect() == []
+
+
 def test_longest_path_levels(spark):
     levels, _ = lineage.layers_of(edges(spark, ("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("a", "d")))
     assert {r.fqn: r.level for r in levels.collect()} == {"a": 0, "b": 1, "c": 2, "d": 3}
