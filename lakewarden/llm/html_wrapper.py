@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import only, slices, staged, text_of
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9-]*)([^<>]*)>", re.S | re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^<>=]|=(?!\s*[\"']))*+|[^<>]*)>", re.S | re.I)
 MARK = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {
@@ -67,6 +67,8 @@ MARK_SHARE = 10
 #: A line is template text from one page in so many on, and from so many pages.
 LINE_SHARE, LINE_PAGES = 2, 3
 BROADCAST_HOSTS = 200_000
+#: Blocks nested deeper become blocks side by side in the one at this level; their texts keep their order, marks of theirs say nothing.
+MOST_LEVELS = 200
 
 
 class Node:
@@ -96,8 +98,13 @@ def tree(page: str, known: frozenset[int] | None = None, seen: set[str] | None =
     at = 0
 
     def text(piece: str) -> None:
-        if piece:
-            stack[-1].items.append((piece, "a" in inline))
+        if piece and (len(stack) <= MOST_LEVELS or not stack[-1].chars):
+            stack[min(len(stack), MOST_LEVELS) - 1].items.append((piece, "a" in inline))
+
+    def edge() -> None:
+        """Ends the line where a block too deep for the tree begins or ends."""
+        if len(stack) > MOST_LEVELS:
+            stack[MOST_LEVELS - 1].items.append(Node("#deep", "#deep", False))
 
     for m in TOKEN.finditer(page):
         text(page[at: m.start()])
@@ -120,14 +127,16 @@ def tree(page: str, known: frozenset[int] | None = None, seen: set[str] | None =
         if m[2]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
+                    edge()
                     del stack[i:]
                     inline.clear()
                     break
                 if tag in CLOSED_BY and stack[i].tag in SCOPES:
                     break
             continue
-        for i in range(len(stack) - 1, 0, -1):
+        for i in range(len(stack) - 1, max(0, len(stack) - 1 - MOST_LEVELS), -1):
             if tag in CLOSED_BY.get(stack[i].tag, ()):
+                edge()
                 del stack[i:]
                 inline.clear()
                 break
@@ -140,12 +149,16 @@ def tree(page: str, known: frozenset[int] | None = None, seen: set[str] | None =
             seen.update(own)
         label = tag + "".join(mark for mark in own if known is None or number(mark) in known)
         if tag in ARTICLES:
-            for holder in stack:
+            for holder in stack[:MOST_LEVELS]:
                 holder.words = frozenset()
                 holder.dropped = holder.dropped and holder.tag != "form"
         node = Node(label, tag, tag in DROPPED_TAGS, frozenset() if tag in PROTECTED else DROPPED_WORDS.intersection(marks.split()))
-        stack[-1].items.append(node)
+        if len(stack) < MOST_LEVELS:
+            stack[-1].items.append(node)
+        else:  # not in the tree; chars counts the dropped blocks it lies in or is
+            node.chars = node.dropped + (stack[-1].chars if len(stack) > MOST_LEVELS else 0)
         stack.append(node)
+        edge()
     text(page[at:])
     settle(root, known or frozenset())
     return root

@@ -123,6 +123,19 @@ def test_html_marks_of_single_pages(spark):
     assert got(html_wrapper.extract(df), "page_id", "text") == sorted(((i, f"About {n}\nText of {n}\nend {i}") for i, n in enumerate(names)), key=repr)
 
 
+def test_html_deep_pages_and_quoted_attributes(spark):
+    n = 100_000
+    deep = "<article>" + "".join(f"<div>t{i}" if i % 20_000 == 0 else "<div>" for i in range(n)) + "<p>end of it</p><nav>menu</nav>" + "</div>" * n + "<p>after</p></article>"
+    pages = [
+        (1, deep), (2, "<article><p title=\"a > b\">second</p><p title='c < d > e'>third <img alt=\"x > y\"> fourth</p><p data=it's>fifth it's</p></article>"),
+        (3, "<article>" + "<blockquote>" * 3000 + "inner" + "</blockquote>" * 2000 + "outer</article>"), (4, '<article><a href="open>link</a><p class=x = "y">end</p></article>'),
+    ]
+    df = spark.createDataFrame([(i, f"http://deep{i}/", h) for i, h in pages], "page_id long, url string, html string")
+    got_texts = {r["page_id"]: r["text"] for r in html_wrapper.extract(df).collect()}
+    assert got_texts[1] == "t0\nt20000\nt40000\nt60000\nt80000\nend of it\nafter"
+    assert got_texts[2] == "second\nthird fourth\nfifth it's" and got_texts[3] == "inner\nouter" and got_texts[4].endswith("end")
+
+
 def test_html_slots_and_template_text(spark):
     words = ["one", "two", "three", "four", "five"]
     advert = "<div class='box'>Sign up and win a prize today</div>"
