@@ -163,6 +163,23 @@ def fold_updates(log: DataFrame, key: str, field_col: str, value_col: str, order
     return log.groupBy(key).agg(*aggs, F.max(order[0]).alias("updated_at"), F.count(F.lit(1)).alias("update_count"))
 
 
+# Fields of a term that an update may change, and the states it can be in.
+UPDATABLE_FIELDS = ("name", "definition", "domain", "status")
+TERM_STATUS = ("DRAFT", "ACTIVE", "DEPRECATED")
+
+
+def apply_updates(terms: DataFrame, log: DataFrame, order: Sequence[str] = ("ts", "seq")) -> DataFrame:
+    """Terms after an update log (term_id, field, value, and the ``order`` columns): the last allowed value of every field wins.
+
+    Other fields and unknown states are ignored; a term that is deprecated stays listed. Adds updated_at and update_count.
+    """
+    allowed = log.filter(F.col("field").isin(*UPDATABLE_FIELDS) & ((F.col("field") != "status") | F.col("value").isin(*TERM_STATUS)))
+    state = fold_updates(allowed, "term_id", "field", "value", order, UPDATABLE_FIELDS)
+    ours = state.select("term_id", *[F.col(f).alias(f"_{f}") for f in UPDATABLE_FIELDS], "updated_at", "update_count")
+    met = terms.join(ours, "term_id", "left")
+    return met.withColumns({f: F.coalesce(f"_{f}", f) for f in UPDATABLE_FIELDS} | {"update_count": F.coalesce("update_count", F.lit(0))}).select(*terms.columns, "updated_at", "update_count")
+
+
 def deprecate(terms: DataFrame, retired: DataFrame) -> DataFrame:
     """Status DEPRECATED for the listed term ids; nothing is deleted."""
     flags = retired.select("term_id").distinct().withColumn("_gone", F.lit(True))

@@ -261,6 +261,15 @@ def e8(spark, root):
     return d.assets(spark, root).select("fqn", "domain").join(hits, "domain").select("fqn", "term")
 
 
+@query("e8_term_page", d.with_ctes(f"""WITH {_TERMS}, hits AS (SELECT a.fqn, b.name AS term FROM cat_assets a JOIN terms b ON b.domain = a.domain AND (contains(lower(b.name), 'id') OR contains(lower(b.definition), 'id') OR len([s for s in b.synonyms if contains(lower(s), 'id')]) > 0))
+    SELECT fqn, term, (SELECT count(*) FROM hits) AS total, CAST(ceil((SELECT count(*) FROM hits) / 20.0) AS BIGINT) AS total_pages FROM hits ORDER BY fqn, term LIMIT 20 OFFSET 40""", "cat_assets"))
+def e8_page(spark, root):
+    """The third page of the assets whose domain has a term with the text, with the total before paging."""
+    hits = glossary.search_terms(glossary.glossary(spark), q="ID", status="ACTIVE").select("domain", F.col("name").alias("term"))
+    found = d.assets(spark, root).select("fqn", "domain").join(hits, "domain").select("fqn", "term")
+    return catalog.page(found, [F.col("fqn"), F.col("term")], 20, 40)
+
+
 @query("e9_term_assignments", d.with_ctes("SELECT term_id, CASE WHEN CAST(substr(term_id, 6) AS INT) BETWEEN 1 AND 15 THEN 'accepted' ELSE 'rejected' END AS state, count(*) AS assignments FROM (SELECT 'term-' || lpad(CAST(l_suppkey % 20 AS VARCHAR), 3, '0') AS term_id FROM lineitem) GROUP BY 1, 2"))
 def e9(spark, root):
     """Assignments split by whether the term exists."""
@@ -279,6 +288,24 @@ def e10(spark, root):
     return glossary.fold_updates(d.events(spark, root), "user_id", "event_type", "value", ["ts", "event_id"], _FIELDS)
 
 
+_TERM_CHANGES = {"view": "definition", "click": "domain", "purchase": "status", "signup": "owner", "error": "status"}
+_TERM_VALUES = """CASE event_type WHEN 'view' THEN 'definition ' || event_id WHEN 'click' THEN CASE WHEN event_id % 2 = 0 THEN 'finance' ELSE 'customer' END
+    WHEN 'purchase' THEN CASE WHEN event_id % 3 = 0 THEN 'GONE' ELSE 'ACTIVE' END WHEN 'error' THEN 'DEPRECATED' ELSE 'x' END"""
+
+
+@query("e10_term_status", f"""WITH {_TERMS}, log AS (SELECT 'term-' || lpad(CAST(user_id % 20 AS VARCHAR), 3, '0') AS term_id, {d.sql_case("event_type", _TERM_CHANGES)} AS field, {_TERM_VALUES} AS value, ts, event_id FROM events),
+    ok AS (SELECT * FROM log WHERE field IN ('definition', 'domain') OR (field = 'status' AND value IN ('DRAFT', 'ACTIVE', 'DEPRECATED'))),
+    last AS (SELECT term_id, {", ".join(f"arg_max(value, (ts, event_id)) FILTER (WHERE field = '{f}') AS {f}" for f in ("definition", "domain", "status"))}, max(ts) AS updated_at, count(*) AS update_count FROM ok GROUP BY 1)
+    SELECT t.term_id, t.name, coalesce(l.definition, t.definition) AS definition, coalesce(l.domain, t.domain) AS domain, coalesce(l.status, 'ACTIVE') AS status, updated_at, coalesce(update_count, 0) AS update_count
+    FROM (SELECT 'term-' || lpad(CAST(ord AS VARCHAR), 3, '0') AS term_id, * FROM terms) t LEFT JOIN last l USING (term_id)""")
+def e10_status(spark, root):
+    """The glossary after an update log of the events' size: fields and states change, unknown ones do not."""
+    e = d.events(spark, root)
+    field = F.try_element_at(F.create_map(*[F.lit(x) for kv in _TERM_CHANGES.items() for x in kv]), F.col("event_type"))
+    log = e.select(F.concat(F.lit("term-"), F.lpad((F.col("user_id") % 20).cast("string"), 3, "0")).alias("term_id"), field.alias("field"), F.expr(_TERM_VALUES).alias("value"), "ts", F.col("event_id").alias("seq"))
+    return glossary.apply_updates(glossary.glossary(spark), log).select("term_id", "name", "definition", "domain", "status", "updated_at", "update_count")
+
+
 TABLE_TERMS_SQL = "list_distinct(flatten([" + ", ".join(f"CASE WHEN list_contains(string_split(lower(table_name), '_'), {d.q(w)}) THEN {d.sql_list(ts)} ELSE CAST([] AS VARCHAR[]) END" for w, ts in vocab.TABLE_TERMS.items()) + "])[1:5])"
 
 
