@@ -31,10 +31,10 @@ SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Endings that the pre-tokenizer splits off after an apostrophe.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
 NEVER = np.int64(1) << 40
 COMMON = 0x3000
-CACHE_PAIRS = 2_000_000
+CACHE_PAIRS = 500_000
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
