@@ -8,7 +8,9 @@ are always kept once valid; kinds that the method adds (iban, ssn) only with a s
 Positions are code points, the end exclusive. The pieces between matches and the matches
 themselves are both read from the text, so positions are running sums of their lengths. Quantifiers are
 possessive and a match may only begin where its run begins or where the last match ended, which
-changes no result and keeps long runs linear. A null text is empty; an empty text has no spans; repeated rows give repeated results.
+changes no result and keeps long runs linear; so do texts of many spans, whose places are gathered in blocks and whose
+surroundings are read from pieces of bounded length. A null text is empty; an empty text has no spans; repeated rows and null ids
+give rows like any other, an empty table none. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ IBAN = "^(?:" + "|".join(
     + [rf"(?!{'|'.join(' '.join(IBAN_LENGTHS.values()).split())})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}"]
 ) + ")(?![A-Za-z0-9])"
 IBAN_CHARS = 70
+#: characters of a piece of text (at least those read at once), and spans of a block
+CHUNK, BLOCK = 128, 128
 #: kind -> (pattern, characters without which no match is possible)
 PATTERNS = {
     "email": (rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@"),
@@ -55,44 +59,64 @@ CONTEXT_CHARS, CONTEXT_SCORE, MIN_SCORE = 48, 0.2, 0.5
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 
 
-def _places(text: Column, pattern: str, valid: Callable[[Column], Column]) -> Column:
-    """array<struct<value, start, end>> of the valid ones among all matches, leftmost first, none overlapping.
+SPAN = "struct<start:bigint,end:bigint>"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _gathered(items: Column, step: Callable[[Column, Column], tuple[Column, Column, Column, Column]]) -> Column:
+    """array<struct<start, end>> from left to right: ``step(at, item)`` gives the next ``at``, a start, an end and whether to keep them.
 
-    Only valid spans are appended: a text full of numbers costs no more than its length.
+    An append copies what it is put behind, so spans fill blocks of ``BLOCK`` and full blocks are put behind each other.
     """
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    empty = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<value:string,start:bigint,end:bigint>>").alias("out"))
+    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("some"), F.array().cast(f"array<array<{SPAN}>>").alias("full"))
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["value"])
-        more = F.concat(acc["out"], F.array(F.struct(pair["value"].alias("value"), start.cast("bigint").alias("start"), end.cast("bigint").alias("end"))))
-        return F.struct(end.cast("bigint").alias("at"), F.when(valid(pair["value"]), more).otherwise(acc["out"]).alias("out"))
+    def add(acc: Column, item: Column) -> Column:
+        at, start, end, keep = step(acc["at"], item)
+        span, over = F.array(F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"))), F.size(acc["some"]) >= BLOCK
+        some = F.when(~keep, acc["some"]).when(over, span).otherwise(F.concat(acc["some"], span))
+        full = F.when(keep & over, F.concat(acc["full"], F.array(acc["some"]))).otherwise(acc["full"])
+        return F.struct(at.cast("bigint").alias("at"), some.alias("some"), full.alias("full"))
 
-    pairs = F.filter(F.arrays_zip(found.alias("value"), between.alias("gap")), lambda p: p["value"].isNotNull())
-    return F.aggregate(pairs, empty, step, lambda acc: acc["out"])
+    return F.aggregate(items, first, add, lambda acc: F.flatten(F.concat(acc["full"], F.array(acc["some"]))))
 
 
-def _ibans(text: Column, valid: Callable[[Column], Column]) -> Column:
-    """The valid IBANs like ``_places``: every place where one may begin is tried, so a span that fails hides none after it.
+def _chunks(text: Column) -> Column:
+    """The text in pieces of ``CHUNK`` characters: reading near a place does not count characters from the beginning."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
 
-    The text is cut at these places and read from its end, with as many characters of what follows as an IBAN has.
-    """
-    kind = "array<struct<value:string,start:bigint,end:bigint>>"
-    begin = F.struct(F.length(text).cast("bigint").alias("at"), F.lit("").alias("tail"), F.array().cast(kind).alias("out"))
 
-    def step(acc: Column, piece: Column) -> Column:
-        at, tail = acc["at"] - F.length(piece), F.substring(F.concat(piece, acc["tail"]), 1, IBAN_CHARS)
-        value = F.regexp_extract(tail, IBAN, 0)
-        more = F.concat(F.array(F.struct(value.alias("value"), at.alias("start"), (at + F.length(value)).alias("end"))), acc["out"])
-        return F.struct(at.alias("at"), tail.alias("tail"), F.when(valid(value), more).otherwise(acc["out"]).alias("out"))
+def _read(chunks: Column, start: Column, chars: Column) -> Column:
+    """``chars`` characters, ``CHUNK`` at most, from ``start`` on."""
+    at = F.floor(start / CHUNK).cast("int")
+    both = F.concat(F.coalesce(F.get(chunks, at), F.lit("")), F.coalesce(F.get(chunks, at + 1), F.lit("")))
+    return F.substring(both, (start % CHUNK + 1).cast("int"), chars.cast("int"))
+
+
+def _places(text: Column, pattern: str, valid: Callable[[Column], Column]) -> Column:
+    """array<struct<start, end>> of the valid ones among all matches, leftmost first, none overlapping."""
+    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    pairs = F.filter(F.arrays_zip(found.alias("value"), between.alias("gap")), lambda p: p["value"].isNotNull())
+    marks = F.transform(pairs, lambda p: F.struct(F.length(p["gap"]).alias("gap"), F.length(p["value"]).alias("size"), valid(p["value"]).alias("valid")))
+    return _gathered(marks, lambda at, m: (at + m["gap"] + m["size"], at + m["gap"], at + m["gap"] + m["size"], m["valid"]))
+
+
+def _ibans(text: Column, valid: Callable[[Column], Column]) -> Column:
+    """The valid IBANs like ``_places``: every place where one may begin is tried, so a span that fails hides none after it."""
+    starts = _gathered(F.transform(F.split(text, IBAN_START, -1), F.length), lambda at, n: (at + n, at, at + n, F.lit(True)))
 
-    found = F.aggregate(F.reverse(F.split(text, IBAN_START, -1)), begin, step, lambda acc: acc["out"])
+    def tried(chunks: Column) -> Column:
+        values = F.transform(starts, lambda s: F.struct(s["start"].alias("start"), F.regexp_extract(_read(chunks, s["start"], F.lit(IBAN_CHARS)), IBAN, 0).alias("value")))
+        return F.filter(values, lambda s: valid(s["value"]))
 
-    def apart(acc: Column, s: Column) -> Column:  # the leftmost of those that overlap
-        return F.when(F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) <= s["start"], F.concat(acc, F.array(s))).otherwise(acc)
+    def apart(end: Column, s: Column) -> tuple[Column, Column, Column, Column]:  # the leftmost of those that overlap
+        stop, free = s["start"] + F.length(s["value"]), end <= s["start"]
+        return F.when(free, stop).otherwise(end), s["start"], stop, free
 
-    return F.aggregate(found, F.array().cast(kind), apart)
+    return _gathered(_let(_chunks(text), tried), apart)
 
 
 def luhn(digits: Column) -> Column:
@@ -136,17 +160,17 @@ def _valid(kind: str, value: Column) -> Column:
 def _spans(text: Column, kind: str) -> Column:
     pattern, needed = PATTERNS[kind]
     may = F.contains(text, F.lit(needed)) if needed else F.lit(True)
-    may = may & (F.contains(text, F.lit("@")) if kind == "email" else text.rlike("[0-9]"))
+    may = may & (F.contains(text, F.lit("@")) if kind == "email" else text.rlike(IBAN_START if kind == "iban" else "[0-9]"))
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,score:double>>")
 
-    def scored(s: Column) -> Column:
+    def scored(chunks: Column, s: Column) -> Column:
         begin = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-        near = F.concat_ws(" ", F.substring(text, (begin + 1).cast("int"), (s["start"] - begin).cast("int")), F.substring(text, (s["end"] + 1).cast("int"), F.lit(CONTEXT_CHARS)))
+        near = F.concat_ws(" ", _read(chunks, begin, s["start"] - begin), _read(chunks, s["end"], F.lit(CONTEXT_CHARS)))
         bonus = F.when(near.rlike(rf"(?i)\b(?:{CONTEXT[kind]})\b"), CONTEXT_SCORE).otherwise(0.0)
         return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.round(F.lit(CONFIDENCE[kind]) + bonus, 2).alias("score"))
 
     places = _ibans(text, lambda value: _valid(kind, value)) if kind == "iban" else _places(text, pattern, lambda value: _valid(kind, value))
-    valid = F.transform(places, scored)
+    valid = _let(places, lambda found: F.when(F.size(found) > 0, _let(_chunks(text), lambda chunks: F.transform(found, lambda s: scored(chunks, s)))).otherwise(none))
     if kind not in BASE:
         valid = F.filter(valid, lambda s: s["score"] >= MIN_SCORE)
     return F.when(may, valid).otherwise(none)

@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -130,19 +131,30 @@ def shown(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
 
 
+def masked(text: str, spans: list, mark: str) -> str:
+    """``text`` with the leftmost of overlapping ``spans`` replaced by ``mark`` and the rest of the others left out."""
+    out, at = [], 0
+    for s in spans:
+        if s["start"] >= at:
+            out += [text[at: s["start"]], mark]
+        at = max(at, s["stop"])
+    return "".join([*out, text[at:]])
+
+
+def _masked(mark: str):
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else masked(t, s, mark) for t, s in zip(texts, spans)], dtype=object)
+
+    return run
+
+
 def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with every reported span replaced by ``mark``; texts without spans are untouched."""
     spans = scan(docs, doc_id, text).filter(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_key"])
     keyed = docs.withColumn("_md5", F.md5(text_of(text).cast("binary")))
     met = keyed.join(spans, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_md5") == F.col("_key")), "left")
-    whole = F.col(text)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        keep = F.substring(whole, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        fresh = F.when(s["start"] >= acc["at"], F.concat(acc["out"], keep, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), fresh.alias("out"))
-
-    cut = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(whole, acc["at"] + 1, F.length(whole))))
-    changed = met.withColumn(text, F.when(F.col("_spans").isNotNull(), cut).otherwise(whole))
+    found = F.col("_spans").isNotNull()
+    clean = _masked(mark)(F.when(found, F.col(text)), F.col("_spans"))  # other texts are not sent
+    changed = met.withColumn(text, F.when(found, clean).otherwise(F.col(text)))
     return changed.select(*docs.columns)
