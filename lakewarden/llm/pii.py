@@ -59,9 +59,6 @@ CONTEXT_CHARS, CONTEXT_SCORE, MIN_SCORE = 48, 0.2, 0.5
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 
 
-SPAN = "struct<start:bigint,end:bigint>"
-
-
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` worked out once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -70,18 +67,33 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 def _gathered(items: Column, step: Callable[[Column, Column], tuple[Column, Column, Column, Column]]) -> Column:
     """array<struct<start, end>> from left to right: ``step(at, item)`` gives the next ``at``, a start, an end and whether to keep them.
 
-    An append copies what it is put behind, so spans fill blocks of ``BLOCK`` and full blocks are put behind each other.
+    A fold copies all it holds in each step, so items are taken in blocks of ``BLOCK``: first ``at`` at the beginning of
+    every block, then the spans of each block for itself.
     """
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("some"), F.array().cast(f"array<array<{SPAN}>>").alias("full"))
+    zero = F.lit(0).cast("bigint")
 
     def add(acc: Column, item: Column) -> Column:
         at, start, end, keep = step(acc["at"], item)
-        span, over = F.array(F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end"))), F.size(acc["some"]) >= BLOCK
-        some = F.when(~keep, acc["some"]).when(over, span).otherwise(F.concat(acc["some"], span))
-        full = F.when(keep & over, F.concat(acc["full"], F.array(acc["some"]))).otherwise(acc["full"])
-        return F.struct(at.cast("bigint").alias("at"), some.alias("some"), full.alias("full"))
+        span = F.array(F.struct(start.cast("bigint").alias("start"), end.cast("bigint").alias("end")))
+        return F.struct(at.cast("bigint").alias("at"), F.when(keep, F.concat(acc["some"], span)).otherwise(acc["some"]).alias("some"))
+
+    def begins(acc: Column, block: Column) -> Column:
+        after = F.aggregate(block, acc["at"], lambda at, item: step(at, item)[0].cast("bigint"))
+        return F.struct(after.alias("at"), F.concat(acc["before"], F.array(acc["at"])).alias("before"))
+
+    def spans(pair: Column) -> Column:
+        none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+        return F.aggregate(pair["block"], F.struct(pair["at"].alias("at"), none.alias("some")), add, lambda acc: acc["some"])
+
+    def gathered(blocks: Column) -> Column:
+        ats = F.aggregate(blocks, F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("before")), begins, lambda acc: acc["before"])
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("block"), ats.alias("at")), spans))
+
+    def cut(whole: Column) -> Column:
+        last = F.greatest(F.floor((F.size(whole) - 1) / BLOCK), F.lit(0)).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(whole, i * BLOCK + 1, F.lit(BLOCK)))
 
-    return F.aggregate(items, first, add, lambda acc: F.flatten(F.concat(acc["full"], F.array(acc["some"]))))
+    return _let(_let(items, cut), gathered)
 
 
 def _chunks(text: Column) -> Column:
