@@ -19,6 +19,7 @@ no rows. Other columns are not looked at, whatever their names.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import hashlib
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, vocabulary_path
@@ -36,7 +37,8 @@ from .common import Hashed, only, raw, slices, staged
 
 CACHE_SEGMENTS = CACHE_WORDS = 150_000
 SLICE = 1 << 18
-COUNTED = 2_000_000
+SLICE_LINKS = 1 << 18
+BATCH_BYTES = 4 << 20
 SPACE = 0x20
 
 
@@ -262,22 +264,46 @@ def groups(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", te
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, links array<bigint>, groups_sha256 string")
 
 
-def link_counts(found: DataFrame) -> DataFrame:
-    """link, n: how often each pair of ids is linked in all rows of ``groups``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside exchange Arrow batches of about ``BATCH_BYTES``: ten thousand lists of links would be some 100 MB in every task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _by_links(batches: Iterator[pa.RecordBatch], links: str = "links") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """The same rows in pieces of about ``SLICE_LINKS`` links, a longer list by itself: rows, how many links each has, and the links."""
+    for batch in batches:
+        lists = batch.column(batch.schema.get_field_index(links))
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < batch.num_rows:
+            done = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, done + SLICE_LINKS, "right")))
+            yield batch.slice(first, last - first), np.diff(ends[first:last], prepend=done), lists.slice(first, last - first).flatten().to_numpy()
+            first = last
 
-        def report() -> pa.RecordBatch:
-            link, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(link), pa.array(n)], ["link", "n"])
 
-        for batch in batches:
-            held.append(batch.column(0).flatten().to_numpy())
-            size += len(held[-1])
-            if size > COUNTED:
-                yield report()
-                held, size = [], 0
-        yield report()
+def link_counts(found: DataFrame) -> DataFrame:
+    """link, n: how often each pair of ids is linked in all rows of ``groups``.
+
+    A task keeps one table of its different links, no more than ``most_links``, and adds piece after piece to it.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        link, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for _, _, links in _by_links(batches):
+            more, times = np.unique(links, return_counts=True)
+            met, at = np.unique(np.concatenate([link, more]), return_inverse=True)
+            total = np.zeros(len(met), np.int64)
+            total[at[: len(link)]] = n
+            total[at[len(link):]] += times
+            link, n = met, total
+        yield pa.RecordBatch.from_arrays([pa.array(link), pa.array(n)], ["link", "n"])
 
     return found.select("links").mapInArrow(run, "link bigint, n bigint").groupBy("link").agg(F.sum("n").alias("n"))
 
@@ -289,7 +315,8 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
     """
     spark = docs.sparkSession
     found = staged(groups(docs, a_path or vocabulary_path(), b_path or vocabulary_path("piece_bpe_32k.model"), doc_id, text))
-    counted = link_counts(found).toPandas()  # at most ``most_links`` rows, whatever the corpus
+    with small_batches(spark):
+        counted = link_counts(found).toPandas()  # at most ``most_links`` rows, whatever the corpus
     order = np.argsort(counted["link"].to_numpy())
     link, n = counted["link"].to_numpy()[order].astype(np.int64), counted["n"].to_numpy()[order].astype(np.int64)
     b = link & 0xFFFFFFFF
@@ -299,10 +326,9 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         link, n, best = sent.value
-        for part in batches:
-            lists = part.column(part.schema.get_field_index("links"))
-            ends = np.cumsum(part.column(part.schema.get_field_index("n_links")).to_numpy())
-            i = np.searchsorted(link, lists.flatten().to_numpy())
+        for part, sizes, links in _by_links(batches):
+            ends = np.cumsum(sizes)
+            i = np.searchsorted(link, links)
             total = lambda v: np.diff(np.concatenate([[0], np.concatenate([[0], np.cumsum(v)])[ends]]))
             keep = [part.column(part.schema.get_field_index(c)) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")]
             yield pa.RecordBatch.from_arrays(
@@ -311,4 +337,5 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
             )
 
     kind = found.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(run, f"doc_id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string")
+    with small_batches(spark):
+        return staged(found.mapInArrow(run, f"doc_id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"))
