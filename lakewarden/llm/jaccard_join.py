@@ -7,9 +7,10 @@ lists of their rarest elements (prefixes): a pair that reaches the threshold mee
 one list. Which sets count as small is decided by cost: subsets written against list entries read.
 
 Equal sets are one class first. A list does not emit its pairs: it compares its members with one pivot
-of the list, links are verified on whole sets and contracted to components, and only lists that
-still hold several components go on, with another pivot, until the open pairs are no more than a few per
-member or pivots join hardly any more; those pairs are then compared one by one. So a group of n near copies costs a few times n comparisons, while no
+of the list, links are verified on whole sets and contracted to components, and each list that
+still holds several components goes on, with four times as many pivots out of its largest component, until its open pairs are
+no more than a few per member, as few as the pivots would make, or two turns in a row joined hardly any of its components;
+the pairs left are then compared one by one. So a group of n near copies costs a few times n comparisons, while no
 pair of a list is left out unless both ends are in one component already.
 
 Sets hold 64-bit hashes of shingles. A text with fewer than ``k`` words is one shingle of all its words; a
@@ -27,7 +28,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BLANKS, Words, combined, join_facts, lowered, mix, only, raw, signed, slices, staged, whole
@@ -41,7 +42,7 @@ SLACK = 4
 LARGE = 10_000  # sets above this have chance hits among 32 bits too many to tell anything
 PAIRS_PER_ROW = 8
 BLOCK_SHINGLES = 1_000_000  # held at once by a task that looks for frequent ones
-MOST_TURNS = 4
+LEAST_GAIN = 0.02  # share of a list's components that a turn must join with others for another to be worth its while
 BROADCAST_IDS = 2_000_000
 
 
@@ -329,25 +330,34 @@ def _large_links(rows: DataFrame, sketches: DataFrame, frequent: Broadcast, boun
     # the count looks at every column, so that it and the join read one and the same shuffle
     shared = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.min("doc").alias("d"), F.max("n").alias("x"), F.max("pos").alias("y")).filter("m > 1 and d is not null and x > 0 and y >= 0").select("token")
     open_ = staged(entries.join(shared, "token").withColumn("comp", F.col("doc")))
-    links, turn, before = None, 0, math.inf
+    links, turn, before = None, 0, None
     while True:
-        size = open_.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m").cast("decimal(38,0)") * F.col("m")).alias("mm"))
-        total = size.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("rows"), F.coalesce(F.sum((F.col("m").cast("decimal(38,0)") * F.col("m") - F.col("mm")) / 2), F.lit(0)).alias("pairs")).first()
-        if not total["rows"]:
+        size = open_.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", "m").alias("main"), F.sum("m").alias("m"), F.sum(F.col("m").cast("decimal(38,0)") * F.col("m")).alias("mm"))
+        size = size.select("token", "m", "main", "comps", ((F.col("m").cast("decimal(38,0)") * F.col("m") - F.col("mm")) / 2).alias("pairs"))
+        # components, not rows, tell what a turn did to a list: it keeps its rows as long as one of them is not joined
+        if before is not None:
+            size = size.join(before, "token", "left").select("token", "m", "main", "comps", "pairs", F.when(F.col("comps") > (1 - LEAST_GAIN) * F.col("was"), F.col("idle") + 1).otherwise(0).alias("idle"))
+        else:
+            size = size.withColumn("idle", F.lit(0))
+        pivots = 4 ** turn  # of the list's largest component, while they cost a quarter of its open pairs at most
+        worth = (F.col("pairs") > PAIRS_PER_ROW * F.col("m")) & (F.col("pairs") > 4 * pivots * F.col("comps")) & (F.col("idle") < 2)
+        size = staged(size.select("token", "main", F.col("comps").alias("was"), "idle", worth.alias("goes_on")))
+        if size.isEmpty():
             return links
-        last = turn == MOST_TURNS or (turn > 0 and (total["pairs"] <= PAIRS_PER_ROW * total["rows"] or total["rows"] > 0.9 * before))
-        before = total["rows"]
+        last = turn > 0 and size.filter("goes_on").isEmpty()
+        before = size.select("token", "was", "idle")
         entry = ["doc", "n", "pos", "comp"]
         if last:
             other = open_.select("token", *[F.col(c).alias(f"{c}2") for c in entry])
         else:
-            rank = F.col("doc") if not turn else F.xxhash64("doc", F.lit(turn))
-            pivot = open_.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), *entry)).alias("p"))
-            other = pivot.select("token", *[F.col(f"p.{c}").alias(f"{c}2") for c in entry])
+            asked = open_.join(size.filter("goes_on").select("token", "main"), "token").filter("comp = main") if turn else open_
+            # the same order in all lists, so that lists of one group share their pivots
+            rank = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("doc", F.lit(turn)) if turn else "doc", *entry))
+            other = asked.withColumn("rank", rank).filter(F.col("rank") <= pivots).select("token", *[F.col(c).alias(f"{c}2") for c in entry])
         order = "(n > n2 or (n = n2 and doc > doc2))" if last else "doc <> doc2"
         met = open_.join(other, "token").filter(f"comp <> comp2 and {order} and greatest(n, n2) >= {boundary} and {_meets(threshold)}")
-        pairs = met.select(F.greatest("doc", "doc2").alias("a"), F.least("doc", "doc2").alias("b"))
-        found = _verified(rows, _likely(sketches, pairs, threshold), k, threshold, last)
+        likely = _likely(sketches, met.select(F.greatest("doc", "doc2").alias("a"), F.least("doc", "doc2").alias("b")), threshold)
+        found = _verified(rows, likely, k, threshold, last) if last or not turn else staged(_compared(rows, likely, k, threshold))
         links = found if links is None else links.unionByName(found)
         if last:
             return links
