@@ -13,6 +13,7 @@ from ..functions.scalars import datajob_urn, dataset_urn, fqn_label, fqn_schema
 from ..session import cut_lineage
 
 LAYERS = ("raw", "staging", "curated", "ml_feature", "serving")
+BROADCAST_NODES = 500_000  # up to so many of a round go to the edges instead of the edges to a shuffle
 
 
 # ---- edges and nodes ------------------------------------------------------
@@ -63,6 +64,12 @@ def neighbourhood(edges: DataFrame, fqn: str) -> DataFrame:
 
 
 # ---- traversal ------------------------------------------------------------
+def _sent(found: DataFrame) -> DataFrame | None:
+    """Rows of one round, broadcast when they are few; None when there are none."""
+    n = found.limit(BROADCAST_NODES + 1).count()
+    return None if not n else F.broadcast(found) if n <= BROADCAST_NODES else found
+
+
 def reach(edges: DataFrame, start: DataFrame, depth: int | None = None, direction: str = "downstream") -> DataFrame:
     """(fqn, hop) of everything reachable from ``start`` (a column ``fqn``), with the smallest hop.
 
@@ -71,27 +78,28 @@ def reach(edges: DataFrame, start: DataFrame, depth: int | None = None, directio
     to them. Frontiers are checkpointed reliably, so the plan stays one round deep and
     a lost executor costs a re-read, not a re-computation; the two edge columns are
     cached for the loop, spread as they come rather than by key, so a hub fills no single
-    block. A hub's edges meet a frontier row once and its targets are deduplicated
-    map-side before the shuffle. The driver only learns whether a round was empty.
+    block. A frontier of up to ``BROADCAST_NODES`` is broadcast, so the edges stay where they are; only a larger one
+    shuffles them. A hub's edges meet a frontier row once and its targets are deduplicated
+    map-side before the shuffle. The driver only learns how many a round found, up to that number.
     """
     a, b = ("source_fqn", "target_fqn") if direction == "downstream" else ("target_fqn", "source_fqn")
     hops = edges.select(F.col(a).alias("fqn"), F.col(b).alias("_next")).persist(StorageLevel.MEMORY_AND_DISK)
-    frontier = start.select("fqn").distinct()
+    frontier = _sent(start.select("fqn").distinct())
     found: DataFrame | None = None
     hop = 0
     try:
-        while depth is None or hop < depth:
+        while frontier is not None and (depth is None or hop < depth):
             hop += 1
             fresh = hops.join(frontier, "fqn", "left_semi").select(F.col("_next").alias("fqn")).distinct()
             if found is not None:
                 fresh = fresh.join(found.select("fqn"), "fqn", "left_anti")
             fresh = cut_lineage(fresh.withColumn("hop", F.lit(hop)))
-            if fresh.isEmpty():
+            frontier = _sent(fresh.select("fqn"))
+            if frontier is None:
                 break
             found = fresh if found is None else found.unionByName(fresh)
             if hop % 16 == 0:  # long chains: fold the rounds so far into one table
                 found = cut_lineage(found)
-            frontier = fresh.select("fqn")
     finally:
         hops.unpersist()
     return found if found is not None else start.select("fqn").limit(0).withColumn("hop", F.lit(0))
@@ -116,7 +124,8 @@ def layers_of(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Peeling by in-degree: a node's level comes when its last incoming edge goes. A round joins only the newest level with the
     edges, takes the counts from the nodes that are left and writes those once; the next level and what is left after it are
-    both filters of that table. So a node is rewritten no oftener than it waits, and a chain costs one table per level. Levels
+    both filters of that table. Up to ``BROADCAST_NODES`` nodes of a level are broadcast to the edges; a level that leaves no node waiting ends the
+    loop without reading them. So a node is rewritten no oftener than it waits, and a chain costs one table per level. Levels
     are folded into one table every 16 rounds. Nodes on or behind a cycle never reach zero and are returned instead of looping forever.
     """
     hops = edges.select("source_fqn", "target_fqn").distinct().persist(StorageLevel.MEMORY_AND_DISK)
@@ -127,13 +136,17 @@ def layers_of(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         level = 0
         while True:
             free, rest = table.filter("open = 0").select("fqn"), table.filter("open > 0")
-            if free.isEmpty():
+            sent = _sent(free)
+            if sent is None:
                 break
             ranked = free.withColumn("level", F.lit(level))
             done = ranked if done is None else done.unionByName(ranked)
             if level % 16 == 15:
                 done = cut_lineage(done)
-            gone = hops.join(free.withColumnRenamed("fqn", "source_fqn"), "source_fqn").groupBy(F.col("target_fqn").alias("fqn")).agg(F.count(F.lit(1)).alias("n"))
+            if rest.isEmpty():
+                table = rest
+                break
+            gone = hops.join(sent.withColumnRenamed("fqn", "source_fqn"), "source_fqn").groupBy(F.col("target_fqn").alias("fqn")).agg(F.count(F.lit(1)).alias("n"))
             table = cut_lineage(rest.join(gone, "fqn", "left").select("fqn", (F.col("open") - F.coalesce("n", F.lit(0))).alias("open")))
             level += 1
     finally:

@@ -417,3 +417,29 @@ def test_no_product_of_tables(spark, name):
     plan = QUERIES[name](spark, ROOT)._jdf.queryExecution().toString()
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas"):
         assert node not in plan
+
+
+def test_few_nodes_of_a_round_go_to_the_edges(spark, monkeypatch):
+    seen, cut = [], lineage.cut_lineage
+
+    def kept(df):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(lineage, "cut_lineage", kept)
+    g = edges(spark, ("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "b"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most, joins in ((500_000, True), (1, False)):
+            monkeypatch.setattr(lineage, "BROADCAST_NODES", most)
+            seen.clear()
+            out = lineage.reach(g, spark.createDataFrame([("a",), ("d",)], "fqn string"))
+            assert sorted(map(tuple, out.collect())) == [("b", 1), ("c", 1), ("d", 2)]
+            assert ("BroadcastHashJoin" in seen[0]) == joins
+            seen.clear()
+            levels, left = lineage.layers_of(edges(spark, ("a", "b"), ("b", "c"), ("x", "c")))
+            assert sorted(map(tuple, levels.collect())) == [("a", 0), ("b", 1), ("c", 2), ("x", 0)] and left.collect() == []
+            assert len(seen) == 3  # counts, and what two levels leave: the last level reads no edges
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
