@@ -46,12 +46,17 @@ def _no_tags() -> Column:
     return F.create_map().cast("map<string, string>")
 
 
+def _first(*keys: Column) -> Column:
+    """A hash that leads the keys of a grouping: lists are gathered by sorting, and one number tells most groups apart where the keys share long beginnings."""
+    return F.xxhash64(*keys).alias("_first")
+
+
 # ---- raw events -----------------------------------------------------------
-def raw_events(profile: DataFrame, source_id: str, source_type: str, database: str, run_id: str, emitted_at: str, schema: str = "schema_name", limit: int = 500) -> DataFrame:
+def raw_events(profile: DataFrame, source_id: str, source_type: Column | str, database: str, run_id: str, emitted_at: str, schema: str = "schema_name", limit: int = 500) -> DataFrame:
     """Messages of one event per schema, as ``profiling.RAW_EVENT``, from one row per column of a profile.
 
-    A table's columns are cut after every ``limit``; ``column_offset`` says how many stand in earlier messages. Columns that the
-    profile lacks are null.
+    ``source_type`` is a text, or a column where the profile holds several sources: one pass makes the messages of all. A table's
+    columns are cut after every ``limit``; ``column_offset`` says how many stand in earlier messages. Columns that the profile lacks are null.
     """
     have = set(profile.columns)
     field = lambda name, kind: (F.col(name) if name in have else F.lit(None)).cast(kind).alias(name)
@@ -61,7 +66,8 @@ def raw_events(profile: DataFrame, source_id: str, source_type: str, database: s
         "null_count", "distinct_count", field("min_value", "string"), field("max_value", "string"), field("avg_value", "double"), "sample_values",
     )
     part = F.floor((F.col("ordinal") - 1) / limit)
-    tables = profile.groupBy(F.col(schema).alias("schema_name"), "table_name", part.alias("_part")).agg(
+    source = source_type if isinstance(source_type, Column) else F.lit(source_type)
+    tables = profile.groupBy(_first(source, F.col(schema), F.col("table_name"), part), source.alias("_source"), F.col(schema).alias("schema_name"), "table_name", part.alias("_part")).agg(
         F.max("row_count").alias("row_count"), F.max(field("size_bytes", "bigint")).alias("size_bytes"), F.max(field("last_modified", "timestamp")).alias("last_modified"),
         F.sort_array(F.collect_list(column)).alias("columns"),
     )
@@ -71,7 +77,7 @@ def raw_events(profile: DataFrame, source_id: str, source_type: str, database: s
     )
     event_id = F.concat(F.lit("e-"), F.md5(F.concat_ws("#", F.lit(source_id), "schema_name", F.lit(run_id)).cast("binary")))
     return tables.select(
-        event_id.alias("event_id"), F.lit(source_id).alias("source_id"), F.lit(source_type).alias("source_type"), F.lit(emitted_at).cast("timestamp").alias("emitted_at"),
+        event_id.alias("event_id"), F.lit(source_id).alias("source_id"), F.col("_source").alias("source_type"), F.lit(emitted_at).cast("timestamp").alias("emitted_at"),
         F.struct(F.lit(database).alias("database_name"), "schema_name", F.array(table).alias("tables")).alias("schema_profile"),
         F.lit("1.0.0").alias("connector_version"), F.lit(run_id).alias("run_id"),
     )
@@ -114,8 +120,9 @@ def enriched_tables(columns: DataFrame) -> DataFrame:
     )
     named = F.col("column_name").isNotNull()
     rank = F.when(F.col("classification") == "PII", 3).when(F.col("classification") == "SENSITIVE", 2).otherwise(0)
-    mean = lambda p: F.coalesce(F.sum(F.when(named, F.col(p)).cast("decimal(28,4)")).cast("double") / F.count(F.when(named, F.col(p))), F.lit(0.0)).alias(f"_{p}")
-    grouped = columns.groupBy(*_EVENT, "table_schema", "table_name", "fqn").agg(
+    # scores have four decimals, so ten-thousandths are whole numbers and their sum does not hang on the order of rows
+    mean = lambda p: F.coalesce(F.sum(F.when(named, F.round(F.col(p) * 10000.0).cast("bigint"))) / 10000.0 / F.count(F.when(named, F.col(p))), F.lit(0.0)).alias(f"_{p}")
+    grouped = columns.groupBy(_first(F.col("event_id"), F.col("fqn")), *_EVENT, "table_schema", "table_name", "fqn").agg(
         F.sort_array(F.collect_list(F.when(named, entry))).alias("_columns"), F.max("row_count").alias("row_count"), F.max("size_bytes").alias("size_bytes"),
         F.first("tags", ignorenulls=True).alias("tags"), F.max(F.when(named, rank)).alias("_rank"), *[mean(p) for p in PARTS],
     )

@@ -202,23 +202,59 @@ def _strings(values: Sequence[str]) -> str:
     return "cast(array(" + ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values) + ") as array<string>)"
 
 
+def _numbers(values: Sequence[int]) -> str:
+    return "cast(array(" + ", ".join(map(str, values)) + ") as array<int>)"
+
+
+def _ordinals_of(spellings: dict[str, list[int]]) -> Column:
+    """A literal map from a spelling to the places of the terms that have it."""
+    entries = [f"{_strings([word])}[0], {_numbers(places)}" for word, places in spellings.items()]
+    return F.expr(f"map({', '.join(entries)})" if entries else "cast(map() as map<string, array<int>>)")
+
+
 def column_terms(name_col: Column | str, terms: Sequence[vocab.Term] = vocab.SEED_TERMS, k: int = 5, floor: float = 0.1) -> Column:
-    """Names of the best ``k`` terms of a column name, best first: one projection over a glossary of fixed size, so it also runs in a stream."""
+    """Names of the best ``k`` terms of a column name, best first: one projection over a glossary of fixed size, so it also runs in a stream.
+
+    The name is cut into tokens once, its tokens and spelling are looked up, and only the terms found there are scored; no other term has a score.
+    """
     name = col_of(name_col)
+    of_token: dict[str, list[int]] = {}
+    of_spelling: dict[str, list[int]] = {}
     entries = []
     for i, t in enumerate(terms):
         bag = list(dict.fromkeys([*_words(t.name), *[w for x in t.synonyms for w in _words(x)], *[x.lower() for x in t.abbreviations]]))
-        entries.append(f"named_struct('ordinal', {i}, 'term', {_strings([t.name])}[0], 'bag', {_strings(bag)}, 'spelled', {_strings([x.lower() for x in t.synonyms])})")
-    tokens, lower = name_tokens(name), F.lower(name)
-
-    def scored(t: Column) -> Column:
-        both = F.size(F.array_union(tokens, t["bag"]))
-        score = F.when(both > 0, F.size(F.array_intersect(tokens, t["bag"])) / both).otherwise(0.0)
-        boosted = F.when(lower == F.lower(t["term"]), 1.0).when(F.array_contains(t["spelled"], lower), F.least(score + 0.3, F.lit(1.0))).otherwise(score)
-        return F.struct((-boosted).alias("score"), t["ordinal"].alias("ordinal"), t["term"].alias("term"))
-
-    found = F.filter(F.transform(F.expr(f"array({', '.join(entries)})"), scored), lambda x: -x["score"] > floor)
-    best = F.transform(F.slice(F.array_sort(found), 1, k), lambda x: x["term"])
+        for word in bag:
+            of_token.setdefault(word, []).append(i)
+        for word in dict.fromkeys([t.name.lower(), *[x.lower() for x in t.synonyms]]):
+            of_spelling.setdefault(word, []).append(i)
+        entries.append(f"named_struct('term', {_strings([t.name])}[0], 'bag', {len(bag)}, 'name', {_strings([t.name.lower()])}[0])")
+    if not entries:
+        return F.array().cast("array<string>")
+    known, by_token, by_spelling = F.expr(f"array({', '.join(entries)})"), _ordinals_of(of_token), _ordinals_of(of_spelling)
+    none = F.array().cast("array<int>")
+    every = F.expr(_numbers(range(len(entries))))
+
+    def ranked(facts: Column) -> Column:
+        places = F.array_distinct(F.concat(facts["hits"], facts["spelled"])) if floor >= 0 else every
+
+        def scored(place: Column) -> Column:
+            t = F.get(known, place)
+            common = F.size(F.filter(facts["hits"], lambda hit: hit == place))
+            both = facts["tokens"] + t["bag"] - common
+            score = F.when(both > 0, common / both).otherwise(0.0)
+            boosted = F.when(facts["lower"] == t["name"], 1.0).when(F.array_contains(facts["spelled"], place), F.least(score + 0.3, F.lit(1.0))).otherwise(score)
+            return F.struct((-boosted).alias("score"), place.alias("ordinal"), t["term"].alias("term"))
+
+        found = F.filter(F.transform(places, scored), lambda x: -x["score"] > floor)
+        return F.transform(F.slice(F.array_sort(found), 1, k), lambda x: x["term"])
+
+    def looked_up(tokens: Column) -> Column:
+        hits = F.flatten(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(by_token, t), none)))
+        lower = F.lower(name)
+        return F.struct(F.size(tokens).alias("tokens"), hits.alias("hits"), lower.alias("lower"), F.coalesce(F.try_element_at(by_spelling, lower), none).alias("spelled"))
+
+    # one-element arrays: what a lambda is given is worked out once, not at each use
+    best = F.get(F.transform(F.transform(F.array(name_tokens(name)), looked_up), ranked), F.lit(0))
     return F.when(name.isNull(), F.array().cast("array<string>")).otherwise(best)
 
 

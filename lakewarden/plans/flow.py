@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import assembly, profiling
@@ -113,8 +110,8 @@ def k2(spark, root):
 def f8(spark, root):
     """Enriched tables flattened to the rows of a catalog; the columns of a table come in bounded messages."""
     c = d.columns(spark, root)
-    raw = [assembly.raw_events(c.filter(F.col("source_type") == source), "lake", source, "lake", _RUN, _EMITTED) for source in d.CAT_SOURCES]
-    tables = assembly.enriched_tables(assembly.enriched_columns(reduce(DataFrame.unionByName, raw)))
+    raw = assembly.raw_events(c.filter(F.col("source_type").isin(*d.CAT_SOURCES)), "lake", F.col("source_type"), "lake", _RUN, _EMITTED)
+    tables = assembly.enriched_tables(assembly.enriched_columns(raw))
     events = tables.withColumn("tables", F.array("t")).drop("t")
     per = assembly.column_rows(events).groupBy("asset_id").agg(F.count(F.lit(1)).alias("column_count"), F.count_if(F.col("pii_classification") == "PII").alias("pii"), F.count_distinct("fqn").alias("names"))
     return assembly.asset_rows(events).join(per, "asset_id").select(

@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lakewarden.operators import assembly, profiling, store
+from lakewarden import vocab
+from lakewarden.operators import assembly, glossary, profiling, store
 from lakewarden.session import scratch_dir
 from lakewarden.sources import discovery
 from lakewarden.streaming import catalog_flow, streams
@@ -134,3 +135,20 @@ def test_contained_columns(spark):
 def test_no_pair_is_left_to_check(spark):
     t = spark.createDataFrame([(1, "a")], "x int, y string")
     assert discovery.contained_columns({"t": t}).collect() == []
+
+
+def test_messages_of_several_sources_come_from_one_pass(spark):
+    rows = [(s, f"t{i % 3}", i, f"c{i}") for i in range(9) for s in ("mssql", "sqlite")]
+    cols = spark.createDataFrame(rows, "source_type string, table_name string, ordinal long, column_name string").selectExpr(
+        "*", "'s' as schema_name", "5L as row_count", "'INT' as data_type", "0L as null_count", "1L as distinct_count", "array('x') as sample_values")
+    made = lambda c, source: [str(r) for r in assembly.raw_events(c, "lake", source, "lake", "run", "2024-01-31T00:00:00Z", limit=4).collect()]
+    apart = [r for s in ("mssql", "sqlite") for r in made(cols.filter(F.col("source_type") == s), s)]
+    assert sorted(made(cols, F.col("source_type"))) == sorted(apart) and len(apart) == 14
+
+
+def test_a_name_is_cut_into_tokens_once(spark):
+    names = spark.createDataFrame([("customer_id",), (None,), ("",), ("Top Line",), ("sku",)], "n string")
+    out = names.select("n", glossary.column_terms("n").alias("t"), glossary.column_terms("n", floor=-1.0, k=99).alias("all"))
+    rows = {r.n: r for r in out.collect()}
+    assert rows[None].t == [] and rows[""].t == [] and rows["Top Line"].t[0] == "Revenue" and {len(r["all"]) for n, r in rows.items() if n is not None} == {len(vocab.SEED_TERMS)}
+    assert names.select(glossary.column_terms("n"))._jdf.queryExecution().analyzed().toString().count("split(") == 1
