@@ -44,15 +44,19 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
 def split_parts(df: DataFrame, keys: Sequence[str], uid: str, limit: int) -> DataFrame:
     """Adds ``part``: groups above ``limit`` rows are cut by a hash of ``uid`` so none grows unbounded.
 
-    The count is a partial aggregate; only oversized groups are joined back.
+    The count is a partial aggregate; only oversized groups are joined back. The join is null-safe, as a plain one would
+    filter nulls below the count, and ``df`` would be worked out once for each side; rows with a null key stay in part 0.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    sizes = df.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
     digest = F.conv(F.substring(F.md5(F.col(uid).cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint")
     parts = F.ceil(F.col("_n") / F.lit(limit))
+    same, known = F.lit(True), F.lit(True)
+    for k in keys:
+        same, known = same & F.col(k).eqNullSafe(F.col(f"_of_{k}")), known & F.col(k).isNotNull()
     return (
-        df.join(sizes, list(keys), "left")
-        .withColumn("part", F.coalesce(F.pmod(digest, parts), F.lit(0)).cast("bigint"))
-        .drop("_n")
+        df.join(sizes, same, "left")
+        .withColumn("part", F.when(known & F.col("_n").isNotNull(), F.pmod(digest, parts)).otherwise(0).cast("bigint"))
+        .drop("_n", *[f"_of_{k}" for k in keys])
     )
 
 

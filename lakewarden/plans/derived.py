@@ -159,9 +159,14 @@ def raw_edges(spark: SparkSession, root: str) -> DataFrame:
     return lines.unionByName(placed)
 
 
+_PLATFORMS = ("customer", "orders", "part", "supplier")  # in order of the alphabet
+
+
 def edges(spark: SparkSession, root: str) -> DataFrame:
-    """Distinct (source, target) pairs; copies collapse map-side."""
-    return raw_edges(spark, root).groupBy("source_fqn", "target_fqn").agg(F.min("source_platform").alias("source_platform"), F.min("target_platform").alias("target_platform"))
+    """Distinct (source, target) pairs; copies collapse map-side, with platforms as numbers: the least text would need a sort."""
+    least = lambda c: F.min(F.array_position(F.array(*[F.lit(x) for x in _PLATFORMS]), F.col(c)).cast("int")).alias(c)
+    found = raw_edges(spark, root).groupBy("source_fqn", "target_fqn").agg(least("source_platform"), least("target_platform"))
+    return found.select("source_fqn", "target_fqn", *[pick(_PLATFORMS, F.col(c) - 1).alias(c) for c in ("source_platform", "target_platform")])
 
 
 def nested_edges(spark: SparkSession, root: str) -> DataFrame:

@@ -443,3 +443,18 @@ def test_few_nodes_of_a_round_go_to_the_edges(spark, monkeypatch):
             assert len(seen) == 3  # counts, and what two levels leave: the last level reads no edges
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_split_parts_reads_its_rows_once(spark):
+    rows = [("hot", i) for i in range(40)] + [("k", 1), (None, 1)] + [(None, i) for i in range(20)]
+    df = spark.createDataFrame(rows, "k string, u int").repartition(3, "u").distinct()
+    out = R.split_parts(df, ["k"], "u", 10)
+    parts = {k: sorted({r.part for r in out.collect() if r.k == k}) for k in ("hot", "k", None)}
+    assert parts == {"hot": [0, 1, 2, 3], "k": [0], None: [0]} and out.count() == 61 and out.columns == ["k", "u", "part"]
+    assert "isnotnull(k" not in out._jdf.queryExecution().optimizedPlan().toString().split("LeftOuter")[1]
+
+
+def test_edges_keep_the_least_platforms_without_a_sort(spark):
+    e = d.edges(spark, ROOT)
+    assert {tuple(r) for r in e.select("source_platform", "target_platform").distinct().collect()} == {("supplier", "part"), ("part", "orders"), ("orders", "customer")}
+    assert "SortAggregate" not in e._jdf.queryExecution().executedPlan().toString()
