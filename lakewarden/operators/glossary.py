@@ -12,6 +12,8 @@ from .. import vocab
 from ..functions.rows import top_k
 from ..functions.scalars import col_of, name_tokens, nearest, sim_tokens
 
+NAMES_PER_TASK = 250_000  # different names whose matches one task gathers and ranks
+
 
 def glossary(spark: SparkSession, terms: Sequence[vocab.Term] = vocab.SEED_TERMS) -> DataFrame:
     """Glossary as a table; ``ordinal`` is insertion order, the tie-breaker of every ranking."""
@@ -30,44 +32,50 @@ def token_bag(terms: DataFrame) -> DataFrame:
     return terms.withColumn("bag", F.array_union(F.array_union(name_tokens("name"), synonym_tokens), abbreviations))
 
 
+def _spread(names: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The distinct rows, at most about ``NAMES_PER_TASK`` to a task however few partitions a shuffle has: what follows holds several times their size.
+
+    An estimate of how many there are sets the number of pieces only.
+    """
+    n = names.agg(F.approx_count_distinct(F.xxhash64(*keys))).first()[0]
+    pieces = -(-n // NAMES_PER_TASK)
+    return names.distinct() if pieces < 2 else names.distinct().repartition(pieces, *keys)
+
+
 def suggest_for_names(names: DataFrame, terms: DataFrame, name_col: str = "column_name", table_col: str | None = None, k: int = 5, floor: float = 0.1) -> DataFrame:
     """Ranked terms per DISTINCT (name, table) pair.
 
     Only pairs that share a token can score, so names and terms meet in an
     equi-join on the token instead of a product; an exact name or synonym always
-    shares its tokens, except when all are shorter than three letters, which a second
-    equi-join on the spelled-out label covers. Work is per distinct name: a hot name is
+    shares its tokens, except when all are shorter than three letters, which
+    spelled-out labels in the same join cover. One aggregate gathers both, so the names are
+    held once. Work is per distinct name: a hot name is
     counted once however many columns carry it.
     """
     keys = [name_col] + ([table_col] if table_col else [])
     tokens = name_tokens(name_col)
     if table_col:
         tokens = F.array_union(tokens, name_tokens(table_col))
-    distinct = names.select(*keys).filter(F.col(name_col).isNotNull()).distinct().withColumn("_tokens", tokens)
+    distinct = _spread(names.select(*keys).filter(F.col(name_col).isNotNull()), keys).withColumn("_tokens", tokens)
     bags = token_bag(terms.filter(F.col("status") == "ACTIVE")).filter(F.size("bag") > 0)
 
-    by_token = bags.select("ordinal", F.size("bag").alias("_bag_size"), F.explode("bag").alias("_token"))
-    overlap = (
-        distinct.select(*keys, F.size("_tokens").alias("_n"), F.explode("_tokens").alias("_token"))
-        .join(by_token, "_token")
-        .groupBy(*keys, "ordinal")
-        .agg(F.count(F.lit(1)).alias("_common"), F.first("_n").alias("_n"), F.first("_bag_size").alias("_bag_size"))
-        .select(*keys, "ordinal", (F.col("_common") / (F.col("_n") + F.col("_bag_size") - F.col("_common"))).alias("_jaccard"))
-    )
-    labels = bags.select(
-        "ordinal",
-        F.inline(F.concat(
-            F.array(F.struct(F.lower("name").alias("_label"), F.lit(True).alias("_is_name"))),
-            F.transform("synonyms", lambda s: F.struct(F.lower(s).alias("_label"), F.lit(False).alias("_is_name"))),
-        )),
-    )
-    spelled = (
-        distinct.select(*keys, F.lower(name_col).alias("_label"))
-        .join(labels, "_label")
-        .groupBy(*keys, "ordinal")
-        .agg(F.max("_is_name").alias("_is_name"))
+    # one dictionary of tokens and spellings, met once: a spelled row has no bag size
+    labels = F.concat(
+        F.array(F.struct(F.lower("name").alias("_text"), F.lit(True).alias("_is_name"))),
+        F.transform("synonyms", lambda s: F.struct(F.lower(s).alias("_text"), F.lit(False).alias("_is_name"))),
     )
-    scored = overlap.join(spelled, [*keys, "ordinal"], "full_outer").withColumn(
+    entry = lambda text, size, is_name: F.struct(text.alias("_text"), size.cast("int").alias("_bag_size"), is_name.cast("boolean").alias("_is_name"))
+    words = bags.select("ordinal", F.inline(F.concat(
+        F.transform("bag", lambda t: entry(t, F.size("bag"), F.lit(None))), F.transform(labels, lambda x: entry(x["_text"], F.lit(None), x["_is_name"])),
+    ))).withColumn("_spelled", F.col("_is_name").isNotNull())
+    asked = lambda text, spelled: F.struct(text.alias("_text"), F.lit(spelled).alias("_spelled"))
+    met = distinct.select(*keys, F.size("_tokens").alias("_n"), F.inline(F.concat(
+        F.transform("_tokens", lambda t: asked(t, False)), F.array(asked(F.lower(name_col), True)),
+    ))).join(words, ["_text", "_spelled"])
+    # sums and maxima of numbers: hash aggregates without a sort
+    both = met.groupBy(*keys, "ordinal").agg(F.count("_bag_size").alias("_common"), F.max("_n").alias("_n"), F.max("_bag_size").alias("_bag_size"), F.max("_is_name").alias("_is_name"))
+    jaccard = F.col("_common") / (F.col("_n") + F.col("_bag_size") - F.col("_common"))
+    scored = both.withColumn("_jaccard", jaccard).withColumn(
         "score",
         F.when(F.col("_is_name"), 1.0)
         .when(~F.col("_is_name"), F.least(F.coalesce("_jaccard", F.lit(0.0)) + 0.3, F.lit(1.0)))

@@ -458,3 +458,16 @@ def test_edges_keep_the_least_platforms_without_a_sort(spark):
     e = d.edges(spark, ROOT)
     assert {tuple(r) for r in e.select("source_platform", "target_platform").distinct().collect()} == {("supplier", "part"), ("part", "orders"), ("orders", "customer")}
     assert "SortAggregate" not in e._jdf.queryExecution().executedPlan().toString()
+
+
+def test_names_beyond_a_task_are_spread(spark, monkeypatch):
+    from lakewarden.operators import glossary
+
+    names = spark.createDataFrame([(n, f"orders_{i % 5}") for i, n in enumerate(["customer_id", "sku", "SKU", "Top Line", "tax", "x", "", None] * 9)], "column_name string, table_name string")
+    ranked = lambda: glossary.suggest_for_names(names, glossary.glossary(spark), table_col="table_name")
+    whole = sorted(map(tuple, ranked().collect()))
+    monkeypatch.setattr(glossary, "NAMES_PER_TASK", 3, raising=False)
+    spread = ranked()
+    assert sorted(map(tuple, spread.collect())) == whole and whole
+    plan = spread._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "FullOuter" not in plan
