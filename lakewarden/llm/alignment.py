@@ -19,7 +19,6 @@ no rows. Other columns are not looked at, whatever their names.
 
 from __future__ import annotations
 
-import contextlib
 import functools
 import hashlib
 from collections.abc import Iterator
@@ -29,11 +28,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, vocabulary_path
-from .common import Hashed, only, raw, slices, staged
+from .common import Hashed, only, raw, slices, small_batches, staged
 
 CACHE_SEGMENTS = CACHE_WORDS = 150_000
 SLICE = 1 << 18
@@ -264,18 +263,6 @@ def groups(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", te
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, links array<bigint>, groups_sha256 string")
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Jobs run inside exchange Arrow batches of about ``BATCH_BYTES``: ten thousand lists of links would be some 100 MB in every task."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, str(BATCH_BYTES))
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
 def _by_links(batches: Iterator[pa.RecordBatch], links: str = "links") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """The same rows in pieces of about ``SLICE_LINKS`` links, a longer list by itself: rows, how many links each has, and the links."""
     for batch in batches:
@@ -315,7 +302,7 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
     """
     spark = docs.sparkSession
     found = staged(groups(docs, a_path or vocabulary_path(), b_path or vocabulary_path("piece_bpe_32k.model"), doc_id, text))
-    with small_batches(spark):
+    with small_batches(spark, BATCH_BYTES):
         counted = link_counts(found).toPandas()  # at most ``most_links`` rows, whatever the corpus
     order = np.argsort(counted["link"].to_numpy())
     link, n = counted["link"].to_numpy()[order].astype(np.int64), counted["n"].to_numpy()[order].astype(np.int64)
@@ -337,5 +324,5 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
             )
 
     kind = found.schema["doc_id"].dataType.simpleString()
-    with small_batches(spark):
+    with small_batches(spark, BATCH_BYTES):
         return staged(found.mapInArrow(run, f"doc_id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"))

@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, Words, combined, join_facts, lowered, mix, only, raw, signed, slices, staged, whole
+from .common import BLANKS, Words, combined, join_facts, lowered, mix, only, raw, signed, slices, small_batches, staged, whole
 
 K = 5
 THRESHOLD = Fraction(4, 5)
@@ -370,7 +370,15 @@ def _large_links(rows: DataFrame, sketches: DataFrame, frequent: Broadcast, boun
 
 
 def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+    """doc_id, n_shingles, component_id of every row.
+
+    All that reads texts in Python is staged here, in small Arrow batches; what is returned only joins staged tables.
+    """
+    with small_batches(docs.sparkSession):
+        return _joined(docs, doc_id, text, k, threshold)
+
+
+def _joined(docs: DataFrame, doc_id: str, text: str, k: int, threshold: Fraction) -> DataFrame:
     rows = only(docs, doc_id=doc_id, text=text)
     frequent = rows.sparkSession.sparkContext.broadcast(_frequent(rows, rows.count(), k))
     name = ["n", "hi", "lo"]
