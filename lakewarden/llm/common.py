@@ -8,6 +8,8 @@ one longer text is a slice of its own.
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +54,16 @@ def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def release() -> None:
+    """Drops the encoders that tasks of an earlier step left in this Python worker: Spark hands workers on, and they hold some 300 MB each."""
+    bpe = sys.modules.get("lakewarden.llm.bpe")
+    if bpe is not None and bpe.encoder.cache_info().currsize:
+        bpe.encoder.cache_clear()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # freed pages go back only where the C library can be told so
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 HOT_SHARE = 1000
 
 

@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, Words, combined, join_facts, lowered, mix, only, raw, signed, slices, small_batches, staged, whole
+from .common import BLANKS, Words, combined, join_facts, lowered, mix, only, raw, release, signed, slices, small_batches, staged, whole
 
 K = 5
 THRESHOLD = Fraction(4, 5)
@@ -70,6 +70,7 @@ def _frequent(rows: DataFrame, n: int, k: int) -> np.ndarray:
     This only orders the lists, no pair depends on it.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held, texts = [], 0
 
         def report() -> pa.RecordBatch:
@@ -109,6 +110,7 @@ def _ordered(s: np.ndarray, often: np.ndarray, rank: np.ndarray) -> np.ndarray:
 def profile(rows: DataFrame, frequent: Broadcast, k: int = K) -> DataFrame:
     """doc_id, n, hi, lo (128 bits naming the set), sketch, small (the elements of sets of up to MOST_SMALL) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         order = np.argsort(frequent.value)
         often, rank = frequent.value[order], order + 1
         for part in slices(batches):
@@ -134,6 +136,7 @@ def profile(rows: DataFrame, frequent: Broadcast, k: int = K) -> DataFrame:
 def _entries(rows: DataFrame, frequent: Broadcast, least: int, k: int, threshold: Fraction) -> DataFrame:
     """token, doc, n, pos: the rarest elements of every set of ``least`` or more, as many as a partner must meet one of."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         order = np.argsort(frequent.value)
         often, rank = frequent.value[order], order + 1
         for part in slices(batches):

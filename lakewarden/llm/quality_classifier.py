@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, Words, only, raw, salted, separators, slices
+from .common import BLANKS, Words, only, raw, release, salted, separators, slices
 
 SAMPLE_ROWS = 20_000
 FOLDS = 5
@@ -209,6 +209,7 @@ def with_score(docs: DataFrame, model: Model, text: str = "text", name: str = "s
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for part in slices(batches, text):
             scores = np.round(shared.value.score(features(part.column(at))), 6)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], [*part.schema.names, name])

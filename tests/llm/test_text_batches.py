@@ -19,3 +19,13 @@ def test_texts_go_to_the_workers_in_small_batches(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "profile", noted)
     assert sorted(map(str, jaccard_join.jaccard_join(rows).collect())) == wanted
     assert seen == [4 << 20] and spark.conf.get(NAME, None) == before
+
+
+def test_encoders_of_an_earlier_step_are_dropped():
+    from lakewarden.llm import bpe, common
+
+    bpe.encoder(bpe.vocabulary_path())
+    assert bpe.encoder.cache_info().currsize
+    common.release()
+    common.release()
+    assert not bpe.encoder.cache_info().currsize
