@@ -12,17 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewarden.llm import bpe, exact_dedup, jaccard_join, packing, quality_classifier, secret_scan
-from lakewarden.llm.common import table
+from lakewarden.llm.common import small_batches, staged, table
 from lakewarden.session import scratch_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
+    """Documents that the classifier accepts; staged, as whole rows pass through Python in small Arrow batches."""
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
     scored = quality_classifier.with_score(docs, model, name="_quality_score")
-    return scored.filter(F.col("_quality_score") >= quality_classifier.THRESHOLD).select(*docs.columns)
+    with small_batches(spark):
+        return staged(scored.filter(F.col("_quality_score") >= quality_classifier.THRESHOLD).select(*docs.columns))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -88,6 +88,29 @@ class Lookup:
         return found
 
 
+class Known:
+    """A whole number for each 64-bit key met so far, in sorted arrays: as a dictionary of Python numbers they take ten times the memory."""
+
+    def __init__(self, kind: type):
+        self.keys, self.values = np.zeros(0, kind), np.zeros(0, np.int32)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 for unknown ones."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.values[at], -1).astype(np.int64)
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Takes in different keys that are not known yet."""
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys, self.values = np.insert(self.keys, at, keys[order]), np.insert(self.values, at, values[order])
+
+
 class Encoder:
     """One vocabulary with its caches; built once per Python worker by ``encoder``."""
 
@@ -99,12 +122,12 @@ class Encoder:
         vocab = spec["model"]["vocab"]
         self.id_of = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if all(c in byte_of for c in token) and token.encode() not in self.special}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-        self.merges = {}
+        merges = {}
         for rank, (a, b) in enumerate(pairs):
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
-        ranked = np.array(list(self.merges.values()), np.int64).reshape(-1, 2)
+            merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+        ranked = np.array(list(merges.values()), np.int64).reshape(-1, 2)
         self.merge_ranks, self.merge_ids = np.append(ranked[:, 0], NEVER), np.append(ranked[:, 1], 0)
-        self.find_merge = Lookup(np.array([(a << 32) | b for a, b in self.merges], np.int64))
+        self.find_merge = Lookup(np.array([(a << 32) | b for a, b in merges], np.int64))
         self.single = np.array([self.id_of[bytes([b])] for b in range(256)], np.int64)
         size = 1 + max([*self.id_of.values(), *self.special.values()])
         self.empty = size  # an id of no bytes
@@ -119,11 +142,11 @@ class Encoder:
         self.vocab_ids = np.append(ids, -1)
         self.find_token = Lookup(Hashed(self.all_bytes)(self.start_of[ids], self.start_of[ids] + self.length_of[ids]))
         self.lengths = sorted({len(t) for t in self.id_of}, reverse=True)
-        self.pairs: dict[int, bool] = {}
+        self.pairs = Known(np.int64)
         self._forget()
 
     def _forget(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slot = Known(np.uint64)
         self.flat = np.zeros(0, np.int32)
         self.at = np.zeros(1, np.int64)
 
@@ -246,9 +269,9 @@ class Encoder:
         the token encode to itself?"""
         code, distinct = pd.factorize(codes)
         if len(self.pairs) > CACHE_PAIRS:
-            self.pairs.clear()
-        known = [self.pairs.get(c) for c in distinct.tolist()]
-        new = distinct[[i for i, ok in enumerate(known) if ok is None]]
+            self.pairs = Known(np.int64)
+        known = self.pairs(distinct)
+        new = distinct[known < 0]
         if len(new):
             left, right = new >> 32, new & 0xFFFFFFFF
             lone = right == 0xFFFFFFFF
@@ -257,9 +280,9 @@ class Encoder:
             n, first = np.bincount(word, minlength=len(new)), np.searchsorted(word, np.arange(len(new)))
             ok = (n == np.where(lone, 1, 2)) & (token[first] == left)
             ok &= lone | (token[np.minimum(first + 1, len(token) - 1)] == right)
-            self.pairs.update(zip(new.tolist(), ok.tolist()))
-            known = [self.pairs[c] for c in distinct.tolist()]
-        return np.array(known, bool)[code]
+            self.pairs.add(new, ok)
+            known[known < 0] = ok
+        return known.astype(bool)[code]
 
     def _learn(self, data: np.ndarray, hashed: Hashed, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
         """Encodes new words into the cache."""
@@ -286,7 +309,7 @@ class Encoder:
         base = len(self.slot)
         self.flat = np.concatenate([self.flat, token])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(np.bincount(word, minlength=len(begin)))])
-        self.slot.update(zip(hashes.tolist(), range(base, base + len(begin))))
+        self.slot.add(hashes, np.arange(base, base + len(begin)))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and where each text's ids begin."""
@@ -298,7 +321,7 @@ class Encoder:
         code, distinct = pd.factorize(hashed(begin, end))
         if len(self.slot) > CACHE_WORDS:
             self._forget()
-        slot = np.fromiter((self.slot.get(h, -1) for h in distinct.tolist()), np.int64, len(distinct))
+        slot = self.slot(distinct)
         if len(new := np.flatnonzero(slot < 0)):
             seen = np.zeros(len(distinct), np.int64)
             seen[code[::-1]] = np.arange(len(code) - 1, -1, -1)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..session import scratch_dir
 
 SLICE_BYTES = 1 << 20
+HALF_SLICE_BYTES = 1 << 19  # where tasks of a step leave little memory beside them
 TABLES = ("documents", "labels", "pages", "benchmark")
 
 
@@ -133,13 +134,13 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + (SLICE_BYTES >> 1))
+        size = max(n + (n >> 1), 1 << 16) if n <= 4 * SLICE_BYTES else n
         made = []
         for base in (_ROOT, _INVERSE):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
             made.append(np.cumprod(steps, dtype=np.uint64))
-        if size > 4 * SLICE_BYTES:  # a single huge text: not kept
+        if n > 4 * SLICE_BYTES:  # a single huge text: not kept
             return made[0], made[1]
         _powers[:] = made
     return _powers[0], _powers[1]

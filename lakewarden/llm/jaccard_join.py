@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, Words, combined, join_facts, lowered, mix, only, raw, release, signed, slices, small_batches, staged, whole
+from .common import BLANKS, HALF_SLICE_BYTES, Words, combined, join_facts, lowered, mix, only, raw, release, signed, slices, small_batches, staged, whole
 
 K = 5
 THRESHOLD = Fraction(4, 5)
@@ -82,7 +82,7 @@ def _frequent(rows: DataFrame, n: int, k: int) -> np.ndarray:
             counts = np.searchsorted(values, often, "right") - np.searchsorted(values, often, "left")
             return pa.RecordBatch.from_arrays([pa.array(signed(often)), pa.array(counts)], ["shingle", "n"])
 
-        for part in slices(batches):
+        for part in slices(batches, size=HALF_SLICE_BYTES):
             data, offsets = raw(part.column(0))
             words = Words(lowered(data), offsets, BLANKS)
             held += [shingles(words, i, k) for i in range(part.num_rows)]
@@ -113,7 +113,7 @@ def profile(rows: DataFrame, frequent: Broadcast, k: int = K) -> DataFrame:
         release()
         order = np.argsort(frequent.value)
         often, rank = frequent.value[order], order + 1
-        for part in slices(batches):
+        for part in slices(batches, size=HALF_SLICE_BYTES):
             data, offsets = raw(part.column(1))
             words = Words(lowered(data), offsets, BLANKS)
             out: list[list] = [[] for _ in range(5)]
@@ -139,7 +139,7 @@ def _entries(rows: DataFrame, frequent: Broadcast, least: int, k: int, threshold
         release()
         order = np.argsort(frequent.value)
         often, rank = frequent.value[order], order + 1
-        for part in slices(batches):
+        for part in slices(batches, size=HALF_SLICE_BYTES):
             data, offsets = raw(part.column(1))
             words = Words(lowered(data), offsets, BLANKS)
             tokens, sizes, kept = [np.zeros(0, np.int64)], [], []
@@ -261,7 +261,7 @@ def _elements(rows: DataFrame, asked: DataFrame, k: int, wide: bool) -> DataFram
     met = rows.join(asked.withColumnRenamed("doc", "doc_id"), "doc_id").select("doc_id", "text", *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for part in slices(batches, size=HALF_SLICE_BYTES):
             data, offsets = raw(part.column(1))
             words = Words(lowered(data), offsets, BLANKS)
             every = [signed(shingles(words, i, k)) for i in range(part.num_rows)]

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rows import numbered
 from .bpe import encoder
-from .common import only, raw, slices, staged
+from .common import HALF_SLICE_BYTES, only, raw, slices, small_batches, staged
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     """doc_id, piece, start, length, ids_crc32: a document's ids and the separator; longer ones cut, the first piece the short one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
-        for part in slices(batches):
+        for part in slices(batches, size=HALF_SLICE_BYTES):
             ids, at = bpe.encode(*raw(part.column(1)))
             n = np.diff(at) + 1
             many = -(-n // capacity)
@@ -112,10 +112,12 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     spark = docs.sparkSession
-    cut = staged(pieces(docs, path, doc_id, text, capacity))
+    with small_batches(spark):
+        cut = staged(pieces(docs, path, doc_id, text, capacity))
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
     runs = plan(counts, capacity)
-    table = spark.createDataFrame(runs, "length bigint, lo bigint, hi bigint, first bigint, offset bigint")
+    # as an Arrow table: a list of rows would pass through Python workers of its own, with a daemon that stays on every executor
+    table = spark.createDataFrame(pa.table(list(np.array(runs, np.int64).reshape(-1, 5).T.copy()), ["length", "lo", "hi", "first", "offset"]))
     if len(runs) <= BROADCAST_RUNS:
         table = F.broadcast(table)
     ranked = numbered(cut, ["length"], ["doc_id", "piece", "ids_crc32"])

@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, Words, only, raw, release, salted, separators, slices
+from .common import BLANKS, Words, only, raw, release, salted, separators, slices, small_batches
 
 SAMPLE_ROWS = 20_000
 FOLDS = 5
 THRESHOLD = 0.3
+SLICE = 1 << 18  # bytes of text whose features are worked out at once: some thirty arrays of eight bytes for each
 MAX_BINS, PAIR_BINS, PAIRS = 32, 8, 4
 ROUNDS, PAIR_ROUNDS, RATE, RIDGE = 120, 40, 0.2, 1.0
 NEWLINE = separators((0x0A, 0x0A))
@@ -186,7 +187,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     sample = known.groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        release()
+        for part in slices(batches, size=SLICE):
             x = features(part.column(0))
             yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(3), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], ["_id", "y", "at", "x"])
 
@@ -195,7 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     joined = rows.join(F.broadcast(sample), rows["doc_id"] == F.col("_id")).select("text", "_id", F.col("_y").alias("y"), F.xxhash64("text").alias("at"))
     measured = joined.mapInArrow(run, f"_id {joined.schema['_id'].dataType.simpleString()}, y int, at long, x array<double>")
     single = measured.groupBy("_id").agg(F.min(F.struct("at", "x", "y")).alias("row"))
-    got = single.select("row.y", "row.x").toPandas()
+    with small_batches(docs.sparkSession):
+        got = single.select("row.y", "row.x").toPandas()
     if not len(got):
         return learn(np.zeros((0, len(FEATURES))), np.zeros(0))
     x, y = np.stack(got["x"].to_numpy()), got["y"].to_numpy(float)
@@ -210,7 +213,7 @@ def with_score(docs: DataFrame, model: Model, text: str = "text", name: str = "s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        for part in slices(batches, text):
+        for part in slices(batches, text, SLICE):
             scores = np.round(shared.value.score(features(part.column(at))), 6)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], [*part.schema.names, name])
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_facts, only, slices, staged, text_of
+from .common import HALF_SLICE_BYTES, join_facts, only, release, slices, small_batches, staged, text_of
 
 SCOPE = 400
 BASE = ("assign", "access", "hex")
@@ -86,7 +86,8 @@ def find_parts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("role", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
-        for part in slices(batches):
+        release()
+        for part in slices(batches, size=HALF_SLICE_BYTES):
             texts = part.column(1).to_pylist()
             keys = [hashlib.md5(t.encode()).hexdigest() for t in texts]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.string()), pa.array([parts_of(t) for t in texts], kind)], ["doc_id", "text_key", "parts"])
@@ -117,7 +118,8 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: int = SCOPE) -> DataFrame:
     """doc_id, text_key, base and spans (arrays of kind, start, stop in order of start, then kind) of every row."""
-    found = staged(find_parts(docs, doc_id, text))
+    with small_batches(docs.sparkSession):
+        found = staged(find_parts(docs, doc_id, text))
     links = linked(found, scope).groupBy("text_key").agg(F.collect_list(F.struct("kind", "start", "stop")).alias("links"))
     shape = lambda p: F.struct(p["kind"].alias("kind"), p["start"].alias("start"), p["stop"].alias("stop"))
     base = F.transform(F.filter("parts", lambda p: p["kind"].isin(*BASE)), shape)
