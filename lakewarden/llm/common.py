@@ -29,30 +29,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """Jobs run inside have this setting; what it was before holds again afterwards."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Written once to the shared checkpoint folder, read by everything that follows.
 
     A table rather than a checkpoint: its plan carries nothing of the one that made it, so loops that
-    stage each round plan as fast in the last round as in the first.
+    stage each round plan as fast in the last round as in the first. The shuffle files of the writing job go
+    when it ends, as the table holds what they held; else all rounds' files stay until the driver collects its garbage.
     """
     folder = scratch_dir(df.sparkSession, "llm-stage")
-    df.write.parquet(folder)
+    with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+ROWS_PER_TASK = 100_000
+
+
+def few(df: DataFrame) -> bool:
+    """Rows of ids that one task holds with ease (a few MB), so that a shuffle into many partitions would cost more than it spreads."""
+    return df.count() <= ROWS_PER_TASK
+
+
+def gathered(df: DataFrame, together: bool) -> DataFrame:
+    """In one partition, whose groups and joins need no shuffle, when its rows are ``few``; as it is otherwise."""
+    return df.coalesce(1) if together else df
+
+
 BATCH_BYTES = 4 << 20
 
 
-@contextlib.contextmanager
-def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> contextlib.AbstractContextManager[None]:
     """Jobs run inside exchange Arrow batches of about ``size`` bytes: ten thousand rows of texts or lists would be some 20 to 100 MB in every task."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, str(size))
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    return setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def release() -> None:

@@ -31,7 +31,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, HALF_SLICE_BYTES, Words, combined, join_facts, lowered, mix, only, raw, release, signed, slices, small_batches, staged, whole
+from .common import BLANKS, HALF_SLICE_BYTES, ROWS_PER_TASK, Words, combined, few, gathered, join_facts, lowered, mix, only, raw, release, signed, slices, small_batches, staged, whole
 
 K = 5
 THRESHOLD = Fraction(4, 5)
@@ -163,20 +163,23 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round points larger neighbours of a node at its least neighbour, then all smaller ones, so chains
     shrink by half or more; every round is written to the shared folder. It ends when all edges are stars: no node
-    has two parents, or is parent and child. Edges that are stars from the start take no round.
+    has two parents, or is parent and child. Edges that are stars from the start take no round. A round makes no more edges
+    than it was given; few edges take their rounds in one partition, without a shuffle.
     """
     edges = staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    if together := few(edges):
+        edges = staged(edges.coalesce(1))
     while True:
-        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("child")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("child")))
+        ends = gathered(edges.select(F.col("a").alias("node"), F.lit(1).alias("child")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("child"))), together)
         loose = ends.groupBy("node").agg(F.sum("child").alias("parents"), F.count(F.lit(1)).alias("n")).agg(F.max((F.col("parents") > 1) | ((F.col("parents") == 1) & (F.col("n") > 1)))).first()[0]
         if not loose:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = gathered(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), together)
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         beside = large.join(lowest, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = staged(beside.unionByName(lowest.select("a", F.col("m").alias("b"))).distinct())
+        edges = staged(gathered(beside.unionByName(lowest.select("a", F.col("m").alias("b"))), together).distinct())
 
 
 def _subsets(sets: DataFrame, boundary: int, threshold: Fraction) -> DataFrame:
@@ -283,16 +286,17 @@ def _compared(rows: DataFrame, pairs: DataFrame, k: int, threshold: Fraction) ->
     Up to ``BROADCAST_IDS`` pairs, ids go to the texts; more meet them in a shuffle.
     """
     def met(wanted: DataFrame, wide: bool) -> DataFrame:
-        wanted = wanted.select("a", "b")
-        few = wanted.count() <= BROADCAST_IDS
-        sent = F.broadcast if few else (lambda ids: ids)
+        n = wanted.count()
+        wanted = gathered(wanted.select("a", "b"), n <= ROWS_PER_TASK)
+        sent = F.broadcast if n <= BROADCAST_IDS else (lambda ids: ids)
         left = _elements(rows, sent(wanted.select(F.col("a").alias("doc"), "b")), k, wide).toDF("a", "b", "x")
         right = _elements(rows, sent(wanted.select(F.col("b").alias("doc")).distinct()), k, wide).toDF("b", "y")
         sizes = left.join(right, "b").select("a", "b", F.expr("size(array_intersect(x, y))").alias("common"), F.expr("size(x)").alias("n"), F.expr("size(y)").alias("n2"))
         return sizes.withColumn("over", F.expr(f"common - {_need('n', 'n2', threshold)}"))
 
     rough = staged(met(pairs.filter("not large"), False).select("a", "b", "over"))
-    near = rough.filter(F.abs("over") <= SLACK).select("a", "b").unionByName(pairs.filter("large").select("a", "b")).distinct()
+    near = rough.filter(F.abs("over") <= SLACK).select("a", "b").unionByName(pairs.filter("large").select("a", "b"))
+    near = staged(gathered(near, few(near)).distinct())
     sure = rough.filter(F.col("over") > SLACK).select("a", "b")
     if near.isEmpty():
         return sure.distinct()
@@ -316,7 +320,7 @@ def _verified(rows: DataFrame, likely: DataFrame, k: int, threshold: Fraction, e
 
     Then the pairs whose ends are still in different components after the first comparison follow, one by one.
     """
-    one = staged(likely.groupBy("a").agg(F.min(F.struct("b", "large")).alias("_b")).select("a", "_b.*"))
+    one = staged(gathered(likely, few(likely)).groupBy("a").agg(F.min(F.struct("b", "large")).alias("_b")).select("a", "_b.*"))
     first = staged(_compared(rows, one, k, threshold))
     if not every:
         return first
