@@ -8,6 +8,8 @@ stream the gathering is keyed state that the watermark releases.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +37,8 @@ ENRICHED_EVENT = (
     f"tables array<{ENRICHED_TABLE}>, enriched_at timestamp"
 )
 _EVENT = ["emitted_at", "event_id", "source_id", "source_type", "run_id", "database_name", "schema_name"]
+DEALT = "_dealt"
+COLUMNS_PER_TASK = 50_000
 _COLUMN = ("name", "data_type", "description", "is_nullable", "pii_classification", "pii_category", "sensitivity_level", "suggested_terms", "quality_score", "null_count", "distinct_count", "min_value", "max_value", "avg_value", "sample_values")
 
 
@@ -51,7 +55,26 @@ def _first(*keys: Column) -> Column:
     return F.xxhash64(*keys).alias("_first")
 
 
+def _dealt(df: DataFrame) -> list[str]:
+    return [DEALT] if DEALT in df.columns else []
+
+
 # ---- raw events -----------------------------------------------------------
+def tasks_for(spark: SparkSession, n: int) -> int:
+    """So many tasks that none holds much more than ``COLUMNS_PER_TASK`` of ``n`` columns."""
+    return max(spark.sparkContext.defaultParallelism, -(-n // COLUMNS_PER_TASK))
+
+
+def dealt(rows: DataFrame, n: int, keys: Sequence[str] = ("source_type", "schema_name", "table_name")) -> DataFrame:
+    """Rows of a profile of about ``n`` columns, those of a table in one task, with the number they are dealt by (``DEALT``).
+
+    What is made of them keeps the number and is grouped by it too: messages, enriched columns and enriched tables then need no shuffle
+    of their own. Rows are sent once, and can be sent before the fields that widen them are known. A table ends as one row, so its columns
+    meet in one task in any case.
+    """
+    return rows.withColumn(DEALT, F.xxhash64(*keys)).repartition(tasks_for(rows.sparkSession, n), DEALT)
+
+
 def raw_events(profile: DataFrame, source_id: str, source_type: Column | str, database: str, run_id: str, emitted_at: str, schema: str = "schema_name", limit: int = 500) -> DataFrame:
     """Messages of one event per schema, as ``profiling.RAW_EVENT``, from one row per column of a profile.
 
@@ -67,7 +90,7 @@ def raw_events(profile: DataFrame, source_id: str, source_type: Column | str, da
     )
     part = F.floor((F.col("ordinal") - 1) / limit)
     source = source_type if isinstance(source_type, Column) else F.lit(source_type)
-    tables = profile.groupBy(_first(source, F.col(schema), F.col("table_name"), part), source.alias("_source"), F.col(schema).alias("schema_name"), "table_name", part.alias("_part")).agg(
+    tables = profile.groupBy(_first(source, F.col(schema), F.col("table_name"), part), *_dealt(profile), source.alias("_source"), F.col(schema).alias("schema_name"), "table_name", part.alias("_part")).agg(
         F.max("row_count").alias("row_count"), F.max(field("size_bytes", "bigint")).alias("size_bytes"), F.max(field("last_modified", "timestamp")).alias("last_modified"),
         F.sort_array(F.collect_list(column)).alias("columns"),
     )
@@ -79,16 +102,16 @@ def raw_events(profile: DataFrame, source_id: str, source_type: Column | str, da
     return tables.select(
         event_id.alias("event_id"), F.lit(source_id).alias("source_id"), F.col("_source").alias("source_type"), F.lit(emitted_at).cast("timestamp").alias("emitted_at"),
         F.struct(F.lit(database).alias("database_name"), "schema_name", F.array(table).alias("tables")).alias("schema_profile"),
-        F.lit("1.0.0").alias("connector_version"), F.lit(run_id).alias("run_id"),
+        F.lit("1.0.0").alias("connector_version"), F.lit(run_id).alias("run_id"), *_dealt(profile),
     )
 
 
 # ---- enrichment -----------------------------------------------------------
 def enriched_columns(events: DataFrame) -> DataFrame:
     """One row per column of every message, scored, classified and described; a table without columns is one row without a name."""
-    tables = events.select(*_EVENT[:5], F.col("schema_profile.database_name").alias("database_name"), F.col("schema_profile.schema_name").alias("schema_name"), F.explode("schema_profile.tables").alias("t"))
+    tables = events.select(*_dealt(events), *_EVENT[:5], F.col("schema_profile.database_name").alias("database_name"), F.col("schema_profile.schema_name").alias("schema_name"), F.explode("schema_profile.tables").alias("t"))
     rows = tables.select(
-        *_EVENT, F.coalesce("t.schema_name", "schema_name").alias("table_schema"), F.col("t.table_name").alias("table_name"), F.col("t.row_count").alias("row_count"), F.col("t.size_bytes").alias("size_bytes"), F.col("t.tags").alias("tags"),
+        *_dealt(events), *_EVENT, F.coalesce("t.schema_name", "schema_name").alias("table_schema"), F.col("t.table_name").alias("table_name"), F.col("t.row_count").alias("row_count"), F.col("t.size_bytes").alias("size_bytes"), F.col("t.tags").alias("tags"),
         F.coalesce("t.column_offset", F.lit(0)).alias("_offset"), F.posexplode_outer("t.columns").alias("_at", "c"),
     ).select(
         "*", (F.col("_offset") + F.col("_at") + 1).alias("ordinal"), F.col("c.name").alias("column_name"), *[F.col(f"c.{x}").alias(x) for x in ("data_type", "null_count", "distinct_count", "min_value", "max_value", "avg_value")],
@@ -122,7 +145,7 @@ def enriched_tables(columns: DataFrame) -> DataFrame:
     rank = F.when(F.col("classification") == "PII", 3).when(F.col("classification") == "SENSITIVE", 2).otherwise(0)
     # scores have four decimals, so ten-thousandths are whole numbers and their sum does not hang on the order of rows
     mean = lambda p: F.coalesce(F.sum(F.when(named, F.round(F.col(p) * 10000.0).cast("bigint"))) / 10000.0 / F.count(F.when(named, F.col(p))), F.lit(0.0)).alias(f"_{p}")
-    grouped = columns.groupBy(_first(F.col("event_id"), F.col("fqn")), *_EVENT, "table_schema", "table_name", "fqn").agg(
+    grouped = columns.groupBy(_first(F.col("event_id"), F.col("fqn")), *_dealt(columns), *_EVENT, "table_schema", "table_name", "fqn").agg(
         F.sort_array(F.collect_list(F.when(named, entry))).alias("_columns"), F.max("row_count").alias("row_count"), F.max("size_bytes").alias("size_bytes"),
         F.first("tags", ignorenulls=True).alias("tags"), F.max(F.when(named, rank)).alias("_rank"), *[mean(p) for p in PARTS],
     )

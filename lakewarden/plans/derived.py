@@ -8,6 +8,8 @@ derivation independently for the oracle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,13 +70,19 @@ def sample_columns(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "idx bigint, sample_name string, data_type string, is_nullable boolean, samples array<string>")
 
 
-def columns(spark: SparkSession, root: str) -> DataFrame:
-    """One column row per line item: name, type and samples by position, counts from its measures."""
+def columns(spark: SparkSession, root: str, early: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """One column row per line item: name, type and samples by position, counts from its measures.
+
+    Line items meet their assets while they are narrow. ``early`` is applied to them then, before names, types and samples join them; columns that it adds are kept.
+    """
     li = table(spark, root, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_tax", "l_quantity")
     line = F.col("l_linenumber")
-    picked = li.withColumn("idx", (F.col("l_orderkey") * 7 + line) % len(COLUMNS))
+    a = assets(spark, root).select("asset_key", "asset_id", F.col("fqn").alias("asset_fqn"), "source_type", "schema_name", "table_name", "row_count")
+    with_asset = li.join(a, F.col("l_partkey") == F.col("asset_key"))
+    narrow = with_asset if early is None else early(with_asset)
+    added = [c for c in narrow.columns if c not in with_asset.columns]
     # 68 rows of fixed size
-    joined = picked.join(F.broadcast(sample_columns(spark)), "idx")
+    joined = narrow.withColumn("idx", (F.col("l_orderkey") * 7 + line) % len(COLUMNS)).join(F.broadcast(sample_columns(spark)), "idx")
     name = (
         F.when(line == 5, F.replace(F.initcap(F.replace("sample_name", F.lit("_"), F.lit(" "))), F.lit(" "), F.lit("")))
         .when(line == 6, F.concat(F.lit("private_"), F.lower("sample_name")))
@@ -85,17 +93,15 @@ def columns(spark: SparkSession, root: str) -> DataFrame:
         .when((F.col("sample_name") == "CARD_NUMBER") & (line % 2 == 0), F.array(F.lit("4111-1111-1111-1111")))
         .otherwise(F.col("samples"))
     )
-    a = assets(spark, root).select("asset_key", "asset_id", F.col("fqn").alias("asset_fqn"), "source_type", "schema_name", "table_name", "row_count")
     rows = F.col("row_count")
-    with_asset = joined.join(a, F.col("l_partkey") == F.col("asset_key"))
-    counted = with_asset.withColumn("null_count", F.floor(rows * F.col("l_tax") * 5.0).cast("bigint"))
+    counted = joined.withColumn("null_count", F.floor(rows * F.col("l_tax") * 5.0).cast("bigint"))
     return counted.select(
         "asset_key", "asset_id", "asset_fqn", "source_type", "schema_name", "table_name", "row_count",
         (F.col("l_orderkey") * 8 + line).alias("ordinal"), name.alias("column_name"), "data_type", "is_nullable",
         samples.alias("sample_values"), "null_count",
         F.floor((rows - F.col("null_count")) * F.col("l_quantity") / 50.0).cast("bigint").alias("distinct_count"),
         F.when(line == 2, "N/A ").when(line == 3, "tbd").when(line > 3, F.concat(F.lit("Column "), "sample_name")).alias("description"),
-        F.col("l_quantity").alias("_quantity"), line.alias("line"),
+        F.col("l_quantity").alias("_quantity"), line.alias("line"), *added,
     )
 
 

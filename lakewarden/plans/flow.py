@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import assembly, profiling
-from ..session import scratch_dir, use_utc
+from ..session import scratch_dir, staged, use_utc
 from ..sources import sinks
 from ..sources.readers import LAKE_TABLES, lake
 from ..streaming import catalog_flow, streams
@@ -108,12 +108,16 @@ def k2(spark, root):
     SELECT fqn, 'asset-' || substr(md5(fqn), 1, 12) AS asset_id, source_type, schema_name, table_name, description, domain, sensitivity_level, row_count, quality_score, quality_grade,
         quality_completeness, quality_uniqueness, quality_validity, quality_consistency, suggested_terms, column_count, pii, names FROM tabs""", "scored", "kind_class"))
 def f8(spark, root):
-    """Enriched tables flattened to the rows of a catalog; the columns of a table come in bounded messages."""
-    c = d.columns(spark, root)
+    """Enriched tables flattened to the rows of a catalog; the columns of a table come in bounded messages.
+
+    Enriched tables are written once: the rows of assets and those of columns each read the fields they need.
+    """
+    lines = d.table(spark, root, "lineitem").count()
+    c = d.columns(spark, root, lambda rows: assembly.dealt(rows, lines))
     raw = assembly.raw_events(c.filter(F.col("source_type").isin(*d.CAT_SOURCES)), "lake", F.col("source_type"), "lake", _RUN, _EMITTED)
     tables = assembly.enriched_tables(assembly.enriched_columns(raw))
-    events = tables.withColumn("tables", F.array("t")).drop("t")
-    per = assembly.column_rows(events).groupBy("asset_id").agg(F.count(F.lit(1)).alias("column_count"), F.count_if(F.col("pii_classification") == "PII").alias("pii"), F.count_distinct("fqn").alias("names"))
+    events = staged(tables.withColumn("tables", F.array("t")).drop("t"), "enriched-tables")
+    per = assembly.column_rows(events).repartition(assembly.tasks_for(spark, lines), "asset_id").groupBy("asset_id").agg(F.count(F.lit(1)).alias("column_count"), F.count_if(F.col("pii_classification") == "PII").alias("pii"), F.count_distinct("fqn").alias("names"))
     return assembly.asset_rows(events).join(per, "asset_id").select(
         "fqn", "asset_id", "source_type", "schema_name", "table_name", "description", "domain", "sensitivity_level", "row_count", "quality_score", "quality_grade", *[f"quality_{x}" for x in assembly.PARTS],
         F.array_join(F.sort_array("suggested_terms"), ",").alias("suggested_terms"), "column_count", "pii", "names",

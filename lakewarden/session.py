@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -68,3 +70,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(_shared_root(spark))
     return df.checkpoint(eager=True)
+
+
+@contextlib.contextmanager
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def staged(df: DataFrame, purpose: str) -> DataFrame:
+    """Written once to the shared folder and read by all that follows, each of which reads only the fields it needs.
+
+    Files keep a repeated value once where a checkpoint or a shuffle writes every row in full. The shuffle files of the writing
+    job go when it ends, as the table holds what they held.
+    """
+    folder = scratch_dir(df.sparkSession, purpose)
+    with _setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lakewarden import vocab
 from lakewarden.operators import assembly, glossary, profiling, store
+from lakewarden.plans import derived, flow
 from lakewarden.session import scratch_dir
 from lakewarden.sources import discovery
 from lakewarden.streaming import catalog_flow, streams
@@ -153,3 +154,47 @@ def test_a_name_is_cut_into_tokens_once(spark):
     assert rows[None].t == [] and rows[""].t == [] and rows["Top Line"].t[0] == "Revenue" and {len(r["all"]) for n, r in rows.items() if n is not None} == {len(vocab.SEED_TERMS)}
     plan = names.select(glossary.column_terms("n").alias("t"))._jdf.queryExecution().analyzed().toString().splitlines()[0]
     assert plan.count("split(") == 1
+
+
+def small_lake(spark, folder):
+    """Line items and parts with repeated rows, parts without a name or type, and one with columns in many messages."""
+    parts = [(1, "red green", "Brand#11", "PROMO", 3), (2, None, "Brand#12", "SMALL", 9), (3, None, "Brand#12", "SMALL", 9), (4, "blue", "Brand#13", None, 5), (5, "x", None, "LARGE", 1), (6, "alone", "Brand#14", "LARGE", 1)]
+    spark.createDataFrame([*parts, parts[0]], "p_partkey long, p_name string, p_brand string, p_type string, p_size long").write.parquet(f"{folder}/part.parquet")
+    lines = [(o, n, (o * 3 + n) % 5 + 1 if o % 2 else 1, n % 9 / 100.0, float(o % 50 + 1)) for o in range(400) for n in range(1, 8)]
+    spark.createDataFrame([*lines, *lines[:30], (7, 1, None, 0.0, 1.0)], "l_orderkey long, l_linenumber int, l_partkey long, l_tax double, l_quantity double").write.parquet(f"{folder}/lineitem.parquet")
+    return folder
+
+
+def test_rows_dealt_out_once_are_grouped_where_they_are(spark, tmp_path):
+    lake = small_lake(spark, str(tmp_path / "lake"))
+    made = lambda c: assembly.enriched_tables(assembly.enriched_columns(assembly.raw_events(c, "lake", F.col("source_type"), "lake", "run", DAYS[0], limit=50)))
+    plain, once = made(derived.columns(spark, lake)), made(derived.columns(spark, lake, lambda r: assembly.dealt(r, 2800)))
+    text = lambda df: sorted(r.j for r in df.select(F.to_json(F.struct(*plain.columns)).alias("j")).collect())
+    assert text(once) == text(plain) and len(text(once)) == 4
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert (exchanges(plain), exchanges(once)) == (2, 1)
+
+
+def test_only_narrow_rows_meet_their_assets_in_a_shuffle(spark, tmp_path):
+    lake = small_lake(spark, str(tmp_path / "lake"))
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        plan = derived.columns(spark, lake)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(threshold, before)
+    # what a join makes stands above what it reads
+    assert "sample_name" in plan and "sample_name" not in plan.partition("Exchange hashpartitioning(l_partkey")[2].partition("Exchange hashpartitioning(asset_key")[0]
+
+
+def test_flattened_events_write_enriched_tables_once(spark, tmp_path):
+    lake = small_lake(spark, str(tmp_path / "lake"))
+    c = derived.columns(spark, lake)
+    raw = assembly.raw_events(c.filter(F.col("source_type").isin(*derived.CAT_SOURCES)), "lake", F.col("source_type"), "lake", flow._RUN, flow._EMITTED)
+    events = assembly.enriched_tables(assembly.enriched_columns(raw)).withColumn("tables", F.array("t")).drop("t")
+    per = {r.asset_id: r for r in assembly.column_rows(events).groupBy("asset_id").agg(F.count(F.lit(1)).alias("columns"), F.count_if(F.col("pii_classification") == "PII").alias("pii"), F.count_distinct("fqn").alias("names")).collect()}
+    wanted = {r.fqn: (r.description, r.domain, r.sensitivity_level, r.row_count, r.quality_score, ",".join(sorted(r.suggested_terms)), *per[r.asset_id][1:]) for r in assembly.asset_rows(events).collect()}
+    out = flow.f8(spark, lake)
+    assert {r.fqn: (r.description, r.domain, r.sensitivity_level, r.row_count, r.quality_score, r.suggested_terms, r.column_count, r.pii, r.names) for r in out.collect()} == wanted and len(wanted) == 3
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
